@@ -63,14 +63,12 @@ def fingerprint(paths: Column) -> Column:
 def json_paths(record: Column, lists: tuple[str, ...]) -> Column:
     """Nested field paths of a JSON object; lists of objects are looked into at their first element."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    nested = [
-        F.transform(
-            F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>")),
-            lambda k, name=name: F.concat(F.lit(f"{name}[]."), k),
-        )
-        for name in lists
-    ]
-    return F.concat(top, *nested) if nested else top
+
+    def nested(name: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    return F.concat(top, *map(nested, lists))
 
 
 def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:

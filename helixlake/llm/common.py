@@ -54,3 +54,54 @@ def discard(df: DataFrame) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             with contextlib.suppress(Exception):
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Inclusive running sums of an array<bigint>, in blocks, so that long arrays stay cheap."""
+    none = F.array().cast("array<bigint>")
+
+    def summed(part: Column, start: Column) -> Column:
+        return F.aggregate(
+            part, none, lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(F.concat(F.array(start), acc), -1), F.lit(0)) + v))
+        )
+
+    zero = F.lit(0).cast("bigint")
+    parts = F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block)), lambda s: s <= F.size(values)),
+        lambda s: summed(F.slice(values, s, block), zero),
+    )
+    return let(
+        parts,
+        lambda ps: let(
+            summed(F.transform(ps, lambda p: F.element_at(p, -1)), zero),
+            lambda ends: F.flatten(
+                F.transform(ps, lambda p, k: let(F.when(k > 0, F.get(ends, k - 1)).otherwise(zero), lambda before: F.transform(p, lambda v: v + before)))
+            ),
+        ),
+    )
+
+
+def match_spans(text: Column, pattern: str, group: int = 0, keep=None) -> Column:
+    """Leftmost non-overlapping matches of a Java regex as array<struct<start,end,value>>.
+
+    Code points, end exclusive; ``value`` is the given group and ``keep(span length, value)`` decides
+    which matches stay. The pattern must not match the empty string.
+    """
+    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    kept = keep or (lambda length, value: F.lit(True))
+
+    def spans(ms: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(ms)), ms, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
+        made = let(
+            running_sums(lengths),
+            lambda ends: F.zip_with(
+                F.zip_with(ends, ms, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"))),
+                values,
+                lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")),
+            ),
+        )
+        return F.filter(made, lambda s: kept(s["end"] - s["start"], s["value"]))
+
+    kind = "array<struct<start:bigint,end:bigint,value:string>>"
+    return let(whole, lambda ms: F.when(F.size(ms) > 0, spans(ms).cast(kind)).otherwise(F.array().cast(kind)))

@@ -8,12 +8,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, html
+from helixlake.llm import bpe, chat, html, secrets
 from helixlake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [secrets.n_spans(F.col("spans"), r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id", *count, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+    )
+
+
+def _kind_sql(no: int, r: secrets.Rule) -> str:
+    pattern = r.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, copy, {no} AS no, '{r.kind}' AS kind, CAST(starts[i] AS BIGINT) AS s, CAST(starts[i] + length(m[i]) AS BIGINT) AS e
+  FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+          + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)) AS starts, unnest(range(1, len(m) + 1)) AS i
+    FROM (SELECT doc_id, copy, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS v,
+            string_split_regex(text, '{pattern}') AS g FROM docs))
+  WHERE length(v[i]) >= {r.least}"""
+
+
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS copy, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_kind_sql(no, r) for no, r in enumerate(secrets.RULES))}),
+tagged AS (SELECT *, kind || ':' || s || ':' || e AS span FROM found),
+per AS (SELECT copy, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, no) FILTER (no < 3) AS base,
+  string_agg(span, ',' ORDER BY s, no) AS spans FROM tagged GROUP BY copy)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN per USING (copy)
+"""
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     said = "\\### Assistant: </turn> ok"
@@ -61,9 +93,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": OP4_SQL,
+    "op7_chat_format": OP7_SQL,
+}
