@@ -8,12 +8,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, html, secrets
+from helixlake.llm import bpe, chat, html, licenses, secrets
 from helixlake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = len(licenses.BASE)
+    split = found.select("doc_id", "n_words", "hits", F.filter("hits", lambda h: h["no"] < n).alias("base"))
+    starts = F.transform("base", lambda h: h["start"])
+    return split.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels(F.col("base"), licenses.TEMPLATES).alias("base_labels"),
+        licenses.labels(F.col("hits"), licenses.TEMPLATES).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _template_sql() -> str:
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    return ", ".join(
+        f"({no}, '{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {quoted(t.key_words)}, {t.start})" for no, t in enumerate(licenses.TEMPLATES)
+    )
+
+
+OP3_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS copy, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+templates(no, label, base, words, key, before) AS (VALUES {_template_sql()}),
+places AS (SELECT copy, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM docs),
+starts AS (SELECT DISTINCT d.copy, d.ws, t.no, t.label, t.base, t.words, t.before, places.p
+  FROM places JOIN templates t ON places.w = t.key[1] JOIN docs d USING (copy) WHERE d.ws[p + 1 : p + len(t.key)] = t.key),
+scored AS (SELECT *, len(list_filter(range(1, len(words) + 1), lambda i: p - before + i >= 1 AND ws[p - before + i] = words[i])) / len(words)::DOUBLE AS score
+  FROM starts),
+hits AS (SELECT * FROM scored WHERE score >= {licenses.AGREES}),
+per AS (SELECT copy, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(score) AS score FROM hits GROUP BY copy)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM docs d LEFT JOIN per USING (copy)
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [secrets.n_spans(F.col("spans"), r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
@@ -93,6 +137,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
@@ -100,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": OP3_SQL,
     "op4_secret_scan": OP4_SQL,
     "op7_chat_format": OP7_SQL,
 }
