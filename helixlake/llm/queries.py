@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, html, licenses, quality, secrets
+from helixlake.llm import bpe, chat, html, licenses, pii, quality, secrets
 from helixlake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -98,6 +98,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A deployment passes its own; the registered query needs a fixed one to give the same rows each time.
+PII_KEY = "registered-query"
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    counts = [pii.n_found(F.col("found"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return made.select("doc_id", "text", *counts)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     said = "\\### Assistant: </turn> ok"
@@ -148,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
