@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, html, licenses, pii, quality, secrets
+from helixlake.llm import bpe, chat, decontam, html, licenses, pii, quality, secrets
 from helixlake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -149,6 +149,30 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, RANKS, public_tokenizers.PATTERN).drop("text")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = f"""
+WITH docs AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents WHERE text IS NOT NULL),
+items AS (SELECT min(item_id) AS item_id, iw, len(iw) AS n FROM (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS iw
+  FROM benchmark WHERE text IS NOT NULL) GROUP BY iw HAVING len(iw) > 0),
+numbered AS (SELECT row_number() OVER () AS copy, doc_id, ws FROM docs),
+dw AS (SELECT copy, len(ws) AS m, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM numbered),
+it AS (SELECT item_id, unnest(iw) AS w, unnest(range(0, len(iw))) AS q, n FROM items),
+diagonals AS (SELECT copy, item_id, p - q AS d, any_value(n) AS n, any_value(m) AS m, count(*) AS matched, list(q ORDER BY q) AS qs
+  FROM dw JOIN it USING (w) GROUP BY copy, item_id, d HAVING count(*) >= least(any_value(n), {decontam.WINDOW - decontam.MISMATCHES})),
+found AS (SELECT * FROM diagonals WHERE CASE WHEN n < {decontam.WINDOW} THEN matched = n
+  ELSE least(n, m - d) - greatest(0, -d) >= {decontam.WINDOW}
+    AND len(list_filter(range(1, len(qs) - {decontam.WINDOW - decontam.MISMATCHES - 2}), lambda i: qs[i + {decontam.WINDOW - decontam.MISMATCHES - 1}] - qs[i] < {decontam.WINDOW})) > 0 END)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_item_words, max(matched) AS n_matched, CAST(min(greatest(d, 0)) AS BIGINT) AS first_word
+FROM found JOIN numbered USING (copy) GROUP BY doc_id, item_id
+"""
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -161,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
 }
 
@@ -168,4 +193,5 @@ ORACLES: dict[str, str] = {
     "op3_license_scan": OP3_SQL,
     "op4_secret_scan": OP4_SQL,
     "op7_chat_format": OP7_SQL,
+    "op9_decontaminate": OP9_SQL,
 }
