@@ -22,8 +22,9 @@ from helixlake.llm.licenses import words
 WINDOW, MISMATCHES = 13, 2
 #: Offsets of the words that a mask looks at.
 MASKS = ((0, 1, 3, 6, 7),)
-#: A benchmark of up to so many words is broadcast (some tens of MB); a larger one is joined by shuffle.
-BROADCAST_WORDS = 200_000
+#: Up to so many distinct seeds the benchmark is broadcast, and a bit table of its seeds (64 bits for each)
+#: lets rows be made for likely hits only; a larger benchmark is joined by shuffle.
+BROADCAST_SEEDS = 50_000
 
 
 def span(mask: tuple[int, ...]) -> int:
@@ -36,81 +37,112 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     return read.groupBy("iw").agg(F.min("item_id").alias("item_id"))
 
 
-def _seed(ws: Column, at: Column, offsets, tag: int) -> Column:
-    return F.xxhash64(F.lit(tag), *[F.get(ws, at + k) for k in offsets])
-
-
-def _shapes(shortest: list[int], masks) -> list[tuple[int, tuple[int, ...], int | None]]:
+def _shapes(lengths: list[int], masks) -> list[tuple[int, tuple[int, ...], int | None]]:
     """(tag, offsets, item length or None): the masks, and whole items of each length too short for them."""
     least = max(map(span, masks))
-    whole = [(-n, tuple(range(n)), n) for n in shortest if n < least]
+    whole = [(-n, tuple(range(n)), n) for n in lengths if n < least]
     return [(k, mask, None) for k, mask in enumerate(masks)] + whole
 
 
-def _windows(df: DataFrame, ws: str, shapes, of_items: bool) -> DataFrame:
-    """``df`` with a row per position and shape: at, tag, seed. Shapes of one length take items of it only."""
-    seeds = []
-    for tag, offsets, length in shapes:
-        fits = F.col("at") + span(offsets) <= F.size(ws)
-        if of_items and length:
-            fits = fits & (F.size(ws) == length)
-        seeds.append(F.when(fits, F.struct(F.lit(tag).alias("tag"), _seed(F.col(ws), F.col("at"), offsets, tag).alias("seed"))))
-    least = min(span(offsets) for _, offsets, _ in shapes)
-    placed = df.select("*", F.explode(positions(F.lit(0), F.size(ws) - least)).alias("at"))
-    if len(seeds) == 1:
-        return placed.select("*", seeds[0].alias("s")).where("s IS NOT NULL").select(*placed.columns, "s.tag", "s.seed")
-    return placed.select("*", F.explode(F.array_compact(F.array(*seeds))).alias("s")).select(*placed.columns, "s.tag", "s.seed")
-
-
-def _repeats(shapes) -> Column:
-    """Whether the same shape also hits one word earlier, so that this hit adds no diagonal."""
-    out = F.lit(False)
-    for tag, offsets, length in shapes:
-        if length is None:
-            same = F.lit(True)
-            for k in offsets:
-                same = same & (F.get("ws", F.col("at") + k - 1) == F.get("iw", F.col("iat") + k - 1))
-            earlier = (F.col("at") > 0) & (F.col("iat") > 0) & F.coalesce(same, F.lit(False))
-            out = F.when(F.col("tag") == tag, earlier).otherwise(out)
-    return out
+def _seeds(ws: Column, shapes, of_items: bool) -> Column:
+    """array<struct<at, seed>> of a list of words. Shapes of one length take items of it only."""
+
+    def of_shape(tag: int, offsets: tuple[int, ...], length: int | None) -> Column:
+        made = F.transform(
+            positions(F.lit(0), F.size(ws) - span(offsets)),
+            lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(tag), *[F.get(ws, i + k) for k in offsets]).alias("seed")),
+        )
+        return F.filter(made, lambda _: F.size(ws) == length) if of_items and length else made
+
+    return F.concat(*[of_shape(*shape) for shape in shapes])
 
 
 def _overlap(ws: Column, iw: Column, diagonal: Column) -> Column:
     """struct<matched, first> of the words side by side, matched null if no window of them agrees enough."""
     start, stop = F.greatest(F.lit(0), -diagonal), F.least(F.size(iw), F.size(ws) - diagonal)
     agree = F.transform(positions(start, stop - 1), lambda i: (F.get(ws, i + diagonal) == F.get(iw, i)).cast("int"))
-    whole = F.size(iw) < WINDOW
 
     def judged(a: Column) -> Column:
         total = F.aggregate(a, F.lit(0), lambda n, x: n + x)
         best = F.array_max(
             F.transform(positions(F.lit(1), F.size(a) - WINDOW + 1), lambda p: F.aggregate(F.slice(a, p, WINDOW), F.lit(0), lambda n, x: n + x))
         )
-        enough = F.when(whole, total == F.size(iw)).otherwise(best >= WINDOW - MISMATCHES)
-        return F.struct(F.when(enough, total.cast("long")).alias("matched"), (start + diagonal).cast("long").alias("first_word"))
+        enough = F.when(F.size(iw) < WINDOW, total == F.size(iw)).otherwise(best >= WINDOW - MISMATCHES)
+        return F.struct(F.when(enough, total.cast("long")).alias("matched"), (start + diagonal).cast("long").alias("first"))
 
     return let(agree, judged)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, doc_id: str = "doc_id", text: str = "text", most: int = BROADCAST_WORDS) -> DataFrame:
+def _probes(size: int) -> tuple[int, int]:
+    """Shifts that take two places of a table of ``size`` bits (a power of two) from a hash."""
+    return 0, 63 - size.bit_length()
+
+
+def bit_table(seeds: list[int]) -> tuple[str, int]:
+    """A JSON list of 64-bit words with two bits set for each seed, and its number of bits."""
+    size = 1 << max(10, (64 * len(seeds)).bit_length())
+    words_ = [0] * (size // 64)
+    for s in seeds:
+        for shift in _probes(size):
+            at = (s & (1 << 64) - 1) >> shift & size - 1
+            words_[at // 64] |= 1 << at % 64
+    return str([w - (1 << 64) if w >> 63 else w for w in words_]), size
+
+
+def _near_hits(text: Column, seeds: list[int], shapes, longest: int) -> Column:
+    """array<struct<at, seed, left, window>>: likely hits with the words that an item may lie beside.
+
+    ``left`` is where the window starts. The words are bound once per row.
+    """
+    table, size = bit_table(seeds)
+    bits = F.from_json(F.lit(table), "array<bigint>")
+
+    def likely(seed: Column) -> Column:
+        found = F.lit(True)
+        for shift in _probes(size):
+            at = F.shiftrightunsigned(seed, shift).bitwiseAND(F.lit(size - 1))
+            word = F.get(bits, F.shiftrightunsigned(at, 6).cast("int"))
+            found = found & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return found
+
+    def of_words(ws: Column) -> Column:
+        hits = F.filter(_seeds(ws, shapes, False), lambda s: likely(s["seed"]))
+        return F.transform(
+            hits,
+            lambda h: let(
+                F.greatest(h["at"] - longest, F.lit(0)),
+                lambda left: F.struct(h["at"].alias("at"), h["seed"].alias("seed"), left.alias("left"), F.slice(ws, left + 1, 2 * longest + 8).alias("window")),
+            ),
+        )
+
+    return let(words(text), of_words)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, doc_id: str = "doc_id", text: str = "text", most: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, item_id, n_item_words, n_matched (on the best diagonal), first_word of every overlap."""
     items = items_of(benchmark).select("item_id", "iw", F.size("iw").alias("n"))
-    size, least = items.agg(F.sum("n"), F.collect_set(F.when(F.col("n") < max(map(span, masks)), F.col("n")))).first()
+    longest, least = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < max(map(span, masks)), F.col("n")))).first()
     shapes = _shapes(sorted(least), masks)
-    seeds = _windows(items, "iw", shapes, True).select("item_id", "iw", F.col("at").alias("iat"), "seed")
-    read = docs.select(F.col(doc_id).alias("doc_id"), words(texts(docs, text)).alias("ws"))
-    if (size or 0) <= most:
-        hits = _windows(read, "ws", shapes, False).join(F.broadcast(seeds), "seed")
-        hits = hits.where(~_repeats(shapes)).withColumn("diagonal", F.col("at") - F.col("iat"))
+    seeds = items.select("item_id", "iw", F.explode(_seeds(F.col("iw"), shapes, True)).alias("s")).select("item_id", "iw", F.col("s.at").alias("iat"), "s.seed")
+    known = [r["seed"] for r in seeds.select("seed").distinct().limit(most + 1).collect()]
+    read = docs.select(F.col(doc_id).alias("doc_id"), texts(docs, text).alias("text"))
+    if len(known) <= most:
+        near = read.select("doc_id", F.explode(_near_hits(F.col("text"), sorted(known), shapes, longest or 0)).alias("h"))
+        hits = near.select("doc_id", "h.*").join(F.broadcast(seeds), "seed")
+        diagonal = F.col("at") - F.col("iat")
+        laid = hits.select("doc_id", "item_id", F.size("iw").alias("n"), "left", _overlap(F.col("window"), F.col("iw"), diagonal - F.col("left")).alias("o"))
     else:
-        # hits without texts are joined by shuffle, made distinct, and given their texts again
-        keyed = read.withColumn("key", F.struct(F.xxhash64("doc_id", "ws").alias("a"), F.xxhash64(F.lit(1), "ws", "doc_id").alias("b")))
-        bare = _windows(keyed, "ws", shapes, False).select("key", "at", "seed")
+        # bare hits are joined by shuffle, made distinct, and given their texts again
+        keyed = read.withColumn("key", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")))
+        bare = keyed.select("key", F.explode(let(words(F.col("text")), lambda ws: _seeds(ws, shapes, False))).alias("s")).select("key", "s.at", "s.seed")
         met = bare.join(seeds.select("item_id", "iat", "seed"), "seed").select("key", "item_id", (F.col("at") - F.col("iat")).alias("diagonal")).distinct()
         hits = met.join(items.select("item_id", "iw"), "item_id").join(keyed.dropDuplicates(["key"]), "key")
-    found = hits.select("doc_id", "item_id", F.size("iw").alias("n"), _overlap(F.col("ws"), F.col("iw"), F.col("diagonal")).alias("o"))
-    return found.where("o.matched IS NOT NULL").groupBy("doc_id", "item_id").agg(
-        F.max("n").cast("long").alias("n_item_words"), F.max("o.matched").alias("n_matched"), F.min("o.first_word").alias("first_word")
+        laid = hits.select(
+            "doc_id", "item_id", F.size("iw").alias("n"), F.lit(0).alias("left"),
+            let(words(F.col("text")), lambda ws: _overlap(ws, F.col("iw"), F.col("diagonal"))).alias("o"),
+        )
+    return laid.where("o.matched IS NOT NULL").groupBy("doc_id", "item_id").agg(
+        F.max("n").cast("long").alias("n_item_words"), F.max("o.matched").alias("n_matched"), F.min(F.col("o.first") + F.col("left")).alias("first_word")
     )
 
 
