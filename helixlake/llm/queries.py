@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, decontam, html, licenses, omh, pii, quality, secrets
+from helixlake.llm import bpe, chat, decontam, html, licenses, linedup, omh, pii, quality, secrets
 from helixlake.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,34 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = linedup.repeated(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return lines.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines")
+    )
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, p - 1 AS line_no, list_distinct(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS ws
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS r, len(ws) AS n FROM lines WHERE len(ws) > 0),
+tokens AS (SELECT r, n, unnest(ws) AS w FROM numbered),
+freq AS (SELECT w, count(*) AS f FROM tokens GROUP BY w),
+ranked AS (SELECT r, n, w, row_number() OVER (PARTITION BY r ORDER BY f, w) AS i FROM tokens JOIN freq USING (w)),
+prefix AS (SELECT * FROM ranked WHERE i <= n - ceil(4 * n / 5.0) + 1),
+pairs AS (SELECT DISTINCT x.r AS x, y.r AS y FROM prefix x JOIN prefix y ON x.w = y.w AND y.r < x.r AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+gone AS (SELECT DISTINCT x FROM pairs JOIN numbered a ON a.r = x JOIN numbered b ON b.r = y
+  WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+per AS (SELECT doc_id, count(*) AS n_removed, string_agg(line_no, ',' ORDER BY line_no) AS removed_lines FROM gone JOIN numbered ON r = x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = len(licenses.BASE)
@@ -184,6 +212,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
@@ -195,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op3_license_scan": OP3_SQL,
     "op4_secret_scan": OP4_SQL,
     "op7_chat_format": OP7_SQL,
