@@ -1,14 +1,482 @@
-"""The registered queries of the sequence-annotation operators and their SQL."""
+"""The registered queries of the sequence-annotation operators over the driver's tables, and their SQL.
+
+The tables hold no genomes, so texts stand for sequences, line items for intervals, events for
+ordered labels and embeddings for matrix rows. Every query runs over whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixlake.functions import attributes, numeric, sequence
+from helixlake.operators import labels, linalg, segments, windows
+from helixlake.plans import annotate
+from helixlake.sources import gff
+from helixlake.sources.config import Config
+from helixlake.sources.model import new_model
+
+WINDOW, OVERLAP = 200, 40
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _rounded(value: Column) -> Column:
+    """Six digits, never -0.0: sums differ between engines in their last bits."""
+    return F.round(value, 6) + F.lit(0.0)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _cells(vectors: DataFrame) -> DataFrame:
+    """(i, j, v)."""
+    return vectors.select(F.col("vec_id").alias("i"), F.posexplode("x").alias("j", "v"))
+
+
+def _weights(spark: SparkSession) -> DataFrame:
+    """A made 64 x 3 matrix."""
+    grid = spark.range(64).select(F.col("id").cast("int").alias("i"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    return grid.select("i", "j", (((F.col("i") * 7 + F.col("j") * 5) % 11 - 5) / 10.0).alias("v"))
+
+
+def complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return docs.select("doc_id", sequence.reverse_complement(F.col("text")).alias("rc"), sequence.complement(F.col("text")).alias("c"))
+
+
+COMPLEMENTS = """
+SELECT doc_id, reverse(c) AS rc, c FROM (
+  SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ATGCatgc', 'TACGTACG'), '[^ACGT]', 'N', 'g') AS c FROM documents)
+"""
+
+
+def base_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each text's signal, plain and weighted by position."""
+    rows = sequence.signal(_documents(spark, sf_dir), "text", "doc_id")
+    weighted = lambda c: F.sum(F.col(c) * F.col("pos"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im"), weighted("re").alias("re_pos"), weighted("im").alias("im_pos"))
+
+
+BASE_SIGNAL = """
+WITH b AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS pos FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, pos, CASE WHEN c IN ('A','a','T','t') THEN 1.0 WHEN c IN ('G','g','C','c') THEN -1.0 ELSE 0.0 END::DOUBLE AS re,
+  CASE WHEN c IN ('A','a','G','g') THEN 1.0 WHEN c IN ('T','t','C','c') THEN -1.0 ELSE 0.0 END::DOUBLE AS im FROM b)
+SELECT doc_id, count(*) AS n, sum(re) AS re, sum(im) AS im, sum(re * pos) AS re_pos, sum(im * pos) AS im_pos FROM s GROUP BY doc_id
+"""
+
+
+def _windows(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"))
+        return windows.windows(docs, "n", WINDOW, OVERLAP, mode).drop("n")
+
+    return query
+
+
+def _windows_sql(stop: str) -> str:
+    step = WINDOW - OVERLAP
+    return f"""
+SELECT doc_id, CAST(s // {step} - coalesce(skipped, 0) AS INTEGER) AS win_idx, CAST(s AS INTEGER) AS win_start,
+  CAST(least(n, s + {WINDOW}) AS INTEGER) AS win_end, CAST(least(n, s + {WINDOW}) - s AS INTEGER) AS win_len
+FROM (SELECT doc_id, n, unnest(range(0, n, {step})) AS s, 0 AS skipped FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) WHERE n > 0)
+WHERE least(n, s + {WINDOW}) - s >= 10 {stop}
+"""
+
+
+WINDOWS_PREDICT = _windows_sql("")
+WINDOWS_TRAIN = _windows_sql(f"AND n >= 10 AND (s = 0 OR s - {WINDOW - OVERLAP} + {WINDOW} < n)")
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as intervals of days: sid, tx, b, e."""
+    items = _table(spark, sf_dir, "lineitem")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))
+    return items.select(F.col("l_suppkey").alias("sid"), F.col("l_orderkey").alias("tx"), day.alias("b"), (day + (F.col("l_quantity") % 10).cast("int")).alias("e"))
+
+
+INTERVALS = """
+iv AS (SELECT l_suppkey AS sid, l_orderkey AS tx, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS b,
+  date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity % 10 AS INTEGER) AS e FROM lineitem),
+gaps AS (SELECT sid, tx, reached + 1 AS b, b - 1 AS e FROM (SELECT *, max(e) OVER (PARTITION BY sid, tx ORDER BY b, e
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM iv) WHERE b - 1 >= reached + 1)"""
+
+
+def intron_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.gaps(_intervals(spark, sf_dir), ["sid", "tx"])
+
+
+INTRON_GAPS = f"WITH {INTERVALS} SELECT sid, tx, CAST(b AS INTEGER) AS b, CAST(e AS INTEGER) AS e FROM gaps"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _intervals(spark, sf_dir)
+    exons = items.select("sid", "b", "e", F.lit(labels.EXON).alias("label"))
+    introns = labels.gaps(items, ["sid", "tx"]).select("sid", "b", "e", F.lit(labels.INTRON).alias("label"))
+    return exons.unionByName(introns)
+
+
+PAINTED = f"""
+WITH {INTERVALS},
+laid AS (SELECT sid, unnest(range(b, e + 1)) AS pos, 2 AS label FROM iv UNION ALL SELECT sid, unnest(range(b, e + 1)), 1 FROM gaps),
+painted AS (SELECT sid, pos, max(label) AS label FROM laid GROUP BY sid, pos)"""
+
+
+def painted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.paint(_labelled(spark, sf_dir), ["sid"])
+
+
+PAINTED_DAYS = f"{PAINTED} SELECT sid, CAST(pos AS INTEGER) AS pos, label FROM painted"
+
+
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_runs(_labelled(spark, sf_dir), ["sid"])
+
+
+LABEL_RUNS = f"""{PAINTED},
+marked AS (SELECT *, pos - row_number() OVER (PARTITION BY sid, label ORDER BY pos) AS island FROM painted)
+SELECT sid, label, CAST(min(pos) AS INTEGER) AS b, CAST(max(pos) AS INTEGER) AS e FROM marked GROUP BY sid, label, island
+"""
+
+
+def dense_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each label between a supplier's first and last day, those of none included."""
+    painted = labels.paint(_labelled(spark, sf_dir), ["sid"])
+    ends = _intervals(spark, sf_dir).groupBy("sid").agg(F.min("b").alias("lo"), F.max("e").alias("hi"))
+    line = ends.select("sid", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    full = line.join(painted, ["sid", "pos"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return full.groupBy("sid", "label").agg(F.count("*").alias("n"))
+
+
+DENSE_DAYS = f"""{PAINTED},
+line AS (SELECT sid, unnest(range(min(b), max(e) + 1)) AS pos FROM iv GROUP BY sid)
+SELECT sid, coalesce(label, 0) AS label, count(*) AS n FROM line LEFT JOIN painted USING (sid, pos) GROUP BY ALL
+"""
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return segments.runs(events, ["user_id"], "event_id", "event_type")
+
+
+EVENT_RUNS = """
+WITH m AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id)
+  - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events)
+SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM m GROUP BY user_id, event_type, island
+"""
+
+
+def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and parents read from attribute strings made of the events."""
+    made = F.concat(F.lit("XParent=no; ID=e"), F.col("event_id").cast("string"), F.lit(';Parent="'), F.col("event_type"), F.lit(' , u'), F.col("user_id").cast("string"), F.lit(',";k='), F.regexp_extract("props", r"(\d+)", 1), F.lit(" ;k=second"))
+    rows = _table(spark, sf_dir, "events").select("event_id", made.alias("a"))
+    return rows.select("event_id", attributes.attribute(F.col("a"), "k").alias("k"), attributes.attribute(F.col("a"), "none").isNull().alias("no_key"), F.explode(attributes.parents(F.col("a"))).alias("parent"))
+
+
+EVENT_ATTRIBUTES = r"""
+SELECT event_id, regexp_extract(props, '(\d+)', 1) AS k, true AS no_key, unnest([event_type, 'u' || user_id]) AS parent FROM events
+"""
+
+
+def convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavelet transform of the part names' base signal at scale 3, by the banded join."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.length("p_name").alias("n"), "p_name")
+    rows = sequence.signal(parts, "p_name", "p_partkey", "n")
+    re, im = numeric.morlet(F.col("k"), F.lit(3.0), F.lit(31))
+    kernel = spark.range(31).select(F.col("id").cast("int").alias("k")).select("k", re.alias("kre"), im.alias("kim"))
+    out = linalg.convolve(rows, kernel, 31, ["p_partkey"])
+    return out.select("p_partkey", "pos", _rounded(F.col("re")).alias("re"), _rounded(F.col("im")).alias("im"))
+
+
+CONVOLUTION = """
+WITH b AS (SELECT p_partkey, length(p_name) AS n, unnest(string_split(p_name, '')) AS c, unnest(range(0, length(p_name))) AS pos FROM part),
+s AS (SELECT p_partkey, n, pos, CASE WHEN c IN ('A','a','T','t') THEN 1 WHEN c IN ('G','g','C','c') THEN -1 ELSE 0 END AS re,
+  CASE WHEN c IN ('A','a','G','g') THEN 1 WHEN c IN ('T','t','C','c') THEN -1 ELSE 0 END AS im FROM b),
+w AS (SELECT k, exp(-t * t / 2) / sqrt(3 * pow(pi(), 0.25)) * cos(2 * pi() * t) AS kre, exp(-t * t / 2) / sqrt(3 * pow(pi(), 0.25)) * sin(2 * pi() * t) AS kim
+  FROM (SELECT k, (k - 15) / 3.0::DOUBLE AS t FROM range(0, 31) r(k)))
+SELECT p_partkey, CAST(pos + k - 15 AS INTEGER) AS pos, round(sum(re * kre - im * kim), 6) + 0.0::DOUBLE AS re, round(sum(re * kim + im * kre), 6) + 0.0::DOUBLE AS im
+FROM s, w WHERE pos + k - 15 BETWEEN 0 AND n - 1 GROUP BY p_partkey, pos + k - 15
+"""
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+def embedding_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _vectors(spark, sf_dir).select("vec_id", numeric.softmax(F.col("x")).alias("p"))
+    return made.select("vec_id", F.posexplode("p").alias("i", "p")).select("vec_id", "i", _rounded(F.col("p")).alias("p"))
+
+
+EMBEDDING_SOFTMAX = """
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+e AS (SELECT vec_id, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS x FROM c)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / sum(x) OVER (PARTITION BY vec_id), 6) + 0.0::DOUBLE AS p FROM e
+"""
+
+
+def embedding_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    x = [F.get("x", F.lit(k)) for k in range(3)]
+    return rows.select("vec_id", numeric.argmax(F.col("x")).alias("best"), numeric.class_of(*x).alias("best_of_three"))
+
+
+EMBEDDING_ARGMAX = """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best,
+  CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS INTEGER) AS best_of_three FROM embeddings
+"""
+
+LOGITS = """
+c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS k FROM embeddings),
+w AS (SELECT k, j, ((k * 7 + j * 5) % 11 - 5) / 10.0::DOUBLE AS v FROM range(0, 64) a(k), range(0, 3) b(j)),
+logits AS (SELECT vec_id, label, j, sum(c.v * w.v) AS v FROM c JOIN w USING (k) GROUP BY ALL)"""
+
+
+def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linalg.matmul(_cells(_vectors(spark, sf_dir)), _weights(spark))
+    return made.select(F.col("i").alias("vec_id"), "j", _rounded(F.col("v")).alias("v"))
+
+
+MATRIX_PRODUCT = f"WITH {LOGITS} SELECT vec_id, CAST(j AS INTEGER) AS j, round(v, 6) + 0.0::DOUBLE AS v FROM logits"
+
+
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    made = linalg.matmul(_cells(vectors), _weights(spark)).groupBy(F.col("i").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("z"))
+    scored = made.join(vectors.select("vec_id", "label"), "vec_id")
+    loss = -numeric.log_softmax_at(F.col("z"), F.col("label") % 3)
+    return scored.groupBy("label").agg(F.round(F.sum(loss) / F.count("*"), 5).alias("loss"), F.count("*").alias("n"))
+
+
+CROSS_ENTROPY = f"""
+WITH {LOGITS}, s AS (SELECT vec_id, label, j, v - max(v) OVER w AS z, ln(sum(exp(v)) OVER w) - max(v) OVER w AS l FROM logits WINDOW w AS (PARTITION BY vec_id))
+SELECT label, round(sum(l - z) / count(*), 5) AS loss, count(*) AS n FROM s WHERE j = label % 3 GROUP BY label
+"""
+
+
+def label_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _vectors(spark, sf_dir).select("label", F.posexplode("x").alias("i", "v"))
+    return flat.groupBy("label", "i").agg(_rounded(F.avg("v")).alias("mean"), _rounded(F.var_pop("v")).alias("variance"))
+
+
+LABEL_MOMENTS = """
+WITH c AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT label, CAST(i AS INTEGER) AS i, round(avg(v), 6) + 0.0::DOUBLE AS mean, round(var_pop(v), 6) + 0.0::DOUBLE AS variance FROM c GROUP BY label, i
+"""
+
+
+def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _vectors(spark, sf_dir).select("vec_id", numeric.layer_norm(F.col("x")).alias("y"))
+    return made.select("vec_id", F.posexplode("y").alias("i", "y")).select("vec_id", "i", _rounded(F.col("y")).alias("y"))
+
+
+LAYER_NORM = """
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-6), 6) + 0.0::DOUBLE AS y FROM c WINDOW w AS (PARTITION BY vec_id)
+"""
+
+ATTENTION_WINDOW = 8
+
+
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self attention inside windows of eight vectors."""
+    cells = _cells(_vectors(spark, sf_dir)).select(F.floor(F.col("i") / ATTENTION_WINDOW).alias("w"), F.col("i").alias("t"), F.col("j").alias("d"), "v")
+    made = linalg.self_attention(cells, cells, cells, ["w"], 64)
+    return made.select(F.col("t").alias("vec_id"), "d", _rounded(F.col("v")).alias("v"))
+
+
+ATTENTION = f"""
+WITH c AS (SELECT vec_id AS t, vec_id // {ATTENTION_WINDOW} AS w, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
+s AS (SELECT a.w, a.t, b.t AS u, sum(a.v * b.v) / 8.0 AS z FROM c a JOIN c b ON a.w = b.w AND a.d = b.d GROUP BY ALL),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY t)) AS x FROM s),
+p AS (SELECT w, t, u, x / sum(x) OVER (PARTITION BY t) AS p FROM e)
+SELECT p.t AS vec_id, CAST(d AS INTEGER) AS d, round(sum(p * v), 6) + 0.0::DOUBLE AS v FROM p JOIN c ON p.w = c.w AND p.u = c.t GROUP BY p.t, d
+"""
+
+
+def bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    rows = events.select(F.lit(0).alias("ord"), F.col("user_id").cast("string").alias("seqid"), F.col("event_id").alias("pos"), F.col("value").alias("p2"))
+    return gff.bedgraph_lines(rows).select(F.col("pos").alias("event_id"), F.col("value").alias("line"))
+
+
+BEDGRAPH = r"SELECT event_id, printf('%s	%d	%d	%.4f', user_id::VARCHAR, event_id, event_id + 1, value) AS line FROM events"
+
+
+def overlap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over overlapping windows of values that differ by window, summed up by text."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"))
+    wins = windows.windows(docs, "n", WINDOW, OVERLAP, "predict")
+    flat = wins.select("doc_id", "win_start", F.explode(F.sequence("win_start", F.col("win_end") - 1)).alias("pos"))
+    p = lambda k: ((F.col("pos") * k + F.col("win_start")) % 17) / 16.0
+    means = segments.overlap_mean(flat.select("doc_id", "pos", p(3).alias("p0"), p(5).alias("p1"), p(7).alias("p2")), ["doc_id"])
+    best = numeric.class_of(F.col("p0"), F.col("p1"), F.col("p2"))
+    return means.groupBy("doc_id").agg(F.round(F.sum("p0"), 4).alias("p0"), F.round(F.sum("p2"), 4).alias("p2"), F.sum("n").alias("n"), F.sum(F.when(best == 0, 1).otherwise(0)).alias("n_class0"))
+
+
+OVERLAP_MEANS = f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, n, unnest(range(0, n, {WINDOW - OVERLAP})) AS s FROM d),
+f AS (SELECT doc_id, s, unnest(range(s, least(n, s + {WINDOW}))) AS pos FROM w WHERE least(n, s + {WINDOW}) - s >= 10),
+m AS (SELECT doc_id, pos, avg(((pos * 3 + s) % 17) / 16.0::DOUBLE) AS p0, avg(((pos * 5 + s) % 17) / 16.0::DOUBLE) AS p1, avg(((pos * 7 + s) % 17) / 16.0::DOUBLE) AS p2, count(*) AS n
+  FROM f GROUP BY doc_id, pos)
+SELECT doc_id, round(sum(p0), 4) AS p0, round(sum(p2), 4) AS p2, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN p1 > p0 OR p2 > greatest(p0, p1) THEN 0 ELSE 1 END) AS BIGINT) AS n_class0
+FROM m GROUP BY doc_id
+"""
+
+
+def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = numeric.position_table(spark, 500, 64)
+    return made.select("t", "i", _rounded(F.col("v")).alias("v"))
+
+
+POSITION_CODES = """
+SELECT t, CAST(i AS INTEGER) AS i, round(CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) + 0.0::DOUBLE AS v
+FROM (SELECT t, i, t / pow(10000.0, 2 * (i // 2) / 64.0) AS a FROM range(0, 500) x(t), range(0, 64) y(i))
+"""
+
+
+def strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strands for a dot, and positions read from the other end on the reverse one."""
+    mark = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "N", ".").otherwise("-")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mark.alias("strand"), F.col("l_quantity").cast("int").alias("length"))
+    both = labels.stranded(rows).withColumn("pos", F.pmod(F.col("l_orderkey"), F.col("length")).cast("int"))
+    reverse = labels.flipped(both.where("strand = '-'"))
+    return both.where("strand = '+'").unionByName(reverse).select("l_orderkey", "l_linenumber", "strand", "pos")
+
+
+STRANDS = """
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN ['+'] WHEN 'N' THEN ['+', '-'] ELSE ['-'] END AS ss, CAST(l_quantity AS INTEGER) AS n FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, unnest(ss) AS strand, n, l_orderkey % n AS p FROM r)
+SELECT l_orderkey, l_linenumber, strand, CAST(CASE strand WHEN '-' THEN n - 1 - p ELSE p END AS INTEGER) AS pos FROM s
+"""
+
+
+def fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("k", "x"))
+    made = linalg.dft(samples, 64, ["vec_id"])
+    return made.select("vec_id", "f", F.round("re", 5).alias("re"), F.round("im", 5).alias("im")).select("vec_id", "f", (F.col("re") + 0.0).alias("re"), (F.col("im") + 0.0).alias("im"))
+
+
+FOURIER = """
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS k FROM embeddings)
+SELECT vec_id, CAST(f AS INTEGER) AS f, round(sum(x * cos(2 * pi() * k * f / 64.0)), 5) + 0.0::DOUBLE AS re, round(sum(-x * sin(2 * pi() * k * f / 64.0)), 5) + 0.0::DOUBLE AS im
+FROM c, range(0, 64) r(f) GROUP BY vec_id, f
+"""
+
+
+def integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next power of two and reversed bits of each part's size."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return rows.select("p_partkey", numeric.next_power_of_two(F.col("p_size")).cast("int").alias("power"), numeric.bit_reversed(F.col("p_size") % 64, 6).alias("reversed"), numeric.wavelet_length(F.col("p_size") / 4, F.lit(100)).alias("samples"))
+
+
+INTEGERS = """
+SELECT p_partkey, CAST(pow(2, ceil(log2(p_size))) AS INTEGER) AS power,
+  CAST(list_sum(list_transform(range(0, 6), lambda b: ((p_size % 64) >> b & 1) << (5 - b))) AS BIGINT) AS reversed,
+  CAST(n + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS samples
+FROM (SELECT *, CAST(least(greatest(floor(p_size / 4.0 * 10), 1), 100) AS INTEGER) AS n FROM part)
+"""
+
+
+def wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bank = numeric.wavelet_bank(spark, [2.0, 4.0, 8.0, 16.0, 32.0], 500)
+    return bank.select("scale_idx", "length", "k", _rounded(F.col("re")).alias("re"), _rounded(F.col("im")).alias("im"))
+
+
+WAVELETS = """
+WITH s AS (SELECT * FROM (VALUES (0, 2.0::DOUBLE, 21), (1, 4.0, 41), (2, 8.0, 81), (3, 16.0, 161), (4, 32.0, 321)) v(scale_idx, scale, length)),
+g AS (SELECT *, unnest(range(0, length)) AS k FROM s), t AS (SELECT *, (k - length // 2) / scale AS t FROM g)
+SELECT scale_idx, length, CAST(k AS INTEGER) AS k, round(exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * cos(2 * pi() * t), 6) + 0.0::DOUBLE AS re,
+  round(exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * sin(2 * pi() * t), 6) + 0.0::DOUBLE AS im FROM t
+"""
+
+TINY = Config(d_model=16, num_encoder_layers=1, num_heads=2, d_ff=16, cwt_scales=(2.0, 4.0), window_size=WINDOW, window_overlap=OVERLAP, num_epochs=1, batch_size=512, dropout_rate=0.0)
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part")
+    return parts.select(F.col("p_partkey").cast("int").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("seq")).withColumn("length", F.length("seq"))
+
+
+def predict_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole prediction, with seeded weights, over the parts' descriptions as sequences."""
+    return segments.segments(annotate.predictions(_contigs(spark, sf_dir), new_model(TINY, 7), TINY))
+
+
+def train_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One epoch over the parts' descriptions, with an exon from each one's size on."""
+    contigs = _contigs(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part")
+    features = parts.select(F.col("p_partkey").cast("string").alias("seqid"), F.lit("exon").alias("feature"), (F.col("p_size") % 10 + 1).alias("start"), (F.col("p_size") % 10 + 9).alias("end"), F.lit(".").alias("strand"), F.lit("Parent=t").alias("attributes"))
+    wins = annotate.training_windows(contigs, features, TINY)
+    return annotate.fit(wins, TINY)[1]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Intervals to painted labels to segments."""
+    return label_runs(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q01_complements": complements,
+    "q02_base_signal": base_signal,
+    "q03_windows_predict": _windows("predict"),
+    "q04_windows_train": _windows("train"),
+    "q05_intron_gaps": intron_gaps,
+    "q06_painted_days": painted_days,
+    "q07_event_runs": event_runs,
+    "q08_event_attributes": event_attributes,
+    "q09_convolution": convolution,
+    "q10_embedding_softmax": embedding_softmax,
+    "q11_embedding_argmax": embedding_argmax,
+    "q12_matrix_product": matrix_product,
+    "q13_label_moments": label_moments,
+    "q14_bedgraph": bedgraph,
+    "q15_overlap_means": overlap_means,
+    "q16_cross_entropy": cross_entropy,
+    "q17_dense_days": dense_days,
+    "q18_position_codes": position_codes,
+    "q19_layer_norm": layer_norm,
+    "q20_attention": attention,
+    "q21_strands": strands,
+    "q22_fourier": fourier,
+    "q23_label_runs": label_runs,
+    "q24_integers": integers,
+    "q25_wavelets": wavelets,
+    "q26_predict_segments": predict_segments,
+    "q27_train_losses": train_losses,
+}
+
+ORACLES: dict[str, str] = {
+    "q01_complements": COMPLEMENTS,
+    "q02_base_signal": BASE_SIGNAL,
+    "q03_windows_predict": WINDOWS_PREDICT,
+    "q04_windows_train": WINDOWS_TRAIN,
+    "q05_intron_gaps": INTRON_GAPS,
+    "q06_painted_days": PAINTED_DAYS,
+    "q07_event_runs": EVENT_RUNS,
+    "q08_event_attributes": EVENT_ATTRIBUTES,
+    "q09_convolution": CONVOLUTION,
+    "q10_embedding_softmax": EMBEDDING_SOFTMAX,
+    "q11_embedding_argmax": EMBEDDING_ARGMAX,
+    "q12_matrix_product": MATRIX_PRODUCT,
+    "q13_label_moments": LABEL_MOMENTS,
+    "q14_bedgraph": BEDGRAPH,
+    "q15_overlap_means": OVERLAP_MEANS,
+    "q16_cross_entropy": CROSS_ENTROPY,
+    "q17_dense_days": DENSE_DAYS,
+    "q18_position_codes": POSITION_CODES,
+    "q19_layer_norm": LAYER_NORM,
+    "q20_attention": ATTENTION,
+    "q21_strands": STRANDS,
+    "q22_fourier": FOURIER,
+    "q23_label_runs": LABEL_RUNS,
+    "q24_integers": INTEGERS,
+    "q25_wavelets": WAVELETS,
+}
