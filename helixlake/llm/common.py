@@ -8,18 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.functions.binding import let
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["discard", "let", "match_spans", "positions", "running_sums", "stored", "table", "texts"]
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row.
 
-    A lambda over a one-element array binds the value; without it the optimizer may inline the
-    expression into an inner lambda, where it would be computed again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def positions(first: Column, last: Column) -> Column:
