@@ -53,16 +53,19 @@ def write_gff(segments: DataFrame, path: str, source: str = "helixlake", id_pref
 
 
 def c_rounded(p, digits: int = 4):
-    """printf's fixed-point form: the exact binary value decides, halves go to the even digit.
+    """printf's fixed-point form: the exact binary value decides, exact halves go to the even digit.
 
-    ``format_string`` rounds the shortest decimal form half up, which differs at ties. A decimal of 38
-    digits holds the exact value of a double near 1 to far beyond the digit that decides.
+    ``format_string`` rounds the shortest decimal form half up, which differs at ties. Here the error of
+    the product with the power of ten is computed exactly, by splitting the value in two halves of bits.
     """
-    unit = 10**digits
-    scaled = p * F.lit(float(unit))
+    unit = F.lit(float(10**digits))
+    scaled = p * unit
+    high = p * 134217729.0 - (p * 134217729.0 - p)
+    error = (high * unit - scaled) + (p - high) * unit
     low = F.floor(scaled)
-    exact = F.bround(p.cast("double"), digits)
-    return F.when(scaled - low == 0.5, (low + low % 2) / F.lit(float(unit))).otherwise(exact)
+    rest = scaled - low
+    up = (rest > 0.5) | (rest == 0.5) & ((error > 0) | (error == 0) & (low % 2 == 1))
+    return (low + up.cast("int")) / unit
 
 
 def bedgraph_lines(predictions: DataFrame) -> DataFrame:
