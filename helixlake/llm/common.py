@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions.binding import let
 
-__all__ = ["discard", "let", "match_spans", "positions", "running_sums", "stored", "table", "texts"]
+__all__ = ["discard", "let", "match_spans", "positions", "release", "running_sums", "stored", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,13 @@ def discard(df: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are over: it does so when the driver's garbage
+    collection finds them unused, which on a driver with a roomy heap may be long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def running_sums(values: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array<bigint>, in blocks, so that long arrays stay cheap."""
     none = F.array().cast("array<bigint>")

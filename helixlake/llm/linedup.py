@@ -1,21 +1,21 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words; a line goes if an earlier one, by (document id, line number), has a
-Jaccard similarity of 0.8 or more to it, kept or not. Equal lines are one class. The words of
-a set are ordered by rarity (frequency in the corpus, counted over all lines in a table of fixed size;
-then longer words first, then by hash); two similar sets share a word among their first ones (prefix
-filter), have like sizes (length filter), and can still reach the overlap from where that word stands
-(positional filter). A 64-bit map of each set rejects most chance pairs: sets differ in at least as
-many words as their maps differ in bits. What is left is verified on the whole sets.
+Jaccard similarity of 0.8 or more to it, kept or not. Equal lines are one class. The words of a set
+are ordered by rarity (frequency in the corpus, counted over all lines in a table of fixed size, then
+by hash); two similar sets share a word among their first ones (prefix filter), have like sizes
+(length filter), and can still reach the overlap from where that word stands (positional filter). A
+64-bit map of each set rejects most chance pairs: sets differ in at least as many words as their maps
+differ in bits. What is left is verified on the whole sets.
 
 Every line needs one earlier match only. Lines of one word's bucket are paired out while the bucket is
 small; in a large one, as a group of many near copies makes, they first meet its earliest line, and
-only those that no first candidate settles meet all earlier lines. Built-in functions only.
+only those that nothing settles meet all earlier lines of it. Built-in functions only.
 
 Defined results: a null text has no lines; lines without words are never removed; rows that repeat an
-id and text count as one and share their fate; null ids sort first. Sets are held as hashes: of 56 bits
-for order and candidates, of 32 bits in the verification, where two different words of a pair of lines
-agree with a probability of 1e-6, which matters at the threshold only.
+id and text count as one and share their fate; null ids sort first. Words are held as hashes: of 44
+bits for order and candidates, where words that agree by chance only add candidates, and of 64 bits
+in the verification.
 """
 
 from __future__ import annotations
@@ -23,19 +23,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import discard, let, stored, texts
+from helixlake.llm.common import discard, let, release, stored, texts
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Places of the frequency table; it is counted by Spark and handed to the rows as one literal.
-TABLE = 1 << 16
+TABLE = 1 << 18
 #: Lines of a word's bucket that are paired out at once.
 BUCKET = 400
+#: Up to so many lines (8 bytes each) are named to a scan by broadcast; more are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
-INTS, LONGS = "array<int>", "array<bigint>"
+INTS = "array<int>"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
+    """Words of a line; blanks alone need no regex."""
+    split = F.when(F.rlike(line, F.lit(r"[\x09\x0B-\x0D]")), F.split(line, SPACES)).otherwise(F.split(line, " "))
+    return F.array_remove(split, "")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -45,132 +49,187 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return flat.where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def rarity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
-    """Quarter-octave frequencies of the words of all lines by hash, as a JSON list of TABLE numbers."""
-    words = docs.select(F.explode(F.split(texts(docs, text), SPACES)).alias("w"))
-    placed = words.select(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
-    counted = placed.groupBy("at").agg(F.count("*").alias("n"))
-    found = dict(counted.select("at", F.floor(F.log2("n") * 4).cast("int")).collect())
-    return str([min(127, found.get(k, 0)) for k in range(TABLE)])
+def rarity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[str, int]:
+    """Quarter-octave frequencies of the words of all lines by hash, as a JSON list of TABLE numbers; and
+    the greatest line number."""
+    words = _lines(docs, doc_id, text).select("line_no", F.explode(_words(F.col("line"))).alias("w"))
+    placed = words.select("line_no", F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
+    counted = placed.groupBy("at").agg(F.count("*").alias("n"), F.max("line_no").alias("most"))
+    rows = counted.select("at", F.floor(F.log2("n") * 4).cast("int").alias("rank"), "most").collect()
+    found = {r["at"]: r["rank"] for r in rows}
+    table = "[" + ",".join(str(min(127, found.get(k, 0))) for k in range(TABLE)) + "]"
+    return table, max((r["most"] for r in rows), default=0)
 
 
 def ordered(line: Column, table: str) -> Column:
-    """The set of a line's words as hashes, rarest first: 7 bits of frequency, 6 of length, 50 of hash."""
+    """The set of a line's words, rarest first: 7 bits of frequency, 44 of hash."""
     counts = F.from_json(F.lit(table), INTS)
 
-    def key(w: Column) -> Column:
-        def of_hash(h: Column) -> Column:
-            rank = F.get(counts, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")).cast("bigint")
-            length = F.lit(63).cast("bigint") - F.least(F.length(w), F.lit(63))
-            return F.shiftleft(rank, 56).bitwiseOR(F.shiftleft(length, 50)).bitwiseOR(F.shiftrightunsigned(h, 14))
+    def key(h: Column) -> Column:
+        rank = F.get(counts, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")).cast("bigint")
+        return F.shiftleft(rank, 44).bitwiseOR(F.shiftrightunsigned(h, 20))
 
-        return let(F.xxhash64(w), of_hash)
-
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
 
 
 def _bits(keys: Column) -> Column:
     """A 64-bit map of a set."""
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+class Places:
+    """Places of lines, (document id, line number), as numbers in the same order."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, last_line: int):
+        least, most = docs.agg(F.min(doc_id), F.max(doc_id)).first()
+        self.shift = max(1, last_line.bit_length())
+        self.least = least
+        self.dense = None
+        whole = dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint")
+        if not whole or least is not None and (most - least + 2).bit_length() + self.shift > 62:
+            self.dense = self._numbered(docs.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+
+    @staticmethod
+    def _numbered(ids: DataFrame) -> DataFrame:
+        """(doc_id, no): ids too far apart to be packed, numbered in order."""
+        rough = stored(ids.orderBy("doc_id").withColumn("no", F.monotonically_increasing_id()), "ids")
+        part = F.shiftrightunsigned("no", 33)
+        counts, start, before = dict(rough.groupBy(part.alias("p")).count().collect()), {}, 0
+        for p in sorted(counts):
+            start[p], before = before, before + counts[p]
+        offsets = F.from_json(F.lit("[" + ",".join(str(start.get(p, 0)) for p in range(max(start, default=0) + 1)) + "]"), "array<bigint>")
+        return rough.select("doc_id", (F.get(offsets, part.cast("int")) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))).alias("no"))
+
+    def of(self, lines: DataFrame) -> DataFrame:
+        """``lines`` with ``place``."""
+        if self.dense is not None:
+            joined = lines.join(self.dense, "doc_id", "left")
+            return joined.withColumn("place", self._packed(F.col("no") + 1)).drop("no")
+        return lines.withColumn("place", self._packed(F.col("doc_id").cast("bigint") - F.lit(self.least) + 1))
+
+    def _packed(self, number: Column) -> Column:
+        return F.shiftleft(F.coalesce(number, F.lit(0).cast("bigint")), self.shift).bitwiseOR(F.col("line_no").cast("bigint"))
 
 
 def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")]
 
 
-def classes(docs: DataFrame, table: str, doc_id: str, text: str) -> DataFrame:
+def classes(lines: DataFrame, table: str) -> DataFrame:
     """A row per line text: a, b (its hash), first (its earliest place), again (whether it has more
     places), n, bits, prefix (of its set of words)."""
-    keyed = _lines(docs, doc_id, text).select("doc_id", "line_no", *_identity(), ordered(F.col("line"), table).alias("keys"))
+    keyed = lines.select("place", *_identity(), ordered(F.col("line"), table).alias("keys"))
 
     def shown(keys: Column) -> Column:
         n = F.size(keys)
-        return F.struct(
-            n.alias("n"),
-            _bits(keys).alias("bits"),
-            F.slice(keys, 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"),
-        )
-
-    rows = keyed.select("doc_id", "line_no", "a", "b", let(F.col("keys"), shown).alias("s")).select("doc_id", "line_no", "a", "b", "s.*")
-    place = F.struct("doc_id", "line_no")
+        return F.struct(n.alias("n"), _bits(keys).alias("bits"), F.slice(keys, 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"))
+
+    rows = keyed.select("place", "a", "b", let(F.col("keys"), shown).alias("s")).select("place", "a", "b", "s.*")
     return rows.groupBy("a", "b").agg(
-        F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("again"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+        F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("again"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
 
 
 def _alike(x: str, y: str) -> Column:
     """The length, positional and map filters for rows x and y of one word, in integers: a Jaccard
     similarity of 4/5 takes an overlap of 4/9 of both sizes together."""
-    total = F.col(f"{x}.n") + F.col(f"{y}.n")
-    fewer, more = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    reach = 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.i") - 1, F.col(f"{y}.n") - F.col(f"{y}.i") - 1)
+    nx, ny, ix, iy = (f(F.col(f"{side}.ni")) for f in (lambda v: F.shiftright(v, 32), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))) for side in (x, y))
+    total = nx + ny
+    reach = 1 + F.least(nx - ix - 1, ny - iy - 1)
     apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
-    return (5 * fewer >= 4 * more) & (9 * reach >= 4 * total) & (apart <= total - 2 * F.ceil(4 * total / 9))
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * reach >= 4 * total) & (9 * (total - apart) >= 8 * total)
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """key (word), s: first, n, i (place of the word in the order), bits."""
-    flat = reps.select("first", "n", "bits", F.posexplode("prefix").alias("i", "key"))
-    return flat.select("key", F.struct("first", "n", "i", "bits").alias("s"))
-
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y), y earlier, of lines to verify; and the rows of the large buckets: key, s (id, ni, bits).
 
-def _similar(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """x of the pairs (x, y) of places whose lines are similar."""
-    tokens = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
-    need = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
-    all_lines = _lines(docs, doc_id, text).select(F.struct("doc_id", "line_no").alias("place"), tokens.alias("t"))
-    once = stored(all_lines.join(need, "place", "left_semi"), "line-sets")
-    left = pairs.join(once.select(F.col("place").alias("x"), F.col("t").alias("tx")), "x")
-    both = left.join(once.select(F.col("place").alias("y"), F.col("t").alias("ty")), "y")
+    Both come from one pass over the prefixes, dealt by word once.
+    """
+    flat = reps.select("first", "n", "bits", F.posexplode("prefix").alias("i", "key"))
+    ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
+    # the filter stands in all three uses, as joins would add it to theirs: one exchange serves all
+    rows = flat.select("key", F.col("first").alias("id"), ni.alias("ni"), "bits").where("key IS NOT NULL")
+    bucket = Window.partitionBy("key")
+    s = F.struct("id", "ni", "bits")
+    lead = [F.min("id").over(bucket), F.min_by("ni", "id").over(bucket), F.min_by("bits", "id").over(bucket)]
+    met = rows.withColumns({"size": F.count("*").over(bucket)} | dict(zip(("lead_id", "lead_ni", "lead_bits"), lead, strict=True)))
+    small = met.where(F.col("size").between(2, BUCKET))
+    x = small.select("key", s.alias("x"))
+    y = small.select(F.col("key").alias("k"), s.alias("y"))
+    near = x.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
+    big = met.where(F.col("size") > BUCKET).select("key", s.alias("x"), F.struct(F.col("lead_id").alias("id"), F.col("lead_ni").alias("ni"), F.col("lead_bits").alias("bits")).alias("y"))
+    none = F.lit(None).cast("struct<id:bigint,ni:bigint,bits:bigint>")
+    pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.lit(None).cast("bigint").alias("key"), none.alias("s")]
+    # a row of a large bucket is kept, with the pair that it makes with the earliest line, if any
+    led = F.when((F.col("y.id") < F.col("x.id")) & _alike("x", "y"), F.col("y.id"))
+    starred = big.select(F.col("x.id").alias("x"), led.alias("y"), "key", F.col("x").alias("s"))
+    found = stored(near.select(*pair).unionByName(starred), "line-candidates")
+    return found.where("y IS NOT NULL").select("x", "y").distinct(), found.where("key IS NOT NULL").select("key", "s")
+
+
+def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """x of the pairs (x, y) of places whose lines are similar.
+
+    Pairs first meet with maps of 256 bits, a tenth of a line's set, and few go on to the sets.
+    """
+    pairs = stored(pairs, "line-pairs")
+    need = stored(pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct(), "line-places")
+    few = F.broadcast(need) if need.count() <= BROADCAST_LINES else need
+    named = lines.select("place", "line").join(few, "place", "left_semi").dropDuplicates(["place"])
+    tokens = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = stored(named.select("place", tokens.alias("t")), "line-sets")
+
+    def part(k: int) -> Column:
+        return _bits(F.transform(F.filter("t", lambda h: h.bitwiseAND(F.lit(3)) == k), lambda h: F.shiftright(h, 2)))
+
+    maps = stored(sets.select("place", F.struct(F.size("t").alias("n"), *[part(k).alias(f"m{k}") for k in range(4)]).alias("m")), "line-maps")
+    mapped = pairs.join(maps.select(F.col("place").alias("x"), F.col("m").alias("mx")), "x").join(maps.select(F.col("place").alias("y"), F.col("m").alias("my")), "y")
+    total = F.col("mx.n") + F.col("my.n")
+    apart = sum(F.bit_count(F.col(f"mx.m{k}").bitwiseXOR(F.col(f"my.m{k}"))) for k in range(4))
+    likely = stored(mapped.where(9 * (total - apart) >= 8 * total).select("x", "y"), "likely-pairs")
+    left = likely.join(sets.select(F.col("place").alias("x"), F.col("t").alias("tx")), "x")
+    both = left.join(sets.select(F.col("place").alias("y"), F.col("t").alias("ty")), "y")
     shared = F.size(F.array_intersect("tx", "ty"))
     found = stored(both.where(9 * shared >= 4 * (F.size("tx") + F.size("ty"))).select("x").distinct(), "similar")
-    discard(once)
+    for old in (need, sets, maps, likely, pairs):
+        discard(old)
+    release(lines.sparkSession)
     return found
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no) of every line to remove."""
-    table = rarity(docs, doc_id, text)
-    reps = stored(classes(docs, table, doc_id, text), "line-classes")
-    rows = _prefixes(reps)
-    bucket = Window.partitionBy("key")
-    met = rows.withColumns({"size": F.count("*").over(bucket), "lead": F.min("s").over(bucket)}).where("size > 1")
-    small = met.where(F.col("size") <= BUCKET).select("key", "s")
-    x, y = small.select("key", F.col("s").alias("x")), small.select("key", F.col("s").alias("y"))
-    near = x.join(y, "key").where("y.first < x.first").where(_alike("x", "y"))
-    big = met.where(F.col("size") > BUCKET).select(F.col("s").alias("x"), F.col("lead").alias("y")).where("y.first < x.first")
-    starred = big.where(_alike("x", "y"))
-    first = near.select("x.first", F.col("y.first").alias("y")).unionByName(starred.select("x.first", F.col("y.first").alias("y")))
-    # of a line's candidates, the earliest and the latest are tried before the others
-    few = first.groupBy(F.col("first").alias("x")).agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    few = stored(few, "line-candidates")
-    tried = few.select("x", F.explode(F.array_distinct(F.array("y0", "y1"))).alias("y"))
-    found = _similar(tried, docs, doc_id, text)
-    # lines that these don't settle meet all earlier ones
-    open_ = few.select("x").unionByName(big.select(F.col("x.first").alias("x"))).distinct()
-    open_ = stored(open_.join(found, "x", "left_anti"), "open-lines")
-    if not open_.isEmpty():
-        late = rows.join(open_.select(F.col("x").alias("s_first")), F.col("s.first") == F.col("s_first"), "left_semi").select("key", F.col("s").alias("x"))
-        rest = late.join(rows.select("key", F.col("s").alias("y")), "key").where("y.first < x.first").where(_alike("x", "y"))
-        pairs = stored(rest.select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct(), "line-pairs")
-        found = found.unionByName(_similar(pairs, docs, doc_id, text))
-    gone = found.withColumn("gone", F.lit(True))
-    fates = reps.join(gone, reps["first"] == gone["x"], "left").where("again OR gone")
+    table, last_line = rarity(docs, doc_id, text)
+    lines = Places(docs, doc_id, last_line).of(_lines(docs, doc_id, text))
+    reps = stored(classes(lines, table), "line-classes")
+    release(docs.sparkSession)
+    pairs, big = _candidates(reps)
+    release(docs.sparkSession)
+    found = _similar(pairs, lines)
+    # lines of large buckets that no match settled meet all earlier lines there
+    late = big.join(found.select(F.col("x").alias("settled")), F.col("s.id") == F.col("settled"), "left_anti")
+    late = stored(late.select("key", F.col("s").alias("x")), "open-lines")
+    if not late.isEmpty():
+        y = big.select(F.col("key").alias("k"), F.col("s").alias("y"))
+        rest = late.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
+        found = found.unionByName(_similar(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), lines))
+    gone = found.distinct().withColumn("gone", F.lit(True))
+    fates = reps.select("a", "b", "first", "again").join(gone, F.col("first") == F.col("x"), "left").where("again OR gone")
     fates = stored(fates.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
-    placed = _lines(docs, doc_id, text).select("doc_id", "line_no", *_identity())
-    here = F.struct("doc_id", "line_no")
-    return placed.join(fates, ["a", "b"]).where(F.col("gone") | ~here.eqNullSafe(F.col("first"))).select("doc_id", "line_no").distinct()
+    placed = lines.select("doc_id", "line_no", "place", *_identity())
+    return placed.join(fates, ["a", "b"]).where("gone OR place > first").select("doc_id", "line_no").distinct()
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines cut from their texts, and ``removed`` (numbers of the lines cut)."""
     gone = repeated(docs, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), "removed"), "removed-lines")
+    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
     marked = docs.join(gone.hint("shuffle_hash"), docs[doc_id].eqNullSafe(gone["_id"]), "left").drop("_id")
-    none = F.coalesce("removed", F.array().cast(INTS))
+    none = F.coalesce("_removed", F.array().cast(INTS))
 
     def cut(gone: Column) -> Column:
         numbered = F.transform(F.split(F.col(text), "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
         return F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(gone, s["k"])), lambda s: s["line"]), "\n")
 
-    return marked.withColumns({text: F.when(F.size(none) > 0, let(none, cut)).otherwise(F.col(text)), "removed": none})
+    return marked.withColumns({text: F.when(F.size(none) > 0, let(none, cut)).otherwise(F.col(text)), "removed": none}).drop("_removed")
