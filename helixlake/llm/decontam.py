@@ -127,7 +127,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, doc_id: str = "
     known = [r["seed"] for r in seeds.select("seed").distinct().limit(most + 1).collect()]
     read = docs.select(F.col(doc_id).alias("doc_id"), texts(docs, text).alias("text"))
     if len(known) <= most:
-        near = read.select("doc_id", F.explode(_near_hits(F.col("text"), sorted(known), shapes, longest or 0)).alias("h"))
+        near = read.select("doc_id", F.explode_outer(_near_hits(F.col("text"), sorted(known), shapes, longest or 0)).alias("h")).where("h IS NOT NULL")
         hits = near.select("doc_id", "h.*").join(F.broadcast(seeds), "seed")
         diagonal = F.col("at") - F.col("iat")
         laid = hits.select("doc_id", "item_id", F.size("iw").alias("n"), "left", _overlap(F.col("window"), F.col("iw"), diagonal - F.col("left")).alias("o"))
