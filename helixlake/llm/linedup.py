@@ -45,16 +45,21 @@ def _words(line: Column) -> Column:
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, line_no, line of every line with a word."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.split(texts(docs, text), "\n").alias("lines"))
-    flat = rows.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    # the outer form, as the plain one has its input computed twice, to filter out what is empty
+    flat = rows.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line"))
     return flat.where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def rarity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[str, int]:
     """Quarter-octave frequencies of the words of all lines by hash, as a JSON list of TABLE numbers; and
-    the greatest line number."""
-    words = _lines(docs, doc_id, text).select("line_no", F.explode(_words(F.col("line"))).alias("w"))
-    placed = words.select("line_no", F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
-    counted = placed.groupBy("at").agg(F.count("*").alias("n"), F.max("line_no").alias("most"))
+    the greatest line number of texts with a word."""
+    value = texts(docs, text)
+    flat = F.replace(value, F.lit("\n"), F.lit(" "))
+    last = F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))
+    held = docs.select(last.alias("last"), _words(flat).alias("ws"))
+    words = held.select("last", F.explode_outer("ws").alias("w")).where("w IS NOT NULL")
+    placed = words.select("last", F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
+    counted = placed.groupBy("at").agg(F.count("*").alias("n"), F.max("last").alias("most"))
     rows = counted.select("at", F.floor(F.log2("n") * 4).cast("int").alias("rank"), "most").collect()
     found = {r["at"]: r["rank"] for r in rows}
     table = "[" + ",".join(str(min(127, found.get(k, 0))) for k in range(TABLE)) + "]"
@@ -131,20 +136,49 @@ def classes(lines: DataFrame, table: str) -> DataFrame:
     )
 
 
+def _size(ni: Column) -> Column:
+    return F.shiftright(ni, 32)
+
+
+def _place_of(ni: Column) -> Column:
+    return ni.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _alike(x: str, y: str) -> Column:
     """The length, positional and map filters for rows x and y of one word, in integers: a Jaccard
-    similarity of 4/5 takes an overlap of 4/9 of both sizes together."""
-    nx, ny, ix, iy = (f(F.col(f"{side}.ni")) for f in (lambda v: F.shiftright(v, 32), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))) for side in (x, y))
-    total = nx + ny
-    reach = 1 + F.least(nx - ix - 1, ny - iy - 1)
+    similarity of 4/5 takes an overlap of 4/9 of both sizes together, and the sets share no more than what
+    the shorter stretch before the word, the word, and the shorter stretch after it hold."""
+    nx, ny = _size(F.col(f"{x}.ni")), _size(F.col(f"{y}.ni"))
+    ix, iy = _place_of(F.col(f"{x}.ni")), _place_of(F.col(f"{y}.ni"))
+    reach = F.least(ix, iy) + 1 + F.least(nx - ix - 1, ny - iy - 1)
     apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
-    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * reach >= 4 * total) & (9 * (total - apart) >= 8 * total)
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * reach >= 4 * (nx + ny)) & (9 * (nx + ny - apart) >= 8 * (nx + ny))
+
+
+def _prefix(n: Column) -> Column:
+    return n - F.ceil(n * 4 / 5) + 1
+
+
+def _reached(rows: DataFrame) -> DataFrame:
+    """(x, y) of the pairs that can be similar by where and how often their prefixes meet.
+
+    ``rows``: x, y, xni, yni for every word that the prefixes share. From their first shared word on there
+    must be enough words left (positional filter). And each set has at most n - overlap words that the
+    other lacks, so of the shared words as many as the shorter prefix has more than that stand in both.
+    """
+    met = rows.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("xni").alias("xni"), F.min("yni").alias("yni"))
+    nx, ny, ix, iy = _size(F.col("xni")), _size(F.col("yni")), _place_of(F.col("xni")), _place_of(F.col("yni"))
+    least = F.ceil((nx + ny) * 4 / 9)
+    reach = 1 + F.least(nx - ix - 1, ny - iy - 1)
+    common = F.least(_prefix(nx) - (nx - least), _prefix(ny) - (ny - least))
+    return met.where((reach >= least) & (F.col("c") >= common)).select("x", "y")
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y), y earlier, of lines to verify; and the rows of the large buckets: key, s (id, ni, bits).
 
-    Both come from one pass over the prefixes, dealt by word once.
+    Both come from one pass over the prefixes, dealt by word once. A pair that meets in a large bucket too
+    may have been counted short here; its lines meet there again if nothing else settles the later one.
     """
     flat = reps.select("first", "n", "bits", F.posexplode("prefix").alias("i", "key"))
     ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
@@ -159,13 +193,16 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = small.select(F.col("key").alias("k"), s.alias("y"))
     near = x.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
     big = met.where(F.col("size") > BUCKET).select("key", s.alias("x"), F.struct(F.col("lead_id").alias("id"), F.col("lead_ni").alias("ni"), F.col("lead_bits").alias("bits")).alias("y"))
-    none = F.lit(None).cast("struct<id:bigint,ni:bigint,bits:bigint>")
-    pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.lit(None).cast("bigint").alias("key"), none.alias("s")]
+    pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.ni").alias("xni"), F.col("y.ni").alias("yni")]
+    none = [F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("struct<id:bigint,ni:bigint,bits:bigint>").alias("s")]
     # a row of a large bucket is kept, with the pair that it makes with the earliest line, if any
-    led = F.when((F.col("y.id") < F.col("x.id")) & _alike("x", "y"), F.col("y.id"))
-    starred = big.select(F.col("x.id").alias("x"), led.alias("y"), "key", F.col("x").alias("s"))
-    found = stored(near.select(*pair).unionByName(starred), "line-candidates")
-    return found.where("y IS NOT NULL").select("x", "y").distinct(), found.where("key IS NOT NULL").select("key", "s")
+    led = F.when((F.col("y.id") < F.col("x.id")) & _alike("x", "y"), F.col("y.id")).alias("y")
+    starred = big.select(pair[0], led, *pair[2:], "key", F.col("x").alias("s"))
+    found = stored(near.select(*pair, *none).unionByName(starred), "line-candidates")
+    large = found.where("key IS NOT NULL").select("key", "s")
+    alone = _reached(found.where("y IS NOT NULL AND key IS NULL").select("x", "y", "xni", "yni"))
+    led_pairs = found.where("y IS NOT NULL AND key IS NOT NULL").select("x", "y")
+    return alone.unionByName(led_pairs).distinct(), large
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -214,15 +251,20 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         y = big.select(F.col("key").alias("k"), F.col("s").alias("y"))
         rest = late.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
         found = found.unionByName(_similar(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), lines))
+    discard(big)
+    discard(late)
     gone = found.distinct().withColumn("gone", F.lit(True))
     fates = reps.select("a", "b", "first", "again").join(gone, F.col("first") == F.col("x"), "left").where("again OR gone")
     fates = stored(fates.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
+    discard(reps)
+    release(docs.sparkSession)
     placed = lines.select("doc_id", "line_no", "place", *_identity())
     return placed.join(fates, ["a", "b"]).where("gone OR place > first").select("doc_id", "line_no").distinct()
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines cut from their texts, and ``removed`` (numbers of the lines cut)."""
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
+    """``docs`` with the repeated lines cut from their texts, and a column ``removed`` of their numbers,
+    which replaces one of that name."""
     gone = repeated(docs, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
     marked = docs.join(gone.hint("shuffle_hash"), docs[doc_id].eqNullSafe(gone["_id"]), "left").drop("_id")
@@ -232,4 +274,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         numbered = F.transform(F.split(F.col(text), "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
         return F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(gone, s["k"])), lambda s: s["line"]), "\n")
 
-    return marked.withColumns({text: F.when(F.size(none) > 0, let(none, cut)).otherwise(F.col(text)), "removed": none}).drop("_removed")
+    return marked.withColumns({text: F.when(F.size(none) > 0, let(none, cut)).otherwise(F.col(text)), removed: none}).drop("_removed")
