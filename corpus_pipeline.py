@@ -19,15 +19,16 @@ from helixlake.llm.queries import RANKS
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that a learned rule rejects go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, rules).where("kept").select(docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "text")  # columns named as statistics stay as they are
+    return quality.judged(whole, rules).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are similar to an earlier one are cut; n_chars follows the text."""
-    made = linedup.deduplicated(docs)
+    made = linedup.deduplicated(docs, removed="_cut")
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        made = made.withColumn("n_chars", F.when(F.size("removed") > 0, n).otherwise(F.col("n_chars")))
+        made = made.withColumn("n_chars", F.when(F.size("_cut") > 0, n).otherwise(F.col("n_chars")))
     return made.select(docs.columns)
 
 
