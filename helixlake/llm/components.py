@@ -16,19 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     stored before they are joined, so that a root with very many neighbours can be split over tasks.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.where("m <> a").select("a", F.col("m").alias("b"))
         star = stored(large.unionByName(own).where("a <> b").distinct(), "large")
-        least2 = stored(star.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = star.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = stored(small.unionByName(least2.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
-        for old in (now, least, star, least2):
+        lower = star.groupBy("a").agg(F.min("b").alias("m"))
+        small = star.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = stored(small.unionByName(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
+        for old in (now, least, star):
             discard(old)
-        seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        # done when every node points at a root, once
+        twice = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+        if twice.unionByName(chained).isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, mark = new, seen
+        now = new
