@@ -357,11 +357,15 @@ def test_stages_against_brute_force(spark, corpus):
 def test_stages_of_awkward_rows(spark, corpus, edge):
     """Every stage takes nulls, repeated rows and extra columns, and an empty table."""
     folder = corpus[0]
-    frame = edge.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("removed"), F.lit("x").alias("node"))
+    frame = edge.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("removed"), F.lit("x").alias("node"), F.lit(-1).alias("n_words"))
     for some in (frame, frame.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             made = stage(spark, some, folder)
-            assert made.count() <= len(EDGE)
+            assert made.columns == frame.columns
+            rows = made.collect()
+            assert len(rows) <= len(EDGE)
+            assert all((r.removed, r.node, r.n_words) == (1, "x", -1) for r in rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, some, folder).count() == some.count()
 
 
 def test_rejected_documents_stay_out(spark):
