@@ -17,18 +17,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import let
+from helixlake.llm.common import let, positions
 
 KINDS = ("email", "phone", "iban", "ip", "date", "ssn", "card")
 ROUNDS = 8
+#: Numbers that a card's permutation may go on to; each is refused with a chance of 0.5 at most.
+WALK = 64
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-PHONE = r"\+[0-9](?:[ .-]?\(?[0-9]{1,4}\)?){3,9}(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# Cards and phones stop where a value of another shape starts. The shapes alone tell where matches end, and
+# they stay under the permutations, so that the same values are found on the way back.
+_AMEX = [f"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}(?![0-9])" for s in " -"]
+_QUAD = [f"[0-9]{{4}}(?:{s}[0-9]{{4}}(?![0-9])){{3}}" for s in " -"]
+_WHOLE = r"[0-9]{13,19}(?![0-9])"
+_SHAPES = "|".join((_WHOLE, *_AMEX, *_QUAD))
+_OTHER = "|".join((r"[A-Za-z0-9._%+-]++@", IP, DATE, SSN))
+_BLANK = f" (?!{_OTHER}|{_SHAPES})"
+#: Groups of four with one separator, as many as follow each other, and a short last one.
+CHAIN = "|".join(
+    f"{_QUAD[k]}(?:{s}(?!{_OTHER}|{'|'.join(_AMEX)}|{_QUAD[1 - k]})[0-9]{{4}}(?![0-9]))*+(?:{s}(?!{_OTHER})[0-9]{{1,3}}(?![0-9]))?"
+    for k, s in enumerate(" -")
+)
+_GROUPS = f"[0-9](?:(?:{_BLANK}|-(?!{_SHAPES}))?[0-9]){{12,18}}(?![0-9])"
+CARD = f"(?<![0-9])(?:{'|'.join((_WHOLE, *_AMEX, CHAIN, _GROUPS))})"
+# groups of four that go on further may have begun with the phone's own
+_BLANK = f" (?!{_OTHER}|{_WHOLE}|{'|'.join(_AMEX)}|{'|'.join(f'{q}(?!{s}[0-9]{{4}}(?![0-9]))' for q, s in zip(_QUAD, ' -', strict=True))})"
+#: North American numbers, then those with one kind of separator, then with several; 8 to 15 digits.
+PHONE = "|".join((
+    rf"\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])",
+    rf"\+[0-9](?:(?:{_BLANK})?\(?[0-9]\)?){{7,14}}(?![0-9]|[.,:/-][0-9])",
+    r"\+[0-9](?:-?\(?[0-9]\)?){7,14}(?![0-9])",
+    r"\+[0-9](?:\.?\(?[0-9]\)?){7,14}(?![0-9])",
+    rf"\+[0-9](?:(?:{_BLANK}|[.-])?\(?[0-9]\)?){{7,14}}(?![0-9])",
+))
 #: Alternatives in this order; what was found tells its kind by ``kind_of``.
 PATTERN = "|".join((EMAIL, PHONE, IBAN, IP, DATE, SSN, CARD))
 
@@ -110,12 +135,70 @@ def luhn_sum(digits: Column, odd_from_right: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), place), F.lit(0), lambda n, d: n + d)
 
 
-def _card(value: Column, key: str, undo: bool) -> Column:
-    def made(d: Column) -> Column:
-        body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _halves(F.substr(d, F.lit(2), F.length(d) - 2), key, "card", undo))
-        return let(body, lambda c: _refilled(value, F.concat(c, F.pmod(-luhn_sum(c, 0), F.lit(10)).cast("string"))))
+def _valid(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
+
+
+def _card(digits: Column, key: str, undo: bool) -> Column:
+    """A card number under the permutation of those of its length and first digit."""
+    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _halves(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", undo))
+    return let(body, lambda c: F.concat(c, F.pmod(-luhn_sum(c, 0), F.lit(10)).cast("string")))
+
+
+def _cards(value: Column, key: str, undo: bool) -> Column:
+    """array<struct<old,new>>: a match of CARD in pieces, the cards in it and what lies between them.
+
+    In groups of four any four, or four and the short one, can be a card; else the first groups. Of those
+    with a right check digit the one that ends first is taken. So what was tried in vain before it lies
+    in it and the groups before; the permutation goes on to the next number until all of that fails again,
+    and the way back takes the same groups.
+    """
+    quads = F.rlike(value, F.lit(f"^(?:{CHAIN})$"))
+    piece = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+
+    def tried(ws: Column) -> Column:
+        """(first digit, digits) of what could have been a card before the last group."""
+        of_four = F.transform(positions(F.lit(0), F.size(ws) - 5), lambda i: F.struct((i * 4 + 1).alias("at"), F.lit(16).alias("n")))
+        first = F.transform(positions(F.lit(1), F.size(ws) - 1), lambda i: F.struct(F.lit(1).alias("at"), F.length(_digits(F.array_join(F.slice(ws, 1, i), ""))).alias("n")))
+        return F.when(quads, of_four).otherwise(first)
+
+    def replaced(before: Column, own: Column, others: Column) -> Column:
+        def fails(d: Column) -> Column:
+            return ~F.exists(others, lambda w: _valid(F.substr(F.concat(_digits(before), d), w["at"], w["n"])))
 
-    return let(_digits(value), lambda d: F.when(luhn_sum(d, 1) % 10 == 0, made(d)).otherwise(value))
+        def turn(s: Column, _: Column) -> Column:
+            return F.when(s["done"], s).otherwise(let(_card(s["d"], key, undo), lambda d: F.struct(d.alias("d"), fails(d).alias("done"))))
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(_digits(own).alias("d"), F.lit(False).alias("done")), turn)
+        body = F.regexp_replace(own, "^[ -]", "")
+        gap = F.concat(before, F.regexp_extract(own, "^[ -]?", 0))
+        return F.array(piece(gap, gap), piece(body, _refilled(body, walked["d"])))
+
+    def judged(s: Column, ws: Column) -> Column:
+        size = F.size(ws)
+        k = F.when(quads, F.when(F.length(_digits(F.element_at(ws, -1))) < 4, 5).otherwise(4)).otherwise(size)
+        own = F.when(size >= k, F.array_join(F.slice(ws, F.greatest(size - k + 1, F.lit(1)), k), ""))
+
+        def chosen(own: Column) -> Column:
+            before = F.array_join(F.slice(ws, 1, F.greatest(size - k, F.lit(0))), "")
+            first = F.element_at(ws, 1)
+            return (
+                F.when(
+                    F.coalesce(_valid(_digits(own)), F.lit(False)),
+                    F.struct(F.concat(s["parts"], let(tried(ws), lambda o: replaced(before, own, o))).alias("parts"), none.alias("wait")),
+                )
+                .when(quads & (size >= 8), F.struct(F.concat(s["parts"], F.array(piece(first, first))).alias("parts"), F.slice(ws, 2, 7).alias("wait")))
+                .otherwise(F.struct(s["parts"].alias("parts"), ws.alias("wait")))
+            )
+
+        return let(own, chosen)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<struct<old:string,new:string>>").alias("parts"), none.alias("wait"))
+    groups = F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0))
+    step = lambda s, g: let(F.concat(s["wait"], F.array(g)), lambda ws: judged(s, ws))
+    rest = lambda s: let(F.array_join(s["wait"], ""), lambda r: F.concat(s["parts"], F.array(piece(r, r))))
+    return F.aggregate(groups, start, step, rest)
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
@@ -129,7 +212,7 @@ def _phone(value: Column, key: str, undo: bool) -> Column:
     def made(d: Column) -> Column:
         other = F.concat(F.substr(d, F.lit(1), F.lit(2)), _halves(F.substr(d, F.lit(3)), key, "phone", undo))
         new = F.when(F.rlike(d, F.lit("^1[2-9][0-9]{2}[2-9][0-9]{6}$")), american(d)).otherwise(other)
-        return F.when(F.length(d).between(8, 15), _refilled(value, new)).otherwise(value)
+        return _refilled(value, new)
 
     return let(_digits(value), made)
 
@@ -252,14 +335,18 @@ def kind_of(value: Column) -> Column:
 
 
 def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
-    """A found value under the keyed permutation of its kind (or back)."""
-    makers = {"email": _email, "phone": _phone, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
+    """array<struct<kind,old,new>>: a found value, in pieces, under the keyed permutation of its kind (or back)."""
+    makers = {"email": _email, "phone": _phone, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn}
+
+    def piece(kind: Column, old: Column, new: Column) -> Column:
+        return F.struct(kind.alias("kind"), old.alias("old"), new.alias("new"))
 
     def chosen(kind: Column) -> Column:
         out = value
         for name, make in makers.items():
             out = F.when(kind == name, make(value, key, undo)).otherwise(out)
-        return out
+        cards = F.transform(_cards(value, key, undo), lambda p: piece(kind, p["old"], p["new"]))
+        return F.when(kind == "card", cards).otherwise(F.array(piece(kind, value, out)))
 
     return let(kind_of(value), chosen)
 
@@ -267,16 +354,16 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
 def pseudonymised(df: DataFrame, key: str, text: str = "text", undo: bool = False) -> DataFrame:
     """``df`` with its texts rewritten, and ``found array<struct<kind,old,new>>`` of what was changed."""
     value = df[text].cast("string")
-    kind = "array<struct<kind:string,old:string,new:string>>"
+    kind = "array<array<struct<kind:string,old:string,new:string>>>"
     matches = F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))
-    made = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("old"), pseudonym(m, key, undo).alias("new")))
+    made = F.transform(matches, lambda m: pseudonym(m, key, undo))
     found = F.when(F.rlike(value, F.lit(PATTERN)), made.cast(kind)).otherwise(F.array().cast(kind))
 
     def rebuilt(fs: Column) -> Column:
-        pairs = F.zip_with(F.split(value, PATTERN, -1), fs, lambda gap, f: F.concat(gap, F.coalesce(f["new"], F.lit(""))))
+        pairs = F.zip_with(F.split(value, PATTERN, -1), fs, lambda gap, f: F.concat(gap, F.coalesce(F.array_join(F.transform(f, lambda p: p["new"]), ""), F.lit(""))))
         return F.struct(
             F.when(F.size(fs) > 0, F.array_join(pairs, "")).otherwise(value).alias("text"),
-            F.filter(fs, lambda f: f["old"] != f["new"]).alias("found"),
+            F.filter(F.flatten(fs), lambda f: f["old"] != f["new"]).alias("found"),
         )
 
     one = df.withColumn("_pii", let(found, rebuilt))
