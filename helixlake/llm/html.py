@@ -54,6 +54,8 @@ BOILERPLATE = frozenset(
     "widget toolbar pagination pager search login complementary contentinfo".split()
 )
 MAIN = frozenset("article main".split())
+#: Share of a page's text that makes a container the whole page's.
+NEARLY_ALL = 0.9
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: A start tag of the left closes an open element of the right, as browsers do.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -72,6 +74,11 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     #: (text, nearest container, characters inside links) in page order
     blocks: list[tuple[str, int, int]] = field(default_factory=list)
+    #: characters of the page, and of each element (by its number) that its class words drop
+    size: int = 0
+    marked: dict[int, int] = field(default_factory=dict)
+    #: of each article or main, the number of the outermost dropped element around it, if any
+    mains: list[int | None] = field(default_factory=list)
 
 
 def label(tag: str, words: list[str]) -> str:
@@ -79,9 +86,27 @@ def label(tag: str, words: list[str]) -> str:
 
 
 def parse(source: str) -> Page:
-    """The containers and text blocks of a page, without boilerplate."""
-    page = Page()
-    open_: list[tuple[str, int, bool]] = []  # tag, nearest container, inside boilerplate
+    """The containers and text blocks of a page, without boilerplate.
+
+    Where no article or main stays otherwise, a marked element does that holds one, or nearly all of the text.
+    """
+    kept: set[int] = set()
+    while True:
+        page = _parsed(source, kept)
+        if None in page.mains:
+            return page
+        more = {*page.mains, *(k for k, n in page.marked.items() if n >= NEARLY_ALL * page.size > 0)}
+        if not more:
+            return page
+        kept |= more
+
+
+def _parsed(source: str, kept: set[int]) -> Page:
+    """A page without what tags and class words drop, but for the elements of the numbers ``kept``."""
+    page = Page(nodes=[Node("", -1, "", False)])
+    # tag, nearest container, inside boilerplate, dropped by its tag or one around it, number of what drops it by class
+    open_: list[tuple[str, int, bool, bool, int | None]] = []
+    number = 0
     text: list[str] = []
     links, in_link = 0, 0
 
@@ -90,12 +115,17 @@ def parse(source: str) -> Page:
         if text:
             block = " ".join("".join(text).split())
             if block:
-                page.blocks.append((block, open_[-1][1] if open_ else -1, links))
+                page.blocks.append((block, open_[-1][1] if open_ else 0, links))
             text.clear()
         links = 0
 
     def said(raw: str) -> None:
         nonlocal links
+        if raw and not (open_ and open_[-1][3]):
+            n = len(raw.strip())
+            page.size += n
+            if open_ and open_[-1][4] is not None:
+                page.marked[open_[-1][4]] += n
         if raw and not (open_ and open_[-1][2]):
             s = entities.unescape(raw) if "&" in raw else raw
             text.append(s)
@@ -137,17 +167,24 @@ def parse(source: str) -> Page:
             continue
         if tag == "a":
             in_link += 1
-        outer, inside = (open_[-1][1], open_[-1][2]) if open_ else (-1, False)
+        outer, inside, by_tag, by_class = open_[-1][1:] if open_ else (0, False, False, None)
+        number += 1
         attrs = m["attrs"] or m["attrs2"] or ""
         words = [w for a in CLASSES.finditer(attrs) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())] if attrs else []
-        in_main = outer >= 0 and page.nodes[outer].main
-        dropped = inside or tag in DROPPED or tag == "header" and not in_main or tag not in ("html", "body") and not BOILERPLATE.isdisjoint(words)
+        in_main = page.nodes[outer].main
+        by_tag = by_tag or tag in DROPPED or tag == "header" and not in_main
+        if by_class is None and not by_tag and number not in kept and tag not in ("html", "body") and not BOILERPLATE.isdisjoint(words):
+            by_class = number
+            page.marked[number] = 0
+        dropped = inside or by_tag or by_class is not None
+        if tag in MAIN and not by_tag:
+            page.mains.append(by_class)
         if tag in CONTAINERS and not dropped:
-            up = page.nodes[outer].path + "/" if outer >= 0 else ""
+            up = page.nodes[outer].path + "/" if outer else ""
             main = in_main or tag in MAIN or "main" in words or "articlebody" in words
             page.nodes.append(Node(tag, outer, up + label(tag, sorted(set(words))), main))
             outer = len(page.nodes) - 1
-        open_.append((tag, outer, dropped))
+        open_.append((tag, outer, dropped, by_tag, by_class))
     if at < len(source):
         said(source[at:])
     flush()
@@ -173,9 +210,18 @@ def best(page: Page) -> tuple[str, float] | None:
     if not found:
         return None
     node = max(found, key=lambda k: (found[k], -k))
-    # of nested main containers, the outermost has all of the article
-    while page.nodes[node].main and (up := page.nodes[node].parent) >= 0 and page.nodes[up].main:
-        node = up
+    # of nested main containers, the outermost has all of the article; others may be one part of several
+    if page.nodes[node].main:
+        while (up := page.nodes[node].parent) >= 0 and page.nodes[up].main:
+            node = up
+    else:
+        whole = [0] * len(page.nodes)
+        for text, k, links in page.blocks:
+            while k >= 0:
+                whole[k] += max(0, len(text) - 2 * links)
+                k = page.nodes[k].parent
+        while whole[node] < NEARLY_ALL * whole[0]:
+            node = page.nodes[node].parent
     return page.nodes[node].path, found.get(node, 0.0)
 
 

@@ -151,6 +151,18 @@ def test_html_extraction(spark):
     assert html.extract("<p>only a block", None) == "only a block"
 
 
+def test_html_keeps_all_parts():
+    one, two = "first part " * 200, "second part " * 130
+    parts = f"<body><div class=content><h1>Head</h1><section>{one}</section><section class=b>{two}</section></div></body>"
+    assert html.extract(parts, None) == f"Head\n{one.strip()}\n{two.strip()}"
+    assert "long article" in html.extract("<h1>T</h1><p>a long article</p><div>x</div>", None)
+    for inner in (f"<article><p>{one}</p></article>", f"<p>{one}</p>"):
+        page = f'<body><div class="layout sidebar">{inner}<div class="sidebar">side</div></div><div class="footer">f</div></body>'
+        assert html.extract(page, None) == one.strip()
+    replies = f'<body><article>The text</article><div class="comments"><article>{one}</article></div></body>'
+    assert html.extract(replies, None) == "The text"
+
+
 def test_html_hosts_vote(spark):
     usual = '<body><div class="main-12"><p>The text of the page is this, a whole line of it.</p></div><div class="extra"><p>{}</p></div></body>'
     rows = [(k, "http://H.example/a?b", usual.format("x")) for k in range(5)]
