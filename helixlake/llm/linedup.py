@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words; a line goes if an earlier one, by (document id, line number), has a
+A line is the set of its words; a line goes if an earlier one, by (document id, MD5 of the text, line number), has a
 Jaccard similarity of 0.8 or more to it, kept or not. Equal lines are one class. The words of a set
 are ordered by rarity (frequency in the corpus, counted over all lines in a table of fixed size, then
 by hash); two similar sets share a word among their first ones (prefix filter), have like sizes
@@ -13,7 +13,7 @@ small; in a large one, as a group of many near copies makes, they first meet its
 only those that nothing settles meet all earlier lines of it. Built-in functions only.
 
 Defined results: a null text has no lines; lines without words are never removed; rows that repeat an
-id and text count as one and share their fate; null ids sort first. Words are held as hashes: of 44
+id and text count as one and share their fate, other texts of that id are their own; null ids sort first. Words are held as hashes: of 44
 bits for order and candidates, where words that agree by chance only add candidates, and of 64 bits
 in the verification.
 """
@@ -42,11 +42,16 @@ def _words(line: Column) -> Column:
     return F.array_remove(split, "")
 
 
+def copy_of(docs: DataFrame, text: str = "text") -> Column:
+    """What tells a text from others of its id."""
+    return F.unhex(F.md5(docs[text].cast("string")))
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no, line of every line with a word."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.split(texts(docs, text), "\n").alias("lines"))
+    """doc_id, copy (MD5 of the text), line_no, line of every line with a word."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(docs, text).alias("copy"), F.split(texts(docs, text), "\n").alias("lines"))
     # the outer form, as the plain one has its input computed twice, to filter out what is empty
-    flat = rows.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line"))
+    flat = rows.select("doc_id", "copy", F.posexplode_outer("lines").alias("line_no", "line"))
     return flat.where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
 
 
@@ -84,33 +89,39 @@ def _bits(keys: Column) -> Column:
 
 
 class Places:
-    """Places of lines, (document id, line number), as numbers in the same order."""
+    """Places of lines, (document id, copy, line number), as numbers in the same order.
+
+    Ids that have one text each are packed with the line number; else their texts are numbered.
+    """
 
-    def __init__(self, docs: DataFrame, doc_id: str, last_line: int):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, last_line: int):
         least, most = docs.agg(F.min(doc_id), F.max(doc_id)).first()
         self.shift = max(1, last_line.bit_length())
         self.least = least
         self.dense = None
         whole = dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint")
-        if not whole or least is not None and (most - least + 2).bit_length() + self.shift > 62:
-            self.dense = self._numbered(docs.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+        held = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(docs, text).alias("copy"))
+        packed = whole and (least is None or (most - least + 2).bit_length() + self.shift <= 62)
+        if not packed or not held.groupBy("doc_id").agg((F.min("copy") != F.max("copy")).alias("several")).where("several").isEmpty():
+            self.dense = self._numbered(held.distinct())
 
     @staticmethod
     def _numbered(ids: DataFrame) -> DataFrame:
-        """(doc_id, no): ids too far apart to be packed, numbered in order."""
-        rough = stored(ids.orderBy("doc_id").withColumn("no", F.monotonically_increasing_id()), "ids")
+        """(doc_id, copy, no): texts of ids that can't be packed, numbered in order."""
+        rough = stored(ids.orderBy("doc_id", "copy").withColumn("no", F.monotonically_increasing_id()), "ids")
         part = F.shiftrightunsigned("no", 33)
         counts, start, before = dict(rough.groupBy(part.alias("p")).count().collect()), {}, 0
         for p in sorted(counts):
             start[p], before = before, before + counts[p]
         offsets = F.from_json(F.lit("[" + ",".join(str(start.get(p, 0)) for p in range(max(start, default=0) + 1)) + "]"), "array<bigint>")
-        return rough.select("doc_id", (F.get(offsets, part.cast("int")) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))).alias("no"))
+        return rough.select("doc_id", "copy", (F.get(offsets, part.cast("int")) + F.col("no").bitwiseAND(F.lit((1 << 33) - 1))).alias("no"))
 
     def of(self, lines: DataFrame) -> DataFrame:
         """``lines`` with ``place``."""
         if self.dense is not None:
-            joined = lines.join(self.dense, "doc_id", "left")
-            return joined.withColumn("place", self._packed(F.col("no") + 1)).drop("no")
+            numbers = self.dense.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "no")
+            joined = lines.join(numbers, lines["doc_id"].eqNullSafe(F.col("_id")) & (lines["copy"] == F.col("_copy")), "left")
+            return joined.withColumn("place", self._packed(F.col("no") + 1)).drop("no", "_id", "_copy")
         return lines.withColumn("place", self._packed(F.col("doc_id").cast("bigint") - F.lit(self.least) + 1))
 
     def _packed(self, number: Column) -> Column:
@@ -235,10 +246,10 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return found
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no) of every line to remove."""
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, copy, line_no) of every line to remove."""
     table, last_line = rarity(docs, doc_id, text)
-    lines = Places(docs, doc_id, last_line).of(_lines(docs, doc_id, text))
+    lines = Places(docs, doc_id, text, last_line).of(_lines(docs, doc_id, text))
     reps = stored(classes(lines, table), "line-classes")
     release(docs.sparkSession)
     pairs, big = _candidates(reps)
@@ -258,16 +269,21 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     fates = stored(fates.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
     discard(reps)
     release(docs.sparkSession)
-    placed = lines.select("doc_id", "line_no", "place", *_identity())
-    return placed.join(fates, ["a", "b"]).where("gone OR place > first").select("doc_id", "line_no").distinct()
+    placed = lines.select("doc_id", "copy", "line_no", "place", *_identity())
+    return placed.join(fates, ["a", "b"]).where("gone OR place > first").select("doc_id", "copy", "line_no").distinct()
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line_no) of every line to remove, whatever its text."""
+    return removed_lines(docs, doc_id, text).select("doc_id", "line_no").distinct()
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """``docs`` with the repeated lines cut from their texts, and a column ``removed`` of their numbers,
     which replaces one of that name."""
-    gone = repeated(docs, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "removed-lines")
-    marked = docs.join(gone.hint("shuffle_hash"), docs[doc_id].eqNullSafe(gone["_id"]), "left").drop("_id")
+    gone = removed_lines(docs, doc_id, text).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("removed").alias("_removed")), "removed-lines")
+    marked = docs.join(gone.hint("shuffle_hash"), docs[doc_id].eqNullSafe(gone["_id"]) & (copy_of(docs, text) == gone["_copy"]), "left").drop("_id", "_copy")
     none = F.coalesce("_removed", F.array().cast(INTS))
 
     def cut(gone: Column) -> Column:

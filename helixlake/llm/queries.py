@@ -20,10 +20,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = linedup.repeated(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    gone = linedup.removed_lines(docs).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "removed")
+    lines = docs.select("doc_id", linedup.copy_of(docs).alias("copy"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return lines.join(gone, "doc_id", "left").select(
+    return lines.join(gone, lines["doc_id"].eqNullSafe(gone["_id"]) & (lines["copy"] == gone["_copy"]), "left").select(
         "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines")
     )
 

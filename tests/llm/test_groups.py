@@ -200,6 +200,21 @@ def test_lines_of_far_ids(spark, monkeypatch):
     assert {(r.doc_id, r.line_no) for r in linedup.repeated(frame).collect()} == brute_lines(docs)
 
 
+def test_texts_of_one_id_are_apart(spark):
+    """Texts under a null id or one id lose their own lines only, those under a null id go for their own passages only."""
+    words = [f"w{k}" for k in range(200)]
+    line = lambda k: " ".join(words[k : k + 20])
+    for key in (None, 5):
+        rows = [(1, line(0)), (key, f"{line(40)}\n{line(0)}"), (key, f"{line(80)}\n{line(120)}"), (key, f"{line(160)}\n{line(160)}")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = {r.text for r in linedup.deduplicated(docs).collect()}
+        expected = {line(0), line(40), rows[2][1], line(160)} if key else {rows[1][1], "", rows[2][1], line(160)}
+        assert kept == expected
+        benchmark = spark.createDataFrame([(1, line(160))], "item_id long, text string")
+        left = {r.text for r in decontam.without_overlaps(docs, benchmark).collect()}
+        assert left == {t for k, t in rows[:3] if k != 5}
+
+
 def test_line_edges(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(linedup, "TABLE", 1 << 10)
     rows = {(r.doc_id, r.line_no) for r in linedup.repeated(edge).collect()}
