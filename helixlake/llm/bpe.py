@@ -17,20 +17,31 @@ from pyspark.sql import functions as F
 #: A text longer than this is cut at safe boundaries before it is encoded.
 CHUNK_CHARS = 1 << 16
 
-#: Between a letter and what is neither letter nor white space nor apostrophe, between a digit and
-#: a non-digit, or before one space between two non-spaces: every alternative of the pre-split
-#: pattern ends a match there, whatever follows, so the pieces encode as the whole text does.
+#: Between a letter and what is no letter, between a digit and what is no digit, or before one space between
+#: two that are none: the match that ends there ends there whatever follows, and the next one starts there. So
+#: the pieces encode as the whole text does.
 SAFE_CUT = regex.compile(
     r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=\S)(?= [^\s])"
 )
+#: Runs of white space that the library's matcher would need too deep a stack for. One is a match of its own,
+#: without its last character where something follows it.
+LONG_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}+")
+
+
+class Coder(tiktoken.Encoding):
+    """An encoding, and ``whole``: one of the same ranks that takes all it is given as one match."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.lru_cache(maxsize=4)
-def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
+def encoding(rank_file: str, pattern: str) -> Coder:
     """The encoding of a rank file (lines of base64 token and rank), loaded once per worker."""
     with open(rank_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Coder(ranks, pattern)
 
 
 def pieces(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
@@ -45,10 +56,17 @@ def pieces(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, enc: tiktoken.Encoding, size: int = CHUNK_CHARS) -> np.ndarray:
-    if len(text) <= size:
+def encode(text: str, enc: Coder, size: int = CHUNK_CHARS) -> np.ndarray:
+    """The ids of a text by a pattern whose white space matches are those of ``public_tokenizers.PATTERN``."""
+    if len(text) <= min(size, CHUNK_CHARS):
         return np.asarray(enc.encode_ordinary(text), dtype=np.int32)
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), dtype=np.int32) for p in pieces(text, size)])
+    found, at = [], 0
+    for run in LONG_SPACES.finditer(text):
+        found += [enc.encode_ordinary(p) for p in pieces(text[at : run.start()], size)]
+        at = run.end() - (run.end() < len(text))
+        found.append(enc.whole.encode_ordinary(text[run.start() : at]))
+    found += [enc.encode_ordinary(p) for p in pieces(text[at:], size)]
+    return np.concatenate([np.asarray(ids, dtype=np.int32) for ids in found])
 
 
 def encode_column(df: DataFrame, rank_file: str, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
@@ -99,7 +117,7 @@ def digests(df: DataFrame, rank_file: str, pattern: str, text: str = "text") ->
                 rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    found = digest(F.coalesce(df[text].cast("string"), F.lit("")))
-    return df.withColumn("_digest", found).withColumns(
-        {c: F.col(f"_digest.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}
-    ).drop("_digest")
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    made = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), digest(F.coalesce(df[text].cast("string"), F.lit(""))).alias("digest"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in names]
+    return made.select(*kept, *[F.col("digest")[c].alias(c) for c in names])

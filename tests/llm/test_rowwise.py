@@ -70,10 +70,19 @@ def test_bpe_round_trip(spark, edge):
 
 def test_bpe_long_runs():
     enc = bpe.encoding(RANKS, PATTERN)
-    for text in ("a" * 300_000, " " * 300_000 + "x", "ab1" * 100_000, "!" * 200_000):
+    for text in ("a" * 300_000, " " * 300_000 + "x", "ab1" * 100_000, "!" * 200_000, " " * 5_000_000 + "x", "y" + "\n" * 5_000_000, "\n" * 1_500_000 + "z \n" * 40_000):
         assert enc.decode(bpe.encode(text, enc).tolist()) == text
 
 
+def test_bpe_of_long_white_space(monkeypatch):
+    """Runs that are cut out encode as the library encodes the whole text."""
+    monkeypatch.setattr(bpe, "LONG_SPACES", bpe.regex.compile(bpe.LONG_SPACES.pattern.replace("4096", "3")))
+    enc, rng = bpe.encoding(RANKS, PATTERN), random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice([" " * rng.randrange(9), "\n" * rng.randrange(6), "\t ", "a", "!", "1", "\u3000\u3000", "\x1c\x1c\x1c\x1c"]) for _ in range(rng.randrange(12)))
+        assert bpe.encode(text, enc, 2).tolist() == enc.encode_ordinary(text), text
+
+
 # --- chat formatting
 
 
