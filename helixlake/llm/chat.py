@@ -1,23 +1,28 @@
 """Chat formatting: layouts are recognised by a fingerprint of their nested field paths.
 
-A layout (JSON records, or the columns of a table) is reduced to its sorted nested field paths; the
-hash of that list selects a declarative mapping, which says where the turns are. All layouts end as
-one canonical column ``turns array<struct<role string, text string>>``, which a template renders to
-one string with a loss mask over the assistant's texts. Built-in functions only.
+A layout (JSON records, or the columns of a table) is reduced to its nested field paths, all elements of
+lists seen. The hash of those that a declarative mapping knows, against the hash of all that it needs, selects
+the mapping, which says where the turns are; of several the one of most paths, then the first. Paths that no
+mapping knows don't count. All layouts end as one canonical column ``turns array<struct<role string, text
+string>>``, which a template renders to one string with a loss mask over the assistant's texts. Built-in functions
+only.
 
 Defined results: a null text or role is empty; a record of unknown layout, or with no turn, keeps
-its row with ``layout`` null and no turns; turns with equal numbers are ordered by role, then text.
+its row with ``layout`` null and no turns; elements of a list of turns that are no objects are no turns;
+turns with equal numbers are ordered by role, then text. A conversation is one row, whatever its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import let
+from helixlake.llm.common import let, running_sums
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -51,8 +56,11 @@ MAPPINGS = (
     Mapping("system_prompt_response", ("system", "prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 )
 
-#: Layouts of tables with a row per turn: (conversation, order, role, text) columns.
-TURN_TABLES = (("conv_id", "turn", "role", "text"), ("conversation_id", "turn_id", "role", "content"))
+#: Layouts of tables with a row per turn; paths: conversation, order, role, text.
+TURN_TABLES = (
+    Mapping("turns", ("conv_id", "turn", "role", "text")),
+    Mapping("turns_content", ("conversation_id", "turn_id", "role", "content")),
+)
 
 
 def fingerprint(paths: Column) -> Column:
@@ -60,13 +68,31 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
+def fingerprint_of(paths: Iterable[str]) -> int:
+    """The same hash, of paths that are known where the plan is made."""
+    return xxhash.xxh64_intdigest("\n".join(sorted(set(paths))), seed=42) 
+
+
+def selected(paths: Iterable[str], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The mapping that the fingerprints of a schema's paths select."""
+    have = set(paths)
+    fit = [m for m in mappings if fingerprint_of(have & set(m.paths)) == fingerprint_of(m.paths)]
+    return max(fit, key=lambda m: len(m.paths), default=None)
+
+
+def _elements(record: Column, name: str) -> Column:
+    """The JSON texts of a list's elements that are objects."""
+    made = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+    return F.filter(F.coalesce(made, F.array().cast("array<string>")), lambda e: F.json_object_keys(e).isNotNull())
+
+
 def json_paths(record: Column, lists: tuple[str, ...]) -> Column:
-    """Nested field paths of a JSON object; lists of objects are looked into at their first element."""
+    """Nested field paths of a JSON object, into all elements of its lists of objects."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def nested(name: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+        keys = F.array_distinct(F.flatten(F.transform(_elements(record, name), F.json_object_keys)))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
 
     return F.concat(top, *map(nested, lists))
 
@@ -94,12 +120,11 @@ def _renamed(role: Column, roles: tuple[tuple[str, str], ...]) -> Column:
 def _mapped(record: Column, m: Mapping) -> Column:
     if m.turns:
         name, role, text = m.turns
-        kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-        parsed = F.from_json(F.get_json_object(record, f"$.{name}"), kind)
         return F.transform(
-            F.filter(parsed, lambda t: t.isNotNull()),
-            lambda t: F.struct(
-                _renamed(F.coalesce(t[role], F.lit("")), m.roles).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")
+            _elements(record, name),
+            lambda e: F.struct(
+                _renamed(F.coalesce(F.get_json_object(e, f"$.{role}"), F.lit("")), m.roles).alias("role"),
+                F.coalesce(F.get_json_object(e, f"$.{text}"), F.lit("")).alias("text"),
             ),
         )
     made = [F.struct(F.lit(role).alias("role"), F.coalesce(F.get_json_object(record, f"$.{path}"), F.lit("")).alias("text")) for role, path in m.fields]
@@ -109,29 +134,34 @@ def _mapped(record: Column, m: Mapping) -> Column:
 
 
 def canonical_json(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Adds ``layout`` (the mapping's name) and ``turns`` to rows that hold one JSON record each."""
+    """Adds ``layout`` (the mapping's name) and ``turns`` to rows that hold one JSON record each, replacing
+    columns of these names."""
     lists = tuple(dict.fromkeys(m.turns[0] for m in mappings if m.turns))
-    value = F.col(record)
-    print_ = fingerprint(json_paths(value, lists))
-    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for m in mappings:
-        same = F.col("_fingerprint") == fingerprint(F.array(*[F.lit(p) for p in m.paths]))
-        layout = F.when(same, F.lit(m.name)).otherwise(layout)
-        turns = F.when(same, F.coalesce(_mapped(value, m).cast(TURNS), F.array().cast(TURNS))).otherwise(turns)
-    marked = df.withColumn("_fingerprint", print_)
-    return marked.withColumns({"layout": layout, "turns": turns}).drop("_fingerprint")
+    value = df[record].cast("string")
+
+    def mapped(paths: Column) -> Column:
+        out = F.struct(F.lit(None).cast("string").alias("layout"), F.array().cast(TURNS).alias("turns"))
+        for m in sorted(reversed(mappings), key=lambda m: len(m.paths)):  # the last of these is asked first
+            known = F.filter(paths, lambda p: p.isin(*m.paths))  # noqa: B023
+            made = F.struct(F.lit(m.name).alias("layout"), F.coalesce(_mapped(value, m).cast(TURNS), F.array().cast(TURNS)).alias("turns"))
+            out = F.when(fingerprint(known) == fingerprint(F.array(*[F.lit(p) for p in m.paths])), made).otherwise(out)
+        return out
+
+    marked = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), let(json_paths(value, lists), mapped).alias("found"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("layout", "turns")]
+    return marked.select(*kept, "found.layout", "found.turns")
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
-    """conv_id and ``turns`` from a table with a row per turn, whose layout its schema tells.
+    """conv_id and ``turns`` from a table with a row per turn; the fingerprint of its schema selects the mapping.
 
-    The paths of the mapping have to be among the table's; extra columns are ignored. One row per
-    conversation (null ids together): its turns are what one template call has to hold anyway.
+    One row per conversation (null ids together): its turns are what one template call has to hold anyway.
     """
-    have = set(schema_paths(df.schema))
-    columns = next((c for c in TURN_TABLES if have >= set(c)), None)
-    if columns is None:
+    have = schema_paths(df.schema)
+    mapping = selected(have, TURN_TABLES)
+    if mapping is None:
         raise ValueError(f"no mapping for a table of turns with the fields {sorted(have)}")
+    columns = mapping.paths
     conv, turn, role, text = columns
     rows = df.select(
         F.col(conv).alias("conv_id"),
@@ -170,31 +200,25 @@ def render(df: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds ``formatted`` and ``loss_spans``: start and end (code points, end exclusive) of every
     assistant text in ``formatted``, its escapes included."""
     parts = F.transform(
-        F.col(turns),
+        df[turns],
         lambda t: F.struct(
             F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit("\n")).alias("head"),
             escape(t["text"]).alias("body"),
             (t["role"] == "assistant").alias("loss"),
         ),
     )
-    made = df.withColumn("_parts", parts)
-    formatted = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
-    spans = F.aggregate(
-        "_parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: let(
-            acc["at"] + F.length(p["head"]),
-            lambda start: let(
-                start + F.length(p["body"]),
-                lambda end: F.struct(
-                    (end + len(TAIL)).alias("at"),
-                    F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-                ),
-            ),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return made.withColumns({"formatted": formatted, "loss_spans": spans}).drop("_parts")
+
+    def laid(ps: Column) -> Column:
+        ends = running_sums(F.transform(ps, lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(TAIL)).cast("bigint")))
+        placed = F.zip_with(ps, ends, lambda p, e: F.struct(p["loss"].alias("loss"), (e - len(TAIL) - F.length(p["body"])).alias("start"), (e - len(TAIL)).alias("end")))
+        return F.struct(
+            F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "").alias("formatted"),
+            F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"),
+        )
+
+    made = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), let(parts, laid).alias("made"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("formatted", "loss_spans")]
+    return made.select(*kept, "made.formatted", "made.loss_spans")
 
 
 def parse(formatted: Column) -> Column:

@@ -116,6 +116,10 @@ def test_chat_layouts(spark):
         ({"instruction": "i", "input": "", "output": "o"}, "instruction_input", [("system", "i"), ("assistant", "o")]),
         ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
         ({"question": "q", "answer": "a"}, "question_answer", [("user", "q"), ("assistant", "a")]),
+        ({"id": "x7", "conversations": [{"from": "human", "value": "q", "weight": 1}, {"from": "gpt", "value": "a"}]}, "conversations", [("user", "q"), ("assistant", "a")]),
+        ({"instruction": "i", "input": "in", "output": "o", "text": "all of it"}, "instruction_input", [("system", "i"), ("user", "in"), ("assistant", "o")]),
+        ({"messages": ["odd", {"name": "n"}, {"role": "user", "content": "q", "name": "n"}], "meta": {"a": 1}}, "messages", [("", ""), ("user", "q")]),
+        ({"messages": ["odd"]}, None, []),
         ({"something": "else"}, None, []),
     ]
     rows = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)] + [(97, "not json"), (98, None), (99, "{}")]
@@ -125,6 +129,23 @@ def test_chat_layouts(spark):
     assert [(r.layout, r.turns) for r in found[-3:]] == [(None, [])] * 3
 
 
+def test_chat_fingerprints(spark):
+    """The hash that the plan knows is the one that rows get."""
+    for m in (*chat.MAPPINGS, *chat.TURN_TABLES):
+        row = spark.range(1).select(chat.fingerprint(F.array(*[F.lit(p) for p in m.paths])).alias("h")).first()
+        assert row.h & (1 << 64) - 1 == chat.fingerprint_of(reversed(m.paths))
+    assert len({chat.fingerprint_of(m.paths) for m in (*chat.MAPPINGS, *chat.TURN_TABLES)}) == len(chat.MAPPINGS) + len(chat.TURN_TABLES)
+
+
+def test_chat_of_many_turns(spark):
+    turns = [("user" if k % 2 else "assistant", f"said {k}") for k in range(20_000)]
+    frame = spark.createDataFrame([(1, turns, "mine")], "id int, turns array<struct<role:string,text:string>>, made string")
+    row = chat.render(frame).withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert [tuple(t) for t in row.back] == turns
+    assert row.loss == "".join(t for r, t in turns if r == "assistant")
+    assert row.made == "mine"
+
+
 def test_chat_turn_tables(spark):
     rows = [(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (None, 0, None, None, 0), (2, 0, "user", "x", 0), (2, 0, "user", "x", 0), (2, None, "system", "first", 0)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
