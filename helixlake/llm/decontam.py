@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import let, positions, texts
+from helixlake.llm.common import let, positions, stored, texts
 from helixlake.llm.licenses import words
 
 WINDOW, MISMATCHES = 13, 2
 #: Offsets of the words that a mask looks at.
 MASKS = ((0, 1, 3, 6, 7),)
-#: Up to so many distinct seeds the benchmark is broadcast, and a bit table of its seeds (64 bits for each)
-#: lets rows be made for likely hits only; a larger benchmark is joined by shuffle.
+#: Up to so many seeds (24 bytes each) are broadcast, and a bit table of them (64 bits for each) lets rows be
+#: made for likely hits only; those of a larger benchmark are joined by shuffle.
 BROADCAST_SEEDS = 50_000
+#: Up to so many words of items, or texts with hits, are broadcast.
+BROADCAST_WORDS, BROADCAST_TEXTS = 1_000_000, 500_000
 
 
 def span(mask: tuple[int, ...]) -> int:
@@ -89,59 +91,59 @@ def bit_table(seeds: list[int]) -> tuple[str, int]:
     return str([w - (1 << 64) if w >> 63 else w for w in words_]), size
 
 
-def _near_hits(text: Column, seeds: list[int], shapes, longest: int) -> Column:
-    """array<struct<at, seed, left, window>>: likely hits with the words that an item may lie beside.
-
-    ``left`` is where the window starts. The words are bound once per row.
-    """
+def _likely(seed: Column, seeds: list[int]) -> Column:
+    """Whether a seed may be among ``seeds``."""
     table, size = bit_table(seeds)
-    bits = F.from_json(F.lit(table), "array<bigint>")
-
-    def likely(seed: Column) -> Column:
-        found = F.lit(True)
-        for shift in _probes(size):
-            at = F.shiftrightunsigned(seed, shift).bitwiseAND(F.lit(size - 1))
-            word = F.get(bits, F.shiftrightunsigned(at, 6).cast("int"))
-            found = found & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return found
-
-    def of_words(ws: Column) -> Column:
-        hits = F.filter(_seeds(ws, shapes, False), lambda s: likely(s["seed"]))
-        return F.transform(
-            hits,
-            lambda h: let(
-                F.greatest(h["at"] - longest, F.lit(0)),
-                lambda left: F.struct(h["at"].alias("at"), h["seed"].alias("seed"), left.alias("left"), F.slice(ws, left + 1, 2 * longest + 8).alias("window")),
-            ),
-        )
-
-    return let(words(text), of_words)
+    bits, found = F.from_json(F.lit(table), "array<bigint>"), F.lit(True)
+    for shift in _probes(size):
+        at = F.shiftrightunsigned(seed, shift).bitwiseAND(F.lit(size - 1))
+        word = F.get(bits, F.shiftrightunsigned(at, 6).cast("int"))
+        found = found & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return found
+
+
+def _diagonals(keyed: DataFrame, seeds: DataFrame, shapes, most: int) -> DataFrame:
+    """(key, item_id, diagonal): the ways to lay texts and items side by side that seeds ask for, each once."""
+    of_text = let(words(F.col("text")), lambda ws: _seeds(ws, shapes, False))
+    rows = [r["seed"] for r in seeds.select("seed").limit(most + 1).collect()]
+    if len(rows) <= most:
+        known = sorted(set(rows))
+        of_text, seeds = F.filter(of_text, lambda s: _likely(s["seed"], known)), F.broadcast(seeds)
+    # the outer form, as the plain one has its input computed twice, to filter out what is empty
+    bare = keyed.select("key", F.explode_outer(of_text).alias("s")).where("s IS NOT NULL").select("key", "s.at", "s.seed")
+    return bare.join(seeds, "seed").select("key", "item_id", (F.col("at") - F.col("iat")).alias("diagonal")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, doc_id: str = "doc_id", text: str = "text", most: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id, n_item_words, n_matched (on the best diagonal), first_word of every overlap."""
+    """doc_id, item_id, n_item_words, n_matched (on the best diagonal), first_word of every overlap.
+
+    Hits are bare numbers until the diagonals are distinct; then the texts that have any are read again, and
+    each diagonal gets the words that its item lies beside.
+    """
     items = items_of(benchmark).select("item_id", "iw", F.size("iw").alias("n"))
-    longest, least = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < max(map(span, masks)), F.col("n")))).first()
+    total, least = items.agg(F.sum("n"), F.collect_set(F.when(F.col("n") < max(map(span, masks)), F.col("n")))).first()
     shapes = _shapes(sorted(least), masks)
-    seeds = items.select("item_id", "iw", F.explode(_seeds(F.col("iw"), shapes, True)).alias("s")).select("item_id", "iw", F.col("s.at").alias("iat"), "s.seed")
-    known = [r["seed"] for r in seeds.select("seed").distinct().limit(most + 1).collect()]
-    read = docs.select(F.col(doc_id).alias("doc_id"), texts(docs, text).alias("text"))
-    if len(known) <= most:
-        near = read.select("doc_id", F.explode_outer(_near_hits(F.col("text"), sorted(known), shapes, longest or 0)).alias("h")).where("h IS NOT NULL")
-        hits = near.select("doc_id", "h.*").join(F.broadcast(seeds), "seed")
-        diagonal = F.col("at") - F.col("iat")
-        laid = hits.select("doc_id", "item_id", F.size("iw").alias("n"), "left", _overlap(F.col("window"), F.col("iw"), diagonal - F.col("left")).alias("o"))
-    else:
-        # bare hits are joined by shuffle, made distinct, and given their texts again
-        keyed = read.withColumn("key", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")))
-        bare = keyed.select("key", F.explode(let(words(F.col("text")), lambda ws: _seeds(ws, shapes, False))).alias("s")).select("key", "s.at", "s.seed")
-        met = bare.join(seeds.select("item_id", "iat", "seed"), "seed").select("key", "item_id", (F.col("at") - F.col("iat")).alias("diagonal")).distinct()
-        hits = met.join(items.select("item_id", "iw"), "item_id").join(keyed.dropDuplicates(["key"]), "key")
-        laid = hits.select(
-            "doc_id", "item_id", F.size("iw").alias("n"), F.lit(0).alias("left"),
-            let(words(F.col("text")), lambda ws: _overlap(ws, F.col("iw"), F.col("diagonal"))).alias("o"),
-        )
-    return laid.where("o.matched IS NOT NULL").groupBy("doc_id", "item_id").agg(
+    seeds = items.select("item_id", F.explode(_seeds(F.col("iw"), shapes, True)).alias("s")).select("item_id", F.col("s.at").alias("iat"), "s.seed")
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), texts(docs, text).alias("text")).withColumn("key", key)
+    met = _diagonals(keyed, seeds, shapes, most)
+    sized = met.join(items.select("item_id", "n"), met["item_id"].eqNullSafe(items["item_id"])).select("key", F.struct(met["item_id"], "diagonal", "n").alias("d"))
+    asked = stored(sized.groupBy("key").agg(F.collect_list("d").alias("ds")), "diagonals")
+    few = F.broadcast(asked) if (asked.agg(F.sum(F.size("ds"))).first()[0] or 0) <= BROADCAST_TEXTS else asked
+    texts_asked = keyed.join(few.withColumnRenamed("key", "asked"), F.col("key") == F.col("asked")).dropDuplicates(["key"])
+
+    def beside(ws: Column) -> Column:
+        """Each item's place, and the words from there on."""
+        return F.transform(
+            "ds", lambda d: F.struct(d.alias("d"), F.slice(ws, F.greatest(d["diagonal"], F.lit(0)) + 1, d["n"]).alias("window"))
+        )
+
+    laid = texts_asked.select("doc_id", F.explode(let(words(F.col("text")), beside)).alias("w")).select("doc_id", "w.d.item_id", "w.d.n", "w.d.diagonal", "w.window")
+    all_items = items.select(F.col("item_id").alias("id"), "iw")
+    both = laid.join(F.broadcast(all_items) if (total or 0) <= BROADCAST_WORDS else all_items, laid["item_id"].eqNullSafe(F.col("id")))
+    left = F.greatest(F.col("diagonal"), F.lit(0))
+    judged = both.select("doc_id", "item_id", "n", left.alias("left"), _overlap(F.col("window"), F.col("iw"), F.col("diagonal") - left).alias("o"))
+    return judged.where("o.matched IS NOT NULL").groupBy("doc_id", "item_id").agg(
         F.max("n").cast("long").alias("n_item_words"), F.max("o.matched").alias("n_matched"), F.min(F.col("o.first") + F.col("left")).alias("first_word")
     )
 
@@ -150,6 +152,9 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> Data
     """``docs`` without the documents that hold a benchmark passage: all rows of their id, but of a null id
     each text is judged by itself."""
     copy = F.when(docs["doc_id"].isNull(), F.unhex(F.md5(docs["text"].cast("string"))))
-    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), copy.alias("copy")).alias("doc_id"), "text")
-    found = overlaps(keyed, benchmark, masks).select(F.col("doc_id.id").alias("_leaks"), F.col("doc_id.copy").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leaks")) & copy.eqNullSafe(F.col("_copy")), "left_anti")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].alias("id"), copy.alias("copy")).alias("doc_id"), docs["text"])
+    found = overlaps(whole, benchmark, masks).select(F.col("doc_id.id").alias("id"), F.col("doc_id.copy").alias("copy")).distinct()
+    found = stored(found, "leaks")
+    few = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+    left = whole.join(few, F.col("doc_id.id").eqNullSafe(found["id"]) & F.col("doc_id.copy").eqNullSafe(found["copy"]), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
