@@ -7,6 +7,7 @@ ordered labels and embeddings for matrix rows. Every query runs over whole table
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from helixlake.functions import attributes, numeric, sequence
 from helixlake.operators import labels, linalg, segments, windows
 from helixlake.plans import annotate
-from helixlake.sources import gff
+from helixlake.sources import fasta, gff
 from helixlake.sources.config import Config
 from helixlake.sources.model import new_model
 
@@ -61,10 +62,17 @@ SELECT doc_id, reverse(c) AS rc, c FROM (
 
 
 def base_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of each text's signal, plain and weighted by position."""
-    rows = sequence.signal(_documents(spark, sf_dir), "text", "doc_id")
-    weighted = lambda c: F.sum(F.col(c) * F.col("pos"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im"), weighted("re").alias("re_pos"), weighted("im").alias("im_pos"))
+    """Sums of each text's signal, plain and weighted by position: a row makes its own."""
+    re, im = sequence.signal_arrays(F.col("text"))
+    zero = F.lit(0.0)
+
+    def sums(parts: Column, name: str) -> list[Column]:
+        plain = F.aggregate(parts, zero, lambda n, x: n + x)
+        weighted = F.aggregate(F.transform(parts, lambda x, k: x * k), zero, lambda n, x: n + x)
+        return [plain.alias(name), weighted.alias(f"{name}_pos")]
+
+    rows = _documents(spark, sf_dir).where("text <> ''").select("doc_id", F.length("text").cast("long").alias("n"), re.alias("re"), im.alias("im"))
+    return rows.select("doc_id", "n", *sums(F.col("re"), "re"), *sums(F.col("im"), "im"))
 
 
 BASE_SIGNAL = """
@@ -150,11 +158,11 @@ SELECT sid, label, CAST(min(pos) AS INTEGER) AS b, CAST(max(pos) AS INTEGER) AS
 
 def dense_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of each label between a supplier's first and last day, those of none included."""
-    painted = labels.paint(_labelled(spark, sf_dir), ["sid"])
     ends = _intervals(spark, sf_dir).groupBy("sid").agg(F.min("b").alias("lo"), F.max("e").alias("hi"))
-    line = ends.select("sid", F.explode(F.sequence("lo", "hi")).alias("pos"))
-    full = line.join(painted, ["sid", "pos"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    return full.groupBy("sid", "label").agg(F.count("*").alias("n"))
+    shifted = _labelled(spark, sf_dir).join(ends, "sid").select(F.col("sid").alias("seqid"), F.lit("+").alias("strand"), (F.col("b") - F.col("lo")).alias("b"), (F.col("e") - F.col("lo")).alias("e"), "label")
+    contigs = ends.select(F.col("sid").alias("id"), (F.col("hi") - F.col("lo") + 1).alias("length"))
+    full = labels.dense_labels(shifted, contigs, ("+",))
+    return full.groupBy(F.col("seqid").alias("sid"), "label").agg(F.count("*").alias("n"))
 
 
 DENSE_DAYS = f"""{PAINTED},
@@ -249,13 +257,14 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     made = linalg.matmul(_cells(vectors), _weights(spark)).groupBy(F.col("i").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("z"))
     scored = made.join(vectors.select("vec_id", "label"), "vec_id")
-    loss = -numeric.log_softmax_at(F.col("z"), F.col("label") % 3)
-    return scored.groupBy("label").agg(F.round(F.sum(loss) / F.count("*"), 5).alias("loss"), F.count("*").alias("n"))
+    # labels of no class add nothing to the loss, but count
+    loss = F.coalesce(-numeric.log_softmax_at(F.col("z"), F.col("label") - 1), F.lit(0.0))
+    return scored.groupBy("label").agg((F.round(F.sum(loss) / F.count("*"), 5) + 0.0).alias("loss"), F.count("*").alias("n"))
 
 
 CROSS_ENTROPY = f"""
 WITH {LOGITS}, s AS (SELECT vec_id, label, j, v - max(v) OVER w AS z, ln(sum(exp(v)) OVER w) - max(v) OVER w AS l FROM logits WINDOW w AS (PARTITION BY vec_id))
-SELECT label, round(sum(l - z) / count(*), 5) AS loss, count(*) AS n FROM s WHERE j = label % 3 GROUP BY label
+SELECT label, round(coalesce(sum(l - z) FILTER (j = label - 1), 0) / count(DISTINCT vec_id), 5) + 0.0::DOUBLE AS loss, count(DISTINCT vec_id) AS n FROM s GROUP BY label
 """
 
 
@@ -310,13 +319,17 @@ BEDGRAPH = r"SELECT event_id, printf('%s	%d	%d	%.4f', user_id::VARCHAR, event_id
 
 def overlap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over overlapping windows of values that differ by window, summed up by text."""
-    docs = _documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"))
-    wins = windows.windows(docs, "n", WINDOW, OVERLAP, "predict")
-    flat = wins.select("doc_id", "win_start", F.explode(F.sequence("win_start", F.col("win_end") - 1)).alias("pos"))
-    p = lambda k: ((F.col("pos") * k + F.col("win_start")) % 17) / 16.0
-    means = segments.overlap_mean(flat.select("doc_id", "pos", p(3).alias("p0"), p(5).alias("p1"), p(7).alias("p2")), ["doc_id"])
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).alias("ord"), F.length("text").alias("length"))
+    wins, block = windows.windows(docs, "length", WINDOW, OVERLAP, "predict"), annotate.BLOCK
+    number = lambda pos: F.floor(pos / block).cast("int")
+    cut = wins.select("id", "ord", "win_start", "win_end", F.explode(F.sequence(number(F.col("win_start")), number(F.col("win_end") - 1))).alias("block"))
+    ends = cut.withColumns({"first": F.greatest("win_start", F.col("block") * block), "last": F.least("win_end", (F.col("block") + 1) * block) - 1})
+    p = lambda k: F.transform(F.sequence("first", "last"), lambda pos: ((pos * k + F.col("win_start")) % 17) / 16.0)
+    scored = ends.select(F.col("id").alias("seqid"), "ord", "block", "first", p(3).alias("p0"), p(5).alias("p1"), p(7).alias("p2"))
+    means = segments.block_means(scored, docs, block).where("n > 0")
     best = numeric.class_of(F.col("p0"), F.col("p1"), F.col("p2"))
-    return means.groupBy("doc_id").agg(F.round(F.sum("p0"), 4).alias("p0"), F.round(F.sum("p2"), 4).alias("p2"), F.sum("n").alias("n"), F.sum(F.when(best == 0, 1).otherwise(0)).alias("n_class0"))
+    sums = [F.round(F.sum("p0"), 4).alias("p0"), F.round(F.sum("p2"), 4).alias("p2"), F.sum("n").alias("n"), F.sum(F.when(best == 0, 1).otherwise(0)).alias("n_class0")]
+    return means.groupBy(F.col("seqid").alias("doc_id")).agg(*sums)
 
 
 OVERLAP_MEANS = f"""
@@ -331,13 +344,17 @@ FROM m GROUP BY doc_id
 
 
 def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = numeric.position_table(spark, 500, 64)
-    return made.select("t", "i", _rounded(F.col("v")).alias("v"))
+    """Embeddings plus the codes of their places in windows of 500."""
+    vectors = _vectors(spark, sf_dir)
+    cells = _cells(vectors)
+    codes = cells.select("i", "j", numeric.position_code(F.col("i") % 500, F.col("j"), 64).alias("v"))
+    return linalg.add(cells, codes).select(F.col("i").alias("vec_id"), "j", _rounded(F.col("v")).alias("v"))
 
 
 POSITION_CODES = """
-SELECT t, CAST(i AS INTEGER) AS i, round(CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) + 0.0::DOUBLE AS v
-FROM (SELECT t, i, t / pow(10000.0, 2 * (i // 2) / 64.0) AS a FROM range(0, 500) x(t), range(0, 64) y(i))
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS j FROM embeddings),
+a AS (SELECT *, vec_id % 500 / pow(10000.0, 2 * (j // 2) / 64.0) AS a FROM c)
+SELECT vec_id, CAST(j AS INTEGER) AS j, round(x + CASE WHEN j % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) + 0.0::DOUBLE AS v FROM a
 """
 
 
@@ -385,17 +402,106 @@ FROM (SELECT *, CAST(least(greatest(floor(p_size / 4.0 * 10), 1), 100) AS INTEGE
 
 
 def wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bank = numeric.wavelet_bank(spark, [2.0, 4.0, 8.0, 16.0, 32.0], 500)
-    return bank.select("scale_idx", "length", "k", _rounded(F.col("re")).alias("re"), _rounded(F.col("im")).alias("im"))
+    """The wavelets whose scales are the sizes of the parts, in quarters."""
+    sizes = _table(spark, sf_dir, "part").select("p_size").distinct()
+    sized = sizes.select("p_size", (F.col("p_size") / 4).alias("scale")).withColumn("length", numeric.wavelet_length(F.col("scale"), F.lit(100)))
+    flat = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
+    re, im = numeric.morlet(F.col("k"), F.col("scale"), F.col("length"))
+    return flat.select("p_size", "length", "k", _rounded(re).alias("re"), _rounded(im).alias("im"))
 
 
 WAVELETS = """
-WITH s AS (SELECT * FROM (VALUES (0, 2.0::DOUBLE, 21), (1, 4.0, 41), (2, 8.0, 81), (3, 16.0, 161), (4, 32.0, 321)) v(scale_idx, scale, length)),
-g AS (SELECT *, unnest(range(0, length)) AS k FROM s), t AS (SELECT *, (k - length // 2) / scale AS t FROM g)
-SELECT scale_idx, length, CAST(k AS INTEGER) AS k, round(exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * cos(2 * pi() * t), 6) + 0.0::DOUBLE AS re,
+WITH s AS (SELECT DISTINCT p_size, p_size / 4.0::DOUBLE AS scale, CAST(least(greatest(floor(p_size / 4.0 * 10), 1), 100) AS INTEGER) AS n FROM part),
+l AS (SELECT p_size, scale, CAST(n + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS length FROM s),
+g AS (SELECT *, unnest(range(0, length)) AS k FROM l), t AS (SELECT *, (k - length // 2) / scale AS t FROM g)
+SELECT p_size, length, CAST(k AS INTEGER) AS k, round(exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * cos(2 * pi() * t), 6) + 0.0::DOUBLE AS re,
   round(exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * sin(2 * pi() * t), 6) + 0.0::DOUBLE AS im FROM t
 """
 
+
+def feed_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relu(X W + (W^T X^T)^T / 2) by relations."""
+    x, w = _cells(_vectors(spark, sf_dir)), _weights(spark)
+    half = linalg.scale(linalg.transpose(linalg.matmul(linalg.transpose(w), linalg.transpose(x))), 0.5)
+    made = linalg.add(linalg.matmul(x, w), half)
+    return made.select(F.col("i").alias("vec_id"), "j", _rounded(numeric.relu(F.col("v"))).alias("v"))
+
+
+FEED_FORWARD = f"WITH {LOGITS} SELECT vec_id, CAST(j AS INTEGER) AS j, round(greatest(v * 1.5, 0.0), 6) + 0.0::DOUBLE AS v FROM logits"
+
+CONTIG_LENGTH = 10_000
+
+
+def gff_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coding intervals read from GFF lines made of the line items, inside sequences made of the suppliers."""
+    t = F.lit("\t")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))
+    feature = F.when(F.col("l_returnflag") == "A", "CDS").when(F.col("l_returnflag") == "N", "exon").otherwise("gene")
+    strand = F.when(F.col("l_linestatus") == "O", "+").when(F.col("l_linenumber") == 1, ".").otherwise("-")
+    end = day + (F.col("l_quantity") % 10).cast("int")
+    parts = [F.col("l_suppkey").cast("string"), F.lit("made"), feature, day.cast("string"), end.cast("string"), F.lit("."), strand, F.lit("."), F.concat(F.lit(" Parent=t"), F.col("l_orderkey").cast("string"))]
+    line = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("#"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(*[x for p in parts for x in (p, t)][:-1]))
+    parsed = gff.parse_gff(_table(spark, sf_dir, "lineitem").select(line.alias("value")))
+    contigs = _table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").cast("string").alias("id"), F.lit(CONTIG_LENGTH).alias("length"))
+    return labels.exon_intervals(parsed, contigs)
+
+
+GFF_EXONS = f"""
+WITH l AS (SELECT l_suppkey, l_orderkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS d, CAST(l_quantity % 10 AS INTEGER) AS q,
+    CASE WHEN l_linestatus = 'O' THEN ['+'] WHEN l_linenumber = 1 THEN ['+', '-'] ELSE ['-'] END AS ss
+  FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag IN ('A', 'N')),
+s AS (SELECT *, unnest(ss) AS strand FROM l)
+SELECT CAST(l_suppkey AS VARCHAR) AS seqid, strand, 'Parent=t' || l_orderkey AS attributes, CAST(greatest(d - 1, 0) AS INTEGER) AS b, CAST(least(d + q - 1, {CONTIG_LENGTH} - 1) AS INTEGER) AS e
+FROM s JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 10 <> 3 AND least(d + q - 1, {CONTIG_LENGTH} - 1) >= greatest(d - 1, 0)
+"""
+
+
+def gff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The GFF lines of the painted runs of suppliers."""
+    runs = label_runs(spark, sf_dir).select(F.col("sid").cast("string").alias("seqid"), F.col("sid").cast("int").alias("ord"), (F.col("b") + 1).alias("start"), (F.col("e") + 1).alias("end"), "label")
+    return gff.gff_lines(runs, "helixlake", "pred_", unique_ids=True).select("ord", "start", F.col("value").alias("line"))
+
+
+GFF_TEXT = f"""{PAINTED},
+marked AS (SELECT *, pos - row_number() OVER (PARTITION BY sid, label ORDER BY pos) AS island FROM painted),
+runs AS (SELECT sid, label, CAST(min(pos) AS INTEGER) + 1 AS s, CAST(max(pos) AS INTEGER) + 1 AS e FROM marked GROUP BY sid, label, island)
+SELECT CAST(sid AS INTEGER) AS ord, s AS start, sid || chr(9) || 'helixlake' || chr(9) || CASE label WHEN 2 THEN 'exon' ELSE 'intron' END || chr(9) || s || chr(9) || e
+  || chr(9) || '.' || chr(9) || '+' || chr(9) || '.' || chr(9) || 'ID=pred_' || sid || '_' || s AS line FROM runs
+"""
+
+
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each class by supplier, from runs alone."""
+    runs = label_runs(spark, sf_dir).select(F.col("sid").alias("seqid"), F.lit("+").alias("strand"), "b", "e", "label")
+    contigs = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(20_000).alias("length"))
+    return labels.class_counts(runs, contigs)
+
+
+CLASS_COUNTS = f"""{PAINTED},
+c AS (SELECT sid, count(*) FILTER (label = 1) AS intron, count(*) FILTER (label = 2) AS exon FROM painted GROUP BY sid)
+SELECT s_suppkey AS seqid, strand, 20000 - n1 - n2 AS intergenic, n1 AS intron, n2 AS exon
+FROM (SELECT s_suppkey, strand, CASE strand WHEN '+' THEN coalesce(intron, 0) ELSE 0 END AS n1, CASE strand WHEN '+' THEN coalesce(exon, 0) ELSE 0 END AS n2
+  FROM supplier LEFT JOIN c ON sid = s_suppkey, (VALUES ('+'), ('-')) v(strand))
+"""
+
+
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of FASTA texts made of the documents, a file each, two records in one."""
+    body = F.replace("text", F.lit(">"), F.lit("<"))
+    name = F.col("doc_id").cast("string")
+    value = F.concat(F.lit("; of\n>"), name, F.lit(" it\r\n"), body, F.lit("\n>"), name, F.lit("-b\nAC\r\nG T"))
+    files = _documents(spark, sf_dir).select(F.lpad(name, 12, "0").alias("file"), value.alias("value"))
+    made = fasta.parse_fasta(files)
+    return made.select("ord", "id", "length", F.md5("seq").alias("seq_md5"))
+
+
+FASTA_RECORDS = r"""
+WITH d AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), '>', '<'), '\r*(\n|$)', '', 'g') AS seq, row_number() OVER (ORDER BY doc_id) AS k FROM documents)
+SELECT CAST(2 * k - 2 AS INTEGER) AS ord, CAST(doc_id AS VARCHAR) AS id, CAST(length(seq) AS INTEGER) AS length, md5(seq) AS seq_md5 FROM d
+UNION ALL SELECT CAST(2 * k - 1 AS INTEGER), doc_id || '-b', 5, md5('ACG T') FROM d
+"""
+
+
 TINY = Config(d_model=16, num_encoder_layers=1, num_heads=2, d_ff=16, cwt_scales=(2.0, 4.0), window_size=WINDOW, window_overlap=OVERLAP, num_epochs=1, batch_size=512, dropout_rate=0.0)
 
 
@@ -411,11 +517,31 @@ def predict_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One epoch over the parts' descriptions, with an exon from each one's size on."""
-    contigs = _contigs(spark, sf_dir)
+    return annotate.fit(annotate.training_windows(_contigs(spark, sf_dir), _part_features(spark, sf_dir), TINY), TINY)[1]
+
+
+def _part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part")
-    features = parts.select(F.col("p_partkey").cast("string").alias("seqid"), F.lit("exon").alias("feature"), (F.col("p_size") % 10 + 1).alias("start"), (F.col("p_size") % 10 + 9).alias("end"), F.lit(".").alias("strand"), F.lit("Parent=t").alias("attributes"))
-    wins = annotate.training_windows(contigs, features, TINY)
-    return annotate.fit(wins, TINY)[1]
+    return parts.select(F.col("p_partkey").cast("string").alias("seqid"), F.lit("exon").alias("feature"), (F.col("p_size") % 10 + 1).alias("start"), (F.col("p_size") % 10 + 9).alias("end"), F.lit(".").alias("strand"), F.lit("Parent=t").alias("attributes"))
+
+
+def strand_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training windows of both strands of the parts' descriptions, with their labels in reading order."""
+    small = replace(TINY, window_size=20, window_overlap=6)
+    wins = annotate.training_windows(_contigs(spark, sf_dir), _part_features(spark, sf_dir), small)
+    return wins.select("id", "strand", "win_idx", "win_start", "seq", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"))
+
+
+STRAND_WINDOWS = """
+WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, concat_ws(' ', p_name, p_type, p_brand) AS seq, p_size % 10 AS b FROM part),
+f AS (SELECT *, length(seq) AS n, regexp_replace(translate(seq, 'ATGCatgc', 'TACGTACG'), '[^ACGT]', 'N', 'g') AS comp,
+  repeat('0', b) || repeat('2', 9) || repeat('0', length(seq)) AS lab FROM c),
+w AS (SELECT *, unnest(range(0, n, 14)) AS s FROM f)
+SELECT id, strand, CAST(s // 14 AS INTEGER) AS win_idx, CAST(s AS INTEGER) AS win_start,
+  CASE strand WHEN '+' THEN seq[s + 1 : least(n, s + 20)] ELSE reverse(comp[s + 1 : least(n, s + 20)]) END AS seq,
+  CASE strand WHEN '+' THEN lab[s + 1 : least(n, s + 20)] ELSE reverse(lab[s + 1 : least(n, s + 20)]) END AS labels
+FROM w, (VALUES ('+'), ('-')) v(strand) WHERE least(n, s + 20) - s >= 10 AND n >= 10 AND (s = 0 OR s - 14 + 20 < n)
+"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,6 +577,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q25_wavelets": wavelets,
     "q26_predict_segments": predict_segments,
     "q27_train_losses": train_losses,
+    "q28_gff_exons": gff_exons,
+    "q29_strand_windows": strand_windows,
+    "q30_feed_forward": feed_forward,
+    "q31_gff_text": gff_text,
+    "q32_class_counts": class_counts,
+    "q33_fasta_records": fasta_records,
 }
 
 ORACLES: dict[str, str] = {
@@ -479,4 +611,10 @@ ORACLES: dict[str, str] = {
     "q23_label_runs": LABEL_RUNS,
     "q24_integers": INTEGERS,
     "q25_wavelets": WAVELETS,
+    "q28_gff_exons": GFF_EXONS,
+    "q29_strand_windows": STRAND_WINDOWS,
+    "q30_feed_forward": FEED_FORWARD,
+    "q31_gff_text": GFF_TEXT,
+    "q32_class_counts": CLASS_COUNTS,
+    "q33_fasta_records": FASTA_RECORDS,
 }

@@ -31,6 +31,13 @@ def signal(df: DataFrame, seq: str, *keep: str) -> DataFrame:
     return bases.select(*keep, "pos", base_re(F.col("base")).alias("re"), base_im(F.col("base")).alias("im"))
 
 
+def signal_arrays(seq: Column) -> tuple[Column, Column]:
+    """The real and imaginary parts of all bases of a string, as arrays of doubles, where no row per base is
+    wanted."""
+    bases = F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))
+    return F.transform(bases, base_re), F.transform(bases, base_im)
+
+
 def window_text(seq: Column, start: Column, length: Column) -> Column:
     """The substring that starts at a 0-based position."""
     return F.substr(seq, (start + 1).cast("int"), length.cast("int"))

@@ -13,6 +13,8 @@ from helixlake.functions.attributes import parents
 
 EXON_FEATURES = ("CDS", "exon")
 INTRON, EXON = 1, 2
+#: Positions of a sequence that are made from one array.
+LINE_BLOCK = 10_000
 
 
 def stranded(features: DataFrame) -> DataFrame:
@@ -100,7 +102,9 @@ def dense_labels(intervals: DataFrame, contigs: DataFrame, strands: tuple[str, .
 
 def _line(contigs: DataFrame, strands: tuple[str, ...]) -> DataFrame:
     by_strand = contigs.where("length > 0").select(F.col("id").alias("seqid"), "length", F.explode(F.array(*map(F.lit, strands))).alias("strand"))
-    return by_strand.select("seqid", "strand", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
+    blocks = by_strand.select("seqid", "strand", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(LINE_BLOCK))).alias("first"))
+    last = F.least(F.col("length"), F.col("first") + LINE_BLOCK) - 1
+    return blocks.select("seqid", "strand", F.explode(F.sequence("first", last)).alias("pos"))
 
 
 def class_counts(runs: DataFrame, contigs: DataFrame) -> DataFrame:

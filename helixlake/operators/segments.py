@@ -9,17 +9,33 @@ from helixlake.functions.numeric import class_of
 
 
 def overlap_mean(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, p0, p1, p2, n): mean of the class probabilities over the windows that hold a base.
-
-    The one shuffle of a prediction; partial sums are made before it.
-    """
+    """(keys, pos, p0, p1, p2, n): mean of the class probabilities over the rows of a base."""
     return scored.groupBy(*keys, "pos").agg(F.avg("p0").alias("p0"), F.avg("p1").alias("p1"), F.avg("p2").alias("p2"), F.count("*").alias("n"))
 
 
-def covered(predictions: DataFrame, contigs: DataFrame) -> DataFrame:
-    """A row per base of every sequence; bases in no window have probabilities of 0."""
-    line = contigs.where("length > 0").select("ord", F.col("id").alias("seqid"), F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
-    return line.join(predictions, ["seqid", "ord", "pos"], "left").na.fill(0.0, ["p0", "p1", "p2"]).na.fill(0, ["n"])
+def block_starts(contigs: DataFrame, block: int) -> DataFrame:
+    """(seqid, ord, block, first, n): the blocks of ``block`` positions of every sequence."""
+    starts = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(block)))
+    cut = contigs.where("length > 0").select(F.col("id").alias("seqid"), "ord", "length", starts.alias("first"))
+    return cut.select("seqid", "ord", F.floor(F.col("first") / block).cast("int").alias("block"), "first", F.least(F.lit(block), F.col("length") - F.col("first")).cast("int").alias("n"))
+
+
+def block_means(scored: DataFrame, contigs: DataFrame, block: int) -> DataFrame:
+    """(seqid, ord, pos, p0, p1, p2, n): means over the windows that hold a base, a row per base of every sequence;
+    bases in no window have probabilities of 0.
+
+    ``scored(ord, seqid, block, first, p0, p1, p2)`` has arrays that end with their block. They are the one shuffle,
+    dealt by sequence and block; rows per base are made and summed where a block has arrived. Each block has a
+    row of its own that counts for nothing, so that no base is missing.
+    """
+    none = F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(0.0))
+    empty = block_starts(contigs, block).select("seqid", "ord", "block", "first", none.alias("p0"), none.alias("p1"), none.alias("p2"), F.lit(0).alias("w"))
+    arrays = scored.select("seqid", "ord", "block", "first", "p0", "p1", "p2", F.lit(1).alias("w")).unionByName(empty)
+    dealt = arrays.repartition("seqid", "ord", "block")
+    flat = dealt.select("seqid", "ord", "block", "first", "w", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("k", "p"))
+    keys = ["seqid", "ord", "block", (F.col("first") + F.col("k")).alias("pos")]
+    sums = flat.groupBy(*keys).agg(*[F.sum(f"p.p{k}").alias(f"p{k}") for k in range(3)], F.sum("w").alias("n"))
+    return sums.select("seqid", "ord", "pos", *[(F.col(f"p{k}") / F.greatest("n", F.lit(1))).alias(f"p{k}") for k in range(3)], "n")
 
 
 def runs(labelled: DataFrame, keys: list[str], order: str = "pos", label: str = "label") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.operators.labels import label_intervals, label_runs
-from helixlake.operators.segments import covered, overlap_mean, segments
+from helixlake.operators.segments import block_means, segments
 from helixlake.operators.windows import sequence_windows, window_labels
 from helixlake.plans import kernels
 from helixlake.sources.config import Config, require
@@ -19,10 +19,20 @@ from helixlake.sources.gff import read_gff, write_bedgraph, write_gff
 from helixlake.sources.model import load_model, new_model, save_model
 
 
-def scored_bases(wins: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
-    """(ord, id, pos, p0, p1, p2): the class probabilities of each base of each window.
+#: Doubles in the attention weights of the windows that a task scores at once.
+ATTENTION_CELLS = 1 << 22
+#: Bases of a sequence whose probabilities travel and are averaged together.
+BLOCK = 4096
+#: Doubles of a gradient that travel together.
+CHUNK = 1 << 16
+SCORES = "ord int, id string, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>"
 
-    A task holds one window's attention at a time: heads x length squared doubles.
+
+def scored_blocks(wins: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
+    """(ord, id, block, first, p0, p1, p2): the class probabilities of the bases of each window, as arrays
+    that start at position ``first``, cut where blocks of BLOCK positions end.
+
+    Windows of one length are scored together, as many as ATTENTION_CELLS allows, or one.
     """
     shared = wins.sparkSession.sparkContext.broadcast(params)
     heads, window, scales = config.num_heads, config.window_size, config.cwt_scales
@@ -30,30 +40,42 @@ def scored_bases(wins: DataFrame, params: kernels.Params, config: Config) -> Dat
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                logits, _ = kernels.forward(p, kernels.features(row.seq, scales), heads, window)
-                probs = kernels.softmax(logits)
-                yield pd.DataFrame({"ord": row.ord, "id": row.id, "pos": row.win_start + np.arange(len(probs)), "p0": probs[:, 0], "p1": probs[:, 1], "p2": probs[:, 2]})
-
-    return wins.select("ord", "id", "win_start", "seq").mapInPandas(scores, "ord int, id string, pos int, p0 double, p1 double, p2 double")
+            rows = []
+            for n, same in batch.groupby(batch["seq"].str.len(), sort=True):
+                step = max(1, ATTENTION_CELLS // (heads * int(n) ** 2))
+                for at in range(0, len(same), step):
+                    some = same.iloc[at : at + step]
+                    logits, _ = kernels.forward(p, kernels.features(list(some["seq"]), scales), heads, window)
+                    for row, probs in zip(some.itertuples(index=False), kernels.softmax(logits)):
+                        first = int(row.win_start)
+                        while len(probs):
+                            k = BLOCK - first % BLOCK
+                            rows.append((row.ord, row.id, first // BLOCK, first, *probs[:k].T))
+                            first, probs = first + k, probs[k:]
+            yield pd.DataFrame(rows, columns=["ord", "id", "block", "first", "p0", "p1", "p2"])
+
+    return wins.select("ord", "id", "win_start", "seq").mapInPandas(scores, SCORES)
 
 
 def predictions(contigs: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
     """(seqid, ord, pos, p0, p1, p2, n) of every base of every sequence, forward strand."""
     wins = sequence_windows(contigs, config.window_size, config.window_overlap, "predict")
-    scored = scored_bases(wins, params, config).withColumnRenamed("id", "seqid")
-    return covered(overlap_mean(scored, ["seqid", "ord"]), contigs)
+    return block_means(scored_blocks(wins, params, config).withColumnRenamed("id", "seqid"), contigs, BLOCK)
 
 
-def predict(spark: SparkSession, config: Config) -> DataFrame:
-    """Segments of the configured sequences, written as GFF3, with a BedGraph if one is asked for."""
+def predict(spark: SparkSession, config: Config, strip_whitespace: bool = False) -> DataFrame:
+    """Segments of the configured sequences, written as GFF3, with a BedGraph if one is asked for.
+
+    What comes back is computed again where it is used: the probabilities are kept only while they are written.
+    """
     require(config, "predict")
     params = load_model(spark, config, config.model_path)
-    found = predictions(read_fasta(spark, config.predict_fasta), params, config).persist()
+    found = predictions(read_fasta(spark, config.predict_fasta, strip_whitespace), params, config).persist()
     cut = segments(found)
     write_gff(cut, config.output_gff)
     if config.output_bedgraph:
         write_bedgraph(found, config.output_bedgraph)
+    found.unpersist()
     return cut
 
 
@@ -65,7 +87,8 @@ def training_windows(contigs: DataFrame, features: DataFrame, config: Config) ->
 
 
 def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int) -> tuple[kernels.Params, float, int]:
-    """Sum of the windows' gradients, of their losses, and their number: summed in tasks, then by Spark.
+    """Sum of the windows' gradients, of their losses, and their number: summed in tasks, then by Spark in
+    chunks of CHUNK numbers.
 
     What comes back is as large as the model.
     """
@@ -85,35 +108,43 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
                 flat = np.concatenate([grads[name].ravel() for name in names])
                 total, loss, n = flat if total is None else total + flat, loss + one, n + 1
         if n:
-            yield pd.DataFrame({"at": np.arange(-2, len(total)), "v": np.concatenate([[loss, n], total])})
+            flat = np.concatenate([[loss, n], total])
+            for chunk, at in enumerate(range(0, len(flat), CHUNK)):
+                yield pd.DataFrame({"chunk": [chunk], "v": [flat[at : at + CHUNK]]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "v": [np.sum(np.stack(part["v"]), axis=0)]})
 
-    sums = wins.select("seq", "win_start", "labels").mapInPandas(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
-    found = dict(sums.collect())
-    if not found:
+    made = wins.select("seq", "win_start", "labels").mapInPandas(partial, "chunk int, v array<double>")
+    chunks = made.groupBy("chunk").applyInPandas(summed, "chunk int, v array<double>").collect()
+    shared.destroy()
+    if not chunks:
         return {name: np.zeros_like(v) for name, v in params.items()}, 0.0, 0
-    flat, out, at = np.array([found[k] for k in range(len(found) - 2)]), {}, 0
+    flat, out, at = np.concatenate([r["v"] for r in sorted(chunks)]), {}, 2
     for name in names:
         size = params[name].size
         out[name] = flat[at : at + size].reshape(params[name].shape)
         at += size
-    return out, found[-2], int(found[-1])
+    return out, float(flat[0]), int(flat[1])
 
 
 def fit(wins: DataFrame, config: Config, seed: int = 0) -> tuple[kernels.Params, DataFrame]:
     """Weights and (epoch, loss, windows), by synchronous batches of about ``batch_size`` windows.
 
     Every step sums the gradients of its batch over the cluster and applies one Adam step to their mean;
-    with a batch per window the steps are those of training window by window, in another order.
+    with a batch per window the steps are those of training window by window, in another order. Windows are
+    cached in order of their batch, so that a step's filter passes over the rest by its bounds; epochs take
+    the batches in an order of their own.
     """
     spark = wins.sparkSession
     params, state, step, losses = new_model(config, seed), {}, 0, []
-    kept = wins.persist()
-    batches = max(1, -(-kept.count() // max(1, config.batch_size)))
+    batches = max(1, -(-wins.count() // max(1, config.batch_size)))
+    batch = F.pmod(F.xxhash64("id", "ord", "strand", "win_idx"), F.lit(batches))
+    kept = wins.withColumn("batch", batch).repartitionByRange("batch").sortWithinPartitions("batch").persist()
     for epoch in range(config.num_epochs):
         loss, n = 0.0, 0
-        for b in range(batches):
-            part = kept.where(F.pmod(F.xxhash64("id", "ord", "strand", "win_idx", F.lit(epoch)), F.lit(batches)) == b)
-            grads, one, count = gradients(part, params, config, seed * 1_000_003 + step)
+        for b in np.random.default_rng([seed, epoch]).permutation(batches):
+            grads, one, count = gradients(kept.where(F.col("batch") == int(b)), params, config, seed * 1_000_003 + step)
             if count:
                 step, loss, n = step + 1, loss + one, n + count
                 mean = {name: g / count for name, g in grads.items()}
@@ -123,10 +154,10 @@ def fit(wins: DataFrame, config: Config, seed: int = 0) -> tuple[kernels.Params,
     return params, spark.createDataFrame(losses, "epoch int, loss double, windows int")
 
 
-def train(spark: SparkSession, config: Config, seed: int = 0) -> DataFrame:
+def train(spark: SparkSession, config: Config, seed: int = 0, strip_whitespace: bool = False) -> DataFrame:
     """Fits a model to the configured sequences and annotations and saves it; gives the losses."""
     require(config, "train")
-    wins = training_windows(read_fasta(spark, config.train_fasta), read_gff(spark, config.train_gff), config)
+    wins = training_windows(read_fasta(spark, config.train_fasta, strip_whitespace), read_gff(spark, config.train_gff), config)
     params, losses = fit(wins, config, seed)
     save_model(spark, params, config, config.model_path)
     return losses

@@ -58,20 +58,23 @@ def wavelet(scale: float, length: int) -> np.ndarray:
     return np.exp(-t * t / 2) * np.exp(2j * np.pi * t) / math.sqrt(scale * math.pi**0.25)
 
 
-def features(seq: str, scales: tuple[float, ...]) -> np.ndarray:
-    """[base][re, im of each scale]: the centred convolution with every wavelet, zeros beyond the window.
+def features(seqs: list[str] | str, scales: tuple[float, ...]) -> np.ndarray:
+    """[window][base][re, im of each scale], of windows of one length: the centred convolution with every
+    wavelet, zeros beyond the window. One string gives one window's [base][..].
 
     By FFT on the next power of two; bases that a byte can't hold are 0, as all unknown ones.
     """
-    codes = np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)
-    x = _SIGNAL[codes]
-    n, out = len(x), np.empty((len(x), 2 * len(scales)))
+    if isinstance(seqs, str):
+        return features([seqs], scales)[0]
+    n = len(seqs[0])
+    codes = np.frombuffer("".join(seqs).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(seqs), n)
+    x, out = _SIGNAL[codes], np.empty((len(seqs), n, 2 * len(scales)))
     for k, scale in enumerate(scales):
         psi = wavelet(scale, wavelet_samples(scale, n))
         size = 1 << (n + len(psi) - 2).bit_length() if n + len(psi) > 2 else 1
         full = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(psi, size))
-        part = full[len(psi) // 2 : len(psi) // 2 + n]
-        out[:, 2 * k], out[:, 2 * k + 1] = part.real, part.imag
+        part = full[:, len(psi) // 2 : len(psi) // 2 + n]
+        out[..., 2 * k], out[..., 2 * k + 1] = part.real, part.imag
     return out
 
 
@@ -101,15 +104,18 @@ def norm_back(dy: np.ndarray, gamma: np.ndarray, cache: tuple) -> tuple[np.ndarr
 
 
 def heads_of(x: np.ndarray, heads: int) -> np.ndarray:
-    return x.reshape(len(x), heads, -1).transpose(1, 0, 2)
+    return x.reshape(*x.shape[:-1], heads, -1).swapaxes(-3, -2)
 
 
 def joined(x: np.ndarray) -> np.ndarray:
-    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+    return x.swapaxes(-3, -2).reshape(*x.shape[:-3], x.shape[-2], -1)
 
 
 def forward(p: Params, x: np.ndarray, heads: int, window: int, rate: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
-    """Logits of each base and what ``backward`` needs. Post-norm encoder; dropout only with a generator."""
+    """Logits of each base and what ``backward`` needs, of one window or of several of one length.
+
+    Post-norm encoder; dropout only with a generator.
+    """
 
     def drop(v: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
         if rng is None or rate <= 0:
@@ -117,12 +123,12 @@ def forward(p: Params, x: np.ndarray, heads: int, window: int, rate: float = 0.0
         mask = np.zeros_like(v) if rate >= 1 else (rng.random(v.shape) >= rate) / (1 - rate)
         return v * mask, mask
 
-    h = x @ p["projection"] + position_codes(window, p["projection"].shape[1])[np.arange(len(x)) % window]
+    h = x @ p["projection"] + position_codes(window, p["projection"].shape[1])[np.arange(x.shape[-2]) % window]
     kept, layer = [], 0
     while f"{layer}.wq" in p:
         w = {name.split(".")[1]: v for name, v in p.items() if name.startswith(f"{layer}.")}
         q, k, v = (heads_of(h @ w[name], heads) for name in ("wq", "wk", "wv"))
-        a = softmax(q @ k.transpose(0, 2, 1) / math.sqrt(q.shape[-1]))
+        a = softmax(q @ k.swapaxes(-1, -2) / math.sqrt(q.shape[-1]))
         mixed = joined(a @ v)
         out, m1 = drop(mixed @ w["wo"])
         n1, c1 = norm(h + out, w["g1"], w["e1"])

@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def parse_fasta(files: DataFrame, strip_whitespace: bool = False) -> DataFrame:
-    """(ord, id, seq, length) of the records of FASTA texts, ``files(value)`` with one text per row.
+def _records(chunks: DataFrame, strip_whitespace: bool) -> DataFrame:
+    """(ord, id, seq, length) of the chunks (file, block, at, value) between the marks of records.
 
-    ``>`` at the start of a line begins a record, whose id runs to the first white space; text before
-    the first record is ignored; lines lose their line ends only, so blanks inside a line stay bases,
-    unless ``strip_whitespace``. Empty records and duplicate ids are kept; ``ord`` is the place in the file.
+    ``at`` orders the chunks of a block without gaps. The first chunk of a file is a record only if it
+    starts with a mark itself. Records are numbered over all files, in order of their names, by the counts of
+    the blocks: a table of a row per block, while the sequences stay where they were read.
     """
-    parts = files.select(F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("k", "record")).where("k > 0")
+    opens = F.min_by(F.startswith("value", F.lit(">")), "at")
+    blocks = chunks.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("start"), opens.alias("opens"))
+    order = Window.orderBy("file", "block")
+    first = F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1
+    counted = blocks.withColumn("preamble", first & ~F.col("opens")).withColumn("skip", F.col("preamble").cast("int"))
+    before = F.coalesce(F.sum(F.col("n") - F.col("skip")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "start", "skip", first.alias("first"), before.alias("before"))
+    joined = chunks.join(placed, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    at = F.col("at") - F.col("start")
+    kept = joined.where(~((F.col("skip") == 1) & (at == 0)))
+    record = F.when(F.col("first") & (at == 0), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    named = kept.select((F.col("before") + at - F.col("skip")).cast("int").alias("ord"), record.alias("record"))
     head = F.regexp_extract("record", r"^([^\s]*)", 1)
     body = F.when(F.instr("record", F.lit("\n")) > 0, F.regexp_replace("record", r"^[^\n]*\n", "")).otherwise("")
     seq = F.regexp_replace(body, r"\r*(\n|$)", "")
     if strip_whitespace:
         seq = F.regexp_replace(seq, r"\s", "")
-    made = parts.select((F.col("k") - 1).alias("ord"), head.alias("id"), seq.alias("seq"))
-    return made.withColumn("length", F.length("seq"))
+    return named.select("ord", head.alias("id"), seq.alias("seq")).withColumn("length", F.length("seq"))
+
+
+def parse_fasta(files: DataFrame, strip_whitespace: bool = False) -> DataFrame:
+    """(ord, id, seq, length) of the records of FASTA texts, ``files(value)`` with one text per row; with a
+    column ``file``, its order is that of the texts.
+
+    ``>`` at the start of a line begins a record, whose id runs to the first white space; text before
+    the first record is ignored; lines lose their line ends only, so blanks inside a line stay bases,
+    unless ``strip_whitespace``. Empty records and duplicate ids are kept; ``ord`` tells records apart.
+    """
+    file = F.col("file") if "file" in files.columns else F.lit("")
+    chunks = files.select(file.alias("file"), F.posexplode(F.split("value", "\n>")).alias("at", "value"))
+    return _records(chunks.select("file", F.lit(0).alias("block"), "at", "value"), strip_whitespace)
 
 
 def read_fasta(spark: SparkSession, path: str, strip_whitespace: bool = False) -> DataFrame:
-    """A file is one row until its records are split, so one file must stay below 2 GB; many files
-    (one per chromosome, say) are read in parallel. ``ord`` counts within each file."""
-    return parse_fasta(spark.read.text(path, wholetext=True), strip_whitespace)
+    """The records of one or many files, as ``parse_fasta`` gives them.
+
+    A row is a record from the start: files are split between records, whatever their size. A sequence has to
+    stay below 2 GB.
+    """
+    read = spark.read.option("lineSep", "\n>").text(path)
+    chunks = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return _records(chunks, strip_whitespace)

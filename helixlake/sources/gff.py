@@ -45,11 +45,12 @@ def gff_lines(segments: DataFrame, source: str, id_prefix: str, unique_ids: bool
 
 
 def write_gff(segments: DataFrame, path: str, source: str = "helixlake", id_prefix: str = "pred_", unique_ids: bool = False) -> None:
-    """One text file, header first, in order of sequence and position. Segments are few beside bases."""
+    """Range-partitioned by sequence and position: the files, in order of name, are the whole in order, the
+    header first."""
     spark = segments.sparkSession
     head = spark.createDataFrame([(-1, 0, "##gff-version 3")], "ord int, start int, value string")
     rows = head.unionByName(gff_lines(segments, source, id_prefix, unique_ids))
-    rows.orderBy("ord", "start").coalesce(1).select("value").write.mode("overwrite").text(path)
+    rows.orderBy("ord", "start").select("value").write.mode("overwrite").text(path)
 
 
 def c_rounded(p, digits: int = 4):

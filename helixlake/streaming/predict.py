@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from helixlake.operators.segments import segments
@@ -18,10 +19,11 @@ def predict_stream(spark: SparkSession, folder: str, params: kernels.Params, con
     Sequences don't reach across files, so each micro-batch is predicted by itself and no state is
     kept. A batch that is run again after a failure replaces its own output only.
     """
-    files = spark.readStream.schema("value string").text(folder, wholetext=True)
+    files = spark.readStream.schema("value string").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
-    def batch(contigs: DataFrame, number: int) -> None:
-        segments(predictions(contigs.persist(), params, config)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def batch(arrived: DataFrame, number: int) -> None:
+        contigs = parse_fasta(arrived).persist()
+        segments(predictions(contigs, params, config)).write.mode("overwrite").parquet(f"{out}/batch={number}")
         contigs.unpersist()
 
-    return parse_fasta(files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -184,12 +184,16 @@ def test_class_of_ties(spark, p, label):
     assert row.k == label
 
 
-def test_covered_fills_tails(spark):
+def test_block_means_fill_tails(spark):
+    """A row per base; means where windows overlap; also over the ends of blocks."""
     contigs, _ = frames(spark)
-    some = spark.createDataFrame([("c", 0, 3, 0.2, 0.3, 0.5, 2)], "seqid string, ord int, pos int, p0 double, p1 double, p2 double, n bigint")
-    rows = segments.covered(some, contigs).collect()
-    assert len(rows) == 72
-    assert sorted({(r.p0, r.p1, r.p2, r.n) for r in rows}) == [(0.0, 0.0, 0.0, 0), (0.2, 0.3, 0.5, 2)]
+    some = [("c", 0, 0, 3, [0.2], [0.3], [0.5]), ("c", 0, 0, 2, [0.0, 0.4], [0.5, 0.1], [0.5, 0.5]), ("c", 0, 1, 5, [1.0], [0.0], [0.0])]
+    scored = spark.createDataFrame(some, "seqid string, ord int, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>")
+    rows = segments.block_means(scored, contigs, 5).collect()
+    assert len(rows) == len({(r.seqid, r.ord, r.pos) for r in rows}) == 72
+    found = {r.pos: (round(r.p0, 9), round(r.p1, 9), round(r.p2, 9), r.n) for r in rows if r.n}
+    assert found == {2: (0.0, 0.5, 0.5, 1), 3: (0.3, 0.2, 0.5, 2), 5: (1.0, 0.0, 0.0, 1)}
+    assert all((r.p0, r.p1, r.p2) == (0.0, 0.0, 0.0) for r in rows if not r.n)
 
 
 def matrix(spark, a):

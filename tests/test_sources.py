@@ -26,6 +26,25 @@ def test_fasta_file(spark, tmp_path):
     assert [(r.id, r.seq) for r in rows] == [("s1", "ACGT"), ("s2", "TT")]
 
 
+def test_fasta_files_of_one_id(spark, tmp_path):
+    """Records of several files keep apart; split files give the same records."""
+    (tmp_path / "a.fa").write_text("junk\n>c\nACGT\n>d\n" + "ACGTT\n" * 3000 + ">c\nTT\n")
+    (tmp_path / "b.fa").write_text(">c x\r\nGG\r\nA\r\n>>odd\nT")
+    (tmp_path / "c.fa").write_text("no record\nat all")
+    (tmp_path / "d.fa").write_text("\n>e\nA")
+    expected = [(0, "c", 4), (1, "d", 15_000), (2, "c", 2), (3, "c", 3), (4, ">odd", 1), (5, "e", 1)]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (kept, "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_fasta(spark, str(tmp_path / "*.fa")).orderBy("ord").collect()
+            assert [(r.ord, r.id, r.length) for r in rows] == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    whole = spark.read.text(str(tmp_path / "*.fa"), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    assert [(r.ord, r.id, r.length) for r in parse_fasta(whole).orderBy("ord").collect()] == expected
+
+
 def test_gff_edges(spark):
     lines = [
         "##gff-version 3",
