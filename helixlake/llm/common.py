@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,10 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps that are over: it does so when the driver's garbage
     collection finds them unused, which on a driver with a roomy heap may be long after the disks are full."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first finds the plans that hold them
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def running_sums(values: Column, block: int = 256) -> Column:

@@ -3,23 +3,27 @@
 A line is the set of its words; a line goes if an earlier one, by (document id, MD5 of the text, line number), has a
 Jaccard similarity of 0.8 or more to it, kept or not. Equal lines are one class. The words of a set
 are ordered by rarity (frequency in the corpus, counted over all lines in a table of fixed size, then
-by hash); two similar sets share a word among their first ones (prefix filter), have like sizes
-(length filter), and can still reach the overlap from where that word stands (positional filter). A
-64-bit map of each set rejects most chance pairs: sets differ in at least as many words as their maps
-differ in bits. What is left is verified on the whole sets.
+by hash).
 
-Every line needs one earlier match only. Lines of one word's bucket are paired out while the bucket is
-small; in a large one, as a group of many near copies makes, they first meet its earliest line, and
-only those that nothing settles meet all earlier lines of it. Built-in functions only.
+Prefix filter. A single rare word of a large corpus still stands in very many lines, so the prefix is made of
+grams: two neighbours in the order of rarity, or three where two are too frequent to tell lines apart. A
+word that one set lacks breaks the grams around it only, so similar sets share a gram among their first
+ones (``_places`` has the bound). Length filter: like sizes. Positional filter: from where
+the grams stand the overlap can still be reached. What is left is verified on the whole sets.
+
+Every line needs one earlier match only. Lines of a gram's bucket first meet its earliest line, then its first few,
+as a family of near copies has a match there; those that nothing settles meet all earlier lines of it.
+Built-in functions only.
 
 Defined results: a null text has no lines; lines without words are never removed; rows that repeat an
-id and text count as one and share their fate, other texts of that id are their own; null ids sort first. Words are held as hashes: of 44
-bits for order and candidates, where words that agree by chance only add candidates, and of 64 bits
-in the verification.
+id and text count as one and share their fate, other texts of that id are their own; null ids sort first. Words are
+held as hashes: of 44 bits for order and candidates, and of 64 bits in the verification.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +31,22 @@ from helixlake.llm.common import discard, let, release, stored, texts
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Places of the frequency table; it is counted by Spark and handed to the rows as one literal.
-TABLE = 1 << 18
-#: Lines of a word's bucket that are paired out at once.
-BUCKET = 400
-#: Up to so many lines (8 bytes each) are named to a scan by broadcast; more are joined by shuffle.
+TABLE = 1 << 17
+#: Words of a line that the choice of a gram's length reckons with, and lines that may share one by chance.
+#: Both decide the cost only.
+NOMINAL_LINE, BY_CHANCE = 32, 1 / 8
+#: Sets of up to so many words have grams of two words only: three need longer sets to survive an edit.
+#: Those that may be similar to a larger set have both kinds.
+SHORT = 12
+#: Grams that similar sets of more than SHORT words have in common at least, as so many are shown beyond the first.
+SHARED = 3
+#: Earliest lines of a bucket that open lines meet before they meet all.
+FIRST = 16
+#: Up to so many lines (24 bytes each) are named to a scan by broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
 INTS = "array<int>"
+HASH_BITS = 44
 
 
 def _words(line: Column) -> Column:
@@ -55,54 +68,45 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return flat.where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def rarity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[str, int]:
-    """Quarter-octave frequencies of the words of all lines by hash, as a JSON list of TABLE numbers; and
-    the greatest line number of texts with a word."""
-    value = texts(docs, text)
-    flat = F.replace(value, F.lit("\n"), F.lit(" "))
-    last = F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))
-    held = docs.select(last.alias("last"), _words(flat).alias("ws"))
-    words = held.select("last", F.explode_outer("ws").alias("w")).where("w IS NOT NULL")
-    placed = words.select("last", F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
-    counted = placed.groupBy("at").agg(F.count("*").alias("n"), F.max("last").alias("most"))
-    rows = counted.select("at", F.floor(F.log2("n") * 4).cast("int").alias("rank"), "most").collect()
-    found = {r["at"]: r["rank"] for r in rows}
-    table = "[" + ",".join(str(min(127, found.get(k, 0))) for k in range(TABLE)) + "]"
-    return table, max((r["most"] for r in rows), default=0)
+def rarity(lines: DataFrame) -> tuple[str, int]:
+    """Quarter-octave frequencies of the words of all ``lines`` by hash, as a JSON list of TABLE numbers, in
+    the places that keys have them; and the greatest rank sum of two words that make a gram."""
+    words = lines.select(F.explode_outer(_words(F.col("line"))).alias("w"))
+    placed = words.select(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
+    counts = dict(placed.groupBy("at").agg(F.count("*").alias("n")).collect())
+    ranks = (min(127, math.floor(4 * math.log2(counts[k]))) << HASH_BITS if k in counts else 0 for k in range(TABLE))
+    n = max(1, sum(counts.values()) // NOMINAL_LINE)
+    return "[" + ",".join(map(str, ranks)) + "]", math.floor(4 * math.log2(max(1, n * BY_CHANCE)))
 
 
 def ordered(line: Column, table: str) -> Column:
     """The set of a line's words, rarest first: 7 bits of frequency, 44 of hash."""
-    counts = F.from_json(F.lit(table), INTS)
+    ranks = F.from_json(F.lit(table), "array<bigint>")
 
     def key(h: Column) -> Column:
-        rank = F.get(counts, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")).cast("bigint")
-        return F.shiftleft(rank, 44).bitwiseOR(F.shiftrightunsigned(h, 20))
+        return F.get(ranks, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
     return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
 
 
-def _bits(keys: Column) -> Column:
-    """A 64-bit map of a set."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
-
-
 class Places:
     """Places of lines, (document id, copy, line number), as numbers in the same order.
 
     Ids that have one text each are packed with the line number; else their texts are numbered.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, last_line: int):
-        least, most = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-        self.shift = max(1, last_line.bit_length())
+    def __init__(self, docs: DataFrame, doc_id: str, text: str):
+        value = docs[text].cast("string")
+        each = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(value).alias("h"), F.octet_length(value).alias("size"))
+        ids = each.groupBy("doc_id").agg(F.max("size").alias("size"), (F.min("h") != F.max("h")).alias("several"))
+        least, most, size, several = ids.agg(F.min("doc_id"), F.max("doc_id"), F.max("size"), F.coalesce(F.max("several"), F.lit(False))).first()
+        self.shift = max(1, (size or 0).bit_length())  # a text has fewer lines than bytes and one
         self.least = least
         self.dense = None
         whole = dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint")
-        held = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(docs, text).alias("copy"))
         packed = whole and (least is None or (most - least + 2).bit_length() + self.shift <= 62)
-        if not packed or not held.groupBy("doc_id").agg((F.min("copy") != F.max("copy")).alias("several")).where("several").isEmpty():
+        if not packed or several:
+            held = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(docs, text).alias("copy"))
             self.dense = self._numbered(held.distinct())
 
     @staticmethod
@@ -132,145 +136,200 @@ def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")]
 
 
-def classes(lines: DataFrame, table: str) -> DataFrame:
-    """A row per line text: a, b (its hash), first (its earliest place), again (whether it has more
-    places), n, bits, prefix (of its set of words)."""
-    keyed = lines.select("place", *_identity(), ordered(F.col("line"), table).alias("keys"))
+def _rank(key: Column) -> Column:
+    return F.shiftrightunsigned(key, HASH_BITS)
 
-    def shown(keys: Column) -> Column:
-        n = F.size(keys)
-        return F.struct(n.alias("n"), _bits(keys).alias("bits"), F.slice(keys, 1, n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"))
 
-    rows = keyed.select("place", "a", "b", let(F.col("keys"), shown).alias("s")).select("place", "a", "b", "s.*")
-    return rows.groupBy("a", "b").agg(
-        F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("again"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
-    )
+def _lacking(n: Column) -> Column:
+    """Words of a set of n that a similar one lacks, at most."""
+    return F.floor(n / 5).cast("int")
 
 
-def _size(ni: Column) -> Column:
-    return F.shiftright(ni, 32)
+def _places(n: Column, keys: Column, most: int) -> tuple[Column, Column]:
+    """How many grams of two words, and of two or three, a set of ``n`` words shows.
 
+    Where x lacks no more than ``a`` words of y and y no more than ``b`` of x, the similarity of 4/5 has
+    a <= n / 5 and a + b <= (n - a) / 4. To break all grams of length g at the first places, every g of them
+    take a word that y lacks, or every g - 1 a word that only y has, put between: so a + (g - 1) (n - a) / 4
+    places can be broken, most of them where a is greatest, and those after them can't. Grams of two words, which
+    come first as ranks only rise, are broken by twos: half a place less for each of them.
+    """
+    a = _lacking(n)
+    two = F.least(n - 1, a + F.floor((n - a) / 4).cast("int") + 1)
+    short = F.when(n == 1, F.lit(1)).when(n <= SHORT, two).otherwise(F.lit(0))
 
-def _place_of(ni: Column) -> Column:
-    return ni.bitwiseAND(F.lit(0xFFFFFFFF))
+    def enough(end: Column) -> Column:
+        """Whether the gram before place ``end`` has two words, and so all before it."""
+        return _rank(F.get(keys, end - 1)) + _rank(F.get(keys, end)) <= most
 
+    def adaptive(bound: Column) -> Column:
+        parts = [F.floor(bound * k / 4).cast("int") for k in (3, 2, 1)]
+        pairs = F.when(enough(bound), bound)
+        for part in parts:  # fewer than there are do no harm
+            pairs = pairs.when((part > 0) & enough(F.greatest(part, F.lit(1))), part)
+        three = a + F.floor((n - a) / 2).cast("int") + SHARED
+        return let(pairs.otherwise(F.lit(0)), lambda r: F.when(r == bound, bound).otherwise(F.least(n - 2, three - F.floor(r / 2).cast("int"))))
 
-def _alike(x: str, y: str) -> Column:
-    """The length, positional and map filters for rows x and y of one word, in integers: a Jaccard
-    similarity of 4/5 takes an overlap of 4/9 of both sizes together, and the sets share no more than what
-    the shorter stretch before the word, the word, and the shorter stretch after it hold."""
-    nx, ny = _size(F.col(f"{x}.ni")), _size(F.col(f"{y}.ni"))
-    ix, iy = _place_of(F.col(f"{x}.ni")), _place_of(F.col(f"{y}.ni"))
-    reach = F.least(ix, iy) + 1 + F.least(nx - ix - 1, ny - iy - 1)
-    apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
-    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * reach >= 4 * (nx + ny)) & (9 * (nx + ny - apart) >= 8 * (nx + ny))
+    more = F.least(n - 2, two + SHARED - 1)
+    return short, F.when(n >= F.lit(math.ceil((SHORT + 1) * 4 / 5)), let(more, adaptive)).otherwise(F.lit(0))
 
 
-def _prefix(n: Column) -> Column:
-    return n - F.ceil(n * 4 / 5) + 1
+def several(lines: DataFrame) -> DataFrame:
+    """a, b (hash of the line), first (its earliest place) of the lines that stand in several places."""
+    counted = lines.select("place", *_identity()).groupBy("a", "b").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    return stored(counted.where("first < last").drop("last"), "line-firsts")
 
 
-def _reached(rows: DataFrame) -> DataFrame:
-    """(x, y) of the pairs that can be similar by where and how often their prefixes meet.
+def firsts(lines: DataFrame, again: DataFrame) -> DataFrame:
+    """place, line: each line text once, where it stands first."""
+    few = F.broadcast(again) if again.count() <= BROADCAST_LINES else again
+    return lines.select("place", "line", *_identity()).join(few, ["a", "b"], "left").where("first IS NULL OR place = first").select("place", "line")
 
-    ``rows``: x, y, xni, yni for every word that the prefixes share. From their first shared word on there
-    must be enough words left (positional filter). And each set has at most n - overlap words that the
-    other lacks, so of the shared words as many as the shorter prefix has more than that stand in both.
-    """
-    met = rows.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("xni").alias("xni"), F.min("yni").alias("yni"))
-    nx, ny, ix, iy = _size(F.col("xni")), _size(F.col("yni")), _place_of(F.col("xni")), _place_of(F.col("yni"))
-    least = F.ceil((nx + ny) * 4 / 9)
-    reach = 1 + F.least(nx - ix - 1, ny - iy - 1)
-    common = F.least(_prefix(nx) - (nx - least), _prefix(ny) - (ny - least))
-    return met.where((reach >= least) & (F.col("c") >= common)).select("x", "y")
 
+def shown(lines: DataFrame, table: str, most: int) -> DataFrame:
+    """place, n (words), short and long (numbers of grams), keys (the rarest words) of each line."""
 
-def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y), y earlier, of lines to verify; and the rows of the large buckets: key, s (id, ni, bits).
+    def of_keys(keys: Column) -> Column:
+        n = F.size(keys)
+        short, long_ = _places(n, keys, most)
+        return let(
+            F.struct(short.alias("short"), long_.alias("long")),
+            lambda s: F.struct(n.alias("n"), s["short"].alias("short"), s["long"].alias("long"), F.slice(keys, 1, F.greatest(s["short"] + 1, s["long"] + 2)).alias("keys")),
+        )
+
+    return lines.select("place", let(ordered(F.col("line"), table), of_keys).alias("s")).select("place", "s.*")
+
+
+def grams(lines: DataFrame, most: int) -> DataFrame:
+    """(key, id, ni): the grams that stand for each line, with the number of its words and the gram's place."""
+    spread = lines.select("place", "n", "short", "keys", F.explode(F.sequence(F.lit(0), F.col("short") + F.col("long") - 1)).alias("k"))
+    i = F.when(F.col("k") < F.col("short"), F.col("k")).otherwise(F.col("k") - F.col("short"))
+    x, y, z = (F.get("keys", i + j) for j in range(3))
+    third = F.when((F.col("k") >= F.col("short")) & (_rank(x) + _rank(y) > most), z)
+    ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(i.cast("bigint"))
+    return spread.select(F.xxhash64((F.col("k") < F.col("short")), x, y, third).alias("key"), F.col("place").alias("id"), ni.alias("ni"))
+
+
+def _alike(xni: Column, yni: Column) -> Column:
+    """The length and positional filters for two lines of one gram, in integers: a Jaccard similarity of
+    4/5 takes an overlap of 4/9 of both sizes together, and the sets share no more than what the shorter
+    stretches before and after the gram's first word hold, and that word."""
+    nx, ny = F.shiftright(xni, 32), F.shiftright(yni, 32)
+    ix, iy = xni.bitwiseAND(F.lit(0xFFFFFFFF)), yni.bitwiseAND(F.lit(0xFFFFFFFF))
+    reach = F.least(ix, iy) + F.least(nx - ix, ny - iy)
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * reach >= 4 * (nx + ny))
+
+
+def _need(ni: Column) -> Column:
+    """Grams that a line shares with any similar one, at least."""
+    return F.when(F.shiftright(ni, 32) > SHORT, SHARED).otherwise(1)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """key, id, ni, rank, lead, lead_ni: the rows of buckets of two lines or more that the filters leave, with
+    their rank by place and the earliest line of the bucket; of lines with enough such rows."""
+    bucket = Window.partitionBy("key").orderBy("id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = rows.withColumns(
+        {"rank": F.row_number().over(bucket), "size": F.count("*").over(whole), "lead": F.first("id").over(whole), "lead_ni": F.first("ni").over(whole), "last_ni": F.last("ni").over(whole)}
+    )
+    kept = ranked.where((F.col("size") > 2) | (F.col("size") == 2) & _alike(F.col("lead_ni"), F.col("last_ni")))
+    kept = stored(kept.drop("size", "last_ni"), "line-buckets")
+    release(rows.sparkSession)
+    counted = kept.groupBy("id").agg(F.count("*").alias("c"), F.max("ni").alias("ni")).where(F.col("c") >= _need(F.col("ni")))
+    enough = stored(counted.select("id"), "line-places")
+    few = F.broadcast(enough) if enough.count() <= BROADCAST_LINES else enough
+    found = stored(kept.join(few, "id", "left_semi"), "line-buckets")
+    discard(kept)
+    discard(enough)
+    return found
 
-    Both come from one pass over the prefixes, dealt by word once. A pair that meets in a large bucket too
-    may have been counted short here; its lines meet there again if nothing else settles the later one.
-    """
-    flat = reps.select("first", "n", "bits", F.posexplode("prefix").alias("i", "key"))
-    ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint"))
-    # the filter stands in all three uses, as joins would add it to theirs: one exchange serves all
-    rows = flat.select("key", F.col("first").alias("id"), ni.alias("ni"), "bits").where("key IS NOT NULL")
-    bucket = Window.partitionBy("key")
-    s = F.struct("id", "ni", "bits")
-    lead = [F.min("id").over(bucket), F.min_by("ni", "id").over(bucket), F.min_by("bits", "id").over(bucket)]
-    met = rows.withColumns({"size": F.count("*").over(bucket)} | dict(zip(("lead_id", "lead_ni", "lead_bits"), lead, strict=True)))
-    small = met.where(F.col("size").between(2, BUCKET))
-    x = small.select("key", s.alias("x"))
-    y = small.select(F.col("key").alias("k"), s.alias("y"))
-    near = x.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
-    big = met.where(F.col("size") > BUCKET).select("key", s.alias("x"), F.struct(F.col("lead_id").alias("id"), F.col("lead_ni").alias("ni"), F.col("lead_bits").alias("bits")).alias("y"))
-    pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.ni").alias("xni"), F.col("y.ni").alias("yni")]
-    none = [F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("struct<id:bigint,ni:bigint,bits:bigint>").alias("s")]
-    # a row of a large bucket is kept, with the pair that it makes with the earliest line, if any
-    led = F.when((F.col("y.id") < F.col("x.id")) & _alike("x", "y"), F.col("y.id")).alias("y")
-    starred = big.select(pair[0], led, *pair[2:], "key", F.col("x").alias("s"))
-    found = stored(near.select(*pair, *none).unionByName(starred), "line-candidates")
-    large = found.where("key IS NOT NULL").select("key", "s")
-    alone = _reached(found.where("y IS NOT NULL AND key IS NULL").select("x", "y", "xni", "yni"))
-    led_pairs = found.where("y IS NOT NULL AND key IS NOT NULL").select("x", "y")
-    return alone.unionByName(led_pairs).distinct(), large
-
-
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """x of the pairs (x, y) of places whose lines are similar.
-
-    Pairs first meet with maps of 256 bits, a tenth of a line's set, and few go on to the sets.
-    """
-    pairs = stored(pairs, "line-pairs")
-    need = stored(pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct(), "line-places")
-    few = F.broadcast(need) if need.count() <= BROADCAST_LINES else need
+
+def _sets(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """place, a, b, t: the sets of words of some lines."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
     named = lines.select("place", "line").join(few, "place", "left_semi").dropDuplicates(["place"])
     tokens = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = stored(named.select("place", tokens.alias("t")), "line-sets")
+    return stored(named.select("place", *_identity(), tokens.alias("t")), "line-sets")
+
+
+def _maps(sets: DataFrame) -> DataFrame:
+    """place, m (number of words, 256 bits): sets differ in at least as many words as their maps do in bits."""
+    one = F.lit(1).cast("bigint")
 
     def part(k: int) -> Column:
-        return _bits(F.transform(F.filter("t", lambda h: h.bitwiseAND(F.lit(3)) == k), lambda h: F.shiftright(h, 2)))
-
-    maps = stored(sets.select("place", F.struct(F.size("t").alias("n"), *[part(k).alias(f"m{k}") for k in range(4)]).alias("m")), "line-maps")
-    mapped = pairs.join(maps.select(F.col("place").alias("x"), F.col("m").alias("mx")), "x").join(maps.select(F.col("place").alias("y"), F.col("m").alias("my")), "y")
-    total = F.col("mx.n") + F.col("my.n")
-    apart = sum(F.bit_count(F.col(f"mx.m{k}").bitwiseXOR(F.col(f"my.m{k}"))) for k in range(4))
-    likely = stored(mapped.where(9 * (total - apart) >= 8 * total).select("x", "y"), "likely-pairs")
-    left = likely.join(sets.select(F.col("place").alias("x"), F.col("t").alias("tx")), "x")
-    both = left.join(sets.select(F.col("place").alias("y"), F.col("t").alias("ty")), "y")
+        own = F.filter("t", lambda h: h.bitwiseAND(F.lit(3)) == k)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda m, h: m.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))))
+
+    return stored(sets.select("place", F.struct(F.size("t").alias("n"), *[part(k).alias(f"m{k}") for k in range(4)]).alias("m")), "line-maps")
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether two sets may be similar by their maps."""
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))) for k in range(4))
+    return 9 * (total - apart) >= 8 * total
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x of the pairs (x, y) of places whose lines are similar."""
+    pairs = stored(pairs, "line-pairs")
+    need = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
+    few = F.broadcast(need) if need.count() <= BROADCAST_LINES else need
+    named = sets.select("place", "t").join(few, "place", "left_semi")
+    left = pairs.join(named.select(F.col("place").alias("x"), F.col("t").alias("tx")), "x")
+    both = left.join(named.select(F.col("place").alias("y"), F.col("t").alias("ty")), "y")
     shared = F.size(F.array_intersect("tx", "ty"))
     found = stored(both.where(9 * shared >= 4 * (F.size("tx") + F.size("ty"))).select("x").distinct(), "similar")
-    for old in (need, sets, maps, likely, pairs):
-        discard(old)
-    release(lines.sparkSession)
+    discard(pairs)
+    return found
+
+
+def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """x: the places of lines that are similar to an earlier one.
+
+    The earliest lines of the buckets come first, those that promise most; what they leave open meets all that
+    the filters and maps allow.
+    """
+    pair = F.col("id").alias("x"), F.col("lead").alias("y")
+    own = met.where((F.col("rank") > 1) & _alike(F.col("ni"), F.col("lead_ni"))).groupBy(*pair).agg(F.count("*").alias("c"), F.max("ni").alias("ni"))
+    promising = own.where(F.col("c") >= F.least(_need(F.col("ni")), F.lit(2)))
+    found = _similar(promising.groupBy("x").agg(F.max_by("y", "c").alias("y")), sets)
+    maps = _maps(sets)
+    for upper in (FIRST, None):
+        late = met.where("rank > 1").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
+        late = stored(late.join(maps, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm")), "open-lines")
+        earlier = met.where(F.col("rank") <= upper if upper else F.lit(True)).join(late.select("key").distinct(), "key", "left_semi")
+        earlier = earlier.join(maps, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"))
+        near = late.join(earlier, (F.col("key") == F.col("k")) & (F.col("y") < F.col("id")) & _alike(F.col("ni"), F.col("yni")) & _near("xm", "ym"))
+        shared = near.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c"), F.max("ni").alias("ni"), F.max("yni").alias("yni"))
+        # of the earliest lines only, the one that promises most
+        enough = shared.where(F.col("c") >= F.least(_need(F.col("ni")), _need(F.col("yni"))))
+        more = _similar(enough.groupBy("x").agg(F.max_by("y", "c").alias("y")) if upper else enough.select("x", "y"), sets)
+        discard(late)
+        found = found.unionByName(more)
+    discard(maps)
     return found
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, copy, line_no) of every line to remove."""
-    table, last_line = rarity(docs, doc_id, text)
-    lines = Places(docs, doc_id, text, last_line).of(_lines(docs, doc_id, text))
-    reps = stored(classes(lines, table), "line-classes")
-    release(docs.sparkSession)
-    pairs, big = _candidates(reps)
-    release(docs.sparkSession)
-    found = _similar(pairs, lines)
-    # lines of large buckets that no match settled meet all earlier lines there
-    late = big.join(found.select(F.col("x").alias("settled")), F.col("s.id") == F.col("settled"), "left_anti")
-    late = stored(late.select("key", F.col("s").alias("x")), "open-lines")
-    if not late.isEmpty():
-        y = big.select(F.col("key").alias("k"), F.col("s").alias("y"))
-        rest = late.join(y, (F.col("key") == F.col("k")) & (F.col("y.id") < F.col("x.id")) & _alike("x", "y"))
-        found = found.unionByName(_similar(rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), lines))
-    discard(big)
-    discard(late)
-    gone = found.distinct().withColumn("gone", F.lit(True))
-    fates = reps.select("a", "b", "first", "again").join(gone, F.col("first") == F.col("x"), "left").where("again OR gone")
-    fates = stored(fates.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
-    discard(reps)
+    lines = Places(docs, doc_id, text).of(_lines(docs, doc_id, text))
+    again = several(lines)
+    once = firsts(lines, again)
+    table, most = rarity(once)
+    met = _met(grams(shown(once, table, most), most))
+    sets = _sets(stored(met.select(F.col("id").alias("place")).distinct(), "line-places"), lines)
+    gone = _matched(met, sets)
+    gone = sets.join(gone.select(F.col("x").alias("place")), "place", "left_semi").select("a", "b", F.col("place").alias("first"), F.lit(True).alias("gone"))
+    fates = again.withColumn("gone", F.lit(False)).unionByName(gone).groupBy("a", "b").agg(F.min("first").alias("first"), F.max("gone").alias("gone"))
+    fates = stored(fates, "line-fates")
+    for old in (met, sets, again):
+        discard(old)
     release(docs.sparkSession)
+    few = F.broadcast(fates) if fates.count() <= BROADCAST_LINES else fates
     placed = lines.select("doc_id", "copy", "line_no", "place", *_identity())
-    return placed.join(fates, ["a", "b"]).where("gone OR place > first").select("doc_id", "copy", "line_no").distinct()
+    return placed.join(few, ["a", "b"]).where("gone OR place > first").select("doc_id", "copy", "line_no").distinct()
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,14 +339,22 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """``docs`` with the repeated lines cut from their texts, and a column ``removed`` of their numbers,
-    which replaces one of that name."""
-    gone = removed_lines(docs, doc_id, text).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("removed").alias("_removed")), "removed-lines")
-    marked = docs.join(gone.hint("shuffle_hash"), docs[doc_id].eqNullSafe(gone["_id"]) & (copy_of(docs, text) == gone["_copy"]), "left").drop("_id", "_copy")
-    none = F.coalesce("_removed", F.array().cast(INTS))
+    which replaces one of that name.
+
+    What to cut is broadcast where it is small, else joined by shuffle.
+    """
+    gone = removed_lines(docs, doc_id, text).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("cut"))
+    gone = stored(gone, "removed-lines")
+    lines, rows = gone.agg(F.sum(F.size("cut")), F.count("*")).first()
+    small = F.broadcast(gone) if (lines or 0) + 8 * rows <= 4 * BROADCAST_LINES else gone.hint("shuffle_hash")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), copy_of(docs, text).alias("md5"))
+    joined = whole.join(small, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("copy")), "left")
+    none, value = F.coalesce("cut", F.array().cast(INTS)), F.col("row")[text]
 
     def cut(gone: Column) -> Column:
-        numbered = F.transform(F.split(F.col(text), "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
+        numbered = F.transform(F.split(value, "\n"), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
         return F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(gone, s["k"])), lambda s: s["line"]), "\n")
 
-    return marked.withColumns({text: F.when(F.size(none) > 0, let(none, cut)).otherwise(F.col(text)), removed: none}).drop("_removed")
+    made = F.when(F.size(none) > 0, let(none, cut)).otherwise(value)
+    kept = [(made if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c != removed]
+    return joined.select(*kept, none.alias(removed))

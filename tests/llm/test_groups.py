@@ -175,12 +175,13 @@ def made_lines(rng, n=40):
     return docs
 
 
-@pytest.mark.parametrize("bucket", [400, 3])
-def test_lines_against_brute_force(spark, monkeypatch, bucket):
-    """Also with buckets so small that most are split the way large ones are."""
-    monkeypatch.setattr(linedup, "BUCKET", bucket)
+@pytest.mark.parametrize(("first", "by_chance"), [(16, 1 / 8), (1, 1e9), (2, 1e-9)])
+def test_lines_against_brute_force(spark, monkeypatch, first, by_chance):
+    """Also with few first lines, and with all grams of two words or of three."""
+    monkeypatch.setattr(linedup, "FIRST", first)
+    monkeypatch.setattr(linedup, "BY_CHANCE", by_chance)
     monkeypatch.setattr(linedup, "TABLE", 1 << 10)
-    docs = made_lines(random.Random(bucket))
+    docs = made_lines(random.Random(first))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     found = {(r.doc_id, r.line_no) for r in linedup.repeated(frame).collect()}
     assert found == brute_lines(docs)
@@ -292,6 +293,16 @@ def test_overlaps_against_brute_force(spark):
     assert 20 < len(expected) < 60
 
 
+def test_overlaps_of_a_long_item(spark):
+    """An item of 40,000 words, of which documents hold parts, repeated words included."""
+    rng = random.Random(3)
+    item = words_of(rng, 40_000, 30_000)
+    docs = [(1, " ".join(item[20_000:20_030])), (2, " ".join(words_of(rng, 50, 30_000))), (3, " ".join([*item[100:140], *item[100:140]])), (4, " ".join(item))]
+    bench, frame = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.n_item_words, r.n_matched, r.first_word) for r in decontam.overlaps(frame, bench).collect()}
+    assert {(d, i, n, m) for d, i, n, m, _ in found} == {(1, 7, 40_000, 30), (3, 7, 40_000, 40), (4, 7, 40_000, 40_000)}
+
+
 def test_overlap_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "text without an id but with words"), (None, "few words here and there"), (3, None)], "item_id long, text string")
     rows = {(r.doc_id, r.item_id) for r in decontam.overlaps(edge, bench).collect()}
