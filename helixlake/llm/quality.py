@@ -1,8 +1,8 @@
 """Quality rules as learned decision lists.
 
 Statistics of labelled texts are counted into threshold cells by Spark; sequential covering grows
-conjunctions of thresholds on two thirds of them, prunes each on the rest, and emits the list as one
-ordered Spark conditional expression. Built-in functions only.
+conjunctions of thresholds for either verdict on two thirds of them, prunes each on the rest, and emits the list
+as one ordered Spark conditional expression. Built-in functions only.
 
 The list is fitted on at most ``MAX_LABELLED`` labelled texts, chosen by a hash of their ids, so that
 its cost doesn't grow with the corpus; it is applied to all rows. Defined results: a null or empty text
@@ -13,32 +13,25 @@ rules keep.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import let, positions, texts
+from helixlake.llm.common import discard, let, positions, stored, texts
 
 #: Bound on the labelled texts that a list is fitted on.
 MAX_LABELLED = 20_000
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 
-#: Thresholds that a rule's conditions may use, by feature.
-GRID: dict[str, tuple[float, ...]] = {
-    "mean_word": (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0),
-    "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 1.0, 2.0),
-    "marks_per_word": (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 1.0, 2.0),
-    "upper_share": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9),
-    "dup_line_share": (0.01, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9),
-    "repeat_share": (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.4, 0.8),
-}
-#: A rule needs so many rejected texts of the pruning third, and such a share of them among all it covers.
+#: Thresholds of a feature are its quantiles among the labelled texts, in so many steps.
+STEPS = 32
+#: A rule needs so many texts of its verdict among the pruning third, and such a share of them among all it covers:
+#: one that keeps is asked for more, as rules after it never see what it covers.
 LEAST_COVERED = 5
-LEAST_PRECISION = 0.9
-MOST_RULES = 12
+LEAST_PRECISION = {"reject": 0.9, "keep": 0.99}
 
 
 def _repeated(ws: Column) -> Column:
@@ -96,12 +89,12 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         let(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"),
         let(lines, lambda ls: F.size(ls).cast("long")).alias("n_lines"),
     )
-    one = df.withColumn("_stats", made)
-    s = F.col("_stats")
-    return one.withColumns(
-        {"n_words": s["w"]["n_words"], "n_repeat_words": s["w"]["n_repeat_words"]}
-        | {c: s[c] for c in ("word_chars", "n_symbols", "n_marks", "n_upper", "n_dup_lines", "n_lines")}
-    ).drop("_stats")
+    one = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), made.alias("stats"))
+    s = F.col("stats")
+    found = {"n_words": s["w"]["n_words"], "n_repeat_words": s["w"]["n_repeat_words"]}
+    found |= {c: s[c] for c in ("word_chars", "n_symbols", "n_marks", "n_upper", "n_dup_lines", "n_lines")}
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in found]
+    return one.select(*kept, *[c.alias(name) for name, c in found.items()])
 
 
 def base_failed() -> Column:
@@ -123,119 +116,163 @@ def features() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Condition:
-    """``feature`` at or above (``above``) or below the threshold of a number in its grid."""
+    """``feature`` at or above (``above``) or below a threshold."""
 
     feature: str
     above: bool
-    step: int
+    threshold: float
 
-    def holds(self, bins: dict[str, int]) -> bool:
-        return (bins[self.feature] > self.step) == self.above
+    def holds(self, values: dict[str, float]) -> bool:
+        return (values[self.feature] >= self.threshold) == self.above
 
     def column(self) -> Column:
-        value, least = features()[self.feature], F.lit(GRID[self.feature][self.step])
+        value, least = features()[self.feature], F.lit(self.threshold)
         return value >= least if self.above else value < least
 
     def __str__(self) -> str:
-        return f"{self.feature} {'>=' if self.above else '<'} {GRID[self.feature][self.step]}"
+        return f"{self.feature} {'>=' if self.above else '<'} {self.threshold:.6g}"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A conjunction and its verdict, ``reject`` or ``keep``."""
+
+    conditions: tuple[Condition, ...]
+    verdict: str
+
+    def holds(self, values: dict[str, float]) -> bool:
+        return all(c.holds(values) for c in self.conditions)
+
+    def __str__(self) -> str:
+        return f"{self.verdict} if {' and '.join(map(str, self.conditions))}"
 
 
 @dataclass(frozen=True)
 class DecisionList:
-    """Conjunctions that reject a text, in order; a text that none covers is kept."""
+    """Rules of which the first that covers a text decides; a text that none covers is kept."""
 
-    rules: tuple[tuple[Condition, ...], ...] = ()
+    rules: tuple[Rule, ...] = ()
 
     def keeps(self) -> Column:
         out: Column | None = None
         for rule in self.rules:
             met = F.lit(True)
-            for condition in rule:
+            for condition in rule.conditions:
                 met = met & condition.column()
-            out = F.when(met, F.lit(False)) if out is None else out.when(met, F.lit(False))
+            out = (F if out is None else out).when(met, F.lit(rule.verdict == "keep"))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
     def __str__(self) -> str:
-        return "\n".join([f"reject if {' and '.join(map(str, r))}" for r in self.rules] + ["else keep"])
+        return "\n".join([*map(str, self.rules), "else keep"])
 
 
 @dataclass(frozen=True)
 class Cell:
-    """Labelled texts that no threshold of the grid tells apart."""
+    """Labelled texts that no threshold tells apart. ``values``: the greatest threshold that each feature reaches."""
 
-    bins: dict[str, int]
+    values: dict[str, float]
     grow: bool
-    rejected: bool
+    verdict: str
     n: int
 
 
-def cells(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Cell]:
-    """Counts of labelled texts by cell; not more cells than ``most``."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counted = statistics(rows).where(~base_failed())
-    bins = {name: sum((value >= t).cast("int") for t in GRID[name]) for name, value in features().items()}
-    cut = counted.select(*[b.alias(name) for name, b in bins.items()], (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), (F.col("quality") == 0).alias("rejected"))
-    found = cut.groupBy(*bins, "grow", "rejected").agg(F.count("*").alias("n")).collect()
-    order = sorted(found, key=lambda r: [r[name] for name in bins])
-    return [Cell({name: r[name] for name in bins}, r["grow"], r["rejected"], r["n"]) for r in order]
-
+Grid = dict[str, tuple[float, ...]]
 
-def _counts(some: list[Cell], rule: tuple[Condition, ...]) -> tuple[int, int]:
-    met = [c for c in some if all(x.holds(c.bins) for x in rule)]
-    return sum(c.n for c in met if c.rejected), sum(c.n for c in met if not c.rejected)
 
+def cells(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[Cell], Grid]:
+    """Counts of labelled texts by cell, not more cells than ``most``; and the thresholds.
 
-def _grown(some: list[Cell], log: Callable[[float], float]) -> tuple[Condition, ...]:
-    """The conjunction that greedy FOIL gain reaches; of equal gains, the threshold that rejects least."""
+    The labelled texts are stored before anything is computed from them, so that no other text is looked at.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled-texts")
+    values = [value.cast("double").alias(name) for name, value in features().items()]
+    verdict = F.when(F.col("quality") == 0, "reject").otherwise("keep").alias("verdict")
+    judged_ = statistics(rows).where(~base_failed()).select(*values, (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), verdict)
+    measured = stored(judged_, "labelled-statistics")
+    shares = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    found = measured.agg(*[F.percentile(name, shares).alias(name) for name in features()]).first()
+    grid = {name: tuple(sorted(set(found[name] or ()))) for name in features()}
+    lowest = {name: grid[name][0] if grid[name] else 0.0 for name in grid}
+
+    def reached(name: str) -> Column:
+        steps = F.array(*[F.lit(t) for t in grid[name]]) if grid[name] else F.array().cast("array<double>")
+        return F.coalesce(F.array_max(F.filter(steps, lambda t: t <= F.col(name))), F.lit(lowest[name])).alias(name)
+
+    counted = measured.select(*map(reached, grid), "grow", "verdict").groupBy(*grid, "grow", "verdict").agg(F.count("*").alias("n")).collect()
+    discard(rows)
+    discard(measured)
+    order = sorted(counted, key=lambda r: ([r[name] for name in grid], r["grow"], r["verdict"]))
+    return [Cell({name: r[name] for name in grid}, r["grow"], r["verdict"], r["n"]) for r in order], grid
+
+
+def _counts(some: list[Cell], verdict: str, conditions: tuple[Condition, ...]) -> tuple[int, int]:
+    """Texts of the verdict, and others, that the conditions cover."""
+    met = [c for c in some if all(x.holds(c.values) for x in conditions)]
+    right = sum(c.n for c in met if c.verdict == verdict)
+    return right, sum(c.n for c in met) - right
+
+
+def _grown(some: list[Cell], grid: Grid, verdict: str) -> tuple[Condition, ...]:
+    """The conjunction that greedy FOIL gain reaches; of equal gains, the threshold that covers least."""
     rule: tuple[Condition, ...] = ()
-    p, n = _counts(some, rule)
+    p, n = _counts(some, verdict, rule)
     while p and n:
         best, gain = None, 0.0
-        for name, grid in GRID.items():
-            steps = range(len(grid))
-            for x in [Condition(name, True, k) for k in steps] + [Condition(name, False, k) for k in reversed(steps)]:
-                p1, n1 = _counts(some, (*rule, x))
-                g = p1 * (log(p1 / (p1 + n1)) - log(p / (p + n))) if p1 else 0.0
-                if g > gain + 1e-9 or best and g > gain - 1e-9 and (best.feature, best.above) == (name, x.above):
-                    best, gain = x, g
+        for name, steps in grid.items():
+            tallies = {t: [0, 0] for t in steps}
+            for c in some:
+                tallies[c.values[name]][c.verdict != verdict] += c.n
+            under = [0, 0]
+            for t in steps:  # below t is what ``under`` has, at or above it the rest
+                for above in (True, False):
+                    p1, n1 = (p - under[0], n - under[1]) if above else under
+                    g = p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p / (p + n))) if p1 else 0.0
+                    same = best is not None and (best.feature, best.above) == (name, above)
+                    if g > gain + 1e-9 or above and same and g > gain - 1e-9:
+                        best, gain = Condition(name, above, t), g
+                under = [a + b for a, b in zip(under, tallies[t])]
         if best is None:
             break
         rule = (*rule, best)
-        some = [c for c in some if best.holds(c.bins)]
-        p, n = _counts(some, rule)
+        some = [c for c in some if best.holds(c.values)]
+        p, n = _counts(some, verdict, ())
     return rule
 
 
-def _pruned(some: list[Cell], rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
+def _pruned(some: list[Cell], verdict: str, rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
     """The prefix of a rule with the best balance on the cells kept for pruning."""
 
     def value(k: int) -> tuple[float, int]:
-        p, n = _counts(some, rule[:k])
+        p, n = _counts(some, verdict, rule[:k])
         return ((p - n) / (p + n) if p + n else -1.0, -k)
 
     return rule[: max(range(1, len(rule) + 1), key=value)] if rule else rule
 
 
-def learn(some: list[Cell]) -> DecisionList:
-    """Sequential covering: rules are added while they reject enough, precisely enough."""
-    from math import log2
-
-    rules: list[tuple[Condition, ...]] = []
+def learn(some: list[Cell], grid: Grid) -> DecisionList:
+    """Sequential covering: of a rule for either verdict, the more precise one is taken, as long as it is right often
+    enough and precisely enough; what it covers is left out of the next."""
+    rules: list[Rule] = []
     left = list(some)
-    while len(rules) < MOST_RULES:
-        rule = _pruned([c for c in left if not c.grow], _grown([c for c in left if c.grow], log2))
-        p, n = _counts([c for c in left if not c.grow], rule)
-        if not rule or p < LEAST_COVERED or p < LEAST_PRECISION * (p + n):
-            break
+    while True:
+        grow, prune = [c for c in left if c.grow], [c for c in left if not c.grow]
+        found = []
+        for verdict in ("reject", "keep"):
+            conditions = _pruned(prune, verdict, _grown(grow, grid, verdict))
+            p, n = _counts(prune, verdict, conditions)
+            if conditions and p >= LEAST_COVERED and p >= LEAST_PRECISION[verdict] * (p + n):
+                found.append(((p + 1) / (p + n + 2), verdict == "reject", Rule(conditions, verdict)))
+        if not found:
+            return DecisionList(tuple(rules))
+        rule = max(found, key=lambda f: f[:2])[2]
         rules.append(rule)
-        left = [c for c in left if not all(x.holds(c.bins) for x in rule)]
-    return DecisionList(tuple(rules))
+        left = [c for c in left if not rule.holds(c.values)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DecisionList:
-    return learn(cells(docs, labels, most))
+    return learn(*cells(docs, labels, most))
 
 
 def judged(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
