@@ -1,18 +1,20 @@
 """License scans with a positional index over rare licence words.
 
-Templates (licence notices and short phrases) are indexed by word and position. A file's licence
-words are ranked by inverse document frequency over the corpus; for every template the two rarest
-words of its key phrase are looked up in the file, their postings are intersected by relative
-position, and each alignment found is verified: the key phrase must stand there word for word, and
-enough of the whole template around it must agree. Built-in functions only.
-
-Every key phrase holds its own rarest words, so the choice of words by frequency decides the cost
+Templates (licence notices and short phrases) are indexed by word and position: an index of the two words of
+each key phrase with the highest inverse document frequency over the corpus. A file looks up those of its
+words that the index has, wherever they stand; the postings found are intersected by relative position, and
+each alignment found is verified: the key phrase must stand there word for word, and enough of the whole
+template around it must agree. A file's work follows the postings of its own words, not the number of
+templates, which stand in the plan as one table. Built-in functions only.
+
+A file that holds a key phrase holds its rarest words, so the choice of words by frequency decides the cost
 and never the result. Defined results: a null text has no words; rows with equal id and text each
 keep their result; ties of frequency go to the word that sorts first.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,33 +102,44 @@ def anchors(template: Template, df: dict[str, int]) -> list[tuple[str, int]]:
     return [(w, key.index(w)) for w in rare]
 
 
-def _places(seen: Column, word: str, place: int) -> Column:
-    """Where a key phrase would start, for every occurrence of one of its words."""
-    return F.transform(F.filter(seen, lambda s: s["w"] == word), lambda s: s["p"] - place)
+HITS = "array<struct<start:bigint,no:int,score:double>>"
+INDEX = "map<string,array<struct<no:int,at:int>>>"
+TABLE = "array<struct<key:array<string>,words:array<string>,before:int,anchors:int>>"
 
 
-def _hits(t: Template, df: dict[str, int], seen: Column, ws: Column, no: int) -> Column:
-    """The verified alignments of one template: array<struct<start,no,score>>, start of its key phrase."""
-    (a, at_a), *more = anchors(t, df)
-    start = _places(seen, a, at_a)
-    for b, at_b in more:
-        start = F.array_intersect(start, _places(seen, b, at_b))
-    key, whole, n_key, before = _strings(t.key_words), _strings(t.words), len(t.key_words), t.start
-    stands = F.filter(start, lambda p: (p >= 0) & (F.slice(ws, F.greatest(p, F.lit(0)) + 1, n_key) == key))
-    after = len(t.words) - before
+def index(templates: tuple[Template, ...], df: dict[str, int]) -> tuple[dict[str, list[dict[str, int]]], list[dict]]:
+    """Postings (template number, place in its key phrase) by anchor word, and the templates as a table."""
+    found: dict[str, list[dict[str, int]]] = {}
+    for no, t in enumerate(templates):
+        for w, at in anchors(t, df):
+            found.setdefault(w, []).append({"no": no, "at": at})
+    rows = [{"key": t.key_words, "words": t.words, "before": t.start, "anchors": len(anchors(t, df))} for t in templates]
+    return found, rows
 
-    def score(p: Column) -> Column:
-        head = F.slice(ws, F.greatest(p - before, F.lit(0)) + 1, F.least(p, F.lit(before)))
-        tail = F.slice(ws, p + 1, after)
-        expected = F.slice(whole, F.lit(before) - F.least(p, F.lit(before)) + 1, len(t.words))
-        agree = F.filter(F.zip_with(F.concat(head, tail), expected, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
-        return F.size(agree) / F.lit(float(len(t.words)))
 
-    made = F.transform(stands, lambda p: F.struct(p.cast("long").alias("start"), F.lit(no).alias("no"), score(p).alias("score")))
-    return F.filter(made, lambda h: h["score"] >= AGREES)
+def _hits(ws: Column, postings: Column, table: Column, known: Column) -> Column:
+    """The verified alignments of all templates in a list of words."""
+    seen = F.filter(F.transform(ws, lambda w, p: F.struct(w.alias("w"), p.alias("p"))), lambda s: F.array_contains(known, s["w"]))
+    laid = F.flatten(F.transform(seen, lambda s: F.transform(F.try_element_at(postings, s["w"]), lambda q: F.struct(q["no"].alias("no"), (s["p"] - q["at"]).alias("start")))))
 
+    def met(cs: Column) -> Column:
+        """Alignments that all anchors of their template ask for: each asks for one once."""
+        return F.filter(cs, lambda c, k: (F.get(table, c["no"])["anchors"] == 1) | (F.get(cs, k + 1) == c))
 
-HITS = "array<struct<start:bigint,no:int,score:double>>"
+    def scored(c: Column) -> Column:
+        def of_template(t: Column) -> Column:
+            start, before, whole = c["start"], t["before"], t["words"]
+            head = F.slice(ws, F.greatest(start - before, F.lit(0)) + 1, F.least(start, before))
+            tail = F.slice(ws, start + 1, F.size(whole) - before)
+            expected = F.slice(whole, before - F.least(start, before) + 1, F.size(whole))
+            agree = F.filter(F.zip_with(F.concat(head, tail), expected, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
+            stands = F.slice(ws, start + 1, F.size(t["key"])) == t["key"]
+            return F.struct(start.cast("long").alias("start"), c["no"].alias("no"), F.when(stands, F.size(agree) / F.size(whole)).alias("score"))
+
+        return let(F.get(table, c["no"]), of_template)
+
+    inside = F.filter(let(F.sort_array(F.coalesce(laid, F.array().cast("array<struct<no:int,start:int>>"))), met), lambda c: c["start"] >= 0)
+    return F.filter(F.transform(inside, scored), lambda h: h["score"] >= AGREES)
 
 
 def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,26 +148,13 @@ def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id:
     A row makes its own hits, so no key, source or group of copies gathers anywhere; the corpus
     counts are the one shuffle. ``files`` is read twice.
     """
-    df = document_frequencies(files, templates, text)
-    rare = {t: anchors(t, df) for t in templates}
-    ranked = sorted({w for found in rare.values() for w, _ in found})
+    found, rows = index(templates, document_frequencies(files, templates, text))
+    known = _strings(sorted(found))
+    postings, table = F.from_json(F.lit(json.dumps(found)), INDEX), F.from_json(F.lit(json.dumps(rows)), TABLE)
     split = files.select(F.col(doc_id).alias("doc_id"), words(texts(files, text)).alias("words"))
-    known = split.select("doc_id", "words", F.array_intersect("words", _strings(ranked)).alias("known"))
-    held = {t: F.expr(" AND ".join(f"array_contains(known, '{w}')" for w, _ in found)) for t, found in rare.items()}
-    any_held = F.lit(False)
-    for h in held.values():
-        any_held = any_held | h
-
-    def hits(ws: Column) -> Column:
-        seen = F.filter(F.transform(ws, lambda w, p: F.struct(w.alias("w"), p.alias("p"))), lambda s: F.array_contains(_strings(ranked), s["w"]))
-        none = F.array().cast(HITS)
-        return let(
-            seen,
-            lambda s: F.concat(*[F.when(held[t], _hits(t, df, s, ws, no).cast(HITS)).otherwise(none) for no, t in enumerate(templates)]),
-        )
-
-    found = F.when(any_held, let(F.col("words"), hits)).otherwise(F.array().cast(HITS))
-    return known.select("doc_id", F.size("words").cast("long").alias("n_words"), found.alias("hits"))
+    none = F.array().cast(HITS)
+    hits = F.when(F.arrays_overlap("words", known), let(F.col("words"), lambda ws: _hits(ws, postings, table, known)).cast(HITS)).otherwise(none)
+    return split.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def labels(hits: Column, templates: tuple[Template, ...]) -> Column:
