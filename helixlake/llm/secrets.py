@@ -18,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import match_spans, texts
+from helixlake.llm.common import match_spans, stored, texts
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,9 @@ RULES = BASE_RULES + MORE_RULES
 
 #: Strings followed at once while a regex is read; beyond, what came before is turned into trigrams.
 MOST_STRINGS = 64
+#: Up to so many candidate texts (under 100 bytes each: two hashes and names of rules) are named to the scan by broadcast;
+#: more are joined by shuffle.
+BROADCAST_TEXTS = 500_000
 
 Query = frozenset  # of frozensets of trigrams: an OR of ANDs; frozenset({frozenset()}) holds always
 ALWAYS: Query = frozenset({frozenset()})
@@ -154,8 +157,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("doc_id"), texts(docs, text).alias("text"), _key(docs, doc_id, text).alias("key"))
     if queries:
         grams = sorted({t for q in queries.values() for clause in q for t in clause})
-        found = candidates(postings(docs, grams, doc_id, text), queries).hint("shuffle_hash")
-        rows = rows.join(found, "key", "left")
+        found = stored(candidates(postings(docs, grams, doc_id, text), queries), "secret-candidates")
+        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, "key", "left")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
     each = [_found(no, rule, F.array_contains("rules", rule.kind) if rule.kind in queries else None) for no, rule in enumerate(rules)]
