@@ -4,15 +4,18 @@ Every page's containers are scored; the pages of a host vote, in Spark, on the g
 path of the best one; each page is then extracted from the containers on its host's winning path, or
 from its own best one where the page has no such container.
 
-Defined results: null or empty html gives an empty text; pages with a null or unusual url vote as one
+A path is named by a hash of the tags and class words on it. Defined results: null or empty html gives an empty
+text; a page of any depth takes memory for its elements only; pages with a null or unusual url vote as one
 host of an empty name; repeated rows stay, each with its text; ties of votes go to the higher score,
 then to the path that sorts last.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.common import stored
 
-#: Up to so many hosts (a few MB of paths) the winning paths are broadcast; beyond, they are joined by shuffle.
+#: Up to so many hosts (with a path of 24 characters each) the winning paths are broadcast; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 #: Shares that a host's pages are dealt into when the winning paths are joined by shuffle.
 HOST_SALTS = 32
@@ -53,6 +56,11 @@ BOILERPLATE = frozenset(
     "subscribe subscription signup share sharing social related recommended comment comments disqus respond reply replies "
     "widget toolbar pagination pager search login complementary contentinfo".split()
 )
+#: Words that mark boilerplate only beside words of these.
+WEAK = frozenset("related search social alert login".split())
+BESIDE = WEAK | BOILERPLATE | frozenset("posts post articles article links link stories story list box bar block area section container wrapper inner outer top bottom left right icons buttons form items item content page media news".split())
+#: A class that starts so says what is there, or not, beside the element's own text.
+ABOUT = frozenset("no not non without has have with is".split())
 MAIN = frozenset("article main".split())
 #: Share of a page's text that makes a container the whole page's.
 NEARLY_ALL = 0.9
@@ -85,6 +93,20 @@ def label(tag: str, words: list[str]) -> str:
     return ".".join([tag, *words])
 
 
+def below(path: str, name: str) -> str:
+    """A path's name, of a fixed size however deep it is, from that of the container around it."""
+    return hashlib.blake2b(f"{path}/{name}".encode(), digest_size=12).hexdigest()
+
+
+def marks(token: str) -> bool:
+    """Whether a class, id or role marks boilerplate."""
+    words = WORD.findall(token)
+    found = BOILERPLATE.intersection(words)
+    if not found or words[0] in ABOUT and len(words) > 1:
+        return False
+    return not found <= WEAK or BESIDE.issuperset(words)
+
+
 def parse(source: str) -> Page:
     """The containers and text blocks of a page, without boilerplate.
 
@@ -106,6 +128,7 @@ def _parsed(source: str, kept: set[int]) -> Page:
     page = Page(nodes=[Node("", -1, "", False)])
     # tag, nearest container, inside boilerplate, dropped by its tag or one around it, number of what drops it by class
     open_: list[tuple[str, int, bool, bool, int | None]] = []
+    tags: Counter[str] = Counter()  # of the open elements
     number = 0
     text: list[str] = []
     links, in_link = 0, 0
@@ -144,11 +167,13 @@ def _parsed(source: str, kept: set[int]) -> Page:
         if m["end"] or m["end2"]:
             if tag == "a" and in_link:
                 in_link -= 1
-            depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
             if tag in BLOCKS:
                 flush()
-            if depth is not None:
-                del open_[depth:]
+            while tags[tag]:
+                closed = open_.pop()[0]
+                tags[closed] -= 1
+                if closed == tag:
+                    break
             continue
         if tag == "br":
             said(" ")
@@ -156,9 +181,10 @@ def _parsed(source: str, kept: set[int]) -> Page:
         if tag in BLOCKS:
             flush()
             if open_ and open_[-1][0] in CLOSES.get(tag, ()):
-                open_.pop()
-            for k in range(len(open_) - 1, -1, -1):
+                tags[open_.pop()[0]] -= 1
+            for k in range(len(open_) - 1, -1, -1) if tags["p"] else ():
                 if open_[k][0] == "p":
+                    tags.subtract(x[0] for x in open_[k:])
                     del open_[k:]
                     break
                 if open_[k][0] in BLOCKS:
@@ -170,21 +196,22 @@ def _parsed(source: str, kept: set[int]) -> Page:
         outer, inside, by_tag, by_class = open_[-1][1:] if open_ else (0, False, False, None)
         number += 1
         attrs = m["attrs"] or m["attrs2"] or ""
-        words = [w for a in CLASSES.finditer(attrs) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())] if attrs else []
+        classes = [t for a in CLASSES.finditer(attrs) for t in (a[2] or a[3] or a[4] or "").lower().split()] if attrs else []
+        words = [w for t in classes for w in WORD.findall(t)]
         in_main = page.nodes[outer].main
         by_tag = by_tag or tag in DROPPED or tag == "header" and not in_main
-        if by_class is None and not by_tag and number not in kept and tag not in ("html", "body") and not BOILERPLATE.isdisjoint(words):
+        if by_class is None and not by_tag and number not in kept and tag not in ("html", "body") and any(map(marks, classes)):
             by_class = number
             page.marked[number] = 0
         dropped = inside or by_tag or by_class is not None
         if tag in MAIN and not by_tag:
             page.mains.append(by_class)
         if tag in CONTAINERS and not dropped:
-            up = page.nodes[outer].path + "/" if outer else ""
             main = in_main or tag in MAIN or "main" in words or "articlebody" in words
-            page.nodes.append(Node(tag, outer, up + label(tag, sorted(set(words))), main))
+            page.nodes.append(Node(tag, outer, below(page.nodes[outer].path, label(tag, sorted(set(words)))), main))
             outer = len(page.nodes) - 1
         open_.append((tag, outer, dropped, by_tag, by_class))
+        tags[tag] += 1
     if at < len(source):
         said(source[at:])
     flush()
@@ -217,9 +244,9 @@ def best(page: Page) -> tuple[str, float] | None:
     else:
         whole = [0] * len(page.nodes)
         for text, k, links in page.blocks:
-            while k >= 0:
-                whole[k] += max(0, len(text) - 2 * links)
-                k = page.nodes[k].parent
+            whole[k] += max(0, len(text) - 2 * links)
+        for k in range(len(whole) - 1, 0, -1):  # a container comes after those around it
+            whole[page.nodes[k].parent] += whole[k]
         while whole[node] < NEARLY_ALL * whole[0]:
             node = page.nodes[node].parent
     return page.nodes[node].path, found.get(node, 0.0)
@@ -228,21 +255,21 @@ def best(page: Page) -> tuple[str, float] | None:
 def extract(source: str, path: str | None) -> str:
     """The text blocks in the containers on ``path`` (or in the page's own best one), a line each."""
     page = parse(source)
-    chosen = {k for k, n in enumerate(page.nodes) if n.path == path}
-    if not chosen or not any(inside(page, node, chosen) for _, node, _ in page.blocks):
+    found = inside(page, path)
+    if not any(found[node] for _, node, _ in page.blocks):
         own = best(page)
         if own is None:
             return "\n".join(text for text, _, _ in page.blocks)
-        chosen = {k for k, n in enumerate(page.nodes) if n.path == own[0]}
-    return "\n".join(text for text, node, _ in page.blocks if inside(page, node, chosen))
+        found = inside(page, own[0])
+    return "\n".join(text for text, node, _ in page.blocks if found[node])
 
 
-def inside(page: Page, node: int, chosen: set[int]) -> bool:
-    while node >= 0:
-        if node in chosen:
-            return True
-        node = page.nodes[node].parent
-    return False
+def inside(page: Page, path: str | None) -> list[bool]:
+    """Of each container, whether it is on ``path`` or in one that is."""
+    found: list[bool] = []
+    for n in page.nodes:
+        found.append(n.path == path or n.parent >= 0 and found[n.parent])
+    return found
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -266,19 +293,18 @@ def host_of(url):
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", output: str = "text") -> DataFrame:
     """``pages`` with the main text of each page in ``output`` (replacing a column of that name)."""
     winners = stored(host_paths(pages, url, html), "host-paths")
-    marked = pages.withColumn("_host", host_of(F.col(url)))
+    row = F.struct(*[pages[c] for c in pages.columns]).alias("row")
+    marked = pages.select(row, host_of(pages[url]).alias("host"), pages[html].cast("string").alias("html"), F.xxhash64(pages[url], pages[html]).alias("h"))
     if winners.count() <= BROADCAST_HOSTS:
-        small = F.broadcast(winners.select(F.col("host").alias("_host"), F.col("path").alias("_path")))
-        joined = marked.join(small, "_host", "left")
+        joined = marked.join(F.broadcast(winners), "host", "left")
     else:  # a large host's pages go to many tasks
-        salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
-        dealt = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"), salts.alias("_salt"))
-        salted = marked.withColumn("_salt", F.pmod(F.xxhash64(url, html), F.lit(HOST_SALTS)).cast("int"))
-        joined = salted.join(dealt, ["_host", "_salt"], "left").drop("_salt")
+        dealt = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+        joined = marked.withColumn("salt", F.pmod("h", F.lit(HOST_SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, paths in batches:
             yield pd.Series([extract(s or "", p) for s, p in zip(sources, paths)], dtype=object)
 
-    return joined.withColumn(output, extracted(F.col(html).cast("string"), F.col("_path"))).drop("_host", "_path")
+    made = joined.select("row", extracted("html", "path").alias("made"))
+    return made.select(*[F.col("row")[c].alias(c) for c in pages.columns if c != output], F.col("made").alias(output))

@@ -193,6 +193,49 @@ def test_html_keeps_all_parts():
     assert html.extract(replies, None) == "The text"
 
 
+def test_html_classes_about_others():
+    """Words of a class that name other parts, or the article's own subject, drop nothing."""
+    text, more = "A paragraph of the article. " * 20, "What others have done before. " * 10
+    for open_, close in (('<main class="content no-sidebar">', "</main>"), ('<article class="post has-comments">', "</article>"), ('<div class="login-page post">', "</div>")):
+        page = f'<body>{open_}<p>{text}</p><div class="related-work"><p>{more}</p></div><div class="related-posts">more posts</div>{close}<div class="footer">the footer</div></body>'
+        assert html.extract(page, None) == f"{text.strip()}\n{more.strip()}"
+
+
+def test_html_of_great_depth():
+    for tag in ("div", "span", "b", "p", "li"):
+        deep = f"<{tag}>" * 100_000
+        assert html.extract(f"<article>{deep}the text", None) == "the text"
+        assert html.extract(f"<body>{deep}the text" + f"</{tag}></i>" * 100_000, None) == "the text"
+
+
+def made_page(rng):
+    """A page and its article: brute force writes down what the article says as it makes the markup."""
+    said = []
+
+    def prose(n):
+        return " ".join(rng.choice(["text", "of", "an", "article", "x", "&amp;", "&#233;", "long-word"]) for _ in range(n))
+
+    def block(tag, n):
+        text = prose(n)
+        said.append(text.replace("&amp;", "&").replace("&#233;", "é"))
+        return f"<{tag}>{text}</{tag}>"
+
+    body = block("h1", 5) + "".join(block(rng.choice(["p", "p", "blockquote", "h2", "pre"]), rng.randrange(20, 60)) + rng.choice(["", "<script>var x = 1;</script>", "<!-- no -->", f'<div class="ad-box">{prose(4)}</div>', f"<aside>{prose(9)}</aside>"]) for _ in range(rng.randrange(3, 9)))
+    around = rng.choice([("<article>", "</article>"), ('<div class="post-body">', "</div>"), ('<main><section class="s1">', "</section></main>")])
+    before = rng.choice(["", f"<header>{prose(5)}</header>", f'<nav><a href="/">{prose(3)}</a></nav>', f'<div class="cookie-notice">{prose(20)}</div>'])
+    after = rng.choice(["", f"<footer>{prose(8)}</footer>", f'<div id="sidebar"><ul><li><a>{prose(4)}</a></ul></div>', f'<div class="comments"><p>{prose(30)}</p></div>'])
+    return f"<html><head><title>{prose(3)}</title></head><body>{before}{around[0]}{body}{around[1]}{after}</body></html>", "\n".join(said)
+
+
+def test_html_against_made_pages(spark):
+    rng = random.Random(11)
+    pages = [(k, f"http://h{k % 3}.example/{k}", *made_page(rng)) for k in range(200)]
+    frame = spark.createDataFrame([(k, url, source, "x", "y", "z") for k, url, source, _ in pages], "page_id long, url string, html string, path string, host string, row string")
+    rows = html.main_text(frame).collect()
+    assert {r.page_id: r.text for r in rows} == {k: text for k, _, _, text in pages}
+    assert {(r.path, r.host, r.row) for r in rows} == {("x", "y", "z")}
+
+
 def test_html_hosts_vote(spark):
     usual = '<body><div class="main-12"><p>The text of the page is this, a whole line of it.</p></div><div class="extra"><p>{}</p></div></body>'
     rows = [(k, "http://H.example/a?b", usual.format("x")) for k in range(5)]
