@@ -17,14 +17,22 @@ from helixlake.llm.queries import RANKS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that a learned rule rejects go."""
+    """Documents that fail the base rules or that a learned rule rejects go.
+
+    A null or empty text has no words and goes. Rows that repeat stay or go together; columns named as statistics
+    keep their values. Without labels the base rules decide alone.
+    """
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct("*").alias("_row"), "text")  # columns named as statistics stay as they are
     return quality.judged(whole, rules).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are similar to an earlier one are cut; n_chars follows the text."""
+    """Lines that are similar to an earlier one are cut; n_chars follows the text.
+
+    A null text stays null. Rows of one id and text count as one and lose the same lines; texts that share an id are
+    told apart, null ids come first. A document all of whose lines are cut stays, with an empty text.
+    """
     made = linedup.deduplicated(docs, removed="_cut")
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -33,17 +41,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: of the least id, then of the least MD5 of its text.
+
+    Rows of a null id or text stay. Repeated rows of the one that stays are one row.
+    """
     return omh.deduplicated(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go: all rows of their id, of a null id those of the text alone.
+
+    A null or empty text holds no passage and stays; an empty benchmark leaves all.
+    """
     return decontam.without_overlaps(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document, encoded and decoded again."""
+    """Token counts and digests of each document, encoded and decoded again; a null text has no tokens."""
     return bpe.digests(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
