@@ -311,7 +311,7 @@ def _letters(value: Column, key: str, kind: str, undo: bool) -> Column:
             return let(s, lambda p: F.struct(p["x"].alias("x"), _shifted(p["y"], p["x"], r, key, kind, sign).alias("y")))
         return let(s, lambda p: F.struct(_shifted(p["x"], p["y"], r, key, kind, sign).alias("x"), p["y"].alias("y")))
 
-    turns = range(1, 5)
+    turns = range(1, ROUNDS + 1)
     return let(reduce(step, reversed(turns) if undo else turns, state), lambda p: F.concat(p["x"], p["y"]))
 
 
