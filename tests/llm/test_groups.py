@@ -103,6 +103,30 @@ def test_order_decides_sketches():
     assert len(set(omh.mers(np.array([5, 5, 5, 5], dtype=np.uint64), 2).tolist())) == 3
 
 
+def test_candidates_at_the_threshold():
+    """Of pairs at the similarity itself, isolated ones and of every length, nine in ten share a sketch."""
+    import numpy as np
+
+    rng, found, pairs = random.Random(1), 0, 0
+
+    def keys(words):
+        hashed = np.array(words, dtype=np.uint64)
+        made = [omh.order_minhash(hashed), omh.order_minhash(hashed, omh.FINE, sketches=omh.FINE_SKETCHES)]
+        return set(np.concatenate([*made, omh.order_minhash(hashed, 1)] if len(words) < omh.SHORT else made).tolist())
+
+    for n in (10, 20, 39, 41, 49, 50, 60, 100, 200, 400):
+        own = 0
+        for _ in range(60):
+            a = [rng.randrange(2**60) for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), n // 5):
+                b[k] = rng.randrange(2**60)
+            own += bool(keys(a) & keys(b))
+        assert own >= 48, n
+        found, pairs = found + own, pairs + 60
+    assert found >= 0.9 * pairs
+
+
 def families(rng):
     texts = []
     for size, edits in ((1, 0), (2, 2), (5, 5), (12, 5), (3, 1), (2, 60)):
