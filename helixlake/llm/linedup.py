@@ -292,12 +292,13 @@ def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
     the filters and maps allow.
     """
     pair = F.col("id").alias("x"), F.col("lead").alias("y")
-    own = met.where((F.col("rank") > 1) & _alike(F.col("ni"), F.col("lead_ni"))).groupBy(*pair).agg(F.count("*").alias("c"), F.max("ni").alias("ni"))
+    # rows that repeat an id and text stand at one place: no pair
+    own = met.where((F.col("lead") < F.col("id")) & _alike(F.col("ni"), F.col("lead_ni"))).groupBy(*pair).agg(F.count("*").alias("c"), F.max("ni").alias("ni"))
     promising = own.where(F.col("c") >= F.least(_need(F.col("ni")), F.lit(2)))
     found = _similar(promising.groupBy("x").agg(F.max_by("y", "c").alias("y")), sets)
     maps = _maps(sets)
     for upper in (FIRST, None):
-        late = met.where("rank > 1").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
+        late = met.where("lead < id").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
         late = stored(late.join(maps, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm")), "open-lines")
         earlier = met.where(F.col("rank") <= upper if upper else F.lit(True)).join(late.select("key").distinct(), "key", "left_semi")
         earlier = earlier.join(maps, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"))
