@@ -252,23 +252,23 @@ def _pruned(some: list[Cell], verdict: str, rule: tuple[Condition, ...]) -> tupl
 
 
 def learn(some: list[Cell], grid: Grid) -> DecisionList:
-    """Sequential covering: of a rule for either verdict, the more precise one is taken, as long as it is right often
-    enough and precisely enough; what it covers is left out of the next."""
+    """Sequential covering: a rule that rejects, or where none is right often enough and precisely enough, one that
+    keeps; what it covers is left out of the next, which may reject again."""
     rules: list[Rule] = []
     left = list(some)
     while True:
         grow, prune = [c for c in left if c.grow], [c for c in left if not c.grow]
-        found = []
         for verdict in ("reject", "keep"):
             conditions = _pruned(prune, verdict, _grown(grow, grid, verdict))
             p, n = _counts(prune, verdict, conditions)
             if conditions and p >= LEAST_COVERED and p >= LEAST_PRECISION[verdict] * (p + n):
-                found.append(((p + 1) / (p + n + 2), verdict == "reject", Rule(conditions, verdict)))
-        if not found:
+                rules.append(Rule(conditions, verdict))
+                left = [c for c in left if not rules[-1].holds(c.values)]
+                break
+        else:
+            while rules and rules[-1].verdict == "keep":  # what follows keeps anyway
+                rules.pop()
             return DecisionList(tuple(rules))
-        rule = max(found, key=lambda f: f[:2])[2]
-        rules.append(rule)
-        left = [c for c in left if not rule.holds(c.values)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DecisionList:
