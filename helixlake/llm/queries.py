@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, collocations, decontam, html, licenses, linedup, omh, pii, quality, secrets
-from helixlake.llm.common import table
+from helixlake.llm import bpe, chat, collocations, decontam, html, licenses, linedup, omh, periods, pii, quality, secrets
+from helixlake.llm.common import let, positions, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -235,6 +235,50 @@ SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGI
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts, by the checksum of their id, repeat a part of themselves to their end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.floor(F.col("h") / 10)
+
+    def repeated(ws):
+        n = F.size(ws)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return let(a, lambda a: let(p, lambda p: F.array_join(F.transform(positions(F.lit(0), n - 1), lambda i: F.get(ws, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.length("text") > 0), let(words, repeated)).otherwise(F.col("text")).alias("text"))
+    found = periods.with_runs(made)
+    # Spark evaluates an array_max of structs by their fields in turn: longest, then first, then of the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, period, length = -F.col("best.start"), -F.col("best.period"), F.col("best.length")
+    return digests.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: The checksum is worked out bit by bit, with the polynomial of CRC-32.
+OP13_SQL = r"""
+WITH ids AS (SELECT row_number() OVER () AS copy, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS h FROM documents),
+cut AS (SELECT copy, doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS d FROM ids),
+docs AS (SELECT copy, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE w END AS w FROM cut),
+places AS (SELECT copy, n, unnest(w) AS w, unnest(range(0, n)) AS i FROM docs),
+pairs AS (SELECT x.copy, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.copy = y.copy AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT copy, q, min(i) AS s, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY copy, q ORDER BY i) AS island FROM pairs)
+  GROUP BY copy, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT copy, s, length, min(q) AS q FROM islands GROUP BY ALL),
+gone AS (SELECT DISTINCT copy, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT copy, string_agg(w, ' ' ORDER BY i) AS t FROM places ANTI JOIN gone USING (copy, i) GROUP BY copy),
+per AS (SELECT copy, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY copy),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY copy ORDER BY length DESC, s, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * length // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN per USING (copy) LEFT JOIN best USING (copy) LEFT JOIN kept USING (copy)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_line_dedup": op2_line_dedup,
@@ -247,6 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
     "op11_collocations": op11_collocations,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -256,4 +301,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_collocations": OP11_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
