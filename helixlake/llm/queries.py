@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import bpe, chat, collocations, decontam, html, licenses, linedup, omh, periods, pii, quality, secrets
+from helixlake.llm import bpe, chat, collocations, decontam, html, licenses, linedup, omh, periods, pii, quality, secrets, setjoin
 from helixlake.llm.common import let, positions, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -235,6 +235,26 @@ SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGI
 """
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS copy, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT copy, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM docs),
+sized AS (SELECT copy, doc_id, len(s) AS n, s FROM sets),
+grams AS (SELECT copy, n, unnest(s) AS g FROM sized),
+pairs AS (SELECT x.copy AS a, y.copy AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS o FROM grams x JOIN grams y
+    ON x.g = y.g AND x.copy <> y.copy AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * o >= 90 * (n + m - o)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(doc_id) AS m FROM reach JOIN docs ON docs.copy = b GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sized LEFT JOIN least ON a = copy
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the texts, by the checksum of their id, repeat a part of themselves to their end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -291,6 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
     "op11_collocations": op11_collocations,
+    "op12_ngram_join": op12_ngram_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -301,5 +322,6 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_ngram_join": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
