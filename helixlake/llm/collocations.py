@@ -2,10 +2,10 @@
 
 A shard holds up to ``SHARD_WORDS`` words of one language as ids, a zero between pieces. Prefix doubling sorts its
 places; the intervals of the longest common prefixes are its phrases and their counts. As a phrase is no more
-frequent than the pairs of words in it, a first pass asks for the pairs alone, by 64-bit hash: which of a shard's pairs
-reach the least count over all shards. A second pass gives the counts of those pairs, of longer phrases all of
-whose pairs reach it, and of all words. They are summed by their text, so that a hash that two pairs share lets one
-too many through and changes no count.
+frequent than the words and pairs of words in it, a first pass asks for these alone, by hash: which of a shard's
+reach the least count over all shards. A second pass gives the counts of those, and of longer phrases all of whose pairs
+reach it. They are merged by their text, so that a hash that two phrases share lets one too many through and changes no
+count. Buckets of hashes travel as arrays, and texts compressed in the order of the suffixes.
 
 Defined results: a null language is ``und``; a null or empty text has no words; rows that repeat count each time; ids
 and further columns are not looked at; an empty table has no rows.
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,20 +28,21 @@ from helixlake.llm.common import discard, positions, release, stored
 
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 #: Words of a shard. A text is never cut, so that one with more is a shard of its own.
-SHARD_WORDS = 1 << 21
-#: Words of the corpus to one bucket of pairs. A bucket holds as many pairs at most, and of a pair that is rare in
-#: every shard one entry a shard.
-BUCKET_WORDS = 1 << 18
+SHARD_WORDS = 1 << 20
+#: Words of the corpus to one bucket of phrases. A bucket holds no more different phrases of a kind, and of each one
+#: entry a shard at most. Inside it 32 bits tell phrases apart.
+BUCKET_WORDS = 1 << 19
 
 _SMALL = bytes(range(65, 91)).lower()
 #: A-Z lower-cased, ends of pieces as line feeds, tabs as blanks.
 _BYTES = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", _SMALL + b"\n" * 9 + b" ")
-_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 SHARD = "shard long, lang string, n long, ids binary, words binary"
 ASKED = "bucket long, shard long, hashes binary, counts binary"
-ANSWERED = "shard long, hashes binary"
-COUNTED = "lang string, phrase string, words int, n long"
+ANSWERED = "bucket long, shard long, often binary"
+COUNTED = "bucket long, lang string, phrases binary, counts binary"
+MERGED = "lang string, phrase string, words int, n long"
 
 
 class _Ids(dict):
@@ -54,6 +56,15 @@ class _Ids(dict):
         return made
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers of four bytes, all first bytes before all second ones, compressed."""
+    return zstandard.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def word_ids(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
     """The ids of a text's words, with zeros at the ends of its pieces."""
     words = list(filter(None, text.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")))
@@ -72,7 +83,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(parts)
         number += 1
         words = list(ids)[1:]
-        row = [[part << 32 | number], [lang], [int(np.count_nonzero(flat))], [flat.tobytes()], [b" ".join(words)]]
+        row = [[part << 32 | number], [lang], [int(np.count_nonzero(flat))], [packed(flat)], [zstandard.compress(b" ".join(words))]]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array(v, kind) for v, kind in zip(row, kinds)], names=["shard", "lang", "n", "ids", "words"])
 
@@ -121,39 +132,60 @@ def phrases(ids: np.ndarray, order: np.ndarray, shared: np.ndarray, n: int) -> t
     return starts, np.diff(np.r_[starts, len(order)]), inside
 
 
-def _pair_hashes(ids: np.ndarray, words: list[bytes], lang: str, at: np.ndarray) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang)
+def phrase_hashes(ids: np.ndarray, words: list[bytes], lang: str, at: np.ndarray, n: int) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang, n)
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-    x = (hashed[ids[at] - 1] * _STEP + hashed[ids[at + 1] - 1]) * _MIX1
-    x ^= x >> np.uint64(29)
-    x *= _MIX2
-    return x ^ (x >> np.uint64(32))
+    out = np.zeros(len(at), dtype=np.uint64)
+    for d in range(n):
+        out = (out ^ (out >> np.uint64(29))) * _STEP + hashed[ids[at + d] - 1]
+    out = (out ^ (out >> np.uint64(31))) * _MIX
+    return out ^ (out >> np.uint64(32))
+
+
+def _dealt(hashed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket that is stable, the buckets that have any, and where each begins, the end last."""
+    bucket = ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    named, firsts = np.unique(bucket[order], return_index=True)
+    return order, named, np.r_[firsts, len(order)]
+
+
+def _table(kinds: list[pa.DataType], names: list[str], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+
+def _read(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, str, np.ndarray, list[bytes]]]:
+    """Shard, language, ids and words of each row, one at a time."""
+    for k in range(batch.num_rows):
+        shard, lang, ids, words = (batch.column(c)[k].as_py() for c in ("shard", "lang", "ids", "words"))
+        yield shard, lang, unpacked(ids), zstandard.decompress(words).split(b" ")
 
 
 def _asking(buckets: int, least: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of a shard's words and pairs by bucket, with their counts up to the least one."""
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype=np.int32)
+            for shard, lang, ids, words in _read(batch):
                 order, shared = suffix_array(ids, 2)
-                starts, sizes, inside = phrases(ids, order, shared, 2)
-                hashed = _pair_hashes(ids, row["words"].split(b" "), row["lang"], order[starts[inside]])
-                by_hash = np.argsort(hashed)
-                hashed, counts = hashed[by_hash], np.minimum(sizes[inside], least)[by_hash].astype(np.uint8)
-                bucket = (hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                named, firsts = np.unique(bucket, return_index=True)
-                ends = [*firsts[1:], len(hashed)]
-                cut = [(hashed[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(firsts, ends)]
-                columns = [pa.array(named.astype(np.int64)), pa.array([row["shard"]] * len(cut), pa.int64()), pa.array([h for h, _ in cut], pa.binary()), pa.array([c for _, c in cut], pa.binary())]
-                yield pa.record_batch(columns, names=["bucket", "shard", "hashes", "counts"])
+                hashes, counts = [], []
+                for n in (1, 2):
+                    starts, sizes, inside = phrases(ids, order, shared, n)
+                    hashes.append(phrase_hashes(ids, words, lang, order[starts[inside]], n))
+                    counts.append(np.minimum(sizes[inside], least).astype(np.uint8))
+                hashed, counted = np.concatenate(hashes), np.concatenate(counts)
+                dealt, named, edges = _dealt(hashed, buckets)
+                short, counted = hashed[dealt].astype(np.uint32), counted[dealt]
+                rows = [(int(b), shard, short[i:j].tobytes(), counted[i:j].tobytes()) for b, i, j in zip(named, edges, edges[1:])]
+                yield from _table([pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["bucket", "shard", "hashes", "counts"], rows).to_batches()
 
     return asked
 
 
 def _answering(least: int):
     def answered(bucket: pa.Table) -> pa.Table:
-        """The pairs of each shard that reach the least count over all shards."""
-        parts = [np.frombuffer(h, dtype=np.uint64) for h in bucket["hashes"].to_pylist()]
+        """Which of each shard's hashes reach the least count over all shards, as a bit each, in the order asked."""
+        parts = [np.frombuffer(h, dtype=np.uint32) for h in bucket["hashes"].to_pylist()]
         hashed = np.concatenate(parts)
         counts = np.frombuffer(b"".join(bucket["counts"].to_pylist()), dtype=np.uint8)
         order = np.argsort(hashed)
@@ -163,45 +195,64 @@ def _answering(least: int):
         wanted = np.zeros(len(hashed), dtype=bool)
         wanted[order] = np.repeat(often, np.diff(np.r_[starts, len(ranked)]))
         rows, at = [], 0
-        for shard, part in zip(bucket["shard"].to_pylist(), parts):
-            kept = part[wanted[at : at + len(part)]]
+        for number, shard, part in zip(bucket["bucket"].to_pylist(), bucket["shard"].to_pylist(), parts):
+            rows.append((number, shard, np.packbits(wanted[at : at + len(part)]).tobytes()))
             at += len(part)
-            if len(kept):
-                rows.append((shard, kept.tobytes()))
-        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int64()), "hashes": pa.array([h for _, h in rows], pa.binary())})
+        return _table([pa.int64(), pa.int64(), pa.binary()], ["bucket", "shard", "often"], rows)
 
     return answered
 
 
-def _counting(longest: int, least: int):
+def _counting(longest: int, least: int, buckets: int):
     def counted(shard: pa.Table, answers: pa.Table) -> pa.Table:
-        """The counts of a shard's words, of its pairs that count, and of longer phrases made of them."""
-        out = []
-        for row in shard.to_pylist():
-            ids, words = np.frombuffer(row["ids"], dtype=np.int32), row["words"].split(b" ")
+        """A shard's words and pairs that reach the least count, and longer phrases made of them, by bucket."""
+        rows = []
+        for _, lang, ids, words in _read(shard):
             named = pa.array(words, pa.binary())
-            often = np.sort(np.frombuffer(b"".join(answers["hashes"].to_pylist()), dtype=np.uint64))
+            bits = dict(zip(answers["bucket"].to_pylist(), answers["often"].to_pylist()))
             order, shared = suffix_array(ids, longest)
+            found = [phrases(ids, order, shared, n) for n in range(1, longest + 1)]
+            hashes = [phrase_hashes(ids, words, lang, order[starts[inside]], n) for n, (starts, _, inside) in enumerate(found[:2], 1)]
+            # the answers stand in the order in which the hashes were asked for
+            dealt, asked, edges = _dealt(np.concatenate(hashes), buckets)
+            often = np.zeros(len(dealt), dtype=bool)
+            for b, i, j in zip(asked.tolist(), edges, edges[1:]):
+                often[dealt[i:j]] = np.unpackbits(np.frombuffer(bits[b], dtype=np.uint8), count=j - i)
             paired = np.zeros(len(ids) + longest, dtype=bool)
-            for n in range(1, longest + 1):
-                starts, sizes, inside = phrases(ids, order, shared, n)
+            for n, (starts, sizes, inside) in enumerate(found, 1):
+                if n < 3:
+                    inside[inside] = often[: len(hashes[0])] if n == 1 else often[len(hashes[0]) :]
                 if n == 2:
-                    hashed = _pair_hashes(ids, words, row["lang"], order[starts[inside]])
-                    inside[inside] = often[np.minimum(np.searchsorted(often, hashed), len(often) - 1)] == hashed if len(often) else False
                     paired[order] = np.repeat(inside, sizes)
                 for d in range(n - 1 if n > 2 else 0):
                     inside &= paired[order[starts] + d]
                 at = order[starts[inside]]
                 parts = [named.take(pa.array(ids[at + d] - 1)) for d in range(n)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if n > 1 else parts[0]
-                size = len(at)
-                columns = [pa.array([row["lang"]] * size, pa.string()), phrase.cast(pa.string()), pa.array(np.full(size, n, dtype=np.int32)), pa.array(sizes[inside].astype(np.int64))]
-                out.append(pa.table(columns, names=["lang", "phrase", "words", "n"]))
-        return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "words": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+                turn, to, ends = _dealt(phrase_hashes(ids, words, lang, at, n), buckets)
+                texts, sums = phrase.take(pa.array(turn)).to_pylist(), sizes[inside][turn].astype(np.int32)
+                rows += [(int(b), lang, zstandard.compress(b"\n".join(texts[i:j])), packed(sums[i:j])) for b, i, j in zip(to, ends, ends[1:])]
+        return _table([pa.int64(), pa.string(), pa.binary(), pa.binary()], ["bucket", "lang", "phrases", "counts"], rows)
 
     return counted
 
 
+def _merging(least: int):
+    def merged(bucket: pa.Table) -> pa.Table:
+        """The phrases of a bucket that reach the least count."""
+        parts = []
+        for k in range(bucket.num_rows):
+            texts = zstandard.decompress(bucket["phrases"][k].as_py()).split(b"\n")
+            langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(texts), dtype=np.int32)), pa.array([bucket["lang"][k].as_py()])).cast(pa.string())
+            parts.append(pa.table([langs, pa.array(texts, pa.binary()), pa.array(unpacked(bucket["counts"][k].as_py()).astype(np.int64))], names=["lang", "phrase", "n"]))
+        summed = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        kept = summed.filter(pc.greater_equal(summed["n_sum"], least))
+        size = pc.add(pc.count_substring(kept["phrase"], " "), pa.scalar(1, pa.int32()))
+        return pa.table([kept["lang"], kept["phrase"].cast(pa.string()), size.cast(pa.int32()), kept["n_sum"]], names=["lang", "phrase", "words", "n"])
+
+    return merged
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of up to ``longest`` words that occur ``least`` times, and (lang, n)
     of all words; both stored."""
@@ -212,8 +263,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     totals = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
     buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
     answers = shards.mapInArrow(_asking(buckets, least), ASKED).groupBy("bucket").applyInArrow(_answering(least), ANSWERED)
-    counted = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_counting(longest, least), COUNTED)
-    summed = stored(counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    counted = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_counting(longest, least, buckets), COUNTED)
+    summed = stored(counted.groupBy("bucket").applyInArrow(_merging(least), MERGED), "phrases")
     discard(shards)
     release(docs.sparkSession)
     return summed, totals
