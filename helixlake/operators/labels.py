@@ -6,10 +6,11 @@ that need a row per base expand them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions.attributes import parents
+from helixlake.operators.scan import BLOCK, heavy_buckets, joined_runs, running
 
 EXON_FEATURES = ("CDS", "exon")
 INTRON, EXON = 1, 2
@@ -39,10 +40,16 @@ def transcripts(exons: DataFrame) -> DataFrame:
     return exons.select("seqid", "strand", F.explode(parents(F.col("attributes"))).alias("tx"), "b", "e")
 
 
-def gaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, b, e): what lies between an interval and the furthest end before it, in order of (b, e)."""
-    before = Window.partitionBy(*keys).orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
-    reached = intervals.withColumn("reached", F.max("e").over(before))
+def gaps(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, b, e): what lies between an interval and the furthest end before it, in order of (b, e).
+
+    Where a key holds very many rows its starts are cut into blocks. Of intervals that begin together the first alone
+    can follow a gap, so that there one row per start is enough.
+    """
+    known = intervals.where("e >= b").select(*keys, "b", "e")
+    heavy = heavy_buckets(known, keys)
+    starts = known.groupBy(*keys, "b").agg(F.max("e").alias("e")) if heavy else known
+    reached = running(starts, keys, "b", maxima={"reached": "e"}, block=block, heavy=heavy)
     cut = reached.select(*keys, (F.col("reached") + 1).alias("b"), (F.col("b") - 1).alias("e"))
     return cut.where("e >= b")
 
@@ -64,33 +71,30 @@ def paint(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return flat.groupBy(*keys, "pos").agg(F.max("label").alias("label"))
 
 
-def label_runs(intervals: DataFrame, keys: list[str]) -> DataFrame:
+def label_runs(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, b, e, label): painting without a row per position.
 
     The ends of the intervals cut the line into pieces over which the covering labels don't change;
     running counts of open exons and introns give each piece its label, and equal neighbours merge.
-    Work follows the number of intervals, however long they are.
+    Work follows the number of intervals, however long they are, in blocks of positions with a carry table.
     """
     opened = intervals.select(*keys, F.col("b").alias("at"), "label", F.lit(1).alias("d"))
     closed = intervals.select(*keys, (F.col("e") + 1).alias("at"), "label", F.lit(-1).alias("d"))
     both = opened.unionByName(closed)
     count = lambda label: F.sum(F.when(F.col("label") == label, F.col("d")).otherwise(0))
     edges = both.groupBy(*keys, "at").agg(count(EXON).alias("d2"), count(INTRON).alias("d1"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = edges.select(*keys, F.col("at").alias("b"), (F.lead("at").over(order) - 1).alias("e"), F.sum("d2").over(upto).alias("n2"), F.sum("d1").over(upto).alias("n1"))
-    label = F.when(F.col("n2") > 0, EXON).when(F.col("n1") > 0, INTRON).otherwise(0)
-    named = pieces.withColumn("label", label).where("e IS NOT NULL")
-    return merged(named, keys, "b").where("label > 0")
+    heavy = heavy_buckets(intervals, keys)
+    counted = running(edges, keys, "at", sums={"n2": "d2", "n1": "d1"}, following="next", block=block, heavy=heavy)
+    opened = lambda n, d: F.coalesce(n, F.lit(0)) + F.col(d)
+    label = F.when(opened("n2", "d2") > 0, EXON).when(opened("n1", "d1") > 0, INTRON).otherwise(0)
+    pieces = counted.select(*keys, F.col("at").alias("b"), (F.col("next") - 1).alias("e"), label.alias("label")).where("e IS NOT NULL AND label > 0")
+    return merged(pieces, keys, "b", block, heavy)
 
 
-def merged(pieces: DataFrame, keys: list[str], order_by: str) -> DataFrame:
+def merged(pieces: DataFrame, keys: list[str], order_by: str, block: int = BLOCK, heavy: list[int] | None = None) -> DataFrame:
     """(keys, b, e, label): adjacent pieces of equal label as one."""
-    order = Window.partitionBy(*keys).orderBy(order_by)
-    new = (F.lag("label").over(order).eqNullSafe(F.col("label")) & (F.lag("e").over(order) + 1).eqNullSafe(F.col("b"))).cast("int")
-    numbered = pieces.withColumn("new", 1 - new)
-    island = numbered.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island", "label").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("island")
+    rows = pieces.select(*keys, F.col(order_by).alias("b"), "e", "label", F.lit(1).alias("n"))
+    return joined_runs(rows, keys, touching=True, block=block, heavy=heavy).select(*keys, "b", "e", "label")
 
 
 def dense_labels(intervals: DataFrame, contigs: DataFrame, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions.numeric import class_of
+from helixlake.operators.scan import BLOCK, joined_runs
 
 
 def overlap_mean(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,25 +39,20 @@ def block_means(scored: DataFrame, contigs: DataFrame, block: int) -> DataFrame:
     return sums.select("seqid", "ord", "pos", *[(F.col(f"p{k}") / F.greatest("n", F.lit(1))).alias(f"p{k}") for k in range(3)], "n")
 
 
-def runs(labelled: DataFrame, keys: list[str], order: str = "pos", label: str = "label") -> DataFrame:
-    """(keys, label, first, last, n): maximal runs of equal labels in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = labelled.withColumn("_new", (~F.lag(label).over(w).eqNullSafe(F.col(label))).cast("int"))
-    island = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
+def runs(labelled: DataFrame, keys: list[str], order: str = "pos", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """(keys, label, first, last, n): maximal runs of equal labels in order, a whole number that differs by row.
 
-
-def block_runs(labelled: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """(keys, b, e, label): runs over long sequences, in two steps.
-
-    Runs inside blocks of positions first, each block a group of its own; then equal neighbours merge
-    over the few runs that blocks leave, so that no task holds a chromosome base by base.
+    Inside blocks of the order first, then over the ends of the blocks, where a key holds very many rows.
     """
-    from helixlake.operators.labels import merged
+    rows = labelled.select(*keys, F.col(order).alias("b"), F.col(order).alias("e"), F.col(label).alias("label"), F.lit(1).cast("long").alias("n"))
+    found = joined_runs(rows, keys, touching=False, block=block)
+    return found.select(*keys, F.col("label").alias(label), F.col("b").alias("first"), F.col("e").alias("last"), "n")
 
-    blocked = labelled.withColumn("_block", F.floor(F.col("pos") / block))
-    inner = runs(blocked, [*keys, "_block"]).select(*keys, F.col("first").alias("b"), F.col("last").alias("e"), "label")
-    return merged(inner, keys, "b")
+
+def block_runs(labelled: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(keys, b, e, label): runs of positions that follow each other."""
+    rows = labelled.select(*keys, F.col("pos").alias("b"), F.col("pos").alias("e"), "label", F.lit(1).alias("n"))
+    return joined_runs(rows, keys, touching=True, block=block).select(*keys, "b", "e", "label")
 
 
 def segments(predictions: DataFrame, block: int = 100_000) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.functions.binding import let
 from helixlake.functions.sequence import reverse_complement, window_text
+from helixlake.operators.intervals import overlapping
 
 SHORTEST = 10
+#: Bases of a sequence that travel together.
+CHUNK = 1 << 16
 
 
 def step_of(window: int, overlap: int, mode: str) -> int:
@@ -45,16 +49,50 @@ def windows(df: DataFrame, length: str, window: int, overlap: int, mode: str = "
     return flat.withColumns({"win_end": end, "win_len": end - F.col("win_start")})
 
 
-def sequence_windows(contigs: DataFrame, window: int, overlap: int, mode: str = "predict", strand: str = "+") -> DataFrame:
-    """(ord, id, strand, win_idx, win_start, win_end, win_len, seq). On the reverse strand the window is
-    cut in forward coordinates and then complemented, so its base j lies at win_end - 1 - j.
+def sequence_chunks(contigs: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
+    """(ord, id, length, chunk_start, chunk_size, chunk): ``chunk_size`` bases from ``chunk_start`` on and up to
+    ``halo`` more, so that what begins in a chunk and is no longer than the halo and a base is whole in it.
 
-    Windows are dealt out evenly afterwards: one long chromosome makes all of its in one task.
+    A sequence is cut in one pass, whatever its length, and its chunks are dealt out.
     """
-    cut = windows(contigs, "length", window, overlap, mode)
-    seq = window_text(F.col("seq"), F.col("win_start"), F.col("win_len"))
-    shown = cut.select("ord", "id", F.lit(strand).alias("strand"), "win_idx", "win_start", "win_end", "win_len", (reverse_complement(seq) if strand == "-" else seq).alias("seq"))
-    return shown.repartition("id", "win_idx")
+    size = max(size, halo, 1)
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def with_halo(ps: Column) -> Column:
+        after = lambda k: F.substr(F.coalesce(F.get(ps, k + 1), F.lit("")), F.lit(1), F.lit(halo))
+        return F.transform(ps, lambda p, k: F.struct((k.cast("long") * size).alias("chunk_start"), F.length(p).alias("chunk_size"), F.concat(p, after(k)).alias("chunk")))
+
+    cut = contigs.where("length > 0").select("ord", "id", "length", F.inline(let(pieces, with_halo)))
+    return cut.repartition("id", "ord", "chunk_start")
+
+
+def chunk_windows(chunks: DataFrame, window: int, overlap: int, mode: str = "predict", strand: str = "+") -> DataFrame:
+    """(ord, id, strand, win_idx, win_start, win_end, win_len, seq) of the windows that begin in each chunk, whose halo
+    has at least ``window`` - 1 bases. Without a shuffle; the work follows the bases of the windows.
+
+    On the reverse strand the window is cut in forward coordinates and then complemented, so its base j lies at
+    win_end - 1 - j.
+    """
+    step, start, length = step_of(window, overlap, mode), F.col("chunk_start"), F.col("length")
+    first, last = F.ceil(start / step), F.floor((F.least(start + F.col("chunk_size"), length.cast("long")) - 1) / step)
+    numbers = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    s = F.col("_k") * step
+    end = F.least(length.cast("long"), s + window)
+    wanted = end - s >= SHORTEST
+    if mode == "train":
+        wanted = wanted & (length >= SHORTEST) & ((s == 0) | (s - step + window < length))
+    cut = chunks.select("ord", "id", "length", "chunk_start", "chunk", F.explode(numbers).alias("_k")).where(wanted)
+    kind = chunks.schema["length"].dataType
+    seq = window_text(F.col("chunk"), s - start, end - s)
+    shown = (reverse_complement(seq) if strand == "-" else seq).alias("seq")
+    return cut.select("ord", "id", F.lit(strand).alias("strand"), F.col("_k").cast("int").alias("win_idx"), s.cast(kind).alias("win_start"), end.cast(kind).alias("win_end"), (end - s).cast("int").alias("win_len"), shown)
+
+
+def sequence_windows(contigs: DataFrame, window: int, overlap: int, mode: str = "predict", strand: str = "+") -> DataFrame:
+    """``chunk_windows`` of whole sequences (ord, id, seq, length), or of chunks where those are given already."""
+    step_of(window, overlap, mode)
+    chunks = contigs if "chunk" in contigs.columns else sequence_chunks(contigs, window - 1)
+    return chunk_windows(chunks, window, overlap, mode, strand)
 
 
 def windows_of(pos: Column, length: Column, window: int, overlap: int, mode: str = "predict") -> Column:
@@ -68,14 +106,12 @@ def windows_of(pos: Column, length: Column, window: int, overlap: int, mode: str
 def window_labels(wins: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """``wins`` with ``labels``: an array of the window's labels in reading order.
 
-    Runs are joined by the blocks of ``window`` bases that they and the windows touch (an equi-join),
-    then expanded inside each window: base j of a reverse window is forward base win_end - 1 - j.
+    Runs are joined by bins of growing size, so that a long one is two rows at most, then expanded inside each
+    window: base j of a reverse window is forward base win_end - 1 - j.
     """
-    blocks = lambda b, e: F.explode(F.sequence(F.floor(b / window), F.floor(e / window)))
-    left = wins.select("id", "strand", "win_idx", "win_start", "win_end", blocks(F.col("win_start"), F.col("win_end") - 1).alias("block"))
-    right = runs.select(F.col("seqid").alias("id"), "strand", "b", "e", "label", blocks(F.col("b"), F.col("e")).alias("block"))
-    met = left.join(right, ["id", "strand", "block"]).where("e >= win_start AND b < win_end")
-    inside = met.select("id", "strand", "win_idx", F.struct("b", "e", "label").alias("r")).groupBy("id", "strand", "win_idx").agg(F.collect_set("r").alias("runs"))
+    left = wins.select("id", "strand", "win_idx", "win_start", "win_end")
+    met = overlapping(left, runs.select(F.col("seqid").alias("id"), "strand", "b", "e", "label"), ["id", "strand"], window)
+    inside = met.groupBy("id", "strand", "win_idx").agg(F.collect_set(F.struct(F.col("b").cast("int").alias("b"), F.col("e").cast("int").alias("e"), "label")).alias("runs"))
 
     def at(p: Column) -> Column:
         hit = F.filter("runs", lambda r: (r["b"] <= p) & (r["e"] >= p))
