@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ MAP = 16
 #: Leaders that a set is compared with first, those of most of its lists.
 FIRST = 2
 #: Members of a list that the others meet in the second round; each later round has so many times more.
-GROWTH = 8
+GROWTH = 64
 #: Up to so many sets (16 bytes each) are named to the scan by broadcast; more are joined by shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -126,31 +127,38 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The hashes of each value of a binary column, where they lie."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    return [flat[i:j].view(np.uint64) for i, j in zip(offsets, offsets[1:])]
+
+
 def _answers(percent: int):
-    @F.pandas_udf(ANSWER)
-    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for left, right in batches:
-            rows = []
-            for x, y in zip(left, right):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                held = common(a, b)
-                overlap = int(held.sum())
-                # what is twice as far apart as a link may be tells nothing of others
-                near = (100 + percent) * (len(a) + len(b) - 2 * overlap) <= 2 * (100 - percent) * (len(a) + len(b))
-                rows.append((overlap, a[~held].tobytes(), b[~common(b, a)].tobytes()) if near else (overlap, None, None))
-            yield pd.DataFrame(rows, columns=ANSWER.names)
+    @F.arrow_udf(ANSWER)
+    def answers(left: pa.Array, right: pa.Array) -> pa.Array:
+        overlaps, minus, plus = [], [], []
+        for a, b in zip(_views(left), _views(right)):
+            held = common(a, b)
+            overlap = int(held.sum())
+            # what is twice as far apart as a link may be tells nothing of others
+            near = (100 + percent) * (len(a) + len(b) - 2 * overlap) <= 2 * (100 - percent) * (len(a) + len(b))
+            overlaps.append(overlap)
+            minus.append(a[~held].tobytes() if near else None)
+            plus.append(b[~common(b, a)].tobytes() if near else None)
+        return pa.StructArray.from_arrays([pa.array(overlaps, pa.int64()), pa.array(minus, pa.binary()), pa.array(plus, pa.binary())], names=ANSWER.names)
 
     return answers
 
 
-@F.pandas_udf(T.LongType())
-def derived(size: pd.Series, minus_a: pd.Series, plus_a: pd.Series, minus_b: pd.Series, plus_b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def derived(size: pa.Array, minus_a: pa.Array, plus_a: pa.Array, minus_b: pa.Array, plus_b: pa.Array) -> pa.Array:
     """Size of the intersection of a and b by what each lacks and has beside one leader of ``size``."""
-    out = []
-    for n, *parts in zip(size, minus_a, plus_a, minus_b, plus_b):
-        ma, pa, mb, pb = (np.frombuffer(p, dtype=np.uint64) for p in parts)
-        out.append(n - len(ma) - len(mb) + int(common(ma, mb).sum()) + int(common(pa, pb).sum()))
-    return pd.Series(out, dtype="int64")
+    parts = map(_views, (minus_a, plus_a, minus_b, plus_b))
+    out = [n - len(ma) - len(mb) + int(common(ma, mb).sum()) + int(common(pa_, pb).sum()) for n, ma, pa_, mb, pb in zip(size.to_pylist(), *parts)]
+    return pa.array(out, pa.int64())
 
 
 def _linked(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -245,6 +253,9 @@ def links(nodes: DataFrame, docs: DataFrame, ngram: int = NGRAM, percent: int =
         split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         fresh = F.col("draw") * F.col("size") >= (before if before > 1 else 0)
         open_ = stored(known.where(fresh).join(split, "key", "left_semi").join(maps, "id"), "open-members")
+        if open_.isEmpty():
+            discard(open_)
+            continue
         side = lambda t: [F.col("key").alias(f"k{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("id", "pos", "draw", "root", "s")]]
         x, y = open_.where(F.col("draw") * F.col("size") < b).select(*side("x")), open_.select(*side("y"))
         unmet = (F.col("root_x") != F.col("root_y")) & ((F.col("draw_x") < F.col("draw_y")) | (F.col("draw_x") == F.col("draw_y")) & (F.col("id_x") < F.col("id_y")))
