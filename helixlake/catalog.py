@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import attributes, numeric, sequence
+from helixlake.functions.fourier import fft
+from helixlake.operators import attention as encoder
 from helixlake.operators import labels, linalg, segments, windows
+from helixlake.operators.wavelets import wavelet_features
 from helixlake.plans import annotate
 from helixlake.sources import fasta, gff
 from helixlake.sources.config import Config
@@ -544,6 +547,129 @@ FROM w, (VALUES ('+'), ('-')) v(strand) WHERE least(n, s + 20) - s >= 10 AND n >
 """
 
 
+TRANSFORM = 1024
+
+
+def long_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of 1,024 samples, the values of 16 neighbouring vectors, by butterflies."""
+    size = TRANSFORM // 64
+    parts = _vectors(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct((F.col("vec_id") % size).alias("k"), "x"))).alias("parts"))
+    # vectors that are missing at the end are zeros
+    samples = F.flatten(F.transform("parts", lambda p: p["x"]))
+    made = parts.select("block", F.posexplode(fft(samples, None, TRANSFORM)).alias("f", "z"))
+    return made.select("block", "f", (F.round("z.re", 4) + 0.0).alias("re"), (F.round("z.im", 4) + 0.0).alias("im"))
+
+
+LONG_FOURIER = f"""
+WITH c AS (SELECT vec_id // 16 AS block, unnest(embedding)::DOUBLE AS x, 64 * (vec_id % 16) + unnest(range(0, len(embedding))) AS k FROM embeddings)
+SELECT block, CAST(f AS INTEGER) AS f, round(sum(x * cos(2 * pi() * (k * f % {TRANSFORM}) / {TRANSFORM}.0)), 4) + 0.0::DOUBLE AS re,
+  round(sum(-x * sin(2 * pi() * (k * f % {TRANSFORM}) / {TRANSFORM}.0)), 4) + 0.0::DOUBLE AS im
+FROM c, range(0, {TRANSFORM}) r(f) GROUP BY block, f
+"""
+
+BANK = (0.5, 1.0, 2.0)
+
+
+def wavelet_bank_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavelet features of whole texts for a bank of scales, by overlap-save, summed up by text and scale."""
+    found = wavelet_features(_documents(spark, sf_dir), ["doc_id"], BANK, "text")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    parts = [F.struct(F.lit(k).alias("scale_idx"), F.get("features", F.lit(2 * k)).alias("re"), F.get("features", F.lit(2 * k + 1)).alias("im")) for k in range(len(BANK))]
+    each = found.select("doc_id", F.inline(F.array(*parts)))
+    energy = total(F.zip_with("re", "im", lambda a, b: a * a + b * b))
+    sums = each.select("doc_id", "scale_idx", F.size("re").alias("n"), total(F.col("re")).alias("re"), total(F.col("im")).alias("im"), energy.alias("energy"))
+    rounded = [(F.round(F.sum(c), 3) + 0.0).alias(c) for c in ("re", "im", "energy")]
+    return sums.groupBy("doc_id", "scale_idx").agg(F.sum("n").alias("n"), *rounded)
+
+
+WAVELET_BANK_SUMS = f"""
+WITH d AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE length(text) > 0),
+b AS (SELECT doc_id, n, unnest(string_split(text, '')) AS c, unnest(range(0, n)) AS pos FROM d),
+x AS (SELECT doc_id, n, pos, CASE WHEN c IN ('A','a','T','t') THEN 1 WHEN c IN ('G','g','C','c') THEN -1 END AS re,
+  CASE WHEN c IN ('A','a','G','g') THEN 1 WHEN c IN ('T','t','C','c') THEN -1 END AS im FROM b WHERE c IN ('A','a','T','t','G','g','C','c')),
+s AS (SELECT CAST(i - 1 AS INTEGER) AS scale_idx, [{", ".join(map(str, BANK))}][i]::DOUBLE AS scale FROM range(1, {len(BANK) + 1}) r(i)),
+l AS (SELECT n, scale_idx, scale, m + CASE WHEN m % 2 = 0 THEN 1 ELSE 0 END AS l
+  FROM (SELECT n, scale_idx, scale, CAST(least(greatest(floor(scale * 10), 1), n) AS INTEGER) AS m FROM (SELECT DISTINCT n FROM d), s)),
+t AS (SELECT n, scale_idx, scale, j - l // 2 AS off, (j - l // 2) / scale AS t FROM (SELECT *, unnest(range(0, l)) AS j FROM l)),
+w AS (SELECT n, scale_idx, off, exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * cos(2 * pi() * t) AS wr, exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * sin(2 * pi() * t) AS wi FROM t),
+o AS (SELECT doc_id, x.n, scale_idx, pos + off AS pos, sum(re * wr - im * wi) AS re, sum(re * wi + im * wr) AS im
+  FROM x JOIN w ON x.n = w.n WHERE pos + off BETWEEN 0 AND x.n - 1 GROUP BY ALL),
+sums AS (SELECT doc_id, scale_idx, sum(re) AS re, sum(im) AS im, sum(re * re + im * im) AS energy FROM o GROUP BY ALL)
+SELECT doc_id, scale_idx, n, round(coalesce(re, 0), 3) + 0.0::DOUBLE AS re, round(coalesce(im, 0), 3) + 0.0::DOUBLE AS im, round(coalesce(energy, 0), 3) + 0.0::DOUBLE AS energy
+FROM d CROSS JOIN s LEFT JOIN sums USING (doc_id, scale_idx)
+"""
+
+HEADS, WIDTH = 2, 64
+
+
+def _matrix(spark: SparkSession, rows: int, cols: int, a: int, b: int) -> DataFrame:
+    """A made matrix (i, j, v)."""
+    grid = spark.range(rows).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    return grid.select("i", "j", (((F.col("i") * a + F.col("j") * b + 3) % 19 - 9) / 60.0).alias("v"))
+
+
+def _matrix_sql(name: str, rows: int, cols: int, a: int, b: int) -> str:
+    return f"{name} AS (SELECT i, j, ((i * {a} + j * {b} + 3) % 19 - 9) / 60.0::DOUBLE AS v FROM range(0, {rows}) a(i), range(0, {cols}) b(j))"
+
+
+#: Factors of the made matrices, fixed for the query and its SQL.
+FACTORS = {"wq": (7, 5), "wk": (3, 11), "wv": (5, 13), "wo": (11, 4), "w1": (2, 9), "w2": (13, 6)}
+
+
+def multi_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention of two heads with projections, inside windows of eight vectors."""
+    rows = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / ATTENTION_WINDOW).alias("w"), F.col("vec_id").alias("t"), "x")
+    weights = [_matrix(spark, WIDTH, WIDTH, *FACTORS[w]) for w in ("wq", "wk", "wv", "wo")]
+    made = encoder.multi_head_attention(rows, *weights, ["w"], HEADS, WIDTH)
+    return made.select(F.col("t").alias("vec_id"), F.posexplode("x").alias("d", "v")).select("vec_id", "d", _rounded(F.col("v")).alias("v"))
+
+
+_ROWS_SQL = f"x AS (SELECT vec_id AS t, vec_id // {ATTENTION_WINDOW} AS w, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings)"
+_HEADS_SQL = ",\n".join(
+    [
+        *[_matrix_sql(w, WIDTH, WIDTH, *FACTORS[w]) for w in ("wq", "wk", "wv", "wo")],
+        *[f"{w[1]} AS (SELECT w, t, j AS d, j // {WIDTH // HEADS} AS h, sum(x.v * m.v) AS v FROM x JOIN {w} m ON x.d = m.i GROUP BY ALL)" for w in ("wq", "wk", "wv")],
+        f"s AS (SELECT a.w, a.h, a.t, b.t AS u, sum(a.v * b.v) / sqrt({WIDTH // HEADS}) AS z FROM q a JOIN k b ON a.w = b.w AND a.d = b.d GROUP BY ALL)",
+        "e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY t, h)) AS y FROM s)",
+        "p AS (SELECT w, h, t, u, y / sum(y) OVER (PARTITION BY t, h) AS p FROM e)",
+        "mixed AS (SELECT p.t, v.d, sum(p * v.v) AS v FROM p JOIN v ON p.w = v.w AND p.u = v.t AND p.h = v.h GROUP BY ALL)",
+        "attended AS (SELECT t, j AS d, sum(a.v * m.v) AS v FROM mixed a JOIN wo m ON a.d = m.i GROUP BY ALL)",
+    ]
+)
+MULTI_HEAD = f"WITH {_ROWS_SQL},\n{_HEADS_SQL} SELECT t AS vec_id, CAST(d AS INTEGER) AS d, round(v, 6) + 0.0::DOUBLE AS v FROM attended"
+
+HIDDEN = 32
+
+
+def _made_vectors() -> dict[str, Column]:
+    line = lambda n, a, one: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: one + ((i * a) % 7 - 3) / 20.0)
+    return {"b1": line(HIDDEN, 2, 0.0), "b2": line(WIDTH, 3, 0.0), "g1": line(WIDTH, 4, 1.0), "e1": line(WIDTH, 5, 0.0), "g2": line(WIDTH, 6, 1.0), "e2": line(WIDTH, 1, 0.0)}
+
+
+def encoder_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A post-norm encoder layer of two heads, inside windows of eight vectors."""
+    rows = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / ATTENTION_WINDOW).alias("w"), F.col("vec_id").alias("t"), "x")
+    weights = {w: _matrix(spark, WIDTH, WIDTH, *FACTORS[w]) for w in ("wq", "wk", "wv", "wo")}
+    weights |= {"w1": _matrix(spark, WIDTH, HIDDEN, *FACTORS["w1"]), "w2": _matrix(spark, HIDDEN, WIDTH, *FACTORS["w2"])}
+    made = encoder.encoder_layer(rows, weights, _made_vectors(), ["w"], HEADS, WIDTH)
+    return made.select(F.col("t").alias("vec_id"), F.posexplode("x").alias("d", "v")).select("vec_id", "d", _rounded(F.col("v")).alias("v"))
+
+
+_LINE_SQL = lambda i, a, one: f"({one} + (({i} * {a}) % 7 - 3) / 20.0::DOUBLE)"
+_NORM_SQL = lambda v, g, e: f"(({v} - avg({v}) OVER n) / sqrt(var_pop({v}) OVER n + 1e-6)) * {_LINE_SQL('d', g, 1.0)} + {_LINE_SQL('d', e, 0.0)}"
+ENCODER_LAYER = f"""WITH {_ROWS_SQL},
+{_HEADS_SQL},
+r1 AS (SELECT t, d, x.v + a.v AS v FROM x JOIN attended a USING (t, d)),
+n1 AS (SELECT t, d, {_NORM_SQL("v", 4, 5)} AS v FROM r1 WINDOW n AS (PARTITION BY t)),
+{_matrix_sql("w1", WIDTH, HIDDEN, *FACTORS["w1"])},
+{_matrix_sql("w2", HIDDEN, WIDTH, *FACTORS["w2"])},
+hidden AS (SELECT t, j, greatest(sum(n1.v * w1.v) + {_LINE_SQL("j", 2, 0.0)}, 0.0) AS v FROM n1 JOIN w1 ON d = i GROUP BY t, j),
+fed AS (SELECT t, w2.j AS d, sum(hidden.v * w2.v) + {_LINE_SQL("w2.j", 3, 0.0)} AS v FROM hidden JOIN w2 ON hidden.j = w2.i GROUP BY t, w2.j),
+r2 AS (SELECT t, d, n1.v + fed.v AS v FROM n1 JOIN fed USING (t, d))
+SELECT t AS vec_id, CAST(d AS INTEGER) AS d, round({_NORM_SQL("v", 6, 1)}, 6) + 0.0::DOUBLE AS v FROM r2 WINDOW n AS (PARTITION BY t)
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals to painted labels to segments."""
     return label_runs(spark, sf_dir)
@@ -583,6 +709,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q31_gff_text": gff_text,
     "q32_class_counts": class_counts,
     "q33_fasta_records": fasta_records,
+    "q34_long_fourier": long_fourier,
+    "q35_wavelet_bank": wavelet_bank_sums,
+    "q36_multi_head": multi_head,
+    "q37_encoder_layer": encoder_layer,
 }
 
 ORACLES: dict[str, str] = {
@@ -617,4 +747,8 @@ ORACLES: dict[str, str] = {
     "q31_gff_text": GFF_TEXT,
     "q32_class_counts": CLASS_COUNTS,
     "q33_fasta_records": FASTA_RECORDS,
+    "q34_long_fourier": LONG_FOURIER,
+    "q35_wavelet_bank": WAVELET_BANK_SUMS,
+    "q36_multi_head": MULTI_HEAD,
+    "q37_encoder_layer": ENCODER_LAYER,
 }

@@ -58,6 +58,12 @@ def wavelet(scale: float, length: int) -> np.ndarray:
     return np.exp(-t * t / 2) * np.exp(2j * np.pi * t) / math.sqrt(scale * math.pi**0.25)
 
 
+def base_signal(seqs: list[str]) -> np.ndarray:
+    """[sequence][base] of the complex signal, of sequences of one length."""
+    codes = np.frombuffer("".join(seqs).encode("latin-1", "replace"), dtype=np.uint8)
+    return _SIGNAL[codes.reshape(len(seqs), len(seqs[0]))]
+
+
 def features(seqs: list[str] | str, scales: tuple[float, ...]) -> np.ndarray:
     """[window][base][re, im of each scale], of windows of one length: the centred convolution with every
     wavelet, zeros beyond the window. One string gives one window's [base][..].
@@ -67,8 +73,7 @@ def features(seqs: list[str] | str, scales: tuple[float, ...]) -> np.ndarray:
     if isinstance(seqs, str):
         return features([seqs], scales)[0]
     n = len(seqs[0])
-    codes = np.frombuffer("".join(seqs).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(seqs), n)
-    x, out = _SIGNAL[codes], np.empty((len(seqs), n, 2 * len(scales)))
+    x, out = base_signal(seqs), np.empty((len(seqs), n, 2 * len(scales)))
     for k, scale in enumerate(scales):
         psi = wavelet(scale, wavelet_samples(scale, n))
         size = 1 << (n + len(psi) - 2).bit_length() if n + len(psi) > 2 else 1
