@@ -25,7 +25,7 @@ ATTENTION_CELLS = 1 << 22
 BLOCK = 4096
 #: Doubles of a gradient that travel together.
 CHUNK = 1 << 16
-SCORES = "ord int, id string, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>"
+SCORES = "ord bigint, id string, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>"
 
 
 def scored_blocks(wins: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
@@ -58,9 +58,13 @@ def scored_blocks(wins: DataFrame, params: kernels.Params, config: Config) -> Da
 
 
 def predictions(contigs: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
-    """(seqid, ord, pos, p0, p1, p2, n) of every base of every sequence, forward strand."""
+    """(seqid, ord, pos, p0, p1, p2, n) of every base of every sequence, forward strand.
+
+    ``contigs`` are sequences (ord, id, seq, length), or chunks of them with a halo of a window.
+    """
     wins = sequence_windows(contigs, config.window_size, config.window_overlap, "predict")
-    return block_means(scored_blocks(wins, params, config).withColumnRenamed("id", "seqid"), contigs, BLOCK)
+    whole = contigs.where("chunk_start = 0") if "chunk" in contigs.columns else contigs
+    return block_means(scored_blocks(wins, params, config).withColumnRenamed("id", "seqid"), whole, BLOCK)
 
 
 def predict(spark: SparkSession, config: Config, strip_whitespace: bool = False) -> DataFrame:
