@@ -495,7 +495,7 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.lit("; of\n>"), name, F.lit(" it\r\n"), body, F.lit("\n>"), name, F.lit("-b\nAC\r\nG T"))
     files = _documents(spark, sf_dir).select(F.lpad(name, 12, "0").alias("file"), value.alias("value"))
     made = fasta.parse_fasta(files)
-    return made.select("ord", "id", "length", F.md5("seq").alias("seq_md5"))
+    return made.select(F.col("ord").cast("int").alias("ord"), "id", "length", F.md5("seq").alias("seq_md5"))
 
 
 FASTA_RECORDS = r"""

@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixlake.sources.scratch import kept
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """``blocks(file, block, size)`` with ``before``: the sizes of all blocks before, in order of file and block.
+
+    Blocks are dealt by range and counted inside a range; what lies before a range is a sum of a row per range.
+    """
+    ranged = blocks.repartitionByRange("file", "block").withColumn("_range", F.spark_partition_id())
+    ranged = kept(ranged, "fasta-blocks")  # the ranges are drawn from samples: both readers below need the same
+    inside = Window.partitionBy("_range").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("_range").agg(F.sum("size").alias("size"))
+    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = ranges.select("_range", F.coalesce(F.sum("size").over(line), F.lit(0)).alias("_offset"))
+    local = ranged.withColumn("_local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return local.join(F.broadcast(offsets), "_range").withColumn("before", F.col("_offset") + F.col("_local")).drop("_range", "_offset", "_local")
+
 
 def _records(chunks: DataFrame, strip_whitespace: bool) -> DataFrame:
     """(ord, id, seq, length) of the chunks (file, block, at, value) between the marks of records.
@@ -15,16 +32,15 @@ def _records(chunks: DataFrame, strip_whitespace: bool) -> DataFrame:
     """
     opens = F.min_by(F.startswith("value", F.lit(">")), "at")
     blocks = chunks.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("start"), opens.alias("opens"))
-    order = Window.orderBy("file", "block")
     first = F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1
-    counted = blocks.withColumn("preamble", first & ~F.col("opens")).withColumn("skip", F.col("preamble").cast("int"))
-    before = F.coalesce(F.sum(F.col("n") - F.col("skip")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "start", "skip", first.alias("first"), before.alias("before"))
+    counted = blocks.withColumn("first", first).withColumn("skip", (F.col("first") & ~F.col("opens")).cast("int"))
+    numbered = _numbered(counted.withColumn("size", F.col("n") - F.col("skip")))
+    placed = numbered.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "start", "skip", "first", "before")
     joined = chunks.join(placed, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
     at = F.col("at") - F.col("start")
     kept = joined.where(~((F.col("skip") == 1) & (at == 0)))
     record = F.when(F.col("first") & (at == 0), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    named = kept.select((F.col("before") + at - F.col("skip")).cast("int").alias("ord"), record.alias("record"))
+    named = kept.select((F.col("before") + at - F.col("skip")).cast("long").alias("ord"), record.alias("record"))
     head = F.regexp_extract("record", r"^([^\s]*)", 1)
     body = F.when(F.instr("record", F.lit("\n")) > 0, F.regexp_replace("record", r"^[^\n]*\n", "")).otherwise("")
     seq = F.regexp_replace(body, r"\r*(\n|$)", "")
