@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from helixlake.functions import attributes, numeric, sequence
 from helixlake.functions.fourier import fft
 from helixlake.operators import attention as encoder
-from helixlake.operators import labels, linalg, segments, windows
+from helixlake.operators import gradients, labels, linalg, segments, windows
 from helixlake.operators.wavelets import wavelet_features
 from helixlake.plans import annotate
 from helixlake.sources import fasta, gff
@@ -670,6 +670,89 @@ SELECT t AS vec_id, CAST(d AS INTEGER) AS d, round({_NORM_SQL("v", 6, 1)}, 6) +
 """
 
 
+DROP_RATE = 0.25
+
+
+def dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with values dropped by step, layer, row and column."""
+    flat = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "v"))
+    y = numeric.dropped_out(F.col("v"), DROP_RATE, F.lit(3), F.lit(1), F.col("vec_id"), F.col("i"))
+    return flat.select("vec_id", "i", _rounded(y).alias("v"))
+
+
+def _draw_sql(*numbers: str) -> str:
+    u = "1::BIGINT"
+    for number in numbers:
+        u = f"(({u} + {number}) * 48271 % 2147483647)"
+        u = f"list_transform([{u}], lambda z: (z * z % 2147483647 + 1) * 48271 % 2147483647)[1]"
+    return f"{u} / 2147483647.0::DOUBLE"
+
+
+DROPOUT = f"""
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(CASE WHEN {_draw_sql("3", "1", "vec_id", "i")} < {DROP_RATE} THEN 0.0 ELSE v / (1 - {DROP_RATE}) END, 6) + 0.0::DOUBLE AS v FROM c
+"""
+
+
+def attention_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of the matrices of two heads, where that of what the attention gives is its input."""
+    rows = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / ATTENTION_WINDOW).alias("w"), F.col("vec_id").alias("t"), "x", F.col("x").alias("dy"))
+    weights = {w: _matrix(spark, WIDTH, WIDTH, *FACTORS[w]) for w in ("wq", "wk", "wv", "wo")}
+    grads = gradients.attention_back(rows, weights, ["w"], HEADS, WIDTH)[1]
+    return grads.select("name", "i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+ATTENTION_GRADIENTS = f"""WITH {_ROWS_SQL},
+{_HEADS_SQL},
+dm AS (SELECT x.w, x.t, m.i AS d, m.i // {WIDTH // HEADS} AS h, sum(x.v * m.v) AS v FROM x JOIN wo m ON x.d = m.j GROUP BY ALL),
+da AS (SELECT dm.w, dm.h, dm.t, v.t AS u, sum(dm.v * v.v) AS v FROM dm JOIN v ON dm.w = v.w AND dm.d = v.d GROUP BY ALL),
+ds AS (SELECT p.w, p.h, p.t, p.u, p * (da.v - sum(p * da.v) OVER (PARTITION BY p.t, p.h)) / sqrt({WIDTH // HEADS}) AS v
+  FROM p JOIN da ON p.h = da.h AND p.t = da.t AND p.u = da.u),
+dq AS (SELECT ds.t, k.d, sum(ds.v * k.v) AS v FROM ds JOIN k ON ds.u = k.t AND ds.h = k.h GROUP BY ALL),
+dk AS (SELECT ds.u AS t, q.d, sum(ds.v * q.v) AS v FROM ds JOIN q ON ds.t = q.t AND ds.h = q.h GROUP BY ALL),
+dv AS (SELECT p.u AS t, dm.d, sum(p.p * dm.v) AS v FROM p JOIN dm ON p.t = dm.t AND p.h = dm.h GROUP BY ALL),
+g AS (SELECT 'wq' AS name, x.d AS i, dq.d AS j, sum(x.v * dq.v) AS v FROM x JOIN dq ON x.t = dq.t GROUP BY ALL
+  UNION ALL SELECT 'wk', x.d, dk.d, sum(x.v * dk.v) FROM x JOIN dk ON x.t = dk.t GROUP BY ALL
+  UNION ALL SELECT 'wv', x.d, dv.d, sum(x.v * dv.v) FROM x JOIN dv ON x.t = dv.t GROUP BY ALL
+  UNION ALL SELECT 'wo', mixed.d, x.d, sum(mixed.v * x.v) FROM mixed JOIN x ON x.t = mixed.t GROUP BY ALL)
+SELECT name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 4) + 0.0::DOUBLE AS v FROM g
+"""
+
+CLASSES = 3
+
+
+def adam_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of a classifier of one hidden layer on the labels of all vectors: its parameters and moments after it."""
+    rows = _vectors(spark, sf_dir)
+    w1, w2 = _matrix(spark, WIDTH, HIDDEN, *FACTORS["w1"]), _matrix(spark, HIDDEN, CLASSES, *FACTORS["w2"])
+    turned = w2.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    fed = encoder.with_weights(rows, _w1=w1).select("x", "label", F.transform(encoder.product(F.col("x"), F.col("_w1")), numeric.relu).alias("h"))
+    scored = encoder.with_weights(fed, _w2=w2).select("x", "h", gradients.softmax_delta(encoder.product(F.col("h"), F.col("_w2")), F.col("label") - 1).alias("dz"))
+    back = encoder.with_weights(scored, _w2=turned).select("x", "h", "dz", gradients.relu_back(encoder.product(F.col("dz"), F.col("_w2")), F.col("h")).alias("dh"))
+    grads = gradients.weight_gradient(back, "x", "dh", "w1").unionByName(gradients.weight_gradient(back, "h", "dz", "w2"))
+    state = w1.withColumn("name", F.lit("w1")).unionByName(w2.withColumn("name", F.lit("w2"))).withColumns({"m": F.lit(0.0), "u": F.lit(0.0)})
+    made = gradients.adam_step(state, grads, 1, 0.01, 0.9, 0.999, 1e-3)
+    return made.select("name", "i", "j", *[_rounded(F.col(c)).alias(c) for c in ("v", "m")], (F.round("u", 4) + 0.0).alias("u"))
+
+
+ADAM_STEP = f"""
+WITH x AS (SELECT vec_id AS t, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
+{_matrix_sql("w1", WIDTH, HIDDEN, *FACTORS["w1"])},
+{_matrix_sql("w2", HIDDEN, CLASSES, *FACTORS["w2"])},
+h AS (SELECT t, label, j, greatest(sum(x.v * w1.v), 0.0) AS v FROM x JOIN w1 ON d = i GROUP BY ALL),
+z AS (SELECT t, label, w2.j, sum(h.v * w2.v) AS v FROM h JOIN w2 ON h.j = w2.i GROUP BY ALL),
+e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY t)) AS e FROM z),
+dz AS (SELECT t, j, CASE WHEN label BETWEEN 1 AND {CLASSES} THEN e / sum(e) OVER (PARTITION BY t) - (CASE WHEN j = label - 1 THEN 1 ELSE 0 END) ELSE 0.0 END AS v FROM e),
+dh AS (SELECT h.t, h.j, CASE WHEN h.v > 0 THEN sum(dz.v * w2.v) ELSE 0.0 END AS v FROM h JOIN dz ON h.t = dz.t JOIN w2 ON w2.i = h.j AND w2.j = dz.j GROUP BY h.t, h.j, h.v),
+g AS (SELECT 'w1' AS name, x.d AS i, dh.j, sum(x.v * dh.v) AS g FROM x JOIN dh ON x.t = dh.t GROUP BY ALL
+  UNION ALL SELECT 'w2', h.j, dz.j, sum(h.v * dz.v) FROM h JOIN dz ON h.t = dz.t GROUP BY ALL),
+s AS (SELECT 'w1' AS name, * FROM w1 UNION ALL SELECT 'w2', * FROM w2),
+n AS (SELECT name, i, j, v, 0.1 * g AS m, (1 - 0.999::DOUBLE) * g * g AS u FROM s JOIN g USING (name, i, j))
+SELECT name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v - 0.01 * (m / (1 - 0.9::DOUBLE)) / (sqrt(u / (1 - 0.999::DOUBLE)) + 1e-3), 6) + 0.0::DOUBLE AS v,
+  round(m, 6) + 0.0::DOUBLE AS m, round(u, 4) + 0.0::DOUBLE AS u FROM n
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals to painted labels to segments."""
     return label_runs(spark, sf_dir)
@@ -713,6 +796,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q35_wavelet_bank": wavelet_bank_sums,
     "q36_multi_head": multi_head,
     "q37_encoder_layer": encoder_layer,
+    "q38_dropout": dropout,
+    "q39_attention_gradients": attention_gradients,
+    "q40_adam_step": adam_step,
 }
 
 ORACLES: dict[str, str] = {
@@ -751,4 +837,7 @@ ORACLES: dict[str, str] = {
     "q35_wavelet_bank": WAVELET_BANK_SUMS,
     "q36_multi_head": MULTI_HEAD,
     "q37_encoder_layer": ENCODER_LAYER,
+    "q38_dropout": DROPOUT,
+    "q39_attention_gradients": ATTENTION_GRADIENTS,
+    "q40_adam_step": ADAM_STEP,
 }

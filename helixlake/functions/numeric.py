@@ -105,10 +105,30 @@ def log_softmax_at(values: Column, target: Column) -> Column:
     return F.get(values, target.cast("int")) - top - F.log(total)
 
 
-def dropped_out(x: Column, rate: float, seed: int) -> Column:
-    """Inverted dropout: 0 with the given probability, else scaled so that the mean stays."""
+#: Modulus and multiplier of the generator behind dropout, a prime and a root of it.
+DROP_MODULUS, DROP_FACTOR = 2_147_483_647, 48_271
+
+
+def drop_draw(*numbers: Column) -> Column:
+    """A number from 0 to 1, exclusive, drawn from whole numbers: the same wherever and whenever it is asked for.
+
+    Each number is added and the sum multiplied twice, modulo a prime, squared in between; products stay in 64 bits.
+    """
+    u = F.lit(1).cast("bigint")
+    for number in numbers:
+        u = (u + F.pmod(number.cast("bigint"), F.lit(DROP_MODULUS))) * DROP_FACTOR % DROP_MODULUS
+        u = (u * u % DROP_MODULUS + 1) * DROP_FACTOR % DROP_MODULUS
+    return u / float(DROP_MODULUS)
+
+
+def dropped_out(x: Column, rate: float, *numbers: Column) -> Column:
+    """Inverted dropout: 0 with the given probability, else scaled so that the mean stays.
+
+    The numbers, such as step, layer, window, row and column, decide: the backward pass and a task that runs again
+    drop the same values.
+    """
     if rate <= 0:
         return x
     if rate >= 1:
         return x * 0.0
-    return F.when(F.rand(seed) < rate, 0.0).otherwise(x / (1 - rate))
+    return F.when(drop_draw(*numbers) < rate, 0.0).otherwise(x / (1 - rate))

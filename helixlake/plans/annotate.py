@@ -105,8 +105,7 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
         for batch in batches:
             for row in batch.itertuples(index=False):
                 x = kernels.features(row.seq, scales)
-                rng = np.random.default_rng([seed, row.win_start, len(row.seq)])
-                logits, caches = kernels.forward(p, x, heads, window, rate, rng)
+                logits, caches = kernels.forward(p, x, heads, window, rate, (seed, row.ord, row.win_start, int(row.strand == "-")))
                 one, delta = kernels.loss_and_gradient(logits, np.asarray(row.labels))
                 grads = kernels.backward(p, x, caches, delta, heads)
                 flat = np.concatenate([grads[name].ravel() for name in names])
@@ -119,7 +118,7 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "v": [np.sum(np.stack(part["v"]), axis=0)]})
 
-    made = wins.select("seq", "win_start", "labels").mapInPandas(partial, "chunk int, v array<double>")
+    made = wins.select("ord", "strand", "seq", "win_start", "labels").mapInPandas(partial, "chunk int, v array<double>")
     chunks = made.groupBy("chunk").applyInPandas(summed, "chunk int, v array<double>").collect()
     shared.destroy()
     if not chunks:
@@ -132,20 +131,55 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
     return out, float(flat[0]), int(flat[1])
 
 
-def fit(wins: DataFrame, config: Config, seed: int = 0) -> tuple[kernels.Params, DataFrame]:
+def _saved_epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose tables are whole: a folder counts only with the mark of its committed write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    mark = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and system.exists(mark(n)))
+
+
+def save_state(spark: SparkSession, path: str, epoch: int, params: kernels.Params, state: dict, step: int, losses: list[tuple]) -> None:
+    """Parameters and moments after an epoch, with the steps so far and the losses, as one table."""
+    rows = []
+    for k, (name, v) in enumerate(params.items()):
+        m, u = state.get(name, (np.zeros_like(v), np.zeros_like(v)))
+        rows.append((k, name, *v.shape, v.ravel().tolist(), m.ravel().tolist(), u.ravel().tolist(), step, losses))
+    kind = "ord int, name string, rows int, cols int, data array<double>, m array<double>, u array<double>, step int, losses array<struct<epoch:int,loss:double,windows:int>>"
+    spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def load_state(spark: SparkSession, path: str, epoch: int) -> tuple[kernels.Params, dict, int, list[tuple]]:
+    rows = spark.read.parquet(f"{path}/epoch={epoch}").orderBy("ord").collect()
+    array = lambda r, c: np.array(r[c]).reshape(r["rows"], r["cols"])
+    params = {r["name"]: array(r, "data") for r in rows}
+    state = {r["name"]: (array(r, "m"), array(r, "u")) for r in rows}
+    return params, state, rows[0]["step"], [tuple(x) for x in rows[0]["losses"]]
+
+
+def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None = None) -> tuple[kernels.Params, DataFrame]:
     """Weights and (epoch, loss, windows), by synchronous batches of about ``batch_size`` windows.
 
     Every step sums the gradients of its batch over the cluster and applies one Adam step to their mean;
     with a batch per window the steps are those of training window by window, in another order. Windows are
     cached in order of their batch, so that a step's filter passes over the rest by its bounds; epochs take
     the batches in an order of their own.
+
+    With ``state_path`` parameters and moments are written after each epoch; a job that begins again with the same
+    windows, settings and seed goes on after the last epoch that was written, with the same steps and losses.
     """
     spark = wins.sparkSession
-    params, state, step, losses = new_model(config, seed), {}, 0, []
+    params, state, step, losses, done = new_model(config, seed), {}, 0, [], 0
+    if state_path and (saved := _saved_epochs(spark, state_path)):
+        done = saved[-1] + 1
+        params, state, step, losses = load_state(spark, state_path, saved[-1])
     batches = max(1, -(-wins.count() // max(1, config.batch_size)))
-    batch = F.pmod(F.xxhash64("id", "ord", "strand", "win_idx"), F.lit(batches))
+    batch = F.pmod(F.xxhash64("id", F.col("ord").cast("int"), "strand", "win_idx"), F.lit(batches))
     kept = wins.withColumn("batch", batch).repartitionByRange("batch").sortWithinPartitions("batch").persist()
-    for epoch in range(config.num_epochs):
+    for epoch in range(done, config.num_epochs):
         loss, n = 0.0, 0
         for b in np.random.default_rng([seed, epoch]).permutation(batches):
             grads, one, count = gradients(kept.where(F.col("batch") == int(b)), params, config, seed * 1_000_003 + step)
@@ -154,14 +188,17 @@ def fit(wins: DataFrame, config: Config, seed: int = 0) -> tuple[kernels.Params,
                 mean = {name: g / count for name, g in grads.items()}
                 kernels.adam(params, mean, state, step, config.adam_learning_rate, config.adam_beta1, config.adam_beta2, config.adam_epsilon)
         losses.append((epoch, loss / max(n, 1), n))
+        if state_path:
+            save_state(spark, state_path, epoch, params, state, step, losses)
     kept.unpersist()
     return params, spark.createDataFrame(losses, "epoch int, loss double, windows int")
 
 
-def train(spark: SparkSession, config: Config, seed: int = 0, strip_whitespace: bool = False) -> DataFrame:
-    """Fits a model to the configured sequences and annotations and saves it; gives the losses."""
+def train(spark: SparkSession, config: Config, seed: int = 0, strip_whitespace: bool = False, state_path: str | None = None) -> DataFrame:
+    """Fits a model to the configured sequences and annotations and saves it; gives the losses. With ``state_path`` a
+    job that was stopped goes on after its last epoch."""
     require(config, "train")
     wins = training_windows(read_fasta(spark, config.train_fasta, strip_whitespace), read_gff(spark, config.train_gff), config)
-    params, losses = fit(wins, config, seed)
+    params, losses = fit(wins, config, seed, state_path)
     save_model(spark, params, config, config.model_path)
     return losses

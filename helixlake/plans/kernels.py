@@ -10,6 +10,8 @@ import math
 
 import numpy as np
 
+from helixlake.functions.numeric import DROP_FACTOR, DROP_MODULUS
+
 LABELS = 3
 EPS = 1e-6
 Params = dict[str, np.ndarray]
@@ -116,16 +118,25 @@ def joined(x: np.ndarray) -> np.ndarray:
     return x.swapaxes(-3, -2).reshape(*x.shape[:-3], x.shape[-2], -1)
 
 
-def forward(p: Params, x: np.ndarray, heads: int, window: int, rate: float = 0.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+def dropout_mask(shape: tuple[int, int], rate: float, *numbers: int) -> np.ndarray:
+    """Factors of a window's values as ``numeric.dropped_out`` draws them by the numbers, row and column."""
+    u = np.ones(1, dtype=np.int64)
+    for number in (*numbers, np.arange(shape[0])[:, None], np.arange(shape[1])[None, :]):
+        u = (u + np.mod(number, DROP_MODULUS)) * DROP_FACTOR % DROP_MODULUS
+        u = (u * u % DROP_MODULUS + 1) * DROP_FACTOR % DROP_MODULUS
+    return (u / float(DROP_MODULUS) >= rate) / (1 - rate)
+
+
+def forward(p: Params, x: np.ndarray, heads: int, window: int, rate: float = 0.0, drawn: tuple[int, ...] | None = None) -> tuple[np.ndarray, list]:
     """Logits of each base and what ``backward`` needs, of one window or of several of one length.
 
-    Post-norm encoder; dropout only with a generator.
+    Post-norm encoder; dropout only of one window with the numbers that it is drawn by, such as step and window.
     """
 
-    def drop(v: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-        if rng is None or rate <= 0:
+    def drop(v: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray | float]:
+        if drawn is None or rate <= 0:
             return v, 1.0
-        mask = np.zeros_like(v) if rate >= 1 else (rng.random(v.shape) >= rate) / (1 - rate)
+        mask = np.zeros_like(v) if rate >= 1 else dropout_mask(v.shape, rate, *drawn, place)
         return v * mask, mask
 
     h = x @ p["projection"] + position_codes(window, p["projection"].shape[1])[np.arange(x.shape[-2]) % window]
@@ -135,10 +146,10 @@ def forward(p: Params, x: np.ndarray, heads: int, window: int, rate: float = 0.0
         q, k, v = (heads_of(h @ w[name], heads) for name in ("wq", "wk", "wv"))
         a = softmax(q @ k.swapaxes(-1, -2) / math.sqrt(q.shape[-1]))
         mixed = joined(a @ v)
-        out, m1 = drop(mixed @ w["wo"])
+        out, m1 = drop(mixed @ w["wo"], 2 * layer)
         n1, c1 = norm(h + out, w["g1"], w["e1"])
         hidden = np.maximum(n1 @ w["w1"] + w["b1"], 0)
-        out, m2 = drop(hidden @ w["w2"] + w["b2"])
+        out, m2 = drop(hidden @ w["w2"] + w["b2"], 2 * layer + 1)
         n2, c2 = norm(n1 + out, w["g2"], w["e2"])
         kept.append((h, q, k, v, a, mixed, m1, n1, c1, hidden, m2, c2))
         h, layer = n2, layer + 1
