@@ -181,7 +181,10 @@ def _possible(x: str, y: str, percent: int) -> Column:
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, pos): what the index lists hold, of sets that may link with another."""
+    """(key, own, id, n, pos): what the index lists hold, of sets that may link with another.
+
+    A list is of an n-gram and a block of sizes, ``own``, and of the next block; two sets of that one meet in its list.
+    """
     large = nodes.where(percent <= (100 - percent) * F.col("n"))  # of fewer n-grams, one that differs is too many
     tokens = large.select("id", F.explode(F.slice("low", 1, F.col("counted"))).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -197,7 +200,8 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     entries = joined.select("id", "n", F.inline(F.concat(placed, after)))
     # a little more than the ratio that two linked sizes can have, so that rounding parts none
     block = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.0001))
-    return entries.select("id", "n", "pos", F.explode(F.array(F.xxhash64("token", block), F.xxhash64("token", block - 1))).alias("key"))
+    own, below = ((F.struct(F.xxhash64("token", b).alias("key"), F.lit(own).alias("own"))) for b, own in ((block, True), (block - 1, False)))
+    return entries.select("id", "n", "pos", F.inline(F.array(own, below)))
 
 
 def links(nodes: DataFrame, docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -249,16 +253,16 @@ def links(nodes: DataFrame, docs: DataFrame, ngram: int = NGRAM, percent: int =
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     while b < most:
         before, b = b, b * GROWTH
-        known = shared.where(F.col("size") > before).select("key", "id", "pos", "size", draw.alias("draw")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        known = shared.where(F.col("size") > before).select("key", "own", "id", "pos", "size", draw.alias("draw")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         split = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         fresh = F.col("draw") * F.col("size") >= (before if before > 1 else 0)
         open_ = stored(known.where(fresh).join(split, "key", "left_semi").join(maps, "id"), "open-members")
         if open_.isEmpty():
             discard(open_)
             continue
-        side = lambda t: [F.col("key").alias(f"k{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("id", "pos", "draw", "root", "s")]]
+        side = lambda t: [F.col("key").alias(f"k{t}"), *[F.col(c).alias(f"{c}_{t}") for c in ("id", "own", "pos", "draw", "root", "s")]]
         x, y = open_.where(F.col("draw") * F.col("size") < b).select(*side("x")), open_.select(*side("y"))
-        unmet = (F.col("root_x") != F.col("root_y")) & ((F.col("draw_x") < F.col("draw_y")) | (F.col("draw_x") == F.col("draw_y")) & (F.col("id_x") < F.col("id_y")))
+        unmet = (F.col("own_x") | F.col("own_y")) & (F.col("root_x") != F.col("root_y")) & ((F.col("draw_x") < F.col("draw_y")) | (F.col("draw_x") == F.col("draw_y")) & (F.col("id_x") < F.col("id_y")))
         fits = _fitting(F.col("s_x.n"), F.col("s_y.n"), F.col("pos_x"), F.col("pos_y"), percent) & _possible("s_x", "s_y", percent)
         met = x.join(y, (F.col("kx") == F.col("ky")) & unmet & fits)
         one, two = F.struct(F.col("id_x").alias("id"), F.col("s_x.n").alias("n")), F.struct(F.col("id_y").alias("id"), F.col("s_y.n").alias("n"))
