@@ -48,7 +48,13 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
-DROPPED = frozenset("head nav footer aside form menu button select option dialog label fieldset legend object canvas audio video".split())
+DROPPED = frozenset("head nav footer aside form menu button select option object canvas audio video".split())
+#: Elements whose text is the article's only inside an article or main.
+OUTSIDE = frozenset("header dialog label fieldset legend".split())
+#: Elements that their class words never drop: what is inside a line.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: Boxes, the only elements that class words drop inside an article or main.
+BOXES = frozenset("aside details dialog div dl fieldset footer form header iframe nav ol section table ul".split())
 #: Words in a class, id or role that mark boilerplate.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar "
@@ -59,11 +65,16 @@ BOILERPLATE = frozenset(
 #: Words that mark boilerplate only beside words of these.
 WEAK = frozenset("related search social alert login".split())
 BESIDE = WEAK | BOILERPLATE | frozenset("posts post articles article links link stories story list box bar block area section container wrapper inner outer top bottom left right icons buttons form items item content page media news".split())
+#: Words of the edges of a page, and those that they may stand beside; inside an article or main they mark nothing.
+EDGES = frozenset("header top topbar copyright branding logo".split())
+EDGES_BESIDE = EDGES | frozenset("site global page brand bar wrapper container inner outer box area".split())
 #: A class that starts so says what is there, or not, beside the element's own text.
 ABOUT = frozenset("no not non without has have with is".split())
 MAIN = frozenset("article main".split())
 #: Share of a page's text that makes a container the whole page's.
 NEARLY_ALL = 0.9
+#: Share of what a page's own best container holds that the host's path has to hold on the page.
+FAIR = 0.5
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: A start tag of the left closes an open element of the right, as browsers do.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -82,10 +93,12 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     #: (text, nearest container, characters inside links) in page order
     blocks: list[tuple[str, int, int]] = field(default_factory=list)
-    #: characters of the page, and of each element (by its number) that its class words drop
+    #: characters of the page, and of each element (by its number) that its class words mark, without those marked in it
     size: int = 0
     marked: dict[int, int] = field(default_factory=dict)
-    #: of each article or main, the number of the outermost dropped element around it, if any
+    #: of each marked element, the next one around it that is marked, if any
+    around: dict[int, int | None] = field(default_factory=dict)
+    #: of each article or main, the number of the next marked element around it, if any
     mains: list[int | None] = field(default_factory=list)
 
 
@@ -98,9 +111,11 @@ def below(path: str, name: str) -> str:
     return hashlib.blake2b(f"{path}/{name}".encode(), digest_size=12).hexdigest()
 
 
-def marks(token: str) -> bool:
+def marks(token: str, in_main: bool) -> bool:
     """Whether a class, id or role marks boilerplate."""
     words = WORD.findall(token)
+    if not in_main and EDGES.intersection(words) and EDGES_BESIDE.issuperset(words):
+        return True
     found = BOILERPLATE.intersection(words)
     if not found or words[0] in ABOUT and len(words) > 1:
         return False
@@ -110,14 +125,24 @@ def marks(token: str) -> bool:
 def parse(source: str) -> Page:
     """The containers and text blocks of a page, without boilerplate.
 
-    Where no article or main stays otherwise, a marked element does that holds one, or nearly all of the text.
+    Where no article or main stays otherwise, the marked elements do that hold one, all around it at once, or nearly all
+    of the text.
     """
     kept: set[int] = set()
     while True:
         page = _parsed(source, kept)
         if None in page.mains:
             return page
-        more = {*page.mains, *(k for k, n in page.marked.items() if n >= NEARLY_ALL * page.size > 0)}
+        more: set[int] = set()
+        for number in page.mains:
+            while number is not None and number not in more:
+                more.add(number)
+                number = page.around[number]
+        whole = dict(page.marked)
+        for number in sorted(whole, reverse=True):  # an element comes after those around it
+            if (outer := page.around[number]) is not None:
+                whole[outer] += whole[number]
+        more |= {k for k, n in whole.items() if n >= NEARLY_ALL * page.size > 0}
         if not more:
             return page
         kept |= more
@@ -126,7 +151,7 @@ def parse(source: str) -> Page:
 def _parsed(source: str, kept: set[int]) -> Page:
     """A page without what tags and class words drop, but for the elements of the numbers ``kept``."""
     page = Page(nodes=[Node("", -1, "", False)])
-    # tag, nearest container, inside boilerplate, dropped by its tag or one around it, number of what drops it by class
+    # tag, nearest container, inside boilerplate, dropped by its tag or one around it, number of the next marked element
     open_: list[tuple[str, int, bool, bool, int | None]] = []
     tags: Counter[str] = Counter()  # of the open elements
     number = 0
@@ -199,9 +224,10 @@ def _parsed(source: str, kept: set[int]) -> Page:
         classes = [t for a in CLASSES.finditer(attrs) for t in (a[2] or a[3] or a[4] or "").lower().split()] if attrs else []
         words = [w for t in classes for w in WORD.findall(t)]
         in_main = page.nodes[outer].main
-        by_tag = by_tag or tag in DROPPED or tag == "header" and not in_main
-        if by_class is None and not by_tag and number not in kept and tag not in ("html", "body") and any(map(marks, classes)):
-            by_class = number
+        by_tag = by_tag or tag in DROPPED or tag in OUTSIDE and not in_main
+        may = tag in BOXES if in_main else tag not in INLINE and tag not in ("html", "body")
+        if may and not by_tag and number not in kept and any(marks(t, in_main) for t in classes):
+            page.around[number], by_class = by_class, number
             page.marked[number] = 0
         dropped = inside or by_tag or by_class is not None
         if tag in MAIN and not by_tag:
@@ -219,16 +245,17 @@ def _parsed(source: str, kept: set[int]) -> Page:
 
 
 def scores(page: Page) -> dict[int, float]:
-    """Score of each container: its own text counts in full, that of its child containers in half;
+    """Score of each container: its own text counts in full, that of its child containers in half, and so on;
     text in links counts against it, and containers marked as the main one weigh ten times."""
-    found: dict[int, float] = {}
+    held = [0.0] * len(page.nodes)
+    seen = [False] * len(page.nodes)
     for text, node, links in page.blocks:
-        weight = 1.0
-        while node >= 0 and weight > 0.2:
-            gain = max(0, len(text) - 2 * links) * weight
-            found[node] = found.get(node, 0.0) + gain * (10 if page.nodes[node].main else 1)
-            weight, node = weight / 2, page.nodes[node].parent
-    return found
+        held[node] += max(0, len(text) - 2 * links)
+        seen[node] = True
+    for k in range(len(held) - 1, 0, -1):  # a container comes after those around it
+        held[page.nodes[k].parent] += held[k] / 2
+        seen[page.nodes[k].parent] |= seen[k]
+    return {k: v * (10 if page.nodes[k].main else 1) for k, v in enumerate(held) if seen[k]}
 
 
 def best(page: Page) -> tuple[str, float] | None:
@@ -253,14 +280,16 @@ def best(page: Page) -> tuple[str, float] | None:
 
 
 def extract(source: str, path: str | None) -> str:
-    """The text blocks in the containers on ``path`` (or in the page's own best one), a line each."""
+    """The text blocks in the containers on ``path``, a line each, if they hold a fair share of what the page's own
+    best container holds; else those in that one."""
     page = parse(source)
-    found = inside(page, path)
-    if not any(found[node] for _, node, _ in page.blocks):
-        own = best(page)
-        if own is None:
-            return "\n".join(text for text, _, _ in page.blocks)
-        found = inside(page, own[0])
+    own = best(page)
+    if own is None:
+        return "\n".join(text for text, _, _ in page.blocks)
+    found, mine = inside(page, path), inside(page, own[0])
+    size = lambda held: sum(max(0, len(text) - 2 * links) for text, node, links in page.blocks if held[node])
+    if not any(found[node] for _, node, _ in page.blocks) or size(found) < FAIR * size(mine):
+        found = mine
     return "\n".join(text for text, node, _ in page.blocks if found[node])
 
 
