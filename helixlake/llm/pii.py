@@ -352,7 +352,8 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
 
 
 def pseudonymised(df: DataFrame, key: str, text: str = "text", undo: bool = False) -> DataFrame:
-    """``df`` with its texts rewritten, and ``found array<struct<kind,old,new>>`` of what was changed."""
+    """``df`` with its texts rewritten, and ``found array<struct<kind,old,new>>`` of what was changed, which replaces a
+    column of that name; all others stay as they are."""
     value = df[text].cast("string")
     kind = "array<array<struct<kind:string,old:string,new:string>>>"
     matches = F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0))
@@ -366,8 +367,9 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", undo: bool = Fals
             F.filter(F.flatten(fs), lambda f: f["old"] != f["new"]).alias("found"),
         )
 
-    one = df.withColumn("_pii", let(found, rebuilt))
-    return one.withColumns({text: F.col("_pii.text"), "found": F.col("_pii.found")}).drop("_pii")
+    one = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), let(found, rebuilt).alias("made"))
+    kept = [(F.col("made.text") if c == text else F.col("row")[c]).alias(c) for c in df.columns if c == text or c.lower() != "found"]
+    return one.select(*kept, F.col("made.found").alias("found"))
 
 
 def n_found(found: Column, kind: str) -> Column:
