@@ -28,10 +28,13 @@ WINDOW = 5
 
 #: Thresholds of a feature are its quantiles among the labelled texts, in so many steps.
 STEPS = 32
-#: A rule needs so many texts of its verdict among the pruning third, and such a share of them among all it covers:
-#: one that keeps is asked for more, as rules after it never see what it covers.
+#: A rule that keeps needs so many texts among the pruning third, and such a share of all it covers: rules after it never
+#: see what it covers. One that rejects needs such a share there too.
 LEAST_COVERED = 5
 LEAST_PRECISION = {"reject": 0.9, "keep": 0.99}
+#: Precision by Laplace's rule of a rule that rejects, on the pruning third and on all labelled texts that are left: few
+#: texts have to be pure, many may hold some of the other verdict.
+LEAST_LAPLACE = {"prune": 0.8, "all": 0.9}
 
 
 def _repeated(ws: Column) -> Column:
@@ -251,6 +254,17 @@ def _pruned(some: list[Cell], verdict: str, rule: tuple[Condition, ...]) -> tupl
     return rule[: max(range(1, len(rule) + 1), key=value)] if rule else rule
 
 
+def _trusted(left: list[Cell], prune: list[Cell], verdict: str, conditions: tuple[Condition, ...]) -> bool:
+    """Whether a rule holds on labelled texts that it wasn't grown on."""
+    p, n = _counts(prune, verdict, conditions)
+    if p < LEAST_PRECISION[verdict] * (p + n):
+        return False
+    if verdict == "keep":
+        return p >= LEAST_COVERED
+    p_all, n_all = _counts(left, verdict, conditions)
+    return p + 1 >= LEAST_LAPLACE["prune"] * (p + n + 2) and p_all + 1 >= LEAST_LAPLACE["all"] * (p_all + n_all + 2)
+
+
 def learn(some: list[Cell], grid: Grid) -> DecisionList:
     """Sequential covering: a rule that rejects, or where none is right often enough and precisely enough, one that
     keeps; what it covers is left out of the next, which may reject again."""
@@ -260,8 +274,7 @@ def learn(some: list[Cell], grid: Grid) -> DecisionList:
         grow, prune = [c for c in left if c.grow], [c for c in left if not c.grow]
         for verdict in ("reject", "keep"):
             conditions = _pruned(prune, verdict, _grown(grow, grid, verdict))
-            p, n = _counts(prune, verdict, conditions)
-            if conditions and p >= LEAST_COVERED and p >= LEAST_PRECISION[verdict] * (p + n):
+            if conditions and _trusted(left, prune, verdict, conditions):
                 rules.append(Rule(conditions, verdict))
                 left = [c for c in left if not rules[-1].holds(c.values)]
                 break
