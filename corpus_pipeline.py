@@ -33,10 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null. Rows of one id and text count as one and lose the same lines; texts that share an id are
     told apart, null ids come first. A document all of whose lines are cut stays, with an empty text.
     """
-    made = linedup.deduplicated(docs, removed="_cut")
+    cut = "_cut"
+    while cut in (c.lower() for c in docs.columns):  # a column of the documents keeps its name and values
+        cut += "_"
+    made = linedup.deduplicated(docs, removed=cut)
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        made = made.withColumn("n_chars", F.when(F.size("_cut") > 0, n).otherwise(F.col("n_chars")))
+        made = made.withColumn("n_chars", F.when(F.size(cut) > 0, n).otherwise(F.col("n_chars")))
     return made.select(docs.columns)
 
 
