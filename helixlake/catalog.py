@@ -753,6 +753,113 @@ SELECT name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v - 0.01 *
 """
 
 
+def _params_sql() -> str:
+    """The seeded weights of ``predict_segments`` as rows (name, i, j, v)."""
+    cells = [f"('{name.split('.')[-1]}', {i}, {j}, {v!r}::DOUBLE)" for name, m in new_model(TINY, 7).items() for i, row in enumerate(m.tolist()) for j, v in enumerate(row)]
+    return f"params(name, i, j, v) AS (VALUES {', '.join(cells)})"
+
+
+def _times_sql(rows: str, name: str) -> str:
+    """Rows (k, pos, d, v) times a matrix of the model."""
+    return f"SELECT k, pos, j AS d, sum(x.v * m.v) AS v FROM {rows} x JOIN params m ON m.name = '{name}' AND x.d = m.i GROUP BY k, pos, j"
+
+
+_SIZE, _HEAD = TINY.d_model, TINY.d_model // TINY.num_heads
+_UNIT_SQL = lambda rows: f"SELECT k, pos, d, (v - avg(v) OVER n) / sqrt(var_pop(v) OVER n + 1e-6) AS v FROM ({rows}) WINDOW n AS (PARTITION BY k, pos)"
+#: Every base's probabilities in each window (k), with weights whose norms and biases are still those of the start.
+FORWARD = f"""{_params_sql()},
+c AS (SELECT CAST(p_partkey AS INTEGER) AS ord, concat_ws(' ', p_name, p_type, p_brand) AS seq FROM part),
+starts AS (SELECT ord, seq, length(seq) AS whole, unnest(range(0, length(seq), {WINDOW - OVERLAP})) AS s FROM c),
+w AS (SELECT row_number() OVER () AS k, ord, s, least(whole, s + {WINDOW}) - s AS n, seq[s + 1 : least(whole, s + {WINDOW})] AS t FROM starts WHERE least(whole, s + {WINDOW}) - s >= 10),
+b AS (SELECT k, n, unnest(string_split(t, '')) AS c, unnest(range(0, n)) AS pos FROM w),
+x AS (SELECT k, n, pos, CASE WHEN c IN ('A','a','T','t') THEN 1 WHEN c IN ('G','g','C','c') THEN -1 ELSE 0 END AS re,
+  CASE WHEN c IN ('A','a','G','g') THEN 1 WHEN c IN ('T','t','C','c') THEN -1 ELSE 0 END AS im FROM b),
+l AS (SELECT n, idx, scale, m + CASE WHEN m % 2 = 0 THEN 1 ELSE 0 END AS l FROM (SELECT n, idx, scale, CAST(least(floor(scale * 10), n) AS INTEGER) AS m
+  FROM (SELECT DISTINCT n FROM w), (VALUES {", ".join(f"({k}, {scale}::DOUBLE)" for k, scale in enumerate(TINY.cwt_scales))}) v(idx, scale))),
+taps AS (SELECT n, idx, scale, j - l // 2 AS off, (j - l // 2) / scale AS t FROM (SELECT *, unnest(range(0, l)) AS j FROM l)),
+psi AS (SELECT n, idx, off, exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * cos(2 * pi() * t) AS wr, exp(-t * t / 2) / sqrt(scale * pow(pi(), 0.25)) * sin(2 * pi() * t) AS wi FROM taps),
+f AS (SELECT k, idx, pos + off AS pos, sum(re * wr - im * wi) AS re, sum(re * wi + im * wr) AS im FROM x JOIN psi ON x.n = psi.n WHERE pos + off BETWEEN 0 AND x.n - 1 GROUP BY ALL),
+feat AS (SELECT k, pos, 2 * idx AS d, re AS v FROM f UNION ALL SELECT k, pos, 2 * idx + 1, im FROM f),
+laid AS ({_times_sql("feat", "projection")}),
+h AS (SELECT k, pos, d, v + CASE WHEN d % 2 = 0 THEN sin(a) ELSE cos(a) END AS v FROM (SELECT *, pos % {WINDOW} / pow(10000.0, 2 * (d // 2) / {_SIZE}.0) AS a FROM laid)),
+q AS ({_times_sql("h", "wq")}), kk AS ({_times_sql("h", "wk")}), vv AS ({_times_sql("h", "wv")}),
+z AS (SELECT q.k, q.d // {_HEAD} AS head, q.pos AS t, kk.pos AS u, sum(q.v * kk.v) / sqrt({_HEAD}) AS z FROM q JOIN kk ON q.k = kk.k AND q.d = kk.d GROUP BY ALL),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY k, head, t)) AS e FROM z),
+a AS (SELECT k, head, t, u, e / sum(e) OVER (PARTITION BY k, head, t) AS a FROM e),
+mixed AS (SELECT a.k, t AS pos, vv.d, sum(a * vv.v) AS v FROM a JOIN vv ON a.k = vv.k AND a.u = vv.pos AND a.head = vv.d // {_HEAD} GROUP BY ALL),
+o AS ({_times_sql("mixed", "wo")}),
+n1 AS ({_UNIT_SQL("SELECT k, pos, d, h.v + o.v AS v FROM h JOIN o USING (k, pos, d)")}),
+hidden AS (SELECT k, pos, d, greatest(v, 0.0) AS v FROM ({_times_sql("n1", "w1")})),
+fed AS ({_times_sql("hidden", "w2")}),
+n2 AS ({_UNIT_SQL("SELECT k, pos, d, n1.v + fed.v AS v FROM n1 JOIN fed USING (k, pos, d)")}),
+logits AS ({_times_sql("n2", "head")}),
+odds AS (SELECT k, pos, d, exp(v - max(v) OVER (PARTITION BY k, pos)) AS e FROM logits),
+p AS (SELECT w.ord, w.s + pos AS pos, d, e / sum(e) OVER (PARTITION BY odds.k, pos) AS p FROM odds JOIN w ON w.k = odds.k)"""
+PREDICT_SEGMENTS = f"""WITH {FORWARD},
+means AS (SELECT ord, pos, d, avg(p) AS p FROM p GROUP BY ALL),
+wide AS (SELECT ord, pos, max(p) FILTER (d = 0) AS p0, max(p) FILTER (d = 1) AS p1, max(p) FILTER (d = 2) AS p2 FROM means GROUP BY ord, pos),
+line AS (SELECT ord, unnest(range(0, length(seq))) AS pos FROM c),
+named AS (SELECT ord, pos, CASE WHEN coalesce(p2, 0) > greatest(coalesce(p0, 0), coalesce(p1, 0)) THEN 2 WHEN coalesce(p1, 0) > coalesce(p0, 0) THEN 1 ELSE 0 END AS label
+  FROM line LEFT JOIN wide USING (ord, pos)),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY ord, label ORDER BY pos) AS island FROM named)
+SELECT CAST(ord AS VARCHAR) AS seqid, CAST(ord AS BIGINT) AS ord, CAST(min(pos) + 1 AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS "end", label FROM islands GROUP BY ord, label, island
+"""
+
+
+def first_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of each sequence under the seeded weights, over its forward windows, by their kernels."""
+    wins = annotate.training_windows(_contigs(spark, sf_dir), _part_features(spark, sf_dir), TINY).where("strand = '+'")
+    return annotate.window_losses(wins, new_model(TINY, 7), TINY).groupBy("id").agg(_rounded(F.sum("loss")).alias("loss"), F.count("*").alias("windows"))
+
+
+FIRST_LOSSES = f"""WITH {FORWARD},
+wanted AS (SELECT k, w.n, w.ord, w.s FROM w JOIN starts USING (ord, s) WHERE s = 0 OR s - {WINDOW - OVERLAP} + {WINDOW} < whole),
+logp AS (SELECT odds.k, pos, d, ln(e / sum(e) OVER (PARTITION BY odds.k, pos)) AS v FROM odds),
+truth AS (SELECT CAST(p_partkey AS INTEGER) AS ord, p_size % 10 AS b FROM part),
+each AS (SELECT wanted.ord, wanted.k, -sum(logp.v) / any_value(wanted.n) AS loss FROM wanted JOIN truth USING (ord) JOIN logp ON logp.k = wanted.k
+  WHERE logp.d = CASE WHEN wanted.s + logp.pos BETWEEN b AND b + 8 THEN 2 ELSE 0 END GROUP BY ALL)
+SELECT CAST(ord AS VARCHAR) AS id, round(sum(loss), 6) + 0.0::DOUBLE AS loss, count(*) AS windows FROM each GROUP BY ord
+"""
+
+
+def gff_lines_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read from GFF lines some of which are short, blank, comments or hold junk where numbers stand."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    key = F.col("l_orderkey").cast("string")
+    number = F.when(F.col("l_linenumber") == 2, "x12").when(F.col("l_linenumber") == 3, F.concat(F.col("q").cast("string"), F.lit("abc"))).otherwise(F.col("q").cast("string"))
+    eight = F.concat_ws("\t", key, F.lit("made"), F.lit("exon"), number, F.lit("9"), F.lit("."), F.lit("+"), F.lit("."))
+    line = F.when(F.col("l_linenumber") == 1, F.concat(eight, F.lit("\tID=a"))).when(F.col("l_linenumber") == 4, F.concat_ws("\t", key, F.lit("made"), F.lit("exon"))).when(F.col("l_linenumber") == 5, F.concat(F.lit("##"), eight)).when(F.col("l_linenumber") == 6, "").otherwise(eight)
+    found = gff.parse_gff(items.select(line.alias("value")))
+    return found.groupBy("seqid").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"), F.sum("end").cast("long").alias("ends"))
+
+
+GFF_LINES_KEPT = """
+SELECT CAST(l_orderkey AS VARCHAR) AS seqid, count(*) AS n, CAST(sum(CASE WHEN l_linenumber = 2 THEN 0 ELSE CAST(l_quantity AS INTEGER) END) AS BIGINT) AS starts, CAST(9 * count(*) AS BIGINT) AS ends
+FROM lineitem WHERE l_linenumber NOT IN (4, 5, 6) GROUP BY l_orderkey
+"""
+
+
+def uncovered_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of texts that lie in no window, as windows are 200 apart and 150 long: their probabilities are zeros."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).alias("ord"), F.length("text").alias("length"))
+    block = annotate.BLOCK
+    wins = windows.windows(docs, "length", 150, -50, "predict")
+    number = lambda pos: F.floor(pos / block).cast("int")
+    cut = wins.select("id", "ord", "win_start", "win_end", F.explode(F.sequence(number(F.col("win_start")), number(F.col("win_end") - 1))).alias("block"))
+    ends = cut.withColumns({"first": F.greatest("win_start", F.col("block") * block), "last": F.least("win_end", (F.col("block") + 1) * block) - 1})
+    p = F.transform(F.sequence("first", "last"), lambda pos: (pos % 4 + 1) / 8.0)
+    means = segments.block_means(ends.select(F.col("id").alias("seqid"), "ord", "block", "first", p.alias("p0"), p.alias("p1"), p.alias("p2")), docs, block)
+    empty = F.sum(F.when((F.col("n") == 0) & (F.col("p0") == 0) & (F.col("p2") == 0), 1).otherwise(0)).alias("uncovered")
+    return means.groupBy(F.col("seqid").alias("doc_id")).agg(F.count("*").alias("bases"), empty, _rounded(F.sum("p1")).alias("p1"))
+
+
+UNCOVERED_BASES = """
+WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), b AS (SELECT doc_id, n, unnest(range(0, n)) AS pos FROM d),
+c AS (SELECT *, pos % 200 < 150 AND least(n, pos - pos % 200 + 150) - (pos - pos % 200) >= 10 AS held FROM b)
+SELECT doc_id, count(*) AS bases, CAST(sum(CASE WHEN held THEN 0 ELSE 1 END) AS BIGINT) AS uncovered, round(sum(CASE WHEN held THEN (pos % 4 + 1) / 8.0::DOUBLE ELSE 0.0 END), 6) + 0.0::DOUBLE AS p1 FROM c GROUP BY doc_id
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals to painted labels to segments."""
     return label_runs(spark, sf_dir)
@@ -799,6 +906,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q38_dropout": dropout,
     "q39_attention_gradients": attention_gradients,
     "q40_adam_step": adam_step,
+    "q41_first_losses": first_losses,
+    "q42_gff_lines": gff_lines_kept,
+    "q43_uncovered_bases": uncovered_bases,
 }
 
 ORACLES: dict[str, str] = {
@@ -827,6 +937,7 @@ ORACLES: dict[str, str] = {
     "q23_label_runs": LABEL_RUNS,
     "q24_integers": INTEGERS,
     "q25_wavelets": WAVELETS,
+    "q26_predict_segments": PREDICT_SEGMENTS,
     "q28_gff_exons": GFF_EXONS,
     "q29_strand_windows": STRAND_WINDOWS,
     "q30_feed_forward": FEED_FORWARD,
@@ -840,4 +951,7 @@ ORACLES: dict[str, str] = {
     "q38_dropout": DROPOUT,
     "q39_attention_gradients": ATTENTION_GRADIENTS,
     "q40_adam_step": ADAM_STEP,
+    "q41_first_losses": FIRST_LOSSES,
+    "q42_gff_lines": GFF_LINES_KEPT,
+    "q43_uncovered_bases": UNCOVERED_BASES,
 }

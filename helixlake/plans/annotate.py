@@ -160,6 +160,20 @@ def load_state(spark: SparkSession, path: str, epoch: int) -> tuple[kernels.Para
     return params, state, rows[0]["step"], [tuple(x) for x in rows[0]["losses"]]
 
 
+def window_losses(wins: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
+    """(id, ord, strand, win_idx, loss): mean cross-entropy of each window, without dropout."""
+    heads, window, scales = config.num_heads, config.window_size, config.cwt_scales
+    shared = wins.sparkSession.sparkContext.broadcast(params)
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        for batch in batches:
+            found = [kernels.loss_and_gradient(kernels.forward(p, kernels.features(s, scales), heads, window)[0], np.asarray(y))[0] for s, y in zip(batch["seq"], batch["labels"])]
+            yield batch[["id", "ord", "strand", "win_idx"]].assign(loss=found)
+
+    return wins.select("id", "ord", "strand", "win_idx", "seq", "labels").mapInPandas(losses, "id string, ord bigint, strand string, win_idx int, loss double")
+
+
 def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None = None) -> tuple[kernels.Params, DataFrame]:
     """Weights and (epoch, loss, windows), by synchronous batches of about ``batch_size`` windows.
 
