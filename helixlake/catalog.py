@@ -66,16 +66,8 @@ SELECT doc_id, reverse(c) AS rc, c FROM (
 
 def base_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of each text's signal, plain and weighted by position: a row makes its own."""
-    re, im = sequence.signal_arrays(F.col("text"))
-    zero = F.lit(0.0)
-
-    def sums(parts: Column, name: str) -> list[Column]:
-        plain = F.aggregate(parts, zero, lambda n, x: n + x)
-        weighted = F.aggregate(F.transform(parts, lambda x, k: x * k), zero, lambda n, x: n + x)
-        return [plain.alias(name), weighted.alias(f"{name}_pos")]
-
-    rows = _documents(spark, sf_dir).where("text <> ''").select("doc_id", F.length("text").cast("long").alias("n"), re.alias("re"), im.alias("im"))
-    return rows.select("doc_id", "n", *sums(F.col("re"), "re"), *sums(F.col("im"), "im"))
+    rows = _documents(spark, sf_dir).where("text <> ''")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n"), sequence.signal_moments("text").alias("m")).select("doc_id", "n", "m.*")
 
 
 BASE_SIGNAL = """

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def complement(seq: Column) -> Column:
@@ -31,11 +34,22 @@ def signal(df: DataFrame, seq: str, *keep: str) -> DataFrame:
     return bases.select(*keep, "pos", base_re(F.col("base")).alias("re"), base_im(F.col("base")).alias("im"))
 
 
-def signal_arrays(seq: Column) -> tuple[Column, Column]:
-    """The real and imaginary parts of all bases of a string, as arrays of doubles, where no row per base is
-    wanted."""
-    bases = F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))
-    return F.transform(bases, base_re), F.transform(bases, base_im)
+_PARTS = np.zeros((2, 256))
+for _base, _re, _im in (("A", 1, 1), ("T", 1, -1), ("G", -1, 1), ("C", -1, -1)):
+    for _code in (ord(_base), ord(_base.lower())):
+        _PARTS[:, _code] = _re, _im
+_MOMENTS = T.StructType([T.StructField(name, T.DoubleType()) for name in ("re", "im", "re_pos", "im_pos")])
+
+
+@F.pandas_udf(_MOMENTS)
+def signal_moments(seqs: pd.Series) -> pd.DataFrame:
+    """Sums of the signal of a string's characters, plain and weighted by their places, without a row per base."""
+    rows = []
+    for seq in seqs:
+        codes = np.frombuffer((seq or "").encode("utf-32-le"), dtype=np.uint32)
+        parts = _PARTS[:, np.minimum(codes, 255)]
+        rows.append((*parts.sum(axis=1), *(parts @ np.arange(len(codes), dtype=float))))
+    return pd.DataFrame(rows, columns=_MOMENTS.names)
 
 
 def window_text(seq: Column, start: Column, length: Column) -> Column:

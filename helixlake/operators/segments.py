@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +30,51 @@ def block_means(scored: DataFrame, contigs: DataFrame, block: int) -> DataFrame:
     bases in no window have probabilities of 0.
 
     ``scored(ord, seqid, block, first, p0, p1, p2)`` has arrays that end with their block. They are the one shuffle,
-    dealt by sequence and block; rows per base are made and summed where a block has arrived. Each block has a
-    row of its own that counts for nothing, so that no base is missing.
+    dealt by sequence and block; where a block has arrived its arrays are added up one after the other, and a row per
+    base is made of the means. Each block has a row of its own with its size, so that no base is missing.
     """
-    none = F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(0.0))
-    empty = block_starts(contigs, block).select("seqid", "ord", "block", "first", none.alias("p0"), none.alias("p1"), none.alias("p2"), F.lit(0).alias("w"))
-    arrays = scored.select("seqid", "ord", "block", "first", "p0", "p1", "p2", F.lit(1).alias("w")).unionByName(empty)
-    dealt = arrays.repartition("seqid", "ord", "block")
-    flat = dealt.select("seqid", "ord", "block", "first", "w", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("k", "p"))
-    keys = ["seqid", "ord", "block", (F.col("first") + F.col("k")).alias("pos")]
-    sums = flat.groupBy(*keys).agg(*[F.sum(f"p.p{k}").alias(f"p{k}") for k in range(3)], F.sum("w").alias("n"))
-    return sums.select("seqid", "ord", "pos", *[(F.col(f"p{k}") / F.greatest("n", F.lit(1))).alias(f"p{k}") for k in range(3)], "n")
+    none = F.array().cast("array<double>")
+    sizes = block_starts(contigs, block).select("seqid", "ord", "block", F.lit(0).alias("w"), F.col("n").cast("long").alias("first"), none.alias("p0"), none.alias("p1"), none.alias("p2"))
+    arrays = scored.select("seqid", "ord", "block", F.lit(1).alias("w"), F.col("first").cast("long").alias("first"), "p0", "p1", "p2").unionByName(sizes)
+    dealt = arrays.repartition("seqid", "ord", "block").sortWithinPartitions("seqid", "ord", "block", "w")
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, size, sums, n, done = None, 0, None, None, []
+
+        def finish() -> None:
+            if key is not None:
+                many = np.maximum(n[:size], 1)
+                done.append((*key, *(sums[:, :size] / many), n[:size]))
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame(done, columns=["seqid", "ord", "block", "p0", "p1", "p2", "n"])
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if key != (row.seqid, row.ord, row.block):
+                    finish()
+                    key, size = (row.seqid, row.ord, row.block), 0
+                    sums, n = np.zeros((3, block)), np.zeros(block, dtype=np.int64)
+                if row.w == 0:
+                    size = row.first
+                    continue
+                at = row.first - row.block * block
+                end = at + len(row.p0)
+                for total, p in zip(sums, (row.p0, row.p1, row.p2)):
+                    total[at:end] += p
+                n[at:end] += 1
+            if done:
+                yield frame()
+                done.clear()
+        finish()
+        if done:
+            yield frame()
+
+    kinds = ", ".join(f"{c} {arrays.schema[c].dataType.simpleString()}" for c in ("seqid", "ord", "block"))
+    summed = dealt.mapInPandas(means, f"{kinds}, p0 array<double>, p1 array<double>, p2 array<double>, n array<bigint>")
+    flat = summed.select("seqid", "ord", "block", F.posexplode(F.arrays_zip("p0", "p1", "p2", "n")).alias("k", "p"))
+    position = (F.col("block").cast("long") * block + F.col("k")).cast(scored.schema["first"].dataType)
+    return flat.select("seqid", "ord", position.alias("pos"), "p.p0", "p.p1", "p.p2", "p.n")
 
 
 def runs(labelled: DataFrame, keys: list[str], order: str = "pos", label: str = "label", block: int = BLOCK) -> DataFrame:
