@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 #: A bucket is large that has more rows than both HEAVY_ROWS and HEAVY_TIMES the mean.
 BUCKETS, HEAVY_ROWS, HEAVY_TIMES = 4096, 1_000_000, 4
+#: In place of large buckets: every key is cut into blocks, and nothing is counted.
+EVERY = [-1]
 
 
 def _bucket(keys: list[str]) -> Column:
@@ -30,7 +32,8 @@ def heavy_buckets(df: DataFrame, keys: list[str]) -> list[int]:
 
 def _blocked(df: DataFrame, keys: list[str], order: str, block: int, heavy: list[int]) -> DataFrame:
     """``_block``: number of the block of a large key, null for one that is whole."""
-    return df.withColumn("_block", F.when(_bucket(keys).isin(heavy), F.floor(F.col(order) / block)))
+    number = F.floor(F.col(order) / block)
+    return df.withColumn("_block", number if heavy == EVERY else F.when(_bucket(keys).isin(heavy), number))
 
 
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, following: str | None = None, block: int = BLOCK, heavy: list[int] | None = None) -> DataFrame:

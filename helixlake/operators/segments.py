@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions.numeric import class_of
-from helixlake.operators.scan import BLOCK, joined_runs
+from helixlake.operators.scan import BLOCK, EVERY, joined_runs
 
 
 def overlap_mean(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +88,10 @@ def runs(labelled: DataFrame, keys: list[str], order: str = "pos", label: str =
 
 
 def block_runs(labelled: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """(keys, b, e, label): runs of positions that follow each other."""
+    """(keys, b, e, label): runs of positions that follow each other, in blocks of them whatever the keys: rows that
+    take a model to make are not made once more to be counted."""
     rows = labelled.select(*keys, F.col("pos").alias("b"), F.col("pos").alias("e"), "label", F.lit(1).alias("n"))
-    return joined_runs(rows, keys, touching=True, block=block).select(*keys, "b", "e", "label")
+    return joined_runs(rows, keys, touching=True, block=block, heavy=EVERY).select(*keys, "b", "e", "label")
 
 
 def segments(predictions: DataFrame, block: int = 100_000) -> DataFrame:
