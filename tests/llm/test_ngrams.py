@@ -161,7 +161,7 @@ def families(seed):
     return [(None if rng.random() < 0.03 else k // 2 if k < 20 else k, text) for k, text in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join(spark, seed):
     rows = families(seed)
     docs = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, n int, root string").repartition(3)
