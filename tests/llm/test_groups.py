@@ -127,6 +127,56 @@ def test_candidates_at_the_threshold():
     assert found >= 0.9 * pairs
 
 
+def test_candidates_of_a_regular_pitch():
+    """Texts in which every fifth word is another keep no 5-mer; nine in ten share a sketch, at every length."""
+    import numpy as np
+
+    rng = random.Random(11)
+
+    def keys(words):
+        hashed = np.array(words, dtype=np.uint64)
+        made = [omh.order_minhash(hashed), omh.order_minhash(hashed, omh.FINE, sketches=omh.FINE_SKETCHES)]
+        return set(np.concatenate([*made, omh.order_minhash(hashed, 1)] if len(words) < omh.SHORT else made).tolist())
+
+    found, pairs = 0, 0
+    for n in (20, 45, 50, 60, 100, 200, 400, 1000):
+        own = 0
+        for _ in range(100):
+            a = [rng.randrange(2**60) for _ in range(n)]
+            b = list(a)
+            for k in range(rng.randrange(5), n, 5):
+                b[k] = rng.randrange(2**60)
+            own += bool(keys(a) & keys(b))
+        assert own >= 84, n
+        found, pairs = found + own, pairs + 100
+    assert found >= 0.9 * pairs
+
+
+def test_small_maps_keep_every_similar_pair():
+    """Whatever the edits, the small maps never tell similar texts apart."""
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(400):
+        n = rng.randrange(5, 700)
+        a = [rng.randrange(1, 60 if rng.random() < 0.3 else 2**60) << 20 for _ in range(n)]
+        b = list(a)
+        for _ in range(n // 5):
+            k = rng.randrange(len(b))
+            kind = rng.randrange(3)
+            if kind == 0:
+                b[k] = rng.randrange(2**40) << 20
+            elif kind == 1 and len(b) > 1:
+                del b[k]
+            else:
+                b.insert(k, rng.randrange(2**40) << 20)
+        if omh.similarity(a, b) < 0.8:
+            continue
+        one, two = (omh.odd_map(np.array([x % 2**64 for x in w], dtype=np.uint64)) for w in (a, b))
+        turned = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(one, two))
+        assert 5 * (turned + abs(len(a) - len(b))) <= 2 * max(len(a), len(b))
+
+
 def families(rng):
     texts = []
     for size, edits in ((1, 0), (2, 2), (5, 5), (12, 5), (3, 1), (2, 60)):
