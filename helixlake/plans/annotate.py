@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ ATTENTION_CELLS = 1 << 22
 BLOCK = 4096
 #: Doubles of a gradient that travel together.
 CHUNK = 1 << 16
+#: Windows of a batch that a task takes, and those of all batches that a partition holds, about.
+SLICE, HELD = 64, 2048
+#: What a gradient needs of a window.
+WINDOW = ["ord", "strand", "seq", "win_start", "labels"]
 SCORES = "ord bigint, id string, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>"
 
 
@@ -90,6 +96,30 @@ def training_windows(contigs: DataFrame, features: DataFrame, config: Config) ->
     return window_labels(both[0].unionByName(both[1]), runs, config.window_size)
 
 
+def _summed_gradients(p: kernels.Params, windows: list[tuple], config: Config, seed: int) -> np.ndarray:
+    """[loss, windows, gradients in order of the parameters] summed over (ord, strand, seq, win_start, labels), windows of
+    like lengths together."""
+    total = np.zeros(2 + sum(v.size for v in p.values()))
+    heads, windows = config.num_heads, sorted(windows, key=lambda w: (w[0], w[1], w[3]))  # sums don't hang on how rows arrive
+    for some in kernels.groups([len(w[2]) for w in windows], heads, ATTENTION_CELLS // max(1, config.num_encoder_layers)):
+        ords, strands, seqs, starts, labels = zip(*(windows[k] for k in some))
+        x, y, lengths = kernels.laid_out(seqs, labels, config.cwt_scales)
+        places = [np.array(v, dtype=np.int64)[:, None, None] for v in (ords, starts, [s == "-" for s in strands])]
+        logits, caches = kernels.forward(p, x, heads, config.window_size, config.dropout_rate, (seed, *places), lengths)
+        losses, delta = kernels.loss_and_gradient(logits, y, lengths)
+        grads = kernels.backward(p, x, caches, delta, heads)
+        total += np.concatenate([[losses.sum(), len(some)], *(grads[name].ravel() for name in p)])
+    return total
+
+
+def _shaped(flat: np.ndarray, params: kernels.Params) -> tuple[kernels.Params, float, int]:
+    out, at = {}, 2
+    for name, v in params.items():
+        out[name] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return out, float(flat[0]), round(flat[1])
+
+
 def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int) -> tuple[kernels.Params, float, int]:
     """Sum of the windows' gradients, of their losses, and their number: summed in tasks, then by Spark in
     chunks of CHUNK numbers.
@@ -97,38 +127,67 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
     What comes back is as large as the model.
     """
     shared = wins.sparkSession.sparkContext.broadcast(params)
-    heads, window, scales, rate = config.num_heads, config.window_size, config.cwt_scales, config.dropout_rate
-    names = list(params)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, total, loss, n = shared.value, None, 0.0, 0
+        total = None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                x = kernels.features(row.seq, scales)
-                logits, caches = kernels.forward(p, x, heads, window, rate, (seed, row.ord, row.win_start, int(row.strand == "-")))
-                one, delta = kernels.loss_and_gradient(logits, np.asarray(row.labels))
-                grads = kernels.backward(p, x, caches, delta, heads)
-                flat = np.concatenate([grads[name].ravel() for name in names])
-                total, loss, n = flat if total is None else total + flat, loss + one, n + 1
-        if n:
-            flat = np.concatenate([[loss, n], total])
-            for chunk, at in enumerate(range(0, len(flat), CHUNK)):
-                yield pd.DataFrame({"chunk": [chunk], "v": [flat[at : at + CHUNK]]})
+            one = _summed_gradients(shared.value, list(batch.itertuples(index=False, name=None)), config, seed)
+            total = one if total is None else total + one
+        if total is not None and total[1]:
+            for chunk, at in enumerate(range(0, len(total), CHUNK)):
+                yield pd.DataFrame({"chunk": [chunk], "v": [total[at : at + CHUNK]]})
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "v": [np.sum(np.stack(part["v"]), axis=0)]})
 
-    made = wins.select("ord", "strand", "seq", "win_start", "labels").mapInPandas(partial, "chunk int, v array<double>")
+    made = wins.select(*WINDOW).mapInPandas(partial, "chunk int, v array<double>")
     chunks = made.groupBy("chunk").applyInPandas(summed, "chunk int, v array<double>").collect()
     shared.destroy()
-    if not chunks:
-        return {name: np.zeros_like(v) for name, v in params.items()}, 0.0, 0
-    flat, out, at = np.concatenate([r["v"] for r in sorted(chunks)]), {}, 2
-    for name in names:
-        size = params[name].size
-        out[name] = flat[at : at + size].reshape(params[name].shape)
-        at += size
-    return out, float(flat[0]), int(flat[1])
+    flat = np.concatenate([r["v"] for r in sorted(chunks)]) if chunks else np.zeros(2 + sum(v.size for v in params.values()))
+    return _shaped(flat, params)
+
+
+class Dealt:
+    """Windows dealt to partitions by batch and slice, as one packed element for each: a step runs as many tasks as its batch
+    has slices, on the partitions that hold them, and on no other."""
+
+    def __init__(self, wins: DataFrame, batches: int, windows: int, config: Config) -> None:
+        self.context, self.config = wins.sparkSession.sparkContext, config
+        key = ["id", F.col("ord").cast("int"), "strand", "win_idx"]
+        slices = max(1, min(self.context.defaultParallelism, -(-config.batch_size // SLICE)))
+        placed = wins.select(*WINDOW, F.pmod(F.xxhash64(*key), F.lit(batches)).alias("batch"), F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(slices)).alias("slice"))
+
+        def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for batch, rows in frame.groupby("batch"):
+                    yield pd.DataFrame({"batch": [batch], "data": [pickle.dumps(list(rows[WINDOW].itertuples(index=False, name=None)))]})
+
+        dealt = placed.repartition(max(1, -(-windows // HELD)), "batch", "slice").mapInPandas(packed, "batch bigint, data binary")
+        self.rows = dealt.rdd.map(lambda r: (r["batch"], bytes(r["data"]))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.places: dict[int, list[int]] = {}
+        for batch, place in self.rows.mapPartitionsWithIndex(lambda k, rows: {(row[0], k) for row in rows}).collect():
+            self.places.setdefault(batch, []).append(place)
+
+    def gradients(self, batch: int, params: kernels.Params, seed: int) -> tuple[kernels.Params, float, int]:
+        """As ``gradients`` of the batch's windows. Small models come back by task; of large ones Spark sums chunks first."""
+        size = 2 + sum(v.size for v in params.values())
+        if batch not in self.places:
+            return _shaped(np.zeros(size), params)
+        shared, config = self.context.broadcast(params), self.config
+
+        def partial(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
+            mine = [w for b, data in rows if b == batch for w in pickle.loads(data)]
+            if mine:
+                yield _summed_gradients(shared.value, mine, config, seed)
+
+        if size <= CHUNK:
+            flat = sum(self.context.runJob(self.rows, partial, sorted(self.places[batch])))
+        else:
+            cut = lambda v: ((at // CHUNK, v[at : at + CHUNK]) for at in range(0, len(v), CHUNK))
+            chunks = self.rows.mapPartitions(lambda rows: (c for v in partial(rows) for c in cut(v))).reduceByKey(lambda a, b: a + b).collect()
+            flat = np.concatenate([v for _, v in sorted(chunks, key=lambda c: c[0])])
+        shared.destroy()
+        return _shaped(flat, params)
 
 
 def _saved_epochs(spark: SparkSession, path: str) -> list[int]:
@@ -168,7 +227,10 @@ def window_losses(wins: DataFrame, params: kernels.Params, config: Config) -> Da
     def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
-            found = [kernels.loss_and_gradient(kernels.forward(p, kernels.features(s, scales), heads, window)[0], np.asarray(y))[0] for s, y in zip(batch["seq"], batch["labels"])]
+            found, seqs, labels = np.zeros(len(batch)), list(batch["seq"]), list(batch["labels"])
+            for some in kernels.groups([len(s) for s in seqs], heads, ATTENTION_CELLS):
+                x, y, lengths = kernels.laid_out([seqs[k] for k in some], [labels[k] for k in some], scales)
+                found[some] = kernels.loss_and_gradient(kernels.forward(p, x, heads, window, lengths=lengths)[0], y, lengths)[0]
             yield batch[["id", "ord", "strand", "win_idx"]].assign(loss=found)
 
     return wins.select("id", "ord", "strand", "win_idx", "seq", "labels").mapInPandas(losses, "id string, ord bigint, strand string, win_idx int, loss double")
@@ -179,8 +241,8 @@ def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None =
 
     Every step sums the gradients of its batch over the cluster and applies one Adam step to their mean;
     with a batch per window the steps are those of training window by window, in another order. Windows are
-    cached in order of their batch, so that a step's filter passes over the rest by its bounds; epochs take
-    the batches in an order of their own.
+    kept by batch, so that a step's tasks read the partitions of its batch alone; epochs take the batches in an
+    order of their own.
 
     With ``state_path`` parameters and moments are written after each epoch; a job that begins again with the same
     windows, settings and seed goes on after the last epoch that was written, with the same steps and losses.
@@ -190,13 +252,15 @@ def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None =
     if state_path and (saved := _saved_epochs(spark, state_path)):
         done = saved[-1] + 1
         params, state, step, losses = load_state(spark, state_path, saved[-1])
-    batches = max(1, -(-wins.count() // max(1, config.batch_size)))
-    batch = F.pmod(F.xxhash64("id", F.col("ord").cast("int"), "strand", "win_idx"), F.lit(batches))
-    kept = wins.withColumn("batch", batch).repartitionByRange("batch").sortWithinPartitions("batch").persist()
+    wins = wins.persist()
+    windows = wins.count()
+    batches = max(1, -(-windows // max(1, config.batch_size)))
+    dealt = Dealt(wins, batches, windows, config)
+    wins.unpersist()
     for epoch in range(done, config.num_epochs):
         loss, n = 0.0, 0
         for b in np.random.default_rng([seed, epoch]).permutation(batches):
-            grads, one, count = gradients(kept.where(F.col("batch") == int(b)), params, config, seed * 1_000_003 + step)
+            grads, one, count = dealt.gradients(int(b), params, seed * 1_000_003 + step)
             if count:
                 step, loss, n = step + 1, loss + one, n + count
                 mean = {name: g / count for name, g in grads.items()}
@@ -204,7 +268,7 @@ def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None =
         losses.append((epoch, loss / max(n, 1), n))
         if state_path:
             save_state(spark, state_path, epoch, params, state, step, losses)
-    kept.unpersist()
+    dealt.rows.unpersist()
     return params, spark.createDataFrame(losses, "epoch int, loss double, windows int")
 
 

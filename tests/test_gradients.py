@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixlake.functions import numeric
@@ -135,3 +136,39 @@ def test_training_goes_on_after_a_stop(spark, tmp_path):
     assert all(np.allclose(resumed[n], whole[n], atol=1e-12) for n in whole)
     done, _ = annotate.fit(wins, config, 3, path)  # nothing is left to do
     assert all(np.array_equal(done[n], resumed[n]) for n in done)
+
+
+def test_windows_of_several_lengths_are_worked_on_together():
+    """Losses and gradients of windows laid out side by side, dropout included, are those of each one."""
+    p, seqs = kernels.initial(8, 2, 6, 2, 4), ["ACGTTGCAACGTAC", "ACGTTGCAACGTACCAG", "TTTTACGGCA", "ACGTTGCAACGTAA"]
+    labels = [[k % 4 - (k == 2) for k in range(len(s))] for s in seqs]
+    x, y, lengths = kernels.laid_out(seqs, labels, (2.0, 3.0))
+    numbers = np.arange(len(seqs))[:, None, None]
+    logits, caches = kernels.forward(p, x, 2, 30, 0.4, (3, numbers, 7), lengths)
+    losses, delta = kernels.loss_and_gradient(logits, y, lengths)
+    grads, expected = kernels.backward(p, x, caches, delta, 2), {n: 0 for n in p}
+    for k, (s, one) in enumerate(zip(seqs, labels)):
+        own = kernels.features(s, (2.0, 3.0))
+        logits, caches = kernels.forward(p, own, 2, 30, 0.4, (3, k, 7))
+        loss, delta = kernels.loss_and_gradient(logits, np.array(one))
+        assert abs(loss - losses[k]) < 1e-12
+        expected = {n: expected[n] + g for n, g in kernels.backward(p, own, caches, delta, 2).items()}
+    assert all(np.allclose(grads[n], expected[n], atol=1e-12) for n in p)
+    assert sorted(sum(kernels.groups([9, 20, 10, 9], 2, 400), [])) == [0, 1, 2, 3] and len(kernels.groups([9, 20, 10, 9], 2, 400)) == 3
+
+
+@pytest.mark.parametrize("chunk", [annotate.CHUNK, 100])
+def test_a_step_reads_the_partitions_of_its_batch(spark, monkeypatch, chunk):
+    monkeypatch.setattr(annotate, "HELD", 4)
+    monkeypatch.setattr(annotate, "SLICE", 4)
+    monkeypatch.setattr(annotate, "CHUNK", chunk)
+    config = Config(d_model=8, num_encoder_layers=1, num_heads=2, d_ff=8, cwt_scales=(2.0,), window_size=30, window_overlap=6, num_epochs=1, batch_size=8, dropout_rate=0.2)
+    contigs = spark.range(40).select(F.col("id").cast("int").alias("ord"), F.col("id").cast("string").alias("id"), F.repeat(F.lit("ACGTTGCAAC"), F.lit(4)).alias("seq"), F.lit(40).alias("length"))
+    features = spark.createDataFrame([(str(k), "exon", 5, 20, ".", "Parent=t") for k in range(40)], "seqid string, feature string, start int, end int, strand string, attributes string")
+    wins, params = annotate.training_windows(contigs, features, config), kernels.initial(8, 1, 8, 1, 5)
+    dealt = annotate.Dealt(wins, 20, wins.count(), config)
+    assert max(map(len, dealt.places.values())) <= 2 < dealt.rows.getNumPartitions()
+    made = [dealt.gradients(b, params, 3) for b in range(20)]
+    whole, loss, n = annotate.gradients(wins, params, config, 3)
+    assert sum(m[2] for m in made) == n == wins.count() and abs(sum(m[1] for m in made) - loss) < 1e-9
+    assert all(np.allclose(sum(m[0][k] for m in made), whole[k]) for k in params)
