@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.operators.labels import label_intervals, label_runs
-from helixlake.operators.segments import block_means, segments
+from helixlake.operators.segments import block_means, mean_segments, scored_sums
 from helixlake.operators.windows import sequence_windows, window_labels
 from helixlake.plans import kernels
 from helixlake.sources.config import Config, require
@@ -31,36 +31,38 @@ CHUNK = 1 << 16
 SLICE, HELD = 64, 2048
 #: What a gradient needs of a window.
 WINDOW = ["ord", "strand", "seq", "win_start", "labels"]
-SCORES = "ord bigint, id string, block int, first int, p0 array<double>, p1 array<double>, p2 array<double>"
 
 
 def scored_blocks(wins: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
-    """(ord, id, block, first, p0, p1, p2): the class probabilities of the bases of each window, as arrays
-    that start at position ``first``, cut where blocks of BLOCK positions end.
+    """(ord, seqid, block, first, p0, p1, p2, n): the class probabilities of the bases of windows, as arrays that start at
+    position ``first``, cut where blocks of BLOCK positions end; those of neighbouring windows are added up.
 
     Windows of one length are scored together, as many as ATTENTION_CELLS allows, or one.
     """
     shared = wins.sparkSession.sparkContext.broadcast(params)
     heads, window, scales = config.num_heads, config.window_size, config.cwt_scales
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for batch in batches:
-            rows = []
-            for n, same in batch.groupby(batch["seq"].str.len(), sort=True):
-                step = max(1, ATTENTION_CELLS // (heads * int(n) ** 2))
-                for at in range(0, len(same), step):
-                    some = same.iloc[at : at + step]
-                    logits, _ = kernels.forward(p, kernels.features(list(some["seq"]), scales), heads, window)
-                    for row, probs in zip(some.itertuples(index=False), kernels.softmax(logits)):
-                        first = int(row.win_start)
-                        while len(probs):
-                            k = BLOCK - first % BLOCK
-                            rows.append((row.ord, row.id, first // BLOCK, first, *probs[:k].T))
-                            first, probs = first + k, probs[k:]
-            yield pd.DataFrame(rows, columns=["ord", "id", "block", "first", "p0", "p1", "p2"])
-
-    return wins.select("ord", "id", "win_start", "seq").mapInPandas(scores, SCORES)
+    def score(some: pd.DataFrame) -> np.ndarray:
+        p, seqs, sizes = shared.value, some["seq"].to_numpy(), some["size"].to_numpy()
+        ends = np.cumsum(sizes)
+        values = np.empty((kernels.LABELS, ends[-1]))
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            step = max(1, ATTENTION_CELLS // (heads * int(n) ** 2))
+            for at in range(0, len(same), step):
+                rows = same[at : at + step]
+                logits, _ = kernels.forward(p, kernels.features(list(seqs[rows]), scales), heads, window)
+                places = (ends[rows] - n)[:, None] + np.arange(n)
+                values[:, places] = np.moveaxis(kernels.softmax(logits), -1, 0)
+        return values
+
+    return scored_sums(wins.select(F.col("ord").cast("bigint").alias("ord"), F.col("id").alias("seqid"), "win_start", F.col("win_len").alias("size"), "seq"), score, BLOCK)
+
+
+def _scored(contigs: DataFrame, params: kernels.Params, config: Config) -> tuple[DataFrame, DataFrame]:
+    """The scored blocks of sequences (ord, id, seq, length), or of chunks of them with a halo of a window, and the sequences."""
+    wins = sequence_windows(contigs, config.window_size, config.window_overlap, "predict")
+    return scored_blocks(wins, params, config), contigs.where("chunk_start = 0") if "chunk" in contigs.columns else contigs
 
 
 def predictions(contigs: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
@@ -68,9 +70,12 @@ def predictions(contigs: DataFrame, params: kernels.Params, config: Config) -> D
 
     ``contigs`` are sequences (ord, id, seq, length), or chunks of them with a halo of a window.
     """
-    wins = sequence_windows(contigs, config.window_size, config.window_overlap, "predict")
-    whole = contigs.where("chunk_start = 0") if "chunk" in contigs.columns else contigs
-    return block_means(scored_blocks(wins, params, config).withColumnRenamed("id", "seqid"), whole, BLOCK)
+    return block_means(*_scored(contigs, params, config), BLOCK)
+
+
+def predicted_segments(contigs: DataFrame, params: kernels.Params, config: Config) -> DataFrame:
+    """The segments of ``predictions``, without a row per base."""
+    return mean_segments(*_scored(contigs, params, config), BLOCK)
 
 
 def predict(spark: SparkSession, config: Config, strip_whitespace: bool = False) -> DataFrame:
@@ -80,12 +85,13 @@ def predict(spark: SparkSession, config: Config, strip_whitespace: bool = False)
     """
     require(config, "predict")
     params = load_model(spark, config, config.model_path)
-    found = predictions(read_fasta(spark, config.predict_fasta, strip_whitespace), params, config).persist()
-    cut = segments(found)
+    scored, contigs = _scored(read_fasta(spark, config.predict_fasta, strip_whitespace), params, config)
+    scored = scored.persist()
+    cut = mean_segments(scored, contigs, BLOCK)
     write_gff(cut, config.output_gff)
     if config.output_bedgraph:
-        write_bedgraph(found, config.output_bedgraph)
-    found.unpersist()
+        write_bedgraph(block_means(scored, contigs, BLOCK), config.output_bedgraph)
+    scored.unpersist()
     return cut
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from helixlake.operators.segments import segments
 from helixlake.plans import kernels
-from helixlake.plans.annotate import predictions
+from helixlake.plans.annotate import predicted_segments
 from helixlake.sources.config import Config
 from helixlake.sources.fasta import parse_fasta
 
@@ -23,7 +22,7 @@ def predict_stream(spark: SparkSession, folder: str, params: kernels.Params, con
 
     def batch(arrived: DataFrame, number: int) -> None:
         contigs = parse_fasta(arrived).persist()
-        segments(predictions(contigs, params, config)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        predicted_segments(contigs, params, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
         contigs.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -217,3 +217,38 @@ def test_matrices(spark):
     assert np.allclose(soft.sum(1), 1)
     constant = spark.createDataFrame([([2.0] * 5,)], "x array<double>").select(numeric.layer_norm(F.col("x")).alias("y")).first().y
     assert constant == [0.0] * 5
+
+
+def test_window_sums_and_segments_without_a_row_per_base(spark):
+    """Windows added up before they are dealt, gaps and ends of blocks included, give the rows of single windows; what a
+    task may hold changes nothing."""
+    starts = {"a": [0, 3, 6, 30, 33], "b": [0, 5], "c": []}
+    rows = [(s, 0, w, 7) for s, ws in starts.items() for w in ws]
+    wins = spark.createDataFrame(rows, "seqid string, ord int, win_start int, size int").coalesce(1)
+    contigs = spark.createDataFrame([("a", 0, 42), ("b", 0, 12), ("c", 0, 9)], "id string, ord int, length int")
+
+    def score(some):
+        return np.concatenate([[[((w + k) * c + w) % 5 / 4.0 for k in range(n)] for c in (1, 2, 3)] for w, n in zip(some["win_start"], some["size"])], axis=1)
+
+    expected = {(s, p): [[], 0] for s, n in (("a", 42), ("b", 12), ("c", 9)) for p in range(n)}
+    for s, _, w, n in rows:
+        for k in range(n):
+            expected[s, w + k][0].append([((w + k) * c + w) % 5 / 4.0 for c in (1, 2, 3)])
+            expected[s, w + k][1] += 1
+    runs = []
+    for cells in (1, 10, 1000):
+        scored = segments.scored_sums(wins, score, 8, cells)
+        if cells == 1000:
+            assert scored.count() < scored.selectExpr("inline(arrays_zip(p0, n))").selectExpr("sum(n)").first()[0] / 7 + 8  # fewer than pieces of windows
+        means = segments.block_means(scored, contigs, 8)
+        found = {(r.seqid, r.pos): r for r in means.collect()}
+        assert found.keys() == expected.keys()
+        for key, (values, n) in expected.items():
+            assert found[key].n == n
+            assert np.allclose([found[key].p0, found[key].p1, found[key].p2], np.mean(values, axis=0) if values else 0)
+        one = sorted(map(tuple, segments.mean_segments(scored, contigs, 8).collect()))
+        assert one == sorted(map(tuple, segments.segments(means).collect()))
+        few = segments.reduced_blocks(scored, contigs, 8, "n bigint", lambda first, p, n: [(int(n.sum()),)], cells)
+        assert few.count() == 6 + 2 + 2 and few.groupBy().sum("n").first()[0] == 7 * len(rows)
+        runs.append(one)
+    assert runs[0] == runs[1] == runs[2]
