@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.plans.kernels import base_signal
+
+#: Bases that a task works on before rows leave it.
+CELLS = 1 << 18
+
 
 def matmul(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, i, j, v) = a (keys, i, j, v) times b (i, j, v): a join on the inner index, then sums."""
@@ -63,6 +71,30 @@ def convolve(signal: DataFrame, kernel: DataFrame, length: int, keys: list[str],
     return met.groupBy(*keys, F.col("out").alias("pos")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
+def convolve_texts(rows: DataFrame, keys: list[str], seq: str, taps: np.ndarray, cells: int = CELLS) -> DataFrame:
+    """(keys, pos, re, im): ``convolve`` of the signals of texts, where each text stands: nothing is shuffled or gathered, and
+    rows leave a task when about ``cells`` bases are done."""
+    gap = len(taps) - 1
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(seq).to_pylist()
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            group = np.cumsum(sizes) // cells
+            cuts = np.unique([0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)])
+            for a, b in zip(cuts, cuts[1:]):
+                some, n = texts[a:b], sizes[a:b]
+                full = np.convolve(base_signal([("N" * gap).join(some)])[0], taps)
+                place = np.repeat(np.cumsum(n) - n, n)
+                pos = np.arange(n.sum()) - place
+                out = full[np.repeat(np.cumsum(n + gap) - n - gap, n) + pos + len(taps) // 2]
+                own = pa.array(np.repeat(np.arange(a, b), n))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in keys), pa.array(pos.astype(np.int32)), pa.array(out.real.copy()), pa.array(out.imag.copy())], [*keys, "pos", "re", "im"])
+
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.where(F.length(seq) > 0).select(*keys, seq).mapInArrow(made, ", ".join([*kinds, "pos int, re double, im double"]))
+
+
 def dft(samples: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """(keys, f, re, im) of n real samples (keys, k, x), by the defining sum."""
     spread = samples.select(*keys, "k", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("f"))

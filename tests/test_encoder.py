@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixlake.functions.fourier import fft
-from helixlake.operators import attention, wavelets
+from helixlake.operators import attention, wavelets, linalg
 from helixlake.plans import kernels
 
 
@@ -85,3 +85,31 @@ def test_encoder_layer_equals_the_kernel(spark):
     assert all(np.allclose(found[k], expected[k], atol=1e-9) for k in found)
     with pytest.raises(ValueError, match="divide"):
         attention.multi_head_attention(df, *list(weights.values())[:4], ["w"], 3, width)
+
+
+def test_products_stand_where_the_row_is(spark):
+    """Rows times matrices in Arrow tasks, and the attention made once in a layer."""
+    rng = np.random.default_rng(1)
+    x, a, b = rng.normal(size=(7, 4)), rng.normal(size=(4, 3)), rng.normal(size=(4, 2))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "t int, x array<double>")
+    found = attention.multiplied(rows, "x", "y", attention.matrix_of(matrix(spark, a)), b).orderBy("t").collect()
+    assert np.allclose([r.y for r in found], np.concatenate([x @ a, x @ b], axis=1))
+    assert attention.multiplied(rows.where("t < 0"), "x", "y", a).count() == 0
+    weights = {n: matrix(spark, rng.normal(size=(4, 4))) for n in ("wq", "wk", "wv", "wo", "w1", "w2")}
+    ones = F.array(*[F.lit(1.0)] * 4)
+    layer = attention.encoder_layer(rows.withColumn("w", F.lit(0)), weights, dict.fromkeys(("b1", "b2", "g1", "e1", "g2", "e2"), ones), ["w"], 2, 4)
+    assert layer._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5  # q, k and v for the queries and for what they see
+
+
+def test_convolution_of_texts_without_a_shuffle(spark):
+    taps = kernels.wavelet(2.0, 21)
+    texts = ["", None, "A", "GATTACA", "ACGTTGCAACNé\U0001f600" * 5, "T" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").coalesce(1)
+    for cells in (1, 50, 1 << 18):
+        made = linalg.convolve_texts(rows, ["k"], "s", taps, cells)
+        assert "Exchange hash" not in made._jdf.queryExecution().executedPlan().toString()
+        found = {(r.k, r.pos): complex(r.re, r.im) for r in made.collect()}
+        assert len(found) == sum(len(t or "") for t in texts)
+        for k, t in enumerate(texts):
+            if t:
+                assert np.allclose([found[k, p] for p in range(len(t))], np.convolve(kernels.base_signal([t])[0], taps)[10 : 10 + len(t)])
