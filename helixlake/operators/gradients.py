@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions.binding import let
 from helixlake.functions.numeric import LAYER_NORM_EPS, softmax
-from helixlake.operators.attention import dot, heads_of, product, with_weights
+from helixlake.operators.attention import dot, heads_of, matrix_of, multiplied, product, with_weights
 
 
 def total(values: Column) -> Column:
@@ -84,10 +84,11 @@ def attention_back(rows: DataFrame, weights: dict[str, DataFrame], keys: list[st
     size = width // heads
     scale = 1 / math.sqrt(size)
     names = ("wq", "wk", "wv")
-    placed = with_weights(rows, **{f"_{n}": weights[n] for n in names}, _wo=weights["wo"].select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    parts = [heads_of(product(F.col("x"), F.col(f"_{n}")), heads, width).alias(n[1]) for n in names]
-    # the columns of the transposed matrix are the rows of wo: dy times it is the gradient of what the heads mixed
-    split = placed.select(*keys, "t", "x", "dy", *parts, heads_of(product(F.col("dy"), F.col("_wo")), heads, width).alias("m"))
+    placed = multiplied(rows.select(*keys, "t", "x", "dy"), "x", "_p", *(matrix_of(weights[n]) for n in names))
+    placed = multiplied(placed, "dy", "_m", matrix_of(weights["wo"]).T)
+    parts = [heads_of(F.slice("_p", k * width + 1, width), heads, width).alias(n[1]) for k, n in enumerate(names)]
+    # dy times the transposed matrix is the gradient of what the heads mixed
+    split = placed.select(*keys, "t", "x", "dy", *parts, heads_of(F.col("_m"), heads, width).alias("m"))
     tile = split.select(*keys, "t", F.posexplode(F.arrays_zip("q", "k", "v", "m")).alias("_head", "_p"))
     whole = tile.groupBy(*keys, "_head").agg(F.array_sort(F.collect_list(F.struct("t", "_p.k", "_p.v"))).alias("_seen"))
     met = tile.select(*keys, "_head", "t", "_p").join(whole, [*keys, "_head"])
