@@ -23,6 +23,7 @@ held as hashes: of 44 bits for order and candidates, and of 64 bits in the verif
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ SHARED = 3
 FIRST = 16
 #: Up to so many lines (24 bytes each) are named to a scan by broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
+#: Shares of the grams' keys that are dealt one after the other: no more of them is on disk at once than one share.
+PASSES = 5
 
 INTS = "array<int>"
 HASH_BITS = 44
@@ -69,22 +72,26 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def rarity(lines: DataFrame) -> tuple[str, int]:
-    """Quarter-octave frequencies of the words of all ``lines`` by hash, as a JSON list of TABLE numbers, in
-    the places that keys have them; and the greatest rank sum of two words that make a gram."""
+    """Quarter-octave frequencies of the words of all ``lines`` by hash, as a JSON list of TABLE small numbers (it stands in
+    plans, which the driver keeps); and the greatest rank sum of two words that make a gram."""
     words = lines.select(F.explode_outer(_words(F.col("line"))).alias("w"))
     placed = words.select(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("at"))
-    counts = dict(placed.groupBy("at").agg(F.count("*").alias("n")).collect())
-    ranks = (min(127, math.floor(4 * math.log2(counts[k]))) << HASH_BITS if k in counts else 0 for k in range(TABLE))
-    n = max(1, sum(counts.values()) // NOMINAL_LINE)
+    counted = placed.groupBy("at").agg(F.count("*").alias("n")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")).first()
+    ranks = [0] * TABLE
+    for at, n in zip(counted["at"], counted["n"]):
+        ranks[at] = min(127, math.floor(4 * math.log2(n)))
+    n = max(1, sum(counted["n"]) // NOMINAL_LINE)
     return "[" + ",".join(map(str, ranks)) + "]", math.floor(4 * math.log2(max(1, n * BY_CHANCE)))
 
 
 def ordered(line: Column, table: str) -> Column:
     """The set of a line's words, rarest first: 7 bits of frequency, 44 of hash."""
-    ranks = F.from_json(F.lit(table), "array<bigint>")
+    ranks = F.from_json(F.lit(table), "array<tinyint>")
 
     def key(h: Column) -> Column:
-        return F.get(ranks, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+        # never null, so that the arrays are sorted as plain numbers
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")), F.lit(0).cast("tinyint"))
+        return F.shiftleft(rank.cast("bigint"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
     return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), key))
 
@@ -187,25 +194,34 @@ def firsts(lines: DataFrame, again: DataFrame) -> DataFrame:
 
 
 def shown(lines: DataFrame, table: str, most: int) -> DataFrame:
-    """place, n (words), short and long (numbers of grams), keys (the rarest words) of each line."""
+    """place, n (words), short and long (numbers of grams), keys (the rarest words) of each line.
+
+    A key here is 30 bits of the word's hash above a bit that says whether a gram that begins there takes three words: lines
+    are stored so, and a word that shares its bits with another makes candidates that the verification drops.
+    """
 
     def of_keys(keys: Column) -> Column:
         n = F.size(keys)
         short, long_ = _places(n, keys, most)
+
+        def held(key: Column, i: Column) -> Column:
+            three = _rank(key) + _rank(F.get(keys, i + 1)) > most
+            return key.bitwiseAND(F.lit(0x7FFFFFFE)).cast("int").bitwiseOR(F.when(three, 1).otherwise(0))
+
         return let(
             F.struct(short.alias("short"), long_.alias("long")),
-            lambda s: F.struct(n.alias("n"), s["short"].alias("short"), s["long"].alias("long"), F.slice(keys, 1, F.greatest(s["short"] + 1, s["long"] + 2)).alias("keys")),
+            lambda s: F.struct(n.alias("n"), s["short"].alias("short"), s["long"].alias("long"), F.transform(F.slice(keys, 1, F.greatest(s["short"] + 1, s["long"] + 2)), held).alias("keys")),
         )
 
     return lines.select("place", let(ordered(F.col("line"), table), of_keys).alias("s")).select("place", "s.*")
 
 
-def grams(lines: DataFrame, most: int) -> DataFrame:
+def grams(lines: DataFrame) -> DataFrame:
     """(key, id, ni): the grams that stand for each line, with the number of its words and the gram's place."""
     spread = lines.select("place", "n", "short", "keys", F.explode(F.sequence(F.lit(0), F.col("short") + F.col("long") - 1)).alias("k"))
     i = F.when(F.col("k") < F.col("short"), F.col("k")).otherwise(F.col("k") - F.col("short"))
-    x, y, z = (F.get("keys", i + j) for j in range(3))
-    third = F.when((F.col("k") >= F.col("short")) & (_rank(x) + _rank(y) > most), z)
+    x, y, z = (F.shiftright(F.get("keys", i + j), 1) for j in range(3))
+    third = F.when((F.col("k") >= F.col("short")) & (F.get("keys", i).bitwiseAND(F.lit(1)) == 1), z)
     ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(i.cast("bigint"))
     return spread.select(F.xxhash64((F.col("k") < F.col("short")), x, y, third).alias("key"), F.col("place").alias("id"), ni.alias("ni"))
 
@@ -225,23 +241,31 @@ def _need(ni: Column) -> Column:
     return F.when(F.shiftright(ni, 32) > SHORT, SHARED).otherwise(1)
 
 
-def _met(rows: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame) -> DataFrame:
     """key, id, ni, rank, lead, lead_ni: the rows of buckets of two lines or more that the filters leave, with
-    their rank by place and the earliest line of the bucket; of lines with enough such rows."""
+    their rank by place and the earliest line of the bucket."""
     bucket = Window.partitionBy("key").orderBy("id")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = rows.withColumns(
         {"rank": F.row_number().over(bucket), "size": F.count("*").over(whole), "lead": F.first("id").over(whole), "lead_ni": F.first("ni").over(whole), "last_ni": F.last("ni").over(whole)}
     )
     kept = ranked.where((F.col("size") > 2) | (F.col("size") == 2) & _alike(F.col("lead_ni"), F.col("last_ni")))
-    kept = stored(kept.drop("size", "last_ni"), "line-buckets")
-    release(rows.sparkSession)
+    return kept.drop("size", "last_ni")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``_buckets`` of all ``rows``, one share of the keys after the other; of lines with enough such rows."""
+    parts = []
+    for k in range(PASSES):
+        parts.append(stored(_buckets(rows.where(F.pmod("key", F.lit(PASSES)) == k)), "line-buckets"))
+        release(rows.sparkSession)
+    kept = reduce(DataFrame.unionByName, parts)
     counted = kept.groupBy("id").agg(F.count("*").alias("c"), F.max("ni").alias("ni")).where(F.col("c") >= _need(F.col("ni")))
     enough = stored(counted.select("id"), "line-places")
     few = F.broadcast(enough) if enough.count() <= BROADCAST_LINES else enough
     found = stored(kept.join(few, "id", "left_semi"), "line-buckets")
-    discard(kept)
-    discard(enough)
+    for old in (*parts, enough):
+        discard(old)
     return found
 
 
@@ -274,6 +298,7 @@ def _near(x: str, y: str) -> Column:
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """x of the pairs (x, y) of places whose lines are similar."""
     pairs = stored(pairs, "line-pairs")
+    release(pairs.sparkSession)
     need = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
     few = F.broadcast(need) if need.count() <= BROADCAST_LINES else need
     named = sets.select("place", "t").join(few, "place", "left_semi")
@@ -300,14 +325,18 @@ def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
     for upper in (FIRST, None):
         late = met.where("lead < id").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
         late = stored(late.join(maps, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm")), "open-lines")
+        release(met.sparkSession)
         earlier = met.where(F.col("rank") <= upper if upper else F.lit(True)).join(late.select("key").distinct(), "key", "left_semi")
         earlier = earlier.join(maps, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"))
+        earlier = stored(earlier, "earlier-lines")
+        release(met.sparkSession)
         near = late.join(earlier, (F.col("key") == F.col("k")) & (F.col("y") < F.col("id")) & _alike(F.col("ni"), F.col("yni")) & _near("xm", "ym"))
         shared = near.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c"), F.max("ni").alias("ni"), F.max("yni").alias("yni"))
         # of the earliest lines only, the one that promises most
         enough = shared.where(F.col("c") >= F.least(_need(F.col("ni")), _need(F.col("yni"))))
         more = _similar(enough.groupBy("x").agg(F.max_by("y", "c").alias("y")) if upper else enough.select("x", "y"), sets)
-        discard(late)
+        for old in (late, earlier):
+            discard(old)
         found = found.unionByName(more)
     discard(maps)
     return found
@@ -319,7 +348,9 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     again = several(lines)
     once = firsts(lines, again)
     table, most = rarity(once)
-    met = _met(grams(shown(once, table, most), most))
+    rarest = stored(shown(once, table, most), "line-words")
+    met = _met(grams(rarest))
+    discard(rarest)
     sets = _sets(stored(met.select(F.col("id").alias("place")).distinct(), "line-places"), lines)
     gone = _matched(met, sets)
     gone = sets.join(gone.select(F.col("x").alias("place")), "place", "left_semi").select("a", "b", F.col("place").alias("first"), F.lit(True).alias("gone"))

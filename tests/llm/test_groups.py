@@ -302,6 +302,31 @@ def test_line_edges(spark, edge, empty, monkeypatch):
     assert linedup.deduplicated(empty).collect() == []
 
 
+def test_line_grams_are_dealt_in_shares(spark, monkeypatch):
+    """No shuffle has all grams of the lines, and the table of frequencies that stands in plans is small."""
+    monkeypatch.setattr(linedup, "TABLE", 1 << 10)
+    docs = made_lines(random.Random(3))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tables, buckets = [], []
+
+    def rarity(lines, of=linedup.rarity):
+        tables.append(of(lines)[0])
+        return of(lines)
+
+    def stored(df, name, of=linedup.stored):
+        found = of(df, name)
+        if name == "line-buckets":
+            buckets.append(found.count())
+        return found
+
+    monkeypatch.setattr(linedup, "rarity", rarity)
+    monkeypatch.setattr(linedup, "stored", stored)
+    assert {(r.doc_id, r.line_no) for r in linedup.repeated(frame).collect()} == brute_lines(docs)
+    assert max(map(len, tables)) <= 4 * linedup.TABLE + 1
+    *shares, _ = buckets
+    assert len(shares) > 1 and max(shares) <= sum(shares) / 2
+
+
 # --- decontamination
 
 
