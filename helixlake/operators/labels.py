@@ -6,7 +6,9 @@ that need a row per base expand them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from helixlake.functions.attributes import parents
@@ -16,6 +18,8 @@ EXON_FEATURES = ("CDS", "exon")
 INTRON, EXON = 1, 2
 #: Positions of a sequence that are made from one array.
 LINE_BLOCK = 10_000
+#: Positions that a task paints: the number of tasks follows the positions.
+CELLS = 1 << 19
 
 
 def stranded(features: DataFrame) -> DataFrame:
@@ -65,10 +69,23 @@ def label_intervals(features: DataFrame, contigs: DataFrame) -> DataFrame:
 def paint(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, label): the greatest label that covers a position; a row per covered position.
 
-    Positions are made in the tasks that hold the intervals and reduced there before they are shuffled.
+    Intervals are dealt by block of positions, and positions made where a block has arrived, about ``CELLS`` in a task.
     """
-    flat = intervals.select(*keys, F.explode(F.sequence("b", "e")).alias("pos"), "label")
-    return flat.groupBy(*keys, "pos").agg(F.max("label").alias("label"))
+    spans = intervals.groupBy(*keys).agg((F.max("e") - F.min("b") + 1).alias("span"), F.sum(F.col("e") - F.col("b") + 1).alias("sum"))
+    cells = spans.agg(F.sum(F.least("span", "sum").cast("double"))).first()[0]
+    return _positions(intervals.select(*keys, "b", "e", "label"), keys, cells).agg(F.max("label").alias("label")).drop("_block")
+
+
+def _positions(intervals: DataFrame, keys: list[str], cells: float | None) -> GroupedData:
+    """The positions of the intervals, about ``cells`` in all, by key, block and position."""
+    tasks = max(intervals.sparkSession.sparkContext.defaultParallelism, math.ceil((cells or 0) / CELLS))
+    kind = intervals.schema["b"].dataType
+    of = lambda end: F.floor(F.col(end) / LINE_BLOCK).cast("bigint")
+    cut = intervals.withColumn("_block", F.explode(F.sequence(of("b"), of("e"))))
+    first = F.col("_block") * LINE_BLOCK
+    cut = cut.withColumns({"b": F.greatest("b", first).cast(kind), "e": F.least("e", first + LINE_BLOCK - 1).cast(kind)})
+    dealt = cut.repartition(tasks, *keys, "_block")
+    return dealt.withColumn("pos", F.explode(F.sequence("b", "e"))).groupBy(*keys, "_block", "pos")
 
 
 def label_runs(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
@@ -98,17 +115,19 @@ def merged(pieces: DataFrame, keys: list[str], order_by: str, block: int = BLOCK
 
 
 def dense_labels(intervals: DataFrame, contigs: DataFrame, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
-    """(seqid, strand, pos, label): a row per base and strand, 0 where nothing covers it."""
-    line = _line(contigs, strands)
-    painted = paint(intervals, ["seqid", "strand"])
-    return line.join(painted, ["seqid", "strand", "pos"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    """(seqid, strand, pos, label): a row per base and strand, 0 where nothing covers it.
 
-
-def _line(contigs: DataFrame, strands: tuple[str, ...]) -> DataFrame:
-    by_strand = contigs.where("length > 0").select(F.col("id").alias("seqid"), "length", F.explode(F.array(*map(F.lit, strands))).alias("strand"))
-    blocks = by_strand.select("seqid", "strand", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(LINE_BLOCK))).alias("first"))
-    last = F.least(F.col("length"), F.col("first") + LINE_BLOCK) - 1
-    return blocks.select("seqid", "strand", F.explode(F.sequence("first", last)).alias("pos"))
+    The line of a sequence is painted like its intervals, so that bases are made once and not joined.
+    """
+    held = contigs.where("length > 0").select(F.col("id").alias("seqid"), F.explode(F.array(*map(F.lit, strands))).alias("strand"), "length")
+    cells = held.agg(F.sum(F.col("length").cast("double"))).first()[0]
+    kind = intervals.schema["label"].dataType
+    line = held.select("seqid", "strand", F.lit(0).alias("b"), (F.col("length") - 1).alias("e"), F.lit(None).cast(kind).alias("label"), F.lit(1).alias("line"))
+    both = line.unionByName(intervals.select("seqid", "strand", "b", "e", "label", F.lit(0).alias("line")))
+    painted = _positions(both, ["seqid", "strand"], cells).agg(F.max("label").alias("label"), F.sum("line").cast("int").alias("line"))
+    # a row per sequence of an id; intervals beyond the line or of no sequence have none
+    each = painted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("line"))))
+    return each.select("seqid", "strand", F.col("pos").cast(contigs.schema["length"].dataType).alias("pos"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def class_counts(runs: DataFrame, contigs: DataFrame) -> DataFrame:

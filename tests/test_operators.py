@@ -76,6 +76,23 @@ def test_labels_against_brute_force(spark):
     assert counts == {k: tuple(v.count(x) for x in range(3)) for k, v in expected.items()}
 
 
+def test_painting_tasks_follow_the_positions(spark, monkeypatch):
+    """Tasks hold a bounded number of positions; repeated ids have a row each, intervals beyond a line or of no line none."""
+    monkeypatch.setattr(labels, "CELLS", 5_000, raising=False)
+    contigs = spark.createDataFrame([("a", 50_000), ("b", 3), ("b", 5), ("c", 0)], "id string, length int")
+    rows = [("a", "+", 9_990, 20_005, 1), ("a", "+", 9_999, 10_001, 2), ("b", "+", 2, 7, 1), ("b", "-", 0, 0, 2), ("d", "+", 0, 3, 2)]
+    intervals = spark.createDataFrame(rows, "seqid string, strand string, b int, e int, label int")
+    dense = labels.dense_labels(intervals, contigs, ("+",))
+    painted = labels.paint(intervals, ["seqid", "strand"])
+    assert dense.rdd.getNumPartitions() >= 10 and painted.rdd.getNumPartitions() >= 2
+    line = [2 if 9_999 <= p <= 10_001 else int(9_990 <= p <= 20_005) for p in range(50_000)]
+    b = [(0, 0), (0, 0), (1, 0), (1, 0), (2, 1), (2, 1), (3, 1), (4, 1)]
+    got = sorted((r.seqid, r.pos, r.label) for r in dense.collect())
+    assert got == [("a", p, v) for p, v in enumerate(line)] + [("b", *x) for x in b]
+    covered = {("a", "+", p): v for p, v in enumerate(line) if v} | {("b", "+", p): 1 for p in range(2, 8)} | {("b", "-", 0): 2} | {("d", "+", p): 2 for p in range(4)}
+    assert {(r.seqid, r.strand, r.pos): r.label for r in painted.collect()} == covered
+
+
 def test_runs_of_random_intervals(spark):
     rng = random.Random(5)
     rows = [("s", b, b + rng.randrange(8), rng.choice([1, 2])) for b in (rng.randrange(300) for _ in range(60))]
