@@ -17,7 +17,7 @@ Built-in functions only.
 
 Defined results: a null text has no lines; lines without words are never removed; rows that repeat an
 id and text count as one and share their fate, other texts of that id are their own; null ids sort first. Words are
-held as hashes: of 44 bits for order and candidates, and of 64 bits in the verification.
+held as hashes: of 44 bits for order, of 30 for candidates, and of 64 bits in the verification.
 """
 
 from __future__ import annotations
