@@ -12,7 +12,8 @@ ones (``_places`` has the bound). Length filter: like sizes. Positional filter:
 the grams stand the overlap can still be reached. What is left is verified on the whole sets.
 
 Every line needs one earlier match only. Lines of a gram's bucket first meet its earliest line, then its first few,
-as a family of near copies has a match there; those that nothing settles meet all earlier lines of it.
+as a family of near copies has a match there; those that nothing settles meet all earlier lines of it, in a join that
+verifies on the spot and stops at the first match: it gives no more rows than open lines have grams.
 Built-in functions only.
 
 Defined results: a null text has no lines; lines without words are never removed; rows that repeat an
@@ -43,6 +44,8 @@ SHORT = 12
 SHARED = 3
 #: Earliest lines of a bucket that open lines meet before they meet all.
 FIRST = 16
+#: Sets of up to so many words travel with the grams of open lines, 8 bytes a word; a larger one would travel too often.
+HELD = 128
 #: Up to so many lines (24 bytes each) are named to a scan by broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 #: Shares of the grams' keys that are dealt one after the other: no more of them is on disk at once than one share.
@@ -270,22 +273,22 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _sets(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """place, a, b, t: the sets of words of some lines."""
+    """place, a, b, t, m: the sets of words of some lines, and their maps."""
     few = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
     named = lines.select("place", "line").join(few, "place", "left_semi").dropDuplicates(["place"])
     tokens = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return stored(named.select("place", *_identity(), tokens.alias("t")), "line-sets")
+    return stored(named.select("place", *_identity(), let(tokens, lambda t: F.struct(t.alias("t"), _map(t).alias("m"))).alias("s")).select("place", "a", "b", "s.*"), "line-sets")
 
 
-def _maps(sets: DataFrame) -> DataFrame:
-    """place, m (number of words, 256 bits): sets differ in at least as many words as their maps do in bits."""
+def _map(t: Column) -> Column:
+    """Number of words and 256 bits of a set: sets differ in at least as many words as their maps do in bits."""
     one = F.lit(1).cast("bigint")
 
     def part(k: int) -> Column:
-        own = F.filter("t", lambda h: h.bitwiseAND(F.lit(3)) == k)
+        own = F.filter(t, lambda h: h.bitwiseAND(F.lit(3)) == k)
         return F.aggregate(own, F.lit(0).cast("bigint"), lambda m, h: m.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))))
 
-    return stored(sets.select("place", F.struct(F.size("t").alias("n"), *[part(k).alias(f"m{k}") for k in range(4)]).alias("m")), "line-maps")
+    return F.struct(F.size(t).alias("n"), *[part(k).alias(f"m{k}") for k in range(4)])
 
 
 def _near(x: str, y: str) -> Column:
@@ -295,6 +298,11 @@ def _near(x: str, y: str) -> Column:
     return 9 * (total - apart) >= 8 * total
 
 
+def _same(x: str, y: str) -> Column:
+    """Whether two sets are similar: a Jaccard similarity of 4/5, in integers."""
+    return 9 * F.size(F.array_intersect(x, y)) >= 4 * (F.size(x) + F.size(y))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """x of the pairs (x, y) of places whose lines are similar."""
     pairs = stored(pairs, "line-pairs")
@@ -304,12 +312,30 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     named = sets.select("place", "t").join(few, "place", "left_semi")
     left = pairs.join(named.select(F.col("place").alias("x"), F.col("t").alias("tx")), "x")
     both = left.join(named.select(F.col("place").alias("y"), F.col("t").alias("ty")), "y")
-    shared = F.size(F.array_intersect("tx", "ty"))
-    found = stored(both.where(9 * shared >= 4 * (F.size("tx") + F.size("ty"))).select("x").distinct(), "similar")
+    found = stored(both.where(_same("tx", "ty")).select("x").distinct(), "similar")
     discard(pairs)
     return found
 
 
+def _settled(late: DataFrame, earlier: DataFrame, sets: DataFrame) -> DataFrame:
+    """x: lines of ``late`` (key, id, ni, xm, xt) that are similar to an earlier one of ``earlier`` (k, y, yni, ym, yt) in a bucket.
+
+    A line needs one such match, so the join gives each row of ``late`` once at most, however many lines of its bucket
+    it is like. Sets of more than HELD words don't travel with their grams; pairs with one of them are looked up.
+    """
+    meet = (F.col("key") == F.col("k")) & (F.col("y") < F.col("id")) & _alike(F.col("ni"), F.col("yni")) & _near("xm", "ym")
+    found = late.join(earlier, meet & F.col("xt").isNotNull() & F.col("yt").isNotNull() & _same("xt", "yt"), "left_semi").select(F.col("id").alias("x"))
+    found = stored(found.distinct(), "similar")
+    wide = [rows.where(F.shiftright(ni, 32) > HELD * 4 // 5) for rows, ni in ((late, "ni"), (earlier, "yni"))]
+    if wide[0].isEmpty():
+        return found
+    left = wide[0].join(found.select(F.col("x").alias("id")), "id", "left_anti")
+    near = left.join(wide[1], meet & (F.col("xt").isNull() | F.col("yt").isNull()))
+    shared = near.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c"), F.max("ni").alias("ni"), F.max("yni").alias("yni"))
+    enough = shared.where(F.col("c") >= F.least(_need(F.col("ni")), _need(F.col("yni"))))
+    return found.unionByName(_similar(enough.select("x", "y"), sets))
+
+
 def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
     """x: the places of lines that are similar to an earlier one.
 
@@ -321,24 +347,20 @@ def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
     own = met.where((F.col("lead") < F.col("id")) & _alike(F.col("ni"), F.col("lead_ni"))).groupBy(*pair).agg(F.count("*").alias("c"), F.max("ni").alias("ni"))
     promising = own.where(F.col("c") >= F.least(_need(F.col("ni")), F.lit(2)))
     found = _similar(promising.groupBy("x").agg(F.max_by("y", "c").alias("y")), sets)
-    maps = _maps(sets)
-    for upper in (FIRST, None):
-        late = met.where("lead < id").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
-        late = stored(late.join(maps, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm")), "open-lines")
+    held = sets.select("place", "m", F.when(F.size("t") <= HELD, F.col("t")).alias("t"))
+    for past, upper in ((0, FIRST), (FIRST, None)):
+        late = met.where((F.col("lead") < F.col("id")) & (F.col("rank") > past)).join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
+        late = stored(late.join(held, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm"), F.col("t").alias("xt")), "open-lines")
         release(met.sparkSession)
-        earlier = met.where(F.col("rank") <= upper if upper else F.lit(True)).join(late.select("key").distinct(), "key", "left_semi")
-        earlier = earlier.join(maps, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"))
+        ranks = (F.col("rank") > past) & (F.col("rank") <= upper if upper else F.lit(True))
+        earlier = met.where(ranks).join(late.select("key").distinct(), "key", "left_semi")
+        earlier = earlier.join(held, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"), F.col("t").alias("yt"))
         earlier = stored(earlier, "earlier-lines")
         release(met.sparkSession)
-        near = late.join(earlier, (F.col("key") == F.col("k")) & (F.col("y") < F.col("id")) & _alike(F.col("ni"), F.col("yni")) & _near("xm", "ym"))
-        shared = near.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c"), F.max("ni").alias("ni"), F.max("yni").alias("yni"))
-        # of the earliest lines only, the one that promises most
-        enough = shared.where(F.col("c") >= F.least(_need(F.col("ni")), _need(F.col("yni"))))
-        more = _similar(enough.groupBy("x").agg(F.max_by("y", "c").alias("y")) if upper else enough.select("x", "y"), sets)
+        more = _settled(late, earlier, sets)
         for old in (late, earlier):
             discard(old)
         found = found.unionByName(more)
-    discard(maps)
     return found
 
 

@@ -327,6 +327,30 @@ def test_line_grams_are_dealt_in_shares(spark, monkeypatch):
     assert len(shares) > 1 and max(shares) <= sum(shares) / 2
 
 
+@pytest.mark.parametrize("held", [0, 12, 1000])
+def test_open_lines_of_a_family_make_no_square_of_pairs(spark, monkeypatch, held):
+    """Near copies that are hardly similar meet in the join that ends at a match; longer lines are looked up in pairs."""
+    monkeypatch.setattr(linedup, "TABLE", 1 << 10)
+    monkeypatch.setattr(linedup, "FIRST", 1)
+    monkeypatch.setattr(linedup, "HELD", held, raising=False)
+    rng = random.Random(5)
+    base, pairs = words_of(rng, 40, 5000), []
+    docs = [(k, " ".join(edited(rng, base, rng.randrange(3, 7)))) for k in range(80)]
+    docs += [(100 + k, text) for k, (_, text) in enumerate(made_lines(rng, 10))]
+
+    def stored(df, name, of=linedup.stored):
+        found = of(df, name)
+        if name == "line-pairs":
+            pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(linedup, "stored", stored)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.line_no) for r in linedup.repeated(frame).collect()} == brute_lines(docs)
+    if held == 1000:
+        assert sum(pairs) <= sum(text.count("\n") + 1 for _, text in docs)  # with the earliest line of a bucket, at most
+
+
 # --- decontamination
 
 
