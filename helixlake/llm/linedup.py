@@ -44,7 +44,8 @@ SHORT = 12
 SHARED = 3
 #: Earliest lines of a bucket that open lines meet before they meet all.
 FIRST = 16
-#: Sets of up to so many words travel with the grams of open lines, 8 bytes a word; a larger one would travel too often.
+#: Sets of up to so many words travel with the grams of open lines in buckets of more than FIRST, 8 bytes a word;
+#: a larger one would travel too often.
 HELD = 128
 #: Up to so many lines (24 bytes each) are named to a scan by broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
@@ -245,15 +246,15 @@ def _need(ni: Column) -> Column:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """key, id, ni, rank, lead, lead_ni: the rows of buckets of two lines or more that the filters leave, with
-    their rank by place and the earliest line of the bucket."""
+    """key, id, ni, rank, size, lead, lead_ni: the rows of buckets of two lines or more that the filters leave, with
+    their rank by place, the rows and the earliest line of the bucket."""
     bucket = Window.partitionBy("key").orderBy("id")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = rows.withColumns(
         {"rank": F.row_number().over(bucket), "size": F.count("*").over(whole), "lead": F.first("id").over(whole), "lead_ni": F.first("ni").over(whole), "last_ni": F.last("ni").over(whole)}
     )
     kept = ranked.where((F.col("size") > 2) | (F.col("size") == 2) & _alike(F.col("lead_ni"), F.col("last_ni")))
-    return kept.drop("size", "last_ni")
+    return kept.drop("last_ni")
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -317,23 +318,24 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def _settled(late: DataFrame, earlier: DataFrame, sets: DataFrame) -> DataFrame:
-    """x: lines of ``late`` (key, id, ni, xm, xt) that are similar to an earlier one of ``earlier`` (k, y, yni, ym, yt) in a bucket.
+def _settled(late: DataFrame, earlier: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """x: lines of ``late`` (key, id, ni, small, xm, xt) that are similar to an earlier one of ``earlier`` (k, y, yni, ysmall, ym, yt).
 
-    A line needs one such match, so the join gives each row of ``late`` once at most, however many lines of its bucket
-    it is like. Sets of more than HELD words don't travel with their grams; pairs with one of them are looked up.
+    Where both sets travel, a line needs one match, so the join gives each row of ``late`` once at most, however many
+    lines of its bucket it is like. The others, of small buckets or of more than HELD words, are looked up in pairs;
+    with ``best`` the pair of a line that promises most.
     """
     meet = (F.col("key") == F.col("k")) & (F.col("y") < F.col("id")) & _alike(F.col("ni"), F.col("yni")) & _near("xm", "ym")
-    found = late.join(earlier, meet & F.col("xt").isNotNull() & F.col("yt").isNotNull() & _same("xt", "yt"), "left_semi").select(F.col("id").alias("x"))
-    found = stored(found.distinct(), "similar")
-    wide = [rows.where(F.shiftright(ni, 32) > HELD * 4 // 5) for rows, ni in ((late, "ni"), (earlier, "yni"))]
-    if wide[0].isEmpty():
-        return found
-    left = wide[0].join(found.select(F.col("x").alias("id")), "id", "left_anti")
-    near = left.join(wide[1], meet & (F.col("xt").isNull() | F.col("yt").isNull()))
+    held = late.where("xt IS NOT NULL").join(earlier.where("yt IS NOT NULL"), meet & _same("xt", "yt"), "left_semi")
+    found = stored(held.select(F.col("id").alias("x")).distinct(), "similar")
+    large = HELD * 4 // 5  # of sets that may be similar to one that doesn't travel
+    x, y = late.where(F.col("small") | (F.shiftright("ni", 32) > large)), earlier.where(F.col("ysmall") | (F.shiftright("yni", 32) > large))
+    none = F.col("xt").isNull() | F.col("yt").isNull()
+    near = x.join(found.select(F.col("x").alias("id")), "id", "left_anti").join(y, meet & none)
     shared = near.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("c"), F.max("ni").alias("ni"), F.max("yni").alias("yni"))
+    # grams that both sets travelled with are not counted, but then the pair has met on the spot
     enough = shared.where(F.col("c") >= F.least(_need(F.col("ni")), _need(F.col("yni"))))
-    return found.unionByName(_similar(enough.select("x", "y"), sets))
+    return found.unionByName(_similar(enough.groupBy("x").agg(F.max_by("y", "c").alias("y")) if best else enough.select("x", "y"), sets))
 
 
 def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,17 +349,20 @@ def _matched(met: DataFrame, sets: DataFrame) -> DataFrame:
     own = met.where((F.col("lead") < F.col("id")) & _alike(F.col("ni"), F.col("lead_ni"))).groupBy(*pair).agg(F.count("*").alias("c"), F.max("ni").alias("ni"))
     promising = own.where(F.col("c") >= F.least(_need(F.col("ni")), F.lit(2)))
     found = _similar(promising.groupBy("x").agg(F.max_by("y", "c").alias("y")), sets)
-    held = sets.select("place", "m", F.when(F.size("t") <= HELD, F.col("t")).alias("t"))
-    for past, upper in ((0, FIRST), (FIRST, None)):
-        late = met.where((F.col("lead") < F.col("id")) & (F.col("rank") > past)).join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni")
-        late = stored(late.join(held, F.col("id") == F.col("place")).select("key", "id", "ni", F.col("m").alias("xm"), F.col("t").alias("xt")), "open-lines")
+    travels = (F.col("size") > FIRST) & (F.size("t") <= HELD)
+    small = (F.col("size") <= FIRST).alias("small")
+    for upper in (FIRST, None):
+        # sets of large buckets travel; those that have met in the first round don't meet again
+        t = F.when(travels if upper else travels & (F.col("rank") > FIRST), F.col("t"))
+        late = met.where("lead < id").join(found.select(F.col("x").alias("id")), "id", "left_anti").select("key", "id", "ni", "size", "rank")
+        late = late.join(sets.select("place", "m", "t"), F.col("id") == F.col("place")).select("key", "id", "ni", small, F.col("m").alias("xm"), t.alias("xt"))
+        late = stored(late, "open-lines")
         release(met.sparkSession)
-        ranks = (F.col("rank") > past) & (F.col("rank") <= upper if upper else F.lit(True))
-        earlier = met.where(ranks).join(late.select("key").distinct(), "key", "left_semi")
-        earlier = earlier.join(held, F.col("id") == F.col("place")).select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), F.col("m").alias("ym"), F.col("t").alias("yt"))
-        earlier = stored(earlier, "earlier-lines")
+        earlier = met.where(F.col("rank") <= upper if upper else F.lit(True)).join(late.select("key").distinct(), "key", "left_semi")
+        earlier = earlier.join(sets.select("place", "m", "t"), F.col("id") == F.col("place"))
+        earlier = stored(earlier.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("ni").alias("yni"), small.alias("ysmall"), F.col("m").alias("ym"), t.alias("yt")), "earlier-lines")
         release(met.sparkSession)
-        more = _settled(late, earlier, sets)
+        more = _settled(late, earlier, sets, best=bool(upper))
         for old in (late, earlier):
             discard(old)
         found = found.unionByName(more)
