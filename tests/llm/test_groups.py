@@ -213,6 +213,65 @@ def test_near_duplicates_by_shuffle(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in omh.near_duplicates(texts_frame(spark, texts)).collect()} == expected
 
 
+@pytest.mark.parametrize("travels", [True, False])
+def test_texts_just_beyond_a_family_make_no_pairs(spark, monkeypatch, travels):
+    """Texts that are not quite similar to a family share buckets with all of it; what is stored of them are the links
+    (of texts that travel), not the pairs that have met."""
+    rng = random.Random(21)
+    base = words_of(rng, 120)
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(40)]
+    beyond = []
+    for _ in range(24):
+        words = list(base)
+        for k in range(rng.randrange(4), len(words), 4):  # every fourth word, so a similarity of 0.75 to the family
+            words[k] = f"other{rng.randrange(10**9)}"
+        beyond.append(" ".join(words))
+    texts += beyond + [" ".join(edited(rng, beyond[0].split(), 3))]
+    monkeypatch.setattr(omh, "GROWTH", 3)
+    if not travels:
+        monkeypatch.setattr(omh, "coded", lambda text: F.from_json(F.lit("{}"), "code string, odd array<smallint>"), raising=False)
+    monkeypatch.setattr(omh, "_near", lambda a, b: F.lit(True))
+    monkeypatch.setattr(omh, "_possible", lambda a, b: F.lit(True))
+    pairs = []
+
+    def stored(df, name, of=omh.stored):
+        made = of(df, name)
+        if name == "pairs":
+            pairs.append(made.count())
+        return made
+
+    monkeypatch.setattr(omh, "stored", stored)
+    found = {r.doc_id: r.class_id for r in omh.near_duplicates(texts_frame(spark, texts)).collect()}
+    parent = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if omh.similarity(texts[a].split(), texts[b].split()) >= 0.8:
+            x, y = find(parent, a), find(parent, b)
+            parent[max(x, y)] = min(x, y)
+    assert found == {k: find(parent, k) for k in range(len(texts))}
+    later = sum(pairs[2:])  # the first two are of the leaders
+    assert later <= len(texts) if travels else later > len(texts)
+
+
+def test_codes_keep_every_similar_pair(spark):
+    rng = random.Random(22)
+    rows = []
+    for _ in range(60):
+        a = words_of(rng, rng.choice((3, 30, 90, 300, 700)), 3000)
+        b = edited(rng, a, rng.randrange(len(a) // 4 + 1)) if rng.random() < 0.8 else words_of(rng, len(a))
+        rows.append((" ".join(a), " ".join(b)))
+    rows += [("", "a"), (" ".join(words_of(rng, omh.HELD + 1)), "a")]
+    both = spark.createDataFrame(rows, "a string, b string").select("a", "b", omh.coded("a").alias("ta"), omh.coded("b").alias("tb"))
+    sized = both.withColumns({"ca": F.struct(F.size(F.split("a", " ")).alias("n")), "cb": F.struct(F.size(F.split("b", " ")).alias("n"))})
+    told = 0
+    for r in sized.withColumn("close", omh._close("ca", "cb", "ta", "tb")).collect():
+        n = len(r.a.split())
+        assert r.close or omh.similarity(r.a.split(), r.b.split()) == 0.0
+        assert (r.ta.code is None) == (n > omh.HELD) and (r.ta.code is None or len(r.ta.code) == n)
+        assert (r.ta.odd is None) == (n <= omh.HELD)
+        told += not r.close
+    assert told >= 10
+
+
 def test_near_duplicate_edges(spark, edge, empty):
     rows = sorted((r.doc_id or 0, r.class_id) for r in omh.near_duplicates(edge).collect())
     assert rows == [(0, None), (1, 1), (1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1)]
