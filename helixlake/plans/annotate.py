@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.operators.labels import label_intervals, label_runs
@@ -29,6 +30,13 @@ BLOCK = 4096
 CHUNK = 1 << 16
 #: Windows of a batch that a task takes, and those of all batches that a partition holds, about.
 SLICE, HELD = 64, 2048
+#: Doubles in the attention weights of the windows whose gradients are worked out together: what fits a cache.
+STEP_CELLS = 1 << 17
+#: Multiplications of a step up to which it isn't worth a Spark job, and windows of the steps that follow each other in one task.
+LIGHT, SECTION = 1 << 28, 1 << 15
+#: Bytes that a task of many small steps allocates once, untouched: glibc then keeps up to twice as much of what is freed, and
+#: arrays of a step don't fault their pages in each time.
+KEPT = 30 << 20
 #: What a gradient needs of a window.
 WINDOW = ["ord", "strand", "seq", "win_start", "labels"]
 
@@ -102,22 +110,27 @@ def training_windows(contigs: DataFrame, features: DataFrame, config: Config) ->
     return window_labels(both[0].unionByName(both[1]), runs, config.window_size)
 
 
-def _summed_gradients(p: kernels.Params, windows: list[tuple], config: Config, seed: int) -> np.ndarray:
-    """[loss, windows, gradients in order of the parameters] summed over (ord, strand, seq, win_start, labels), windows of
-    like lengths together."""
+def _summed_gradients(p: kernels.Params, windows: kernels.Packed, config: Config, seed: int) -> np.ndarray:
+    """[loss, windows, gradients in order of the parameters] summed over packed windows, those of like lengths together."""
     total = np.zeros(2 + sum(v.size for v in p.values()))
-    heads, windows = config.num_heads, sorted(windows, key=lambda w: (w[0], w[1], w[3]))  # sums don't hang on how rows arrive
-    for some in kernels.groups([len(w[2]) for w in windows], heads, ATTENTION_CELLS // max(1, config.num_encoder_layers)):
-        ords, strands, seqs, starts, labels = zip(*(windows[k] for k in some))
-        x, y, lengths = kernels.laid_out(seqs, labels, config.cwt_scales)
-        places = [np.array(v, dtype=np.int64)[:, None, None] for v in (ords, starts, [s == "-" for s in strands])]
-        logits, caches = kernels.forward(p, x, heads, config.window_size, config.dropout_rate, (seed, *places), lengths)
-        losses, delta = kernels.loss_and_gradient(logits, y, lengths)
+    (ords, reverse, starts, lengths, codes, labels), heads = windows, config.num_heads
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    for some in kernels.groups(lengths.tolist(), heads, STEP_CELLS):
+        rows = slice(some[0], some[-1] + 1)
+        bases = slice(ends[rows.start], ends[rows.stop])
+        x, y = kernels.laid_flat(codes[bases], labels[bases], lengths[rows], config.cwt_scales)
+        places = [v[rows][:, None, None] for v in (ords, starts, reverse)]
+        logits, caches = kernels.forward(p, x, heads, config.window_size, config.dropout_rate, (seed, *places), lengths[rows])
+        losses, delta = kernels.loss_and_gradient(logits, y, lengths[rows])
         grads = kernels.backward(p, x, caches, delta, heads)
         total += np.concatenate([[losses.sum(), len(some)], *(grads[name].ravel() for name in p)])
     return total
 
 
+def _packed(rows: pd.DataFrame) -> kernels.Packed:
+    return kernels.packed(*(rows[c].tolist() for c in WINDOW))
+
+
 def _shaped(flat: np.ndarray, params: kernels.Params) -> tuple[kernels.Params, float, int]:
     out, at = {}, 2
     for name, v in params.items():
@@ -137,7 +150,9 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            one = _summed_gradients(shared.value, list(batch.itertuples(index=False, name=None)), config, seed)
+            if batch.empty:
+                continue
+            one = _summed_gradients(shared.value, _packed(batch), config, seed)
             total = one if total is None else total + one
         if total is not None and total[1]:
             for chunk, at in enumerate(range(0, len(total), CHUNK)):
@@ -153,15 +168,19 @@ def gradients(wins: DataFrame, params: kernels.Params, config: Config, seed: int
     return _shaped(flat, params)
 
 
+def _dealt(parts: int, *more: Column) -> Column:
+    """The part of 0..parts-1 that a window falls to, by its hash."""
+    return F.pmod(F.xxhash64("id", F.col("ord").cast("int"), "strand", "win_idx", *more), F.lit(parts))
+
+
 class Dealt:
     """Windows dealt to partitions by batch and slice, as one packed element for each: a step runs as many tasks as its batch
     has slices, on the partitions that hold them, and on no other."""
 
     def __init__(self, wins: DataFrame, batches: int, windows: int, config: Config) -> None:
         self.context, self.config = wins.sparkSession.sparkContext, config
-        key = ["id", F.col("ord").cast("int"), "strand", "win_idx"]
         slices = max(1, min(self.context.defaultParallelism, -(-config.batch_size // SLICE)))
-        placed = wins.select(*WINDOW, F.pmod(F.xxhash64(*key), F.lit(batches)).alias("batch"), F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(slices)).alias("slice"))
+        placed = wins.select(*WINDOW, _dealt(batches).alias("batch"), _dealt(slices, F.lit(1)).alias("slice"))
 
         def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -184,7 +203,7 @@ class Dealt:
         def partial(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
             mine = [w for b, data in rows if b == batch for w in pickle.loads(data)]
             if mine:
-                yield _summed_gradients(shared.value, mine, config, seed)
+                yield _summed_gradients(shared.value, kernels.packed(*zip(*mine)), config, seed)
 
         if size <= CHUNK:
             flat = sum(self.context.runJob(self.rows, partial, sorted(self.places[batch])))
@@ -196,6 +215,82 @@ class Dealt:
         return _shaped(flat, params)
 
 
+class Training(NamedTuple):
+    """What a step changes, and the loss and the windows of the epoch so far."""
+
+    params: kernels.Params
+    state: dict
+    step: int
+    loss: float = 0.0
+    windows: int = 0
+
+    def after(self, grads: kernels.Params, loss: float, count: int, config: Config) -> Training:
+        """After an Adam step on the mean of the gradients; parameters and moments change in place. No windows are no step."""
+        if not count:
+            return self
+        mean = {name: g / count for name, g in grads.items()}
+        kernels.adam(self.params, mean, self.state, self.step + 1, config.adam_learning_rate, config.adam_beta1, config.adam_beta2, config.adam_epsilon)
+        return Training(self.params, self.state, self.step + 1, self.loss + loss, self.windows + count)
+
+
+def light(p: kernels.Params, bases: int, squares: int, batches: int, config: Config) -> bool:
+    """Whether a step, by the bases of all windows and the squares of their lengths, takes less work than a Spark job's start
+    costs: at most LIGHT multiplications, forward and backward, for a model that is small itself."""
+    matrices = sum(v.size for v in p.values())
+    work = 3 * (bases * matrices + squares * 2 * config.num_encoder_layers * config.d_model)
+    return matrices <= CHUNK and work <= LIGHT * batches
+
+
+def _chained(wins: DataFrame, order: np.ndarray, now: Training, config: Config, seed: int) -> Training:
+    """``now`` after the steps of an epoch, whose batches come in ``order``.
+
+    The windows are dealt and packed by all tasks, so that a partition holds about SECTION windows of steps that follow each
+    other. One task takes those steps, the next one goes on with what it hands over: a job for each section and not for
+    each step, whose start would take longer than the step.
+    """
+    context, each = wins.sparkSession.sparkContext, max(1, SECTION // max(1, config.batch_size))
+    sections = -(-len(order) // each)
+    shared = context.broadcast(np.argsort(order))
+
+    @F.pandas_udf("bigint")
+    def place(batch: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[batch.to_numpy()])
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        one = lambda: pd.DataFrame({"data": [pickle.dumps(_packed(pd.concat(held)))]})
+        for frame in frames:
+            for k, rows in frame.groupby("place"):
+                if held and held[0]["place"].iloc[0] != k:
+                    yield one()
+                    held = []
+                held.append(rows)
+        if held:
+            yield one()
+
+    placed = wins.select(*WINDOW, place(_dealt(len(order))).alias("place"))
+    dealt = placed.repartitionById(sections, F.floor(F.col("place") / each).cast("int")).sortWithinPartitions("place")
+    rows = dealt.mapInPandas(packed, "data binary").rdd.map(lambda r: bytes(r["data"])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    for section in range(sections):
+        before = context.broadcast(now)
+
+        def steps(rows: Iterator[bytes]) -> Iterator[Training]:
+            np.empty(KEPT, dtype=np.uint8)
+            # a task that runs again begins with the same numbers
+            now = before.value._replace(params={name: v.copy() for name, v in before.value.params.items()}, state=dict(before.value.state))
+            for data in rows:
+                flat = _summed_gradients(now.params, pickle.loads(data), config, seed * 1_000_003 + now.step)
+                now = now.after(*_shaped(flat, now.params), config)
+            yield now
+
+        [now] = context.runJob(rows, steps, [section])
+        before.destroy()
+    rows.unpersist()
+    shared.destroy()
+    return now
+
+
 def _saved_epochs(spark: SparkSession, path: str) -> list[int]:
     """Epochs whose tables are whole: a folder counts only with the mark of its committed write."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -245,10 +340,10 @@ def window_losses(wins: DataFrame, params: kernels.Params, config: Config) -> Da
 def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None = None) -> tuple[kernels.Params, DataFrame]:
     """Weights and (epoch, loss, windows), by synchronous batches of about ``batch_size`` windows.
 
-    Every step sums the gradients of its batch over the cluster and applies one Adam step to their mean;
-    with a batch per window the steps are those of training window by window, in another order. Windows are
-    kept by batch, so that a step's tasks read the partitions of its batch alone; epochs take the batches in an
-    order of their own.
+    Every step sums the gradients of its batch and applies one Adam step to their mean; with a batch per window the
+    steps are those of training window by window, in another order. Epochs take the batches in an order of their own.
+    The gradients are summed over the cluster: windows are kept by batch, so that a step's tasks read the partitions of
+    its batch alone. Steps of less work than a Spark job's start (``light``) follow each other in tasks instead.
 
     With ``state_path`` parameters and moments are written after each epoch; a job that begins again with the same
     windows, settings and seed goes on after the last epoch that was written, with the same steps and losses.
@@ -259,22 +354,27 @@ def fit(wins: DataFrame, config: Config, seed: int = 0, state_path: str | None =
         done = saved[-1] + 1
         params, state, step, losses = load_state(spark, state_path, saved[-1])
     wins = wins.persist()
-    windows = wins.count()
+    size = F.length("seq").cast("long")
+    windows, bases, squares = wins.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * size), F.lit(0))).first()
     batches = max(1, -(-windows // max(1, config.batch_size)))
-    dealt = Dealt(wins, batches, windows, config)
-    wins.unpersist()
+    chained = light(params, bases, squares, batches, config)
+    dealt = None if chained else Dealt(wins, batches, windows, config)
+    if not chained:
+        wins.unpersist()
     for epoch in range(done, config.num_epochs):
-        loss, n = 0.0, 0
-        for b in np.random.default_rng([seed, epoch]).permutation(batches):
-            grads, one, count = dealt.gradients(int(b), params, seed * 1_000_003 + step)
-            if count:
-                step, loss, n = step + 1, loss + one, n + count
-                mean = {name: g / count for name, g in grads.items()}
-                kernels.adam(params, mean, state, step, config.adam_learning_rate, config.adam_beta1, config.adam_beta2, config.adam_epsilon)
-        losses.append((epoch, loss / max(n, 1), n))
+        now, order = Training(params, state, step), np.random.default_rng([seed, epoch]).permutation(batches)
+        if chained:
+            now = _chained(wins, order, now, config, seed)
+        else:
+            for b in order:
+                now = now.after(*dealt.gradients(int(b), params, seed * 1_000_003 + now.step), config)
+        params, state, step = now.params, now.state, now.step
+        losses.append((epoch, now.loss / max(now.windows, 1), now.windows))
         if state_path:
             save_state(spark, state_path, epoch, params, state, step, losses)
-    dealt.rows.unpersist()
+    wins.unpersist()
+    if dealt:
+        dealt.rows.unpersist()
     return params, spark.createDataFrame(losses, "epoch int, loss double, windows int")
 
 

@@ -172,3 +172,47 @@ def test_a_step_reads_the_partitions_of_its_batch(spark, monkeypatch, chunk):
     whole, loss, n = annotate.gradients(wins, params, config, 3)
     assert sum(m[2] for m in made) == n == wins.count() and abs(sum(m[1] for m in made) - loss) < 1e-9
     assert all(np.allclose(sum(m[0][k] for m in made), whole[k]) for k in params)
+
+
+@pytest.mark.parametrize("section", [annotate.SECTION, 12])
+def test_light_steps_follow_each_other_in_few_jobs(spark, monkeypatch, section):
+    """As many jobs as there are sections of steps, not one for each step, with the losses and weights of a job for each."""
+    monkeypatch.setattr(annotate, "SECTION", section)
+    config = Config(d_model=8, num_encoder_layers=1, num_heads=2, d_ff=8, cwt_scales=(2.0,), window_size=30, window_overlap=6, num_epochs=2, batch_size=3, dropout_rate=0.2, adam_learning_rate=0.01)
+    contigs = spark.range(40).select(F.col("id").cast("int").alias("ord"), F.col("id").cast("string").alias("id"), F.substr(F.repeat(F.lit("ACGTTGCAAC"), F.lit(5)), F.lit(1), F.lit(30) + F.col("id").cast("int") % 20).alias("seq")).withColumn("length", F.length("seq"))
+    features = spark.createDataFrame([(str(k), "exon", 5, 20, ".", "Parent=t") for k in range(40)], "seqid string, feature string, start int, end int, strand string, attributes string")
+    wins = annotate.training_windows(contigs, features, config).persist()
+    steps, sections = -(-wins.count() // 3), -(-(-(-wins.count() // 3)) // max(1, section // 3))
+    spark.sparkContext.setJobGroup("light", "light")
+    params, losses = annotate.fit(wins, config, 3)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("light"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 2 * sections <= jobs <= 2 * sections + 20 < 2 * steps
+    monkeypatch.setattr(annotate, "LIGHT", 0)
+    one, each = annotate.fit(wins, config, 3)
+    for a, b in zip(losses.collect(), each.collect(), strict=True):
+        assert (a.epoch, a.windows) == (b.epoch, b.windows) and abs(a.loss - b.loss) < 1e-12
+    assert all(np.allclose(params[n], one[n], atol=1e-12) for n in one)
+    wins.unpersist()
+
+
+def test_light_and_heavy_steps():
+    small = Config(d_model=16, num_encoder_layers=1, num_heads=2, d_ff=16, cwt_scales=(2.0, 4.0))
+    p = kernels.initial(16, 1, 16, 2, 0)
+    assert annotate.light(p, 512 * 25 * 10, 512 * 625 * 10, 10, small)
+    assert not annotate.light(p, 512 * 5000 * 10, 512 * 5000**2 * 10, 10, small)
+    assert not annotate.light(kernels.initial(512, 6, 2048, 5, 0), 250, 6250, 10, Config())
+
+
+def test_softmax_of_far_logits():
+    x = np.array([[1e4, 1e4 - 1, -1e4], [-1e4, -1e4 - 1, 3e4]])
+    e = np.exp(np.array([0.0, -1.0]))
+    inside = np.array([1.0, 1.0, 0.0])
+    assert np.allclose(kernels.softmax(x, inside), np.r_[e / e.sum(), 0.0]) and np.allclose(kernels.softmax(x[:1])[0], np.r_[e / e.sum(), 0.0])
+    assert np.allclose(kernels.softmax(x / 100, inside), kernels.softmax(x / 100 - 400, inside)) and np.allclose(kernels.softmax(x / 100, inside)[:, 2], 0)
+
+
+def test_short_windows_have_the_features_of_long_ones(monkeypatch):
+    found = kernels.features(["ACGTTGCAACGTN", "TTTTACGGCATGA"], (0.5, 2.0, 30.0))
+    monkeypatch.setattr(kernels, "SHORT", 0)
+    assert np.allclose(found, kernels.features(["ACGTTGCAACGTN", "TTTTACGGCATGA"], (0.5, 2.0, 30.0)), atol=1e-12)
