@@ -272,6 +272,68 @@ def test_codes_keep_every_similar_pair(spark):
     assert told >= 10
 
 
+def test_lists_tell_how_often_a_word_stands(spark):
+    """Texts of words that all stand twice are as far apart as others are: lists and maps hold words with their occurrence."""
+    rng = random.Random(23)
+    rows = []
+    for apart in (0, 40, 90, 200, 300):
+        words = words_of(rng, 300, 10**6)
+        other = [f"x{w}" if k < apart else w for k, w in enumerate(words)]
+        rows.append((" ".join(w for w in words for _ in range(2)), " ".join(w for w in other for _ in range(2))))
+    both = spark.createDataFrame(rows, "a string, b string").select("a", "b", omh.coded("a").alias("ta"), omh.coded("b").alias("tb"), omh.widened("a").alias("wa"), omh.widened("b").alias("wb"))
+    sized = both.withColumns({"ca": F.struct(F.lit(600).alias("n")), "cb": F.struct(F.lit(600).alias("n"))})
+    found = sized.select(omh._close("ca", "cb", "ta", "tb"), omh._within("ca", "cb", "wa", "wb"), F.size("wa")).collect()
+    assert [tuple(r) for r in found] == [(k < 2, k < 2, omh.WIDE) for k in range(5)]
+    assert spark.createDataFrame([("a b",)], "a string").select(omh.widened("a")).first()[0] is None
+
+
+def test_quick_bounds_keep_the_verdict_of_the_alignment(monkeypatch):
+    rng = random.Random(24)
+    exact = 0
+    for _ in range(1500):
+        a = [str(rng.randrange(rng.choice((3, 12, 60)))) for _ in range(rng.randrange(1, 40))]
+        b = edited(rng, a, rng.randrange(len(a) // 3 + 1)) if rng.random() < 0.8 else a[len(a) // 2 :] + a[: len(a) // 2]
+        distance = omh.banded(a, b, len(a) + len(b)) if b else len(a)
+        assert omh.edits(a, b) >= distance
+        assert omh.similar(a, b) == (omh.similarity(a, b) >= omh.SIMILAR)
+        exact += omh.edits(a, b) == distance
+    assert exact >= 900 and omh.edits([], []) == 0 and omh.similar([], []) and not omh.similar(["a"], [])
+    monkeypatch.setattr(omh, "banded", None)  # near copies need no alignment
+    base = [f"w{k}" for k in range(400)]
+    assert omh.similar(base, base[:100] + ["in"] + base[100:300] + base[310:]) and omh.similar(base, [*base[:7], "x", *base[8:]])
+
+
+@pytest.mark.parametrize("broadcast", [omh.BROADCAST_CODES, -1])
+def test_crowded_buckets_are_cut(spark, monkeypatch, broadcast):
+    """Long texts that share a passage and are not similar, and a family: the same classes however buckets are dealt."""
+    rng = random.Random(25)
+    passage, base = words_of(rng, 210), words_of(rng, 300)
+    texts = [" ".join(passage + words_of(rng, 90)) for _ in range(14)] + [" ".join(edited(rng, base, 25)) for _ in range(14)]
+    texts += [" ".join(edited(rng, texts[k].split(), 20)) for k in (0, 3, 3)]
+    rng.shuffle(texts)
+    split = [t.split() for t in texts]
+    parent = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if omh.similarity(split[a], split[b]) >= 0.8:
+            x, y = find(parent, a), find(parent, b)
+            parent[max(x, y)] = min(x, y)
+    monkeypatch.setattr(omh, "CROWD", 3)
+    monkeypatch.setattr(omh, "GROWTH", 3)
+    monkeypatch.setattr(omh, "FIRST", 1)
+    monkeypatch.setattr(omh, "BROADCAST_CODES", broadcast)
+    pairs = []
+
+    def stored(df, name, of=omh.stored):
+        made = of(df, name)
+        pairs.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(omh, "stored", stored)
+    found = {r.doc_id: r.class_id for r in omh.near_duplicates(texts_frame(spark, texts)).collect()}
+    assert found == {k: find(parent, k) for k in range(len(texts))}
+    assert max(n for name, n in pairs[[name for name, _ in pairs].index("open-members") :] if name == "pairs") <= 30
+
+
 def test_near_duplicate_edges(spark, edge, empty):
     rows = sorted((r.doc_id or 0, r.class_id) for r in omh.near_duplicates(edge).collect())
     assert rows == [(0, None), (1, 1), (1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 1)]
